@@ -1,0 +1,447 @@
+"""Each operator against a brute-force version, on a fixture with nulls, empty and long texts, ties,
+repeated rows, and extra columns with clashing names; and on an empty table."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from siltstone.llm import chat, common, decontaminate, mixing, pii, quality, scoring, secrets, simhash, substrings, warc
+from siltstone.llm.registry import QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start long, kind string, row long, g long"
+
+
+def corpus():
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    passage = prose(40)
+    base = prose(400)
+    words = base.split()
+    near = [" ".join("zz" if rng.random() < 0.004 else w for w in words) for _ in range(12)]
+    texts = [prose(rng.randint(1, 90)) for _ in range(60)]
+    texts += [base, base, *near, passage, prose(20) + " " + passage + "\n" + prose(5), passage + " " + passage, None, "", " \n\t", "x", prose(9000)]
+    texts += ["a b c d e f\n" * 30, "mail Jo.X+1@ex-a.co.uk or a@b, ip 10.0.0.256 1.2.3.4.5.6.7.8 card 4111 1111 1111 1111 tel +1 (202) 555-0175 +12 3"]
+    texts += ["iban GB82 WEST 1234 5698 7654 32 and ssn 123-45-6789" + " filler" * 12 + " part 123-45-6789", "é𝔘 x@y.zz #*$   ok 4111-1111-1111-1112 " + "1" * 5000]
+    texts += ["token=secret: abcdefghijklmnop PASSWORD = 'abcdefghijkl' AKIA1234567890ABCD deadbeefdeadbeef " + "k9" * 20 + " https://h.example:80/x"]
+    texts += ["𝔘 api_key: short token==aaaaaaaaaaaaa AKIA1 " + "k8" * 20 + " http://far.example"]
+    rows = [(i, t, "en", ["s0", "s0", "s0", "s1", None, "s2"][i % 6], 0 if t is None else len(t), 1, "k", 2, 3) for i, t in enumerate(texts)]
+    return [*rows, rows[3], rows[3], (None, base, None, None, None, 1, "k", 2, 3), (None, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(5).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+def test_mixing(docs, empty):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count()
+    again = mixing.mix(docs.repartition(3)).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(rows, key=key) == sorted(again, key=key)
+    sizes = defaultdict(int)
+    for r in corpus():
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, list(order), float(sum(sizes.values()))
+    while True:
+        level = left / sum(weight[s] for s in free)
+        above = [s for s in free if level * weight[s] > 3 * sizes[s]]
+        if not above:
+            break
+        for s in above:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            free.remove(s)
+    target |= {s: level * weight[s] for s in free}
+    taken = Counter()
+    for r in rows:
+        assert r.source_size == sizes[r.source] and math.isclose(r.target, target[r.source])
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= 1
+        whole = int(target[s] // sizes[s])
+        assert all(r.taken >= whole * r.size for r in rows if r.source == s)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mixing_without_words(spark):
+    rows = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")).collect()
+    assert [(r.size, r.target, r.taken) for r in rows] == [(0, 0.0, 0)] * 2
+
+
+def test_secrets(spark, docs, empty):
+    patterns = {
+        "assign": (re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 12),
+        "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        "hex": (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    }
+    expected = Counter()
+    for r in corpus():
+        found = sorted((m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, (p, ok)) in enumerate(patterns.items()) for m in p.finditer(r[1] or "") if ok(m))
+        expected[r[0], tuple(x[2] for x in found)] += 1
+    got = Counter()
+    extra = {}
+    for r in secrets.find_secrets(docs).collect():
+        got[r.doc_id, tuple(f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind in secrets.BASE)] += 1
+        extra[r.doc_id] = [s.kind for s in r.spans if s.kind not in secrets.BASE]
+    assert got == expected
+    ids = {x[1]: x[0] for x in corpus() if x[1] and ("far.example" in x[1] or "h.example" in x[1])}
+    linked, alone = (next(i for t, i in ids.items() if w in t) for w in ("h.example", "far.example"))
+    assert extra[linked] == ["opaque", "endpoint"]
+    assert extra[alone] == ["endpoint"]  # the secret assignment goes with it, the opaque token has no access identifier
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def test_chat_round_trip(spark):
+    nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x", "a\n<|", "", None, "<", "|>", "𝔘<|𝔘", "\\", "$1 \\1"]
+    rows = [(c, t, ("user", "assistant", "sys<|\n%0A", None)[t % 4], nasty[(c * 3 + t) % len(nasty)]) for c in range(6) for t in range(7)] + [(0, 1, "assistant", "tie"), (None, 0, "user", "null id"), (1, None, "user", "null turn"), (2, 2, "user", "x"), (2, 2, "user", "x")]
+    log = spark.createDataFrame(rows, "conv_id long, seq long, role string, text string").selectExpr("conv_id", "seq", "'message' op", "cast(null as long) msg", "role", "text", "1 at", "2 n")
+    turns = defaultdict(list)
+    nulls = lambda x: (x is None, x)
+    for c, t, r, x in sorted(rows, key=lambda r: (nulls(r[1]), nulls(r[2]), nulls(r[3]))):
+        turns[c].append((r or "", x or ""))
+    out = chat.format_chats(log).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    assert len(out) == len(turns)
+    for r in out:
+        assert [(t.role, t.text) for t in r.turns] == turns[r.conv_id]
+        masked = [r.formatted[s.start : s.end] for s in r.loss]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", m) for m in masked] == [x for role, x in turns[r.conv_id] if role == "assistant"]
+        assert r.formatted.count(chat.END) == r.formatted.count(chat.START) == len(turns[r.conv_id])
+    assert chat.format_chats(log.limit(0)).count() == 0
+
+
+def test_chat_fold(spark):
+    log = [
+        (1, 1, "message", 1, "user", "hi"), (1, 2, "delta", 2, "assistant", "he"), (1, 3, "delta", 2, None, "llo"),
+        (1, 4, "message", 3, "user", "what"), (1, 5, "edit", 1, None, "hey"), (1, 6, "regenerate", 2, None, "ignored"),
+        (1, 7, "delta", 2, None, "good "), (1, 8, "delta", 2, None, "day"), (1, 9, "message", 4, "user", "bye"), (2, 1, "edit", 9, "user", "alone"),
+    ]
+    got = chat.fold(spark.createDataFrame(log, "conv_id long, seq long, op string, msg long, role string, text string")).orderBy("conv_id", "at").collect()
+    assert [(r.conv_id, r.role, r.text) for r in got] == [(1, "user", "hey"), (1, "assistant", "good day"), (1, "user", "bye"), (2, "user", "alone")]
+
+
+def test_scoring(spark, docs, empty):
+    rows = scoring.score(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert (r.mean_log_prob is None) == (r.n_words == 0) and r.log_prob <= 0
+    assert scoring.score(empty).count() == 0
+
+
+def test_scoring_held_out(spark):
+    """Texts with an order score better in it than shuffled, on texts that training has not seen."""
+    rng = random.Random(3)
+    chain = [f"w{i}" for i in range(20)]
+
+    def ordered(n):
+        at = rng.randrange(20)
+        return [chain[(at + k) % 20] for k in range(n)]
+
+    train = spark.createDataFrame([(i, " ".join(ordered(200))) for i in range(200)], "doc_id long, text string").repartition(2)
+    of, bias = scoring.classes([tuple(r) for r in scoring.count_words(train).collect()])
+    p = scoring.train(train, of, bias)
+    import numpy as np
+
+    def mean(words):
+        ids = of[scoring.numbers(" ".join(words))]
+        return scoring.log_probs(p, scoring.contexts(ids, np.arange(len(ids))), ids).mean()
+
+    for _ in range(10):
+        words = ordered(60)
+        mixed = rng.sample(words, len(words))
+        assert mean(words) > mean(mixed) + 0.5
+
+
+def brute_fp(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    sh = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(rows):
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(rows[i][1] ^ rows[j][1]).count("1") <= 4:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        r = find(i)
+        least[r] = d if least.get(r) is None else least[r] if d is None else min(d, least[r])
+    return [least[find(i)] for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("split", [simhash.SPLIT, 4])
+def test_simhash(spark, docs, empty, split):
+    rows = [(r[0], brute_fp(r[1])) for r in corpus()]
+    expected = Counter((d, f, c) for (d, f), c in zip(rows, brute_components(rows), strict=True))
+    got = Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs, split=split).collect())
+    assert got == expected
+    if split > 4:
+        assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_simhash_dense(spark):
+    """Many fingerprints around common centres: every allocation of thresholds finds all components."""
+    rng = random.Random(1)
+    fps = set()
+    for _ in range(4):
+        centre = rng.getrandbits(64)
+        for _ in range(60):
+            x = centre
+            for _ in range(rng.randint(0, 6)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    expected = brute_components([(i, f) for i, f in enumerate(fps)])
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long").repartition(3)
+    for split in (8, 4096):
+        roots = {r.node % 2**64: r.root % 2**64 for r in common.components(simhash.links(df, split=split)).collect()}
+        groups = defaultdict(set)
+        for f in fps:
+            groups[roots.get(f, f)].add(f)
+        want = defaultdict(set)
+        for f, c in zip(fps, expected, strict=True):
+            want[c].add(f)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_pigeonhole_is_complete():
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(5):
+        share = np.array([rng.uniform(0.2, 0.8) for _ in range(64)])
+        n = rng.choice([10, 10**5, 10**9])
+        parts = simhash.plan(n, share, np.full((64, 64), 0.1), 4)
+        keep = simhash.masks(parts)
+        assert sum(t + 1 for _, t in parts) == 5
+        for _ in range(300):
+            x = rng.getrandbits(64)
+            y = x
+            for b in rng.sample(range(64), rng.randint(0, 4)):
+                y ^= 1 << b
+            assert any(x & m == y & m for m in keep)
+
+
+def test_warc(spark, tmp_path):
+    big, small = "<p>é𝔘</p>" * 200, "<p>small</p>"
+    pages = [(1, "http://a", big), (9, "http://b\r\nX: 1", big), (4, None, big), (5, "u", small), (6, "u", small), (7, "u", None), (8, "u", ""), (None, "u", "n" * 3000), (None, "u", big), (11, "v", "q" * 999), (12, "v", "q" * 999), (13, "v", "q" * 1000), (14, "v", "q" * 1000), (14, "v", "q" * 1000)]
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, d string, n long").repartition(3)
+    folder = f"file://{tmp_path}/warc"
+    got = warc.read_archives(warc.write_archives(df, folder, roll=300), folder).collect()
+    largest = {}
+    for i, _, h in pages:
+        h = (h or "").encode()
+        if i is not None:
+            largest[h] = max(largest.get(h, i), i)
+    count = Counter((h or "").encode() for _, _, h in pages)
+    expected = Counter()
+    for i, _, h in pages:
+        h = (h or "").encode()
+        again = len(h) >= 1000 and count[h] > 1 and h in largest and i != largest[h]
+        expected[i, len(h), hashlib.sha1(h).hexdigest(), "revisit" if again else "response", largest[h] if again else None] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected
+    assert {r.html for r in got if r.page_id == 9} == {big}
+    assert warc.read_archives(warc.write_archives(df.limit(0), folder + "0"), folder + "0").count() == 0
+
+
+def test_warc_damage():
+    import io
+
+    good = warc.record(1, "u", b"x" * 5000) + warc.record(2, "u", b"", 1, True)
+    assert len(list(warc.records(io.BytesIO(good)))) == 2
+    with pytest.raises(warc.Damaged):
+        list(warc.records(io.BytesIO(good[:-9])))
+    import zlib
+
+    plain = zlib.decompress(warc.record(1, "u", b"x" * 50), 31)
+    with pytest.raises(warc.Damaged):
+        list(warc.records(io.BytesIO(__import__("gzip").compress(plain.replace(b"xxx", b"xyx", 1)))))
+
+
+def brute_pii(text):
+    text = text or ""
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(digits(s)) <= 15),
+    ]
+    return [x[2] for x in sorted((m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, p, ok) in enumerate(rules) for m in re.finditer(p, text) if ok(m.group()))]
+
+
+def test_pii(docs, empty):
+    expected = Counter((r[0], tuple(brute_pii(r[1]))) for r in corpus())
+    rows = pii.find_pii(docs).collect()
+    assert Counter((r.doc_id, tuple(f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind in pii.BASE)) for r in rows) == expected
+    more = [s.kind for r in rows for s in r.spans if s.kind not in pii.BASE]
+    assert sorted(more) == ["iban", "ssn"]
+    assert pii.find_pii(empty).count() == 0
+    for text in ("a@b@c.dd.", "x@y.z@w.v", "@a.b", "1.2.3.4.5", "+1234567890-", "01.002.0003.255", "a@b-.c-@d.e"):
+        assert [f"{k}:{s}:{e}" for k, s, e, _ in pii.find(text)] == brute_pii(text)
+    out = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert all(not [s for s in pii.find(r.text) if s[0] in pii.BASE] for r in out.values())
+    assert pii.redact(docs).schema.names == docs.schema.names and pii.redact(docs).count() == docs.count()
+
+
+def test_substrings(docs, empty):
+    rows = corpus()
+    first = {}
+    big = 2**63
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        for i in range(len(w) - 12):
+            k = tuple(w[i : i + 13])
+            first[k] = min(first.get(k, big), big if r[0] is None else r[0])
+    expected = Counter()
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        gone = [False] * len(w)
+        for i in range(len(w) - 12):
+            if first[tuple(w[i : i + 13])] < (big if r[0] is None else r[0]):
+                gone[i : i + 13] = [True] * 13
+        expected[r[0], len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)] += 1
+    got = substrings.remove_repeats(docs)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == expected
+    assert sum(n for (_, _, g, _), n in expected.items() if g) >= 10
+    hashed = substrings.remove_repeats(docs, digest=True).collect()
+    assert Counter(r.kept for r in hashed) == Counter(hashlib.sha256(k[3].encode()).hexdigest() for k, n in expected.items() for _ in range(n))
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_difference_cover():
+    for a in range(substrings.PERIOD):
+        for b in range(substrings.PERIOD):
+            assert any((a + d) % substrings.PERIOD in substrings.COVER and (b + d) % substrings.PERIOD in substrings.COVER for d in range(substrings.PERIOD))
+
+
+def test_quality(docs, empty):
+    expected = Counter()
+    for r in corpus():
+        text = r[1] or ""
+        w = WORD.findall(text)
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        win = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        rep = {i + k for i in range(len(w) - 4) if win[tuple(w[i : i + 5])] > 1 for k in range(5)}
+        expected[r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(rep), len(w) < 10 or 100 * len(rep) > 20 * len(w)] += 1
+    rows = quality.assess(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == expected
+    assert all(not (r.kept and r.base_failed) for r in rows)
+    assert quality.keep_good(docs).count() == sum(r.kept for r in rows)
+    assert quality.assess(empty).count() == quality.keep_good(empty).count() == 0
+
+
+def test_quality_bands():
+    rng = random.Random(4)
+    noise = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(9)) for _ in range(600))
+    assert not quality.measure(noise)[-1]
+    assert not quality.measure("one two three four five six seven eight nine ten eleven " * 1)[-2]
+    assert not quality.measure(("ab" * 40 + " ") * 50)[-1]
+
+
+def brute_tiling(item, doc, least):
+    """Greedy string tiling from its definition: all maximal matches of unmarked words, longest first."""
+    a, b, marked = [False] * len(item), [False] * len(doc), 0
+    while True:
+        best = None
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not a[i + k] and not b[j + k]:
+                    k += 1
+                if k >= least and (best is None or (-k, i, j) < best):
+                    best = (-k, i, j)
+        if not best:
+            return marked
+        for k in range(-best[0]):
+            a[best[1] + k] = b[best[2] + k] = True
+        marked -= best[0]
+
+
+def test_decontamination(spark, docs, empty):
+    rng = random.Random(9)
+    for _ in range(150):
+        item = [rng.choice("abc") for _ in range(rng.randint(1, 25))]
+        doc = [rng.choice("abcd") for _ in range(rng.randint(0, 12))] + item[10:] + [rng.choice("abcd")] + item[:10]
+        got = decontaminate.Index([(7, " ".join(item))]).matches(" ".join(doc), 0.0)
+        width = min(5, len(item))
+        assert (round(got[0][1] * len(item)) if got else 0) == brute_tiling(item, doc, width)
+    base = corpus()[60][1]
+    words = base.split()
+    bench = [(1, " ".join(words[20:40])), (2, " ".join(words[60:70] + words[50:60])), (3, "not in any text at all here"), (4, None), (5, ""), (6, "-- ,"), (7, "ssn 123"), (1, " ".join(words[20:40]))]
+    df = spark.createDataFrame([(*b, 1) for b in bench], "item_id long, text string, id long")
+    got = decontaminate.find_contaminated(docs, df).collect()
+    ids = Counter(r.doc_id for r in got)
+    assert {60, 61} <= set(ids) and all(r.contaminated and r.coverage >= 0.8 for r in got)
+    assert next(r for r in got if r.doc_id == 60).item_ids == [1, 2]
+    assert any(r.item_ids == [7] for r in got)
+    assert decontaminate.drop_contaminated(docs, df).count() == docs.count() - len(got)
+    assert decontaminate.find_contaminated(empty, df).count() == 0 == decontaminate.find_contaminated(docs, df.limit(0)).count()
+    few = list(decontaminate.blocks(df, "item_id", "text", words=25))
+    assert len(few) > 1 and sum(map(len, few)) == len(bench)
+
+
+def test_queries_run(spark, sf_dir):
+    for name, f in QUERIES.items():
+        assert f(spark, sf_dir).count() > 0, name
+
+
+def test_pipeline(spark, sf_dir):
+    """run() against the stages' brute-force versions, one after the other."""
+    import corpus_pipeline
+
+    docs = common.table(spark, sf_dir, "documents").collect()
+    keep = [r for r in docs if quality.measure(r.text)[-1]]
+    fps = [(r.doc_id, simhash.fingerprint(r.text, 5)) for r in keep]
+    keep = [r for r, c in zip(keep, brute_components(fps), strict=True) if c == r.doc_id]
+    index = decontaminate.Index([tuple(r) for r in common.table(spark, sf_dir, "benchmark").select("item_id", "text").collect()])
+    keep = [r for r in keep if not index.matches(r.text)]
+    keep = [Row(**r.asDict() | {"text": pii.redacted(r.text)}) for r in keep]
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in keep}
+    assert all(texts[r.doc_id] == r.text and r.n_chars == len(r.text) for r in out)
+    sizes = defaultdict(int)
+    for r in keep:
+        sizes[r.source] += len(WORD.findall(r.text))
+    got = Counter()
+    for r in out:
+        assert r.source_size == sizes[r.source] and 0 < r.taken <= 3 * r.size
+        got[r.source] += r.taken
+    assert math.isclose(sum(got.values()), sum(sizes.values()), abs_tol=len(sizes))
