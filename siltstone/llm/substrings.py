@@ -20,11 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, new_path, store
+from siltstone.llm.common import new_path, store
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
@@ -34,13 +33,70 @@ NO_ID = np.iinfo(np.int64).max
 M1, M2, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
-@lru_cache(maxsize=1 << 18)
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
-def hashes(text: str | None) -> np.ndarray:
-    return np.fromiter(map(word_hash, WORD.findall(text or "")), np.uint64)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A random number for each byte, and the powers that the bytes of a piece of text are weighted with.
+BYTES = np.random.default_rng(0).integers(0, 2**64, 256, np.uint64)
+PIECE = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of M1 and of its inverse, modulo 2^64."""
+    inverse = np.uint64(pow(int(M1), -1, 2**64))
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64)), dtype=np.uint64) for x in (M1, inverse))
+
+
+class Words:
+    """The words of a group of texts, straight from the bytes of the column: where each starts and ends,
+    its text and its hash. ids are the texts' ids, NO_ID for null."""
+
+    def __init__(self, group: pa.Table):
+        text = pa.concat_arrays([c.cast(pa.large_string()).fill_null("") for c in group["text"].chunks]) if group.num_rows else pa.array([], pa.large_string())
+        ids = group["id"].combine_chunks() if group.num_rows else pa.array([], pa.int64())
+        self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        buffers = text.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.empty(0, np.uint8)
+        self.data = data[: offsets[-1]]
+        plain = np.zeros(len(self.data) + 1, bool)
+        np.logical_not(SPACE[self.data], out=plain[:-1])
+        begins = np.zeros(len(self.data) + 1, bool)
+        begins[offsets] = True
+        starts = plain.copy()
+        starts[1:] &= ~plain[:-1] | begins[1:]
+        ends = plain.copy()
+        ends[:-1] &= ~plain[1:] | begins[1:]
+        starts[: offsets[0]] = ends[: offsets[0]] = False
+        self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        self.text = np.searchsorted(offsets, self.start, "right") - 1
+        self.first = np.searchsorted(self.text, np.arange(len(text)))
+        self.count = np.diff(np.append(self.first, len(self.text)))
+        self.hash = self._hash()
+
+    def _hash(self) -> np.ndarray:
+        """Per word, the sum of its bytes' numbers times powers by their place in it; taken from running
+        sums over pieces of the text that end with a word."""
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):
+            base = self.start[at]
+            stop = max(at + 1, int(np.searchsorted(self.end, base + PIECE, "right")))
+            piece = self.data[base : self.end[stop - 1]]
+            up, down = powers(max(PIECE, 1 << (len(piece) - 1).bit_length()))
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(BYTES[piece] * up[: len(piece)], dtype=np.uint64, out=sums[1:])
+            s, e = self.start[at:stop] - base, self.end[at:stop] - base
+            out[at:stop] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+            at = stop
+        out ^= out >> np.uint64(32)
+        out *= MIX
+        out ^= out >> np.uint64(29)
+        return out
+
+    def inside(self, width: int) -> np.ndarray:
+        """Which runs of width words lie in one text."""
+        n = len(self.text) - width + 1
+        return self.text[:n] == self.text[width - 1 :] if n > 0 else np.empty(0, bool)
 
 
 def rolled(words: np.ndarray, width: int, by: np.uint64) -> np.ndarray:
@@ -58,11 +114,13 @@ def rolled(words: np.ndarray, width: int, by: np.uint64) -> np.ndarray:
     return out
 
 
-def at_cover(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cover positions and the hashes of their anchors."""
-    all_of = rolled(words, ANCHOR, M1)
-    at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(len(all_of)) % PERIOD])
-    return at, all_of[at]
+def at_cover(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Cover positions of texts with a window, and the hashes of their anchors."""
+    place = (np.arange(len(words.text)) - words.first[words.text]) % PERIOD
+    ok = words.inside(ANCHOR)
+    ok &= (np.isin(place, COVER) & (words.count[words.text] >= WINDOW))[: len(ok)]
+    at = np.flatnonzero(ok)
+    return at, rolled(words.hash, ANCHOR, M1)[at]
 
 
 def member(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,17 +131,16 @@ def member(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of[at] == x, at
 
 
-def windows_near(words: np.ndarray, shared: np.ndarray) -> np.ndarray:
+def windows_near(words: Words, shared: np.ndarray) -> np.ndarray:
     """Positions of the windows that hold a shared anchor at a cover position."""
-    n = len(words) - WINDOW + 1
-    if n <= 0 or not len(shared):
-        return np.empty(0, np.int64)
+    ok = words.inside(WINDOW)
     at, own = at_cover(words)
-    mark = np.zeros(n + PERIOD, bool)
+    at = at[member(own, shared)[0]]
+    mark = np.zeros(len(ok), bool)
     for p in range(PERIOD):
-        begin = at[member(own, shared)[0]] - p
-        mark[begin[(begin >= 0) & (begin < n)]] = True
-    return np.flatnonzero(mark[:n])
+        begin = at - p
+        mark[begin[(begin >= 0) & (begin < len(ok))]] = True
+    return np.flatnonzero(mark & ok)
 
 
 def two_hashes(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +156,6 @@ def packs(g: int, key: np.ndarray, buckets: int, *columns: np.ndarray) -> list[t
     return [(int(b), g, *(c[order[s:e]].tobytes() for c in (key, *columns))) for b, s, e in zip(found, cut, cut[1:], strict=False)]
 
 
-def texts(group: pa.Table) -> list[tuple[int, np.ndarray]]:
-    return [(NO_ID if i is None else i, hashes(t)) for i, t in zip(group["id"].to_pylist(), group["text"].to_pylist(), strict=True)]
-
-
 def blob(col: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in col.to_pylist()] or [np.empty(0, kind)])
 
@@ -131,12 +184,9 @@ def rows(found: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def send_anchors(buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        own, ids = [], []
-        for i, words in texts(group):
-            h = np.unique(at_cover(words)[1]) if len(words) >= WINDOW else np.empty(0, np.uint64)
-            own.append(h)
-            ids.append(np.full(len(h), i))
-        (h,), _, many = least_and_many((np.concatenate(own),), np.concatenate(ids))
+        words = Words(group)
+        at, h = at_cover(words)
+        (h,), _, many = least_and_many((h,), words.ids[words.text[at]])
         return rows([(b, g, x, b"", b"", y) for b, g, x, y in packs(group["g"][0].as_py(), h, buckets, many)] if len(h) else [], SENT)
 
     return run
@@ -157,18 +207,12 @@ def answer_anchors(group: pa.Table) -> pa.Table:
 
 def send_windows(buckets: int):
     def run(group: pa.Table, shared: pa.Table) -> pa.Table:
-        shared = np.unique(blob(shared["h"], np.uint64))
-        h, h2, ids = [], [], []
-        for i, words in texts(group) if len(shared) else ():
-            if len(at := windows_near(words, shared)):
-                a, b = two_hashes(words, at)
-                h.append(a)
-                h2.append(b)
-                ids.append(np.full(len(at), i))
-        if not h:
+        if not shared.num_rows or not group.num_rows:
             return rows([], SENT)
-        (h, h2), least, many = least_and_many((np.concatenate(h), np.concatenate(h2)), np.concatenate(ids))
-        return rows(packs(group["g"][0].as_py(), h, buckets, h2, least, many), SENT)
+        words = Words(group)
+        at = windows_near(words, np.unique(blob(shared["h"], np.uint64)))
+        (h, h2), least, many = least_and_many(two_hashes(words.hash, at), words.ids[words.text[at]])
+        return rows(packs(group["g"][0].as_py(), h, buckets, h2, least, many) if len(h) else [], SENT)
 
     return run
 
@@ -193,34 +237,46 @@ def answer_windows(group: pa.Table) -> pa.Table:
 KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def cut(digest: bool):
-    def run(group: pa.Table, known: pa.Table) -> pa.Table:
-        h, h2, least = blob(known["h"], np.uint64), blob(known["h2"], np.uint32), blob(known["id"], np.int64)
+def covered(words: Words, known: pa.Table) -> np.ndarray:
+    """Which words a window covers that starts in a text with a smaller id."""
+    h, h2, least = blob(known["h"], np.uint64), blob(known["h2"], np.uint32), blob(known["id"], np.int64)
+    gone = np.zeros(len(words.text) + 1, np.int64)
+    ok = words.inside(WINDOW)
+    if len(h) and len(ok):
         order = np.lexsort((h2, h))
         h, h2, least = h[order], h2[order], least[order]
-        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else h
-        most = int(np.diff(np.append(starts, len(h))).max()) if len(h) else 0
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        most = int(np.diff(np.append(starts, len(h))).max())
+        hit = np.flatnonzero(member(rolled(words.hash, WINDOW, M1), h)[0] & ok)
+        a, b = two_hashes(words.hash, hit)
+        at, found = np.searchsorted(h, a), np.zeros(len(hit), bool)
+        for step in range(most):  # entries that share the first hash
+            p = np.minimum(at + step, len(h) - 1)
+            found |= (h[p] == a) & (h2[p] == b) & (least[p] < words.ids[words.text[hit]])
+        gone[hit[found]] += 1
+        np.subtract.at(gone, hit[found] + WINDOW, 1)
+    return np.cumsum(gone[:-1]) > 0
+
+
+def cut(digest: bool):
+    def run(group: pa.Table, known: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return rows([], KEPT)
+        words = Words(group)
+        kept = ~covered(words, known)
+        start, length = words.start[kept], (words.end - words.start)[kept] + 1
+        upto = np.cumsum(length)
+        source = np.arange(length.sum()) + np.repeat(start - (upto - length), length)
+        source[upto - 1] = 0  # the place of the space behind each word
+        joined = words.data[source] if len(source) else np.empty(0, np.uint8)
+        joined[upto - 1] = 32
+        n_kept = np.bincount(words.text[kept], minlength=len(words.ids))
+        last = np.cumsum(n_kept)
+        edge = np.append(0, upto)
         out = []
-        for i, t in zip(group["id"].to_pylist(), group["text"].to_pylist(), strict=True):
-            words = WORD.findall(t or "")
-            gone = np.zeros(len(words) + 1, np.int64)
-            if len(words) >= WINDOW and len(h):
-                own = np.fromiter(map(word_hash, words), np.uint64)
-                one = rolled(own, WINDOW, M1)
-                hit = np.flatnonzero(member(one, h)[0])
-                if len(hit):
-                    a, b = two_hashes(own, hit)
-                    at = np.searchsorted(h, a)
-                    ok = np.zeros(len(hit), bool)
-                    for step in range(most):
-                        p = np.minimum(at + step, len(h) - 1)
-                        ok |= (h[p] == a) & (h2[p] == b) & (least[p] < (NO_ID if i is None else i))
-                    hit = hit[ok]
-                    gone[hit] += 1
-                    np.subtract.at(gone, hit + WINDOW, 1)
-            left = np.cumsum(gone[:-1]) == 0
-            kept = " ".join([w for w, k in zip(words, left.tolist(), strict=True) if k] if not left.all() else words)
-            out.append((i, len(words), int(len(words) - left.sum()), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest() if digest else kept))
+        for i, n, k, e in zip(group["id"].to_pylist(), words.count.tolist(), n_kept.tolist(), last.tolist(), strict=True):
+            text = joined[edge[e - k] : max(edge[e] - 1, edge[e - k])].tobytes()
+            out.append((i, n, n - k, hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8")))
         return rows(out, KEPT)
 
     return run
@@ -242,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name = f"siltstone_{uuid.uuid4().hex}"
     path = new_path(spark, "texts")
     dealt = picked.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
-    dealt.repartition(files, "g").write.bucketBy(files, "g").option("path", path).saveAsTable(name)
+    dealt.repartition(files, "g").write.option("compression", "zstd").bucketBy(files, "g").option("path", path).saveAsTable(name)
     spark.sparkContext._jvm.System.gc()
     at = spark.table(name)
     sent = at.groupBy("g").applyInArrow(send_anchors(buckets), SENT_SQL)
