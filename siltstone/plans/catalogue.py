@@ -1 +1,556 @@
+"""Every operator as a query on the test tables, with DuckDB SQL where SQL can express it."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from siltstone.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
+from siltstone.sources.io import scratch, table
+
+STOP = ["the", "and", "of", "de", "la", "der", "die", "und", "in", "is"]
+STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- exploration ---
+
+
+@query("SELECT count(*) AS n FROM orders")
+def review_count(s, d):
+    return table(s, d, "orders").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM orders WHERE starts_with(CAST(o_orderdate AS VARCHAR), '1997')")
+def year_count(s, d):
+    return table(s, d, "orders").where(F.col("o_orderdate").cast("string").startswith("1997")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS n FROM orders")
+def distinct_users(s, d):
+    return table(s, d, "orders").agg(F.count_distinct("o_custkey").alias("n"))
+
+
+@query('SELECT o_custkey AS "user", count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20')
+def top_users(s, d):
+    return relational.top_users(table(s, d, "orders"), "o_custkey", 20)
+
+
+@query(f"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[;,.:?!\\s()\\[\\]]')) AS word FROM documents WHERE text IS NOT NULL)
+WHERE word <> '' AND lower(word) NOT IN ({STOP_SQL}) GROUP BY 1 ORDER BY n DESC, word LIMIT 50""")
+def top_words(s, d):
+    return relational.top_words(table(s, d, "documents"), "text", STOP, 50)
+
+
+@query("""SELECT category, round(avg(l_quantity), 6) AS stars FROM lineitem JOIN
+(SELECT p_partkey, trim(unnest(string_split(p_name, ' '))) AS category FROM part WHERE p_name IS NOT NULL) ON l_partkey = p_partkey
+GROUP BY 1 ORDER BY avg(l_quantity) DESC, 1 LIMIT 50""")
+def category_avg(s, d):
+    reviews = table(s, d, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_quantity").alias("stars"))
+    items = table(s, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("categories"))
+    return relational.category_avg(reviews, items, 50, " ").withColumn("stars", F.round("stars", 6))
+
+
+@query("SELECT l_partkey AS item, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 30")
+def busy_items(s, d):
+    return relational.busy_items(table(s, d, "lineitem"), "l_partkey", 30)
+
+
+@query()
+def partition_layout_default(s, d):
+    return relational.partition_layout(table(s, d, "orders"), 8)
+
+
+@query()
+def partition_layout_custom(s, d):
+    return relational.partition_layout(table(s, d, "orders"), 8, "o_custkey")
+
+
+@query("SELECT count(*) AS n_items FROM orders")
+def partition_layout_total(s, d):
+    return relational.partition_layout(table(s, d, "orders"), 8, "o_custkey").agg(F.sum("n_items").alias("n_items"))
+
+
+@query("""SELECT DISTINCT o_orderkey AS "user", o_custkey AS item FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey = 3""")
+def filtered_pairs(s, d):
+    items = table(s, d, "customer").select(F.col("c_custkey").alias("item"), F.col("c_nationkey").cast("string").alias("state"))
+    return relational.filtered_pairs(table(s, d, "orders").select(F.col("o_orderkey").alias("user"), F.col("o_custkey").alias("item")), items, "3")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997)")
+def anti_sample(s, d):
+    seen = table(s, d, "orders").where(F.year("o_orderdate") == 1997).select(F.col("o_custkey").alias("c_custkey"))
+    return relational.never_seen(table(s, d, "customer").select("c_custkey"), seen, "c_custkey")
+
+
+# --- frequent itemsets ---
+
+
+def purchases(s, d):
+    return table(s, d, "events").where(F.col("event_type") == "purchase").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+PURCHASES = "p AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_type = 'purchase')"
+
+
+@query(f"WITH {PURCHASES} SELECT user_id AS basket, string_agg(k, ',' ORDER BY k) AS items FROM p WHERE k IS NOT NULL GROUP BY 1")
+def baskets_case1(s, d):
+    return itemsets.baskets(purchases(s, d).select(F.col("user_id").alias("basket"), F.col("k").alias("item"))).select("basket", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
+
+
+@query(f"WITH {PURCHASES} SELECT k AS basket, string_agg(user_id, ',' ORDER BY user_id) AS items FROM p GROUP BY 1 HAVING count(*) > 2")
+def baskets_case2(s, d):
+    return itemsets.baskets(purchases(s, d).select(F.col("k").alias("basket"), F.col("user_id").alias("item")), 2).select("basket", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
+
+
+def brand_pairs(s, d):
+    parts = table(s, d, "part").select("p_partkey", F.col("p_brand").alias("item"))
+    return table(s, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("basket"), "item").distinct()
+
+
+def support_of(pairs):
+    return math.ceil(0.005 * pairs.select("basket").distinct().count())
+
+
+def itemset_sql(more: str = "") -> str:
+    return f"""WITH a AS (SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
+t AS (SELECT ceil(0.005 * count(DISTINCT b)) AS s FROM a), x AS (SELECT * FROM a {more}),
+u AS (SELECT i AS itemset, 1 AS size, count(*) AS support FROM x GROUP BY 1
+UNION ALL SELECT x.i || ',' || y.i, 2, count(*) FROM x JOIN x y ON x.b = y.b AND x.i < y.i GROUP BY 1
+UNION ALL SELECT x.i || ',' || y.i || ',' || z.i, 3, count(*) FROM x JOIN x y ON x.b = y.b AND x.i < y.i JOIN x z ON x.b = z.b AND y.i < z.i GROUP BY 1
+UNION ALL SELECT x.i || ',' || y.i || ',' || z.i || ',' || w.i, 4, count(*) FROM x JOIN x y ON x.b = y.b AND x.i < y.i JOIN x z ON x.b = z.b AND y.i < z.i JOIN x w ON x.b = w.b AND z.i < w.i GROUP BY 1)
+SELECT itemset, size, support FROM u, t WHERE support >= s"""
+
+
+def flat(df):
+    return df.select(F.concat_ws(",", "itemset").alias("itemset"), "size", "support")
+
+
+@query(itemset_sql())
+def frequent_itemsets(s, d):
+    pairs = brand_pairs(s, d)
+    return flat(itemsets.frequent_itemsets(pairs, support_of(pairs)))
+
+
+@query(itemset_sql("WHERE b IN (SELECT b FROM a GROUP BY b HAVING count(*) > 4)"))
+def frequent_itemsets_filtered(s, d):
+    pairs = brand_pairs(s, d)
+    return flat(itemsets.frequent_itemsets(pairs, support_of(pairs), min_size=4))
+
+
+@query(itemset_sql())
+def frequent_fpgrowth(s, d):
+    pairs = brand_pairs(s, d)
+    return flat(itemsets.fpgrowth_itemsets(pairs, support_of(pairs)))
+
+
+@query(itemset_sql())
+def frequent_son(s, d):
+    pairs = brand_pairs(s, d)
+    return flat(itemsets.son_itemsets(pairs, support_of(pairs)))
+
+
+@query()
+def son_candidates(s, d):
+    pairs = brand_pairs(s, d)
+    return itemsets.son_candidates(itemsets.baskets(pairs), support_of(pairs)).select(F.concat_ws(",", "itemset").alias("itemset"))
+
+
+# --- similarity ---
+
+HASHES = 40
+SETS = "n AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS x FROM (SELECT DISTINCT o_custkey AS c FROM orders)), s AS (SELECT DISTINCT l_partkey AS id, x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN n ON c = o_custkey), m AS (SELECT count(*) AS m FROM n)"
+SIGS = f"{SETS}, h AS (SELECT i, 1 + (i * 7919 + 17) % 10007 AS a, (i * 104729 + 31) % 10009 AS b FROM range({HASHES}) r(i)), g AS (SELECT id, i, min((a * x + b) % m) AS h FROM s, h, m GROUP BY 1, 2)"
+BANDS = f"{SIGS}, k AS (SELECT id, i // 2 AS band, string_agg(h, '-' ORDER BY i) AS key FROM g GROUP BY 1, 2), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id < y.id)"
+
+
+def part_sets(s, d):
+    orders = table(s, d, "orders")
+    users = similarity.numbered(orders.select(F.col("o_custkey").alias("c")), "c").persist()
+    by_order = orders.join(users, F.col("o_custkey") == F.col("c")).select("o_orderkey", "x")
+    sets = table(s, d, "lineitem").join(by_order, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("id"), "x").distinct()
+    return sets, users.count()
+
+
+@query(f"WITH {SIGS} SELECT id, i, h FROM g")
+def minhash_signatures(s, d):
+    sets, m = part_sets(s, d)
+    return similarity.signatures(sets, HASHES, m)
+
+
+@query(f"WITH {BANDS} SELECT id, band, key FROM k")
+def lsh_bands(s, d):
+    sets, m = part_sets(s, d)
+    return similarity.bands(similarity.signatures(sets, HASHES, m))
+
+
+@query(f"WITH {BANDS} SELECT a, b FROM c")
+def lsh_candidates(s, d):
+    sets, m = part_sets(s, d)
+    return similarity.candidates(similarity.bands(similarity.signatures(sets, HASHES, m)))
+
+
+@query(f"""WITH {BANDS}, z AS (SELECT id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a, b, count(*) AS both FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b AND y.x = x.x GROUP BY 1, 2)
+SELECT a, b, round(both / (p.n + q.n - both), 9) AS sim FROM o JOIN z p ON p.id = a JOIN z q ON q.id = b WHERE both / (p.n + q.n - both) >= 0.05""")
+def lsh_jaccard(s, d):
+    sets, m = part_sets(s, d)
+    return similarity.similar_pairs(sets.persist(), m, HASHES).withColumn("sim", F.round("sim", 9))
+
+
+# --- recommendation ---
+
+TF = f"""w AS (SELECT source AS id, lower(unnest(regexp_split_to_array(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '))) AS term FROM documents WHERE text IS NOT NULL),
+n AS (SELECT id, term, count(*) AS n FROM w WHERE term <> '' AND term NOT IN ({STOP_SQL}) GROUP BY 1, 2), k AS (SELECT *, sum(n) OVER (PARTITION BY id) AS every FROM n),
+tf AS (SELECT id, term, n, n / max(n) OVER (PARTITION BY id) AS tf FROM k WHERE n >= 1e-6 * every)"""
+IDF = f"{TF}, f AS (SELECT term, count(*) AS df, log2((SELECT count(DISTINCT id) FROM tf) / count(*)) AS idf FROM tf GROUP BY 1)"
+PROFILE = f"{IDF}, b AS (SELECT id, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, term) AS rank FROM (SELECT id, term, round(tf * idf, 9) AS score FROM tf JOIN f USING (term))) WHERE rank <= 200)"
+USERS = f'{PROFILE}, up AS (SELECT "user", term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY n DESC, term) AS rank FROM (SELECT lang AS "user", term, count(*) AS n FROM documents JOIN b ON source = id GROUP BY 1, 2)) WHERE rank <= 400)'
+
+
+def source_tf(s, d):
+    return recommend.term_frequency(table(s, d, "documents").select(F.col("source").alias("id"), "text"), STOP)
+
+
+def lang_reviews(s, d):
+    return table(s, d, "documents").select(F.col("lang").alias("user"), F.col("source").alias("id"))
+
+
+@query(f"WITH {TF} SELECT id, term, n, round(tf, 9) AS tf FROM tf")
+def tf(s, d):
+    return source_tf(s, d).withColumn("tf", F.round("tf", 9))
+
+
+@query(f"WITH {IDF} SELECT term, df, round(idf, 9) AS idf FROM f")
+def idf(s, d):
+    return recommend.inverse_frequency(source_tf(s, d).persist()).withColumn("idf", F.round("idf", 9))
+
+
+@query(f"WITH {PROFILE} SELECT id, term, round(score, 6) AS score FROM b")
+def tfidf_top200(s, d):
+    return recommend.profiles(source_tf(s, d).persist()).select("id", "term", F.round("score", 6).alias("score"))
+
+
+@query(f'WITH {USERS} SELECT "user", term, n FROM up')
+def user_profile(s, d):
+    return recommend.user_profiles(lang_reviews(s, d), recommend.profiles(source_tf(s, d).persist())).select("user", "term", "n")
+
+
+@query(f"""WITH {USERS}, q AS (SELECT u."user", b.id, count(*) AS c FROM (SELECT DISTINCT "user" FROM up) v JOIN up u USING ("user") JOIN b ON b.term = u.term GROUP BY 1, 2)
+SELECT q."user", q.id, round(c / sqrt((SELECT count(*) FROM up WHERE up."user" = q."user") * (SELECT count(*) FROM b WHERE b.id = q.id)), 9) AS sim FROM q
+WHERE c / sqrt((SELECT count(*) FROM up WHERE up."user" = q."user") * (SELECT count(*) FROM b WHERE b.id = q.id)) >= 0.01""")
+def content_predict(s, d):
+    items = recommend.profiles(source_tf(s, d).persist()).persist()
+    users = recommend.user_profiles(lang_reviews(s, d), items).persist()
+    pairs = users.select("user").distinct().crossJoin(F.broadcast(items.select("id").distinct()))  # 4 languages, 20 sources
+    return recommend.content_predict(pairs, users, items).withColumn("sim", F.round("sim", 9))
+
+
+RATINGS = 'r AS (SELECT o_custkey AS "user", l_partkey AS item, arg_max(l_quantity, l_orderkey * 100000 + l_linenumber * 1000 + l_quantity) AS stars FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)'
+PEARSON = """pe AS (SELECT a, b, (xy - x * y / n) / sqrt((xx - x * x / n) * (yy - y * y / n)) AS sim FROM
+(SELECT p.k AS a, q.k AS b, count(*) AS n, sum(p.stars) AS x, sum(q.stars) AS y, sum(p.stars * q.stars) AS xy, sum(p.stars * p.stars) AS xx, sum(q.stars * q.stars) AS yy
+FROM kr p JOIN kr q ON p.o = q.o AND p.k < q.k {join} GROUP BY 1, 2) WHERE n >= 3 AND xy - x * y / n > 1e-9 AND xx - x * x / n > 1e-9 AND yy - y * y / n > 1e-9)"""
+ITEMS = f"{RATINGS}, kr AS (SELECT item AS k, \"user\" AS o, stars FROM r), {PEARSON.format(join='')}"
+#: User candidates: bands of MinHash over the parts they bought.
+USER_HASHES = 24
+USER_SETS = RATINGS + ', n AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS x FROM (SELECT DISTINCT item FROM r)), s AS (SELECT "user" AS id, x FROM r JOIN n USING (item) WHERE "user" IN (SELECT "user" FROM r GROUP BY 1 HAVING count(*) >= 3)), m AS (SELECT count(*) AS m FROM n)'
+USER_BANDS = f"""{USER_SETS}, h AS (SELECT i, 1 + (i * 7919 + 17) % 10007 AS a, (i * 104729 + 31) % 10009 AS b FROM range({USER_HASHES}) t(i)), g AS (SELECT id, i, min((a * x + b) % m) AS h FROM s, h, m GROUP BY 1, 2),
+c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM g x JOIN g y ON x.i = y.i AND x.h = y.h AND x.id < y.id)"""
+USER_MODEL = f"{USER_BANDS}, kr AS (SELECT \"user\" AS k, item AS o, stars FROM r), {PEARSON.format(join='JOIN c ON c.a = p.k AND c.b = q.k')}"
+
+
+def ratings(s, d):
+    orders = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user"))
+    lines = table(s, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    last = F.max_by("l_quantity", F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 1000 + F.col("l_quantity"))
+    return lines.groupBy("user", F.col("l_partkey").alias("item")).agg(last.alias("stars"))
+
+
+def item_model(r):
+    return recommend.pearson(r.select(F.col("item").alias("k"), F.col("user").alias("other"), "stars"))
+
+
+def user_model(r):
+    often = r.groupBy("user").agg(F.count("*").alias("c")).where("c >= 3").select("user")
+    numbers = similarity.numbered(r, "item").persist()
+    sets = r.join(often, "user", "left_semi").join(numbers, "item").select(F.col("user").alias("id"), "x")
+    pairs = similarity.candidates(similarity.bands(similarity.signatures(sets, USER_HASHES, numbers.count()), 1))
+    return recommend.pearson(r.select(F.col("user").alias("k"), F.col("item").alias("other"), "stars"), pairs)
+
+
+@query(f"WITH {ITEMS} SELECT a, b, round(sim, 6) AS sim FROM pe")
+def pearson_items(s, d):
+    return item_model(ratings(s, d).persist()).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {USER_MODEL} SELECT a, b, round(sim, 6) AS sim FROM pe")
+def pearson_users(s, d):
+    return user_model(ratings(s, d).persist()).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {ITEMS} SELECT k, count(*) AS n, round(max(sim), 6) AS best FROM (SELECT a AS k, sim FROM pe UNION ALL SELECT b, sim FROM pe) GROUP BY 1")
+def model_symmetrise_full_outer(s, d):
+    both = recommend.symmetric_full_outer(item_model(ratings(s, d).persist()).persist())
+    return both.select("k", F.size("neighbours").cast("long").alias("n"), F.round(-F.col("neighbours")[0]["s"], 6).alias("best"))
+
+
+PREDICT = """nb AS (SELECT a AS k, b AS o, round(sim, 9) AS sim FROM pe UNION ALL SELECT b, a, round(sim, 9) FROM pe), ok AS (SELECT k FROM nb GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT *, row_number() OVER (PARTITION BY qu, qi ORDER BY sim DESC, o) AS rk FROM ({hits}))"""
+
+
+@query(f"""WITH {ITEMS}, {PREDICT.format(hits='SELECT q."user" AS qu, q.item AS qi, nb.o, nb.sim, r.stars AS v FROM r q JOIN nb ON nb.k = q.item JOIN r ON r.item = nb.o AND r."user" = q."user" WHERE nb.k IN (SELECT k FROM ok) AND (q."user" + q.item) % 7 = 0')}
+SELECT qu AS "user", qi AS item, round(sum(v * sim) / sum(abs(sim)), 6) AS stars FROM hit WHERE rk <= 3 GROUP BY 1, 2 HAVING count(*) > 1""")
+def predict_items(s, d):
+    r = ratings(s, d).persist()
+    asked = r.where((F.col("user") + F.col("item")) % 7 == 0)  # the fixed held-out split of the evaluation
+    return recommend.predict_items(asked, item_model(r).withColumn("sim", F.round("sim", 9)).persist(), r).withColumn("stars", F.round("stars", 6))
+
+
+@query(f"""WITH {USER_MODEL}, av AS (SELECT "user", sum(stars) AS t, count(*) AS c FROM r GROUP BY 1), {PREDICT.format(hits='SELECT q."user" AS qu, q.item AS qi, nb.o, nb.sim, r.stars - (av.t - r.stars) / (av.c - 1) AS v FROM r q JOIN nb ON nb.k = q."user" JOIN r ON r."user" = nb.o AND r.item = q.item JOIN av ON av."user" = nb.o WHERE av.c > 1 AND nb.k IN (SELECT k FROM ok) AND (q."user" + q.item) % 7 = 0')}
+SELECT qu AS "user", qi AS item, round(any_value(av.t / av.c) + sum(v * sim) / sum(abs(sim)), 6) AS stars FROM hit JOIN av ON av."user" = qu WHERE rk <= 3 GROUP BY 1, 2 HAVING count(*) > 1""")
+def predict_users(s, d):
+    r = ratings(s, d).persist()
+    asked = r.where((F.col("user") + F.col("item")) % 7 == 0)  # the fixed held-out split of the evaluation
+    return recommend.predict_users(asked, user_model(r).withColumn("sim", F.round("sim", 9)).persist(), r).withColumn("stars", F.round("stars", 6))
+
+
+# --- graphs ---
+
+THRESHOLD = 6
+EDGES = f"{PURCHASES}, e AS (SELECT x.user_id AS a, y.user_id AS b FROM p x JOIN p y ON x.k = y.k AND x.user_id < y.user_id GROUP BY 1, 2 HAVING count(*) >= {THRESHOLD}), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
+COMPONENTS = f"{EDGES}, t(node, seen) AS (SELECT DISTINCT a, a FROM g UNION SELECT t.node, g.b FROM t JOIN g ON g.a = t.seen), comp AS (SELECT node, min(seen) AS label FROM t GROUP BY 1)"
+
+
+def edges_of(s, d):
+    return graph.co_graph(purchases(s, d).select(F.col("user_id").alias("node"), F.col("k").alias("item")), THRESHOLD).persist()
+
+
+@query(f"WITH {EDGES} SELECT a, b FROM e")
+def co_graph(s, d):
+    return edges_of(s, d)
+
+
+@query(f"WITH {EDGES} SELECT a AS node, count(*) AS degree FROM g GROUP BY 1")
+def degrees(s, d):
+    return graph.degrees(edges_of(s, d))
+
+
+@query(f"WITH RECURSIVE {COMPONENTS} SELECT node, label FROM comp")
+def components(s, d):
+    return graph.connected(edges_of(s, d))
+
+
+def lpa_sql() -> str:
+    steps = ["l0 AS (SELECT DISTINCT a AS node, a AS label FROM g)"]
+    for i in range(1, 6):
+        steps.append(f"l{i} AS (SELECT a AS node, label FROM (SELECT a, label, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, label) AS r FROM g JOIN l{i - 1} ON node = b GROUP BY a, label) WHERE r = 1)")
+    return f"WITH {EDGES}, {', '.join(steps)}"
+
+
+@query(f"{lpa_sql()} SELECT node, label FROM l5")
+def lpa_5(s, d):
+    return graph.label_propagation(edges_of(s, d))
+
+
+@query(f"{lpa_sql()} SELECT count(*) AS size, string_agg(node, ',' ORDER BY node) AS members FROM l5 GROUP BY label")
+def lpa_communities(s, d):
+    return graph.communities(graph.label_propagation(edges_of(s, d))).select(F.col("size").cast("long").alias("size"), F.concat_ws(",", F.col("members").cast("array<string>")).alias("members"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, bfs(root, node, lvl) AS (SELECT DISTINCT a, a, 0 FROM g UNION SELECT root, b, lvl + 1 FROM bfs JOIN g ON a = node WHERE lvl < 60),
+lv AS (SELECT root, node, min(lvl) AS lvl FROM bfs GROUP BY 1, 2),
+dag AS (SELECT x.root, x.node AS u, y.node AS v, x.lvl FROM lv x JOIN g ON g.a = x.node JOIN lv y ON y.root = x.root AND y.node = g.b AND y.lvl = x.lvl + 1),
+pth(root, start, node, n) AS (SELECT root, root, root, 1 FROM lv WHERE lvl = 0 UNION ALL SELECT pth.root, pth.start, dag.v, n + 1 FROM pth JOIN dag ON dag.root = pth.root AND dag.u = pth.node)
+SELECT count(*) AS n_paths FROM pth""")
+def shortest_path_count(s, d):
+    """Shortest paths (empty ones included) between all nodes, as the betweenness counts them."""
+    edges = edges_of(s, d)
+    total = graph.edge_betweenness(edges).agg(F.count("*")).first()[0]
+    nodes = graph.degrees(edges)
+    sym = graph.both_ways(edges).persist()
+    seen = nodes.select(F.col("node").alias("root"), "node", F.lit(1).cast("long").alias("n")).persist()
+    level, out = seen, seen
+    while total and not level.isEmpty():
+        level = level.join(sym, F.col("node") == F.col("a")).groupBy("root", F.col("b").alias("node")).agg(F.sum("n").alias("n")).join(out, ["root", "node"], "left_anti").persist()
+        out = out.unionByName(level).persist()
+    return out.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_paths"))
+
+
+@query()
+def edge_betweenness(s, d):
+    return graph.edge_betweenness(edges_of(s, d)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query()
+def edge_betweenness_joins(s, d):
+    return graph.betweenness_by_joins(edges_of(s, d)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query(f"""WITH RECURSIVE {COMPONENTS}, k AS (SELECT a AS node, count(*) AS d FROM g GROUP BY 1), per AS (SELECT label, sum(d) AS s, sum(d * d) AS ss FROM k JOIN comp USING (node) GROUP BY 1),
+i AS (SELECT x.label, count(*) AS e FROM e JOIN comp x ON x.node = a JOIN comp y ON y.node = b AND x.label = y.label GROUP BY 1), m AS (SELECT 2.0 * count(*) AS m2 FROM e)
+SELECT round(sum((2 * coalesce(e, 0) - (s * s - ss) / m2) / m2), 9) AS q FROM per LEFT JOIN i USING (label), m""")
+def modularity(s, d):
+    edges = edges_of(s, d)
+    return graph.modularity(edges, graph.connected(edges)).select(F.round("q", 9).alias("q"))
+
+
+@query()
+def girvan_newman(s, d):
+    """Communities of the 40 heaviest edges' graph: each removal is a distributed pass, so the feature is for small graphs."""
+    pairs = purchases(s, d).select(F.col("user_id").alias("node"), F.col("k").alias("item")).distinct()
+    both = pairs.select(F.col("node").alias("a"), "item").join(pairs.select(F.col("node").alias("b"), "item"), "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
+    top = both.orderBy(F.desc("w"), "a", "b").limit(40).select("a", "b").persist()
+    labels = graph.girvan_newman(top)
+    return labels if labels is not None else s.createDataFrame([], "node long, label long")
+
+
+# --- clustering ---
+
+POINTS = "pt AS (SELECT vec_id AS id, label AS c, generate_subscripts(embedding, 1) - 1 AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), st AS (SELECT c, j, count(*) AS n, sum(x) AS s, sum(x * x) AS ss FROM pt GROUP BY 1, 2)"
+
+
+def points(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("c"))
+
+
+@query(f"""WITH {POINTS}, di AS (SELECT pt.id, st.c, sqrt(sum((x - s / n) * (x - s / n))) AS dist FROM pt JOIN st USING (j) GROUP BY 1, 2)
+SELECT id, arg_min(c, dist) AS c, round(min(dist), 6) AS dist FROM di GROUP BY 1""")
+def nearest_centroid(s, d):
+    p = points(s, d)
+    centres = cluster.vectors(cluster.statistics(p)).select("c", F.col("centre").alias("w"))
+    return cluster.nearest(p.select("id", "v"), centres).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {POINTS} SELECT c, j, n, round(s, 5) AS s, round(ss, 5) AS ss, round(sqrt(greatest(1e-10, ss / n - (s / n) * (s / n))), 6) AS sd FROM st")
+def cluster_stats(s, d):
+    sd = F.sqrt(F.greatest(F.lit(1e-10), F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)))
+    return cluster.statistics(points(s, d)).select("c", "j", "n", F.round("s", 5).alias("s"), F.round("ss", 5).alias("ss"), F.round(sd, 6).alias("sd"))
+
+
+@query(f"""WITH {POINTS}, di AS (SELECT pt.id, st.c, sqrt(sum((x - s / n) * (x - s / n) / greatest(1e-10, ss / n - (s / n) * (s / n)))) AS dist FROM pt JOIN st USING (j) WHERE n > 1 GROUP BY 1, 2)
+SELECT e.vec_id AS id, coalesce(m.c, -1) AS c FROM embeddings e LEFT JOIN (SELECT id, arg_min(c, dist) AS c FROM di WHERE dist < 16 GROUP BY 1) m ON m.id = e.vec_id""")
+def mahalanobis_assign(s, d):
+    p = points(s, d)
+    return cluster.mahalanobis(p.select("id", "v"), cluster.vectors(cluster.statistics(p)), 16.0)
+
+
+@query()
+def maximin_seeds(s, d):
+    return s.createDataFrame(list(enumerate(cluster.maximin(points(s, d), 10))), "c int, v array<double>")
+
+
+@query()
+def kmeans(s, d):
+    return cluster.kmeans(points(s, d).select("id", "v"), 10).select("id", "c")
+
+
+def bfr(s, d):
+    p = points(s, d).select("id", "v").persist()
+    b = cluster.Bfr(5)
+    for k in range(5):
+        b.round(p.where(F.col("id") % 5 == k))  # the five chunks of the points, all of them
+    return b
+
+
+@query("SELECT vec_id AS id FROM embeddings")
+def bfr_points(s, d):
+    return s.createDataFrame(bfr(s, d).result(), "id long, c long").select("id")
+
+
+@query()
+def bfr_assign(s, d):
+    return s.createDataFrame(bfr(s, d).result(), "id long, c long")
+
+
+@query()
+def bfr_rounds(s, d):
+    return s.createDataFrame(bfr(s, d).report, "round_id int, nof_cluster_discard int, nof_point_discard int, nof_cluster_compression int, nof_point_compression int, nof_point_retained int")
+
+
+# --- sketches ---
+
+BLOOM = """tr AS (SELECT DISTINCT c_name AS k FROM customer WHERE c_custkey % 2 = 0 AND c_name <> ''), m AS (SELECT 50 * count(*) AS m FROM tr)"""
+TEXT_MOD = "list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT)), lambda a, d: (a * 256 + d) % m, CAST(0 AS BIGINT))"
+BITS = f"{BLOOM}, tx AS (SELECT k, m, {TEXT_MOD} AS x FROM tr, m), bits AS (SELECT DISTINCT ((i * 7919 + 17) * x + i * 104729 + 31) % m AS pos FROM tx, range(5) r(i))"
+
+
+def bloom(s, d):
+    customers = table(s, d, "customer")
+    return customers, *sketch.bloom_build(customers.where("c_custkey % 2 = 0"), "c_name")
+
+
+@query(f"WITH {BITS} SELECT pos FROM bits")
+def bloom_build(s, d):
+    return bloom(s, d)[1]
+
+
+@query(f"""WITH {BITS}, pr AS (SELECT DISTINCT c_name AS k FROM customer), px AS (SELECT k, m, {TEXT_MOD} AS x FROM pr, m),
+pp AS (SELECT k, ((i * 7919 + 17) * x + i * 104729 + 31) % m AS pos FROM px, range(5) r(i))
+SELECT k, CAST(min(CASE WHEN bits.pos IS NULL THEN 0 ELSE 1 END) AS INT) AS hit FROM pp LEFT JOIN bits USING (pos) GROUP BY 1""")
+def bloom_probe(s, d):
+    customers, bits, m = bloom(s, d)
+    return sketch.bloom_probe(customers, "c_name", bits, m)
+
+
+def fm_sql(group: str) -> str:
+    return f"""WITH rows AS (SELECT {group} AS start, CAST(user_id AS VARCHAR) AS k FROM events), n AS (SELECT start, CAST(pow(2, floor(log2(count(*)))) AS BIGINT) AS m FROM rows GROUP BY 1),
+ks AS (SELECT DISTINCT start, k FROM rows), sm AS (SELECT start, m, list_sum(list_transform(range(1, length(k) + 1), lambda j: ascii(substr(k, j, 1)))) AS s, list_sum(list_transform(range(1, length(k) + 1), lambda j: ascii(substr(k, j, 1)) * (j - 1))) AS w FROM ks JOIN n USING (start)),
+h AS (SELECT start, i, CAST((s * i + w) % m AS BIGINT) AS h FROM sm, range(100) r(i)), r AS (SELECT start, i, CASE WHEN h = 0 THEN 1 ELSE bit_count((h & -h) - 1) END AS r FROM h),
+e AS (SELECT start, i, pow(2, max(r) - min(r)) AS e FROM r GROUP BY 1, 2), t AS (SELECT start, CAST(ceil((sum(e) - min(e) - max(e)) / (count(*) - 2)) AS BIGINT) AS estimate FROM e GROUP BY 1),
+c AS (SELECT start, count(*) AS truth FROM ks GROUP BY 1) SELECT {'CAST(start AS VARCHAR) AS start, ' if 'ts' in group else ''}truth, estimate, round(1 - abs(truth - estimate) / truth, 6) AS accuracy FROM c JOIN t USING (start)"""
+
+
+def city_rows(s, d):
+    return table(s, d, "events").select(F.to_date("ts").cast("string").alias("start"), F.col("user_id").cast("string").alias("k"))
+
+
+@query(fm_sql("CAST(ts AS DATE)"))
+def fm_window(s, d):
+    return sketch.fm_estimate(city_rows(s, d), ["start"], "k").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(fm_sql("1"))
+def fm_global(s, d):
+    return sketch.fm_estimate(city_rows(s, d), [], "k").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""WITH s AS (SELECT event_type FROM events ORDER BY (event_id * 2654435761 + 40503) % 4294967291, event_id LIMIT 100), c AS (SELECT event_type AS tag, count(*) AS n FROM s GROUP BY 1)
+SELECT tag, n FROM (SELECT *, dense_rank() OVER (ORDER BY n DESC) AS r FROM c) WHERE r <= 3""")
+def reservoir_top_tags(s, d):
+    return sketch.top_tags(sketch.reservoir(table(s, d, "events").select("event_id", "event_type"), "event_id"), "event_type")
+
+
+def event_stream(s, d):
+    schema = table(s, d, "events").schema
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query()
+def stream_fm(s, d):
+    """Windows of a day that the watermark has closed, from the events as a stream."""
+    from siltstone.streaming.sketches import write_estimates
+
+    out = scratch(s)
+    stream = event_stream(s, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("key"))
+    write_estimates(stream, lambda df, _: df.write.mode("append").parquet(out), "1 day", "1 day", "0 seconds", trigger={"availableNow": True}).awaitTermination()
+    return s.read.schema("start timestamp, truth long, estimate long, accuracy double").parquet(out)
+
+
+@query()
+def stream_top_tags(s, d):
+    from siltstone.streaming.sketches import reservoir_tags
+
+    out = scratch(s)
+    tags = reservoir_tags(event_stream(s, d).select(F.array("event_type").alias("tags")))
+    tags.writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema("n long, tag string, count long").parquet(out)
