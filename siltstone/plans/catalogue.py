@@ -201,8 +201,8 @@ def lsh_candidates(s, d):
     return similarity.candidates(similarity.bands(similarity.signatures(sets, HASHES, m)))
 
 
-@query(f"""WITH {BANDS}, z AS (SELECT id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a, b, count(*) AS both FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b AND y.x = x.x GROUP BY 1, 2)
-SELECT a, b, round(both / (p.n + q.n - both), 9) AS sim FROM o JOIN z p ON p.id = a JOIN z q ON q.id = b WHERE both / (p.n + q.n - both) >= 0.05""")
+@query(f"""WITH {BANDS}, z AS (SELECT id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a, b, count(*) AS common FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b AND y.x = x.x GROUP BY 1, 2)
+SELECT a, b, round(common / (p.n + q.n - common), 9) AS sim FROM o JOIN z p ON p.id = a JOIN z q ON q.id = b WHERE common / (p.n + q.n - common) >= 0.05""")
 def lsh_jaccard(s, d):
     sets, m = part_sets(s, d)
     return similarity.similar_pairs(sets.persist(), m, HASHES).withColumn("sim", F.round("sim", 9))
