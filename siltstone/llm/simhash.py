@@ -11,6 +11,10 @@ bits masked out.
 Members of a bucket are verified against each other inside a task, which returns the links of a spanning
 forest instead of all pairs; buckets above SPLIT members are cut into slices, and every pair of
 slices is verified, in a task of its own, so none is dropped or capped.
+
+near_duplicates() links by the bits of one fingerprint. similar() links by a similarity, for which 64 bits
+say too little (at 0.8 they differ in 8 bits or more): it gives each text several fingerprints, probes each
+in this way, and verifies on all their bits.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from siltstone.llm.common import WORD, components, store
 
 SHINGLE, LIMIT, BITS, HASH_SEED = 4, 4, 64, 42
 SPLIT = 4096
+#: similar(): words of a shingle, least similarity, and fingerprints of a text.
+STAGE_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
 #: Relative cost of a key that is shuffled and of a pair that is verified, and the most masked keys of a part.
 KEY_COST, PAIR_COST, MOST_KEYS = 1.0, 0.01, 600
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -35,19 +41,34 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned fingerprint of one text; 0 without words."""
+    return majority(hashes(text, shingle))
+
+
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of one text; of the whole sequence where it has fewer words."""
     words = WORD.findall((text or "").translate(LOWER))
-    if not words:
-        return 0
-    joined = " ".join(words).encode("utf-8", "surrogatepass")
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    if n == 1:
-        return digest(joined, HASH_SEED)
+    n = max(1, len(words) - shingle + 1) if words else 0
+    joined = " ".join(words).encode("utf-8", "surrogatepass")
+    if n <= 1:
+        return np.array([digest(joined, HASH_SEED)] * n, np.uint64)
     ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = np.concatenate([[0], ends + 1])[:n].tolist()
     stops = np.concatenate([ends, [len(joined)]])[shingle - 1 :].tolist()
-    h = np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
-    return majority(h)
+    return np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def wide_fingerprint(text: str | None, shingle: int, tables: int) -> list[int]:
+    """tables fingerprints of one text: the first is fingerprint()'s, the others come from the same
+    hashes, mixed again with the table's number; all 0 without words."""
+    h = hashes(text, shingle)
+    out = [majority(h)]
+    for k in range(1, tables):
+        x = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
 
 
 def majority(h: np.ndarray) -> int:
@@ -71,6 +92,20 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long")
 
 
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
+    """(id, fp, w0, w1, ...) per row: the tables' fingerprints as signed longs, and one hash of them all."""
+    names = [f"w{k}" for k in range(tables)]
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([wide_fingerprint(x.as_py(), shingle, tables) for x in b.column(1)], np.uint64).reshape(-1, tables).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(tables))], names=["id", *names])
+
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, " + ", ".join(f"{w} long" for w in names))
+    return found.select("id", F.xxhash64(*names).alias("fp"), *names)
+
+
 def bits_of(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -159,17 +194,23 @@ def masks(parts: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; of rows of several words, over all of them."""
+    bits = np.bitwise_count((a ^ b).view(np.uint64))  # which takes the absolute value of signed numbers
+    return bits.sum(axis=1, dtype=np.int64) if bits.ndim > 1 else bits
+
+
 def forest(fps: np.ndarray, limit: int, other: int = 0) -> list[tuple[int, int]]:
     """Links (positions) of a spanning forest of the fingerprints within limit bits of each other; with
     other, of those links only that cross position other. What is linked already is not compared
     again, so a dense group costs little more than its size."""
-    n, fps = len(fps), fps.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+    n = len(fps)
     root = np.arange(n)
     links = []
     for i in range(n - 1):
         begin = max(i + 1, other)
         open_ = begin + np.flatnonzero(root[begin:] != root[i]) if i < (other or n) else np.empty(0, np.int64)
-        near = open_[np.bitwise_count(fps[open_] ^ fps[i]) <= limit]
+        near = open_[distance(fps[open_], fps[i]) <= limit]
         for j in near.tolist():
             if root[j] != root[i]:
                 links.append((i, j))
@@ -177,8 +218,8 @@ def forest(fps: np.ndarray, limit: int, other: int = 0) -> list[tuple[int, int]]
     return links
 
 
-def small_groups(keys: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside groups of equal, adjacent keys: groups of up to 32 all at once, larger ones by forest()."""
+def small_groups(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes inside groups of equal, adjacent keys: groups of up to 32 all at once, larger ones by forest()."""
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(keys)))
     rank_left = np.repeat(start + size, size) - np.arange(len(keys))  # members from here to the group's end
@@ -188,72 +229,78 @@ def small_groups(keys: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndar
         at = np.flatnonzero(small & (rank_left > d))
         if not len(at):
             break
-        at = at[np.bitwise_count((fps[at] ^ fps[at + d]).view(np.uint64)) <= limit]
-        a.append(fps[at])
-        b.append(fps[at + d])
+        at = at[distance(fps[at], fps[at + d]) <= limit]
+        a.append(nodes[at])
+        b.append(nodes[at + d])
     for s, n in zip(start[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-        own = fps[s : s + n]
-        links = np.array(forest(own, limit), np.int64).reshape(-1, 2)
+        own = nodes[s : s + n]
+        links = np.array(forest(fps[s : s + n], limit), np.int64).reshape(-1, 2)
         a.append(own[links[:, 0]])
         b.append(own[links[:, 1]])
     none = np.empty(0, np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(distinct: DataFrame, limit: int = LIMIT, split: int = SPLIT) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fp) that connect all that lie within limit bits."""
-    keep = masks(plan(*bit_statistics(distinct), limit))
+def links(distinct: DataFrame, limit: int = LIMIT, split: int = SPLIT, words: tuple[str, ...] = ("fp",), total: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct nodes (fp) that connect all those whose fingerprints lie within limit bits.
+
+    A node may have several fingerprints, its columns words: each is probed by a plan of its own for limit
+    bits, and a pair that meets in any is a link if all its fingerprints together differ by at most total bits."""
+    total = limit if total is None else total
+    keep = [(k, mask) for k, word in enumerate(words) for mask in masks(plan(*bit_statistics(distinct.select(word)), limit))]
     if not keep:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    signed = np.array(keep, np.uint64).view(np.int64)
+    table, signed = np.array([k for k, _ in keep]), np.array([m for _, m in keep], np.uint64).view(np.int64)
+    more = [w for w in words if w != "fp"]
+    sent_columns = ["fp", *more]
+
+    def shaped(columns: list[np.ndarray]) -> np.ndarray:
+        """The fingerprints of rows (fp, *more): one number a row, or a row of numbers."""
+        return np.stack(columns[1:], axis=1) if more else columns[0]
 
     def keys(batches):
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 4096):
-                own = fps[at : at + 4096]
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            for at in range(0, b.num_rows, 4096):
+                own = [c[at : at + 4096] for c in columns]
+                fps = shaped(own).reshape(len(own[0]), -1)
                 # a mask's number is mixed in, so that equal values under two masks stay apart
-                mixed = (own[:, None] & signed[None, :]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(signed), dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F)
+                mixed = (fps[:, table] & signed[None, :]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(signed), dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F)
                 mixed ^= mixed >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64).ravel()), pa.array(np.repeat(own, len(signed)))], names=["k", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64).ravel()), *(pa.array(np.repeat(c, len(signed))) for c in own)], names=["k", *sent_columns])
 
-    sent = distinct.mapInArrow(keys, "k long, fp long")
+    sent = distinct.select(*sent_columns).mapInArrow(keys, ", ".join(f"{c} long" for c in ["k", *sent_columns]))
     pairs = "a long, b long"
 
     def verify(batches):
         """Rows come sorted by key; a group that runs on into the next batch is carried over."""
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
-        for b in chain(batches_of(batches), [None]):
+        held = [np.empty(0, np.int64)] * (1 + len(sent_columns))
+        for b in chain(batches, [None]):
             if b is not None:
-                held_k, held_f = np.concatenate([held_k, b[0]]), np.concatenate([held_f, b[1]])
-                upto = int(np.searchsorted(held_k, held_k[-1])) if len(held_k) else 0
+                held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, b.columns, strict=True)]
+                upto = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             else:
-                upto = len(held_k)
-            x, y = small_groups(held_k[:upto], held_f[:upto], limit)
-            held_k, held_f = held_k[upto:], held_f[upto:]
+                upto = len(held[0])
+            now, held = [h[:upto] for h in held], [h[upto:] for h in held]
+            x, y = small_groups(now[0], now[1], shaped(now[1:]), total)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    def batches_of(batches):
-        for b in batches:
-            yield tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
-
     large = store(sent.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > split), "large")
     if large.isEmpty():
         return sent.repartition("k").sortWithinPartitions("k").mapInArrow(verify, pairs)
     # members of a large bucket are dealt into slices; the task of slices (s, t) gets both
     sliced = sent.join(large, "k").withColumn("of", F.ceil(F.col("n") / split).cast("int")).withColumn("s", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int"))
-    tasks = sliced.select("k", "fp", "s", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("o")).select(
-        "k", F.least("s", "o").alias("lo"), F.greatest("s", "o").alias("hi"), F.struct((F.col("s") > F.col("o")).alias("right"), "fp").alias("x")
+    tasks = sliced.select("k", *sent_columns, "s", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("o")).select(
+        "k", F.least("s", "o").alias("lo"), F.greatest("s", "o").alias("hi"), (F.col("s") > F.col("o")).alias("right"), *sent_columns
     )
 
     def cross(group: pa.Table) -> pa.Table:
-        right = np.array([x["right"] for x in group["x"].to_pylist()])
-        fps = np.array([x["fp"] for x in group["x"].to_pylist()], np.int64)
+        right = group["right"].to_numpy()
         order = np.argsort(right, kind="stable")
-        own = fps[order]
+        own = [group[c].to_numpy()[order] for c in sent_columns]
         other = int((~right).sum()) if group["lo"][0].as_py() != group["hi"][0].as_py() else 0
-        at = np.array(forest(own, limit, other), np.int64).reshape(-1, 2)
-        return pa.table({"a": own[at[:, 0]], "b": own[at[:, 1]]})
+        at = np.array(forest(shaped(own), total, other), np.int64).reshape(-1, 2)
+        return pa.table({"a": own[0][at[:, 0]], "b": own[0][at[:, 1]]})
 
     rest = sent.join(large, "k", "left_anti").repartition("k").sortWithinPartitions("k").mapInArrow(verify, pairs)
     return rest.unionByName(tasks.groupBy("k", "lo", "hi").applyInArrow(cross, pairs))
@@ -266,20 +313,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null or empty text has the fingerprint 0 and links as any other; rows with a null id take part, and
     their component_id is null only if no id is reachable; repeated rows and ids each keep a row; an
     empty table gives no rows; other columns are not read."""
-    every = store(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = store(every.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), limit, split))
+    return classes(store(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), id_col, limit, split)
+
+
+def bits_at(similarity: float, bits: int) -> int:
+    """The bits in which two texts differ on average whose shingle sets (of one size) have a Jaccard
+    similarity of similarity: each bit differs with the angle between the two over pi."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE, tables: int = TABLES, limit: int = LIMIT, split: int = SPLIT) -> DataFrame:
+    """As near_duplicates(), by similarity: texts have tables fingerprints of 64 bits each, and a pair that
+    meets in the probes of any is a link if all of them put its similarity at similarity or more.
+
+    Pairs within limit bits in one fingerprint are certain to meet; others meet by the number of parts
+    that the plans probe. Nulls, empty texts, ties, repeated rows and empty tables are as there; fp is a hash of
+    the fingerprints."""
+    every = store(wide_fingerprints(docs, id_col, text_col, shingle, tables), "fingerprints")
+    return classes(every, id_col, limit, split, tuple(f"w{k}" for k in range(tables)), bits_at(similarity, BITS * tables))
+
+
+def classes(every: DataFrame, id_col: str, limit: int, split: int, words: tuple[str, ...] = ("fp",), total: int | None = None) -> DataFrame:
+    """id, fp and component_id of each row of every (id, fp and words)."""
+    more = [w for w in words if w != "fp"]
+    distinct = store(every.groupBy("fp").agg(F.min("id").alias("least"), *(F.max(w).alias(w) for w in more)), "distinct")
+    roots = components(links(distinct, limit, split, words, total))
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # stored, so that AQE can split the join if one component holds most fingerprints
     least = store(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     known = of.select("fp", "root").join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return every.join(known, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component_id")
+    return every.select("id", "fp").join(known, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
-    """docs, all columns, without those whose component holds a smaller id; of repeated ids one row
-    stays; rows without an id stay only if nothing with an id is reachable."""
-    found = near_duplicates(docs, id_col, text_col, limit, shingle).where(F.col("component_id").eqNullSafe(F.col(id_col)))
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE, tables: int = TABLES) -> DataFrame:
+    """docs, all columns, without those whose component in similar() holds a smaller id; of repeated ids
+    one row stays; rows without an id stay only if nothing with an id is reachable."""
+    found = similar(docs, id_col, text_col, similarity, shingle, tables).where(F.col("component_id").eqNullSafe(F.col(id_col)))
     ids = found.select(F.col(id_col).alias("_kept")).distinct()
     return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates([id_col])
 

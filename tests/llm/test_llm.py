@@ -182,7 +182,7 @@ def brute_fp(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(rows):
+def brute_components(rows, limit=4):
     parent = list(range(len(rows)))
 
     def find(x):
@@ -192,7 +192,7 @@ def brute_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if bin(rows[i][1] ^ rows[j][1]).count("1") <= 4:
+            if (rows[i][1] ^ rows[j][1]).bit_count() <= limit:
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -236,6 +236,42 @@ def test_simhash_dense(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def brute_similar(rows):
+    """Component ids where all pairs of wide fingerprints are compared."""
+    wide = []
+    for d, text in rows:
+        wide.append((d, sum(fp << 64 * k for k, fp in enumerate(simhash.wide_fingerprint(text, 5, 4)))))
+    return brute_components(wide, simhash.bits_at(0.8, 256))
+
+
+def test_wide_fingerprint():
+    """Table 0 is the plain fingerprint; bits differ by the angle between shingle counts."""
+    for text in (None, "", "a", "a b c d e", "a b c d e f g " * 9):
+        assert simhash.wide_fingerprint(text, 5, 4)[0] == simhash.fingerprint(text, 5)
+    assert simhash.wide_fingerprint(" \n", 5, 4) == [0] * 4
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    for share in (0.6, 0.8, 0.9):
+        other = words[: round(4000 * 2 * share / (1 + share))]
+        other += [f"x{i}" for i in range(4000 - len(other))]
+        a, b = (simhash.wide_fingerprint(" ".join(x), 5, 4) for x in (words, other))
+        assert abs(sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) - simhash.bits_at(share, 256)) < 25
+
+
+@pytest.mark.parametrize("split", [simhash.SPLIT, 4])
+def test_similar(spark, sf_dir, docs, empty, split):
+    """The edge cases and a whole table against all pairs."""
+    rows = [(r[0], r[1]) for r in corpus()]
+    expected = Counter((d, c) for (d, _), c in zip(rows, brute_similar(rows), strict=True))
+    assert Counter((r.doc_id, r.component_id) for r in simhash.similar(docs, split=split).collect()) == expected
+    if split == 4:
+        return
+    assert simhash.similar(empty).count() == 0
+    table = common.table(spark, sf_dir, "documents")
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    assert {r.doc_id: r.component_id for r in simhash.similar(table).collect()} == {d: c for (d, _), c in zip(rows, brute_similar(rows), strict=True)}
+
+
 def test_pigeonhole_is_complete():
     import numpy as np
 
@@ -429,8 +465,7 @@ def test_pipeline(spark, sf_dir):
 
     docs = common.table(spark, sf_dir, "documents").collect()
     keep = [r for r in docs if quality.measure(r.text)[-1]]
-    fps = [(r.doc_id, simhash.fingerprint(r.text, 5)) for r in keep]
-    keep = [r for r, c in zip(keep, brute_components(fps), strict=True) if c == r.doc_id]
+    keep = [r for r, c in zip(keep, brute_similar([(r.doc_id, r.text) for r in keep]), strict=True) if c == r.doc_id]
     index = decontaminate.Index([tuple(r) for r in common.table(spark, sf_dir, "benchmark").select("item_id", "text").collect()])
     keep = [r for r in keep if not index.matches(r.text)]
     keep = [Row(**r.asDict() | {"text": pii.redacted(r.text)}) for r in keep]
