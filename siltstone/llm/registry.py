@@ -16,4 +16,36 @@ from siltstone.llm.warc import op6_warc
 QUERIES = {
     f.__name__: f for f in (op1_mixing, op2_secrets, op3_chat, op4_scoring, op5_simhash, op6_warc, op7_pii, op8_substrings, op9_quality_rules, op10_decontaminate)
 }
-ORACLES: dict[str, str] = {}
+
+#: Words are split where the operators split them; a window's words joined by one space stand for it.
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+        WITH payloads AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+        ), copies AS (
+            SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM payloads
+        ), marked AS (
+            SELECT *, coalesce(n >= 1000 AND page_id <> top, FALSE) AS again FROM copies
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+            CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to
+        FROM marked""",
+    "op8_substrings": """
+        WITH lists AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), words AS (
+            SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM lists
+        ), windows AS (
+            SELECT *, CASE WHEN pos <= n - 12 THEN sha256(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) END AS win FROM words
+        ), firsts AS (
+            SELECT win AS w, min(doc_id) AS least FROM windows WHERE win IS NOT NULL GROUP BY win
+        ), hits AS (
+            SELECT doc_id, word, pos, coalesce(least < doc_id, FALSE) AS hit FROM windows LEFT JOIN firsts ON win = w
+        ), covered AS (
+            SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM hits
+        ), counted AS (
+            SELECT doc_id AS id, count(*) FILTER (WHERE gone) AS n_gone, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM covered GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM lists LEFT JOIN counted ON doc_id = id""",
+}

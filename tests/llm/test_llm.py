@@ -13,7 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siltstone.llm import chat, common, decontaminate, mixing, pii, quality, scoring, secrets, simhash, substrings, warc
-from siltstone.llm.registry import QUERIES
+from siltstone.llm.registry import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start long, kind string, row long, g long"
@@ -454,6 +454,21 @@ def test_decontamination(spark, docs, empty):
     assert len(few) > 1 and sum(map(len, few)) == len(bench)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, sf_dir, name):
+    """Queries with SQL against DuckDB."""
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    found = c.execute(ORACLES[name])
+    columns = [x[0] for x in found.description]
+    df = QUERIES[name](spark, sf_dir)
+    assert sorted(df.columns) == sorted(columns)
+    assert Counter(map(tuple, df.select(*columns).collect())) == Counter(found.fetchall())
+
+
 def test_queries_run(spark, sf_dir):
     for name, f in QUERIES.items():
         assert f(spark, sf_dir).count() > 0, name
