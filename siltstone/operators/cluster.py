@@ -84,9 +84,11 @@ def kmeans(points: DataFrame, k: int, rounds: int = 10) -> DataFrame:
 
 class Bfr:
     """Discard, compression and retained sets over rounds of points; a round is assigned against the statistics
-    at its start, then merged. What goes through the driver is statistics of clusters."""
+    at its start, then merged; with sequential, statistics move after every point, in the order of ids. A round's
+    points go through the driver."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, sequential: bool = False):
+        self.sequential = sequential
         self.k, self.ds, self.cs, self.rs, self.report, self.seen = k, [], [], None, [], 0
         self.assigned = []
 
@@ -129,7 +131,9 @@ class Bfr:
             rest = pd.concat([points.join(sample.select("id"), "id", "left_anti").toPandas(), alone[["id", "v"]]])
             self.cs, self.rs = self._split(frame(rest), 5 * self.k)
         else:
-            left = self._add(self._add(points.toPandas(), self.ds), self.cs)
+            chunk = points.toPandas().sort_values("id")
+            steps = [chunk.iloc[i : i + 1] for i in range(len(chunk))] if self.sequential else [chunk]
+            left = pd.concat([self._add(self._add(x, self.ds), self.cs) for x in steps] or [chunk])
             self.rs = pd.concat([self.rs[["id", "v"]], left[["id", "v"]]])
         self.seen += points.count()
         if not first and len(self.rs) > 50 * self.k and len(self.rs) > self.seen / 100:

@@ -36,6 +36,26 @@ def frequent_itemsets(pairs: DataFrame, support: int, min_size: int = 0, max_len
     return out.withColumn("size", F.size("itemset"))
 
 
+def vertical_itemsets(pairs: DataFrame, support: int, chunk: int = 10_000) -> DataFrame:
+    """The same by intersecting lists of baskets. Baskets are dealt into chunks of about chunk baskets, so that an
+    item's list has that length at most in each; a set's support is the sum over the chunks."""
+    pairs = pairs.select("basket", "item").distinct()
+    one = pairs.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    chunks = max(1, math.ceil(pairs.select("basket").distinct().count() / chunk))
+    dealt = pairs.join(one.select("item"), "item").withColumn("part", F.pmod(F.xxhash64("basket"), F.lit(chunks)))
+    lists = dealt.groupBy("part", "item").agg(F.collect_list("basket").alias("also")).persist()
+    have = lists.select("part", F.array("item").alias("itemset"), F.col("also").alias("held"))
+    out = one.select(F.array("item").alias("itemset"), "support")
+    while True:
+        met = have.join(lists, "part").where(F.col("item") > F.element_at("itemset", -1))
+        wider = met.select("part", F.concat("itemset", F.array("item")).alias("itemset"), F.array_intersect("held", "also").alias("held")).where(F.size("held") > 0).persist()
+        level = wider.groupBy("itemset").agg(F.sum(F.size("held")).alias("support")).where(F.col("support") >= support).persist()
+        if level.isEmpty():
+            return out.withColumn("size", F.size("itemset"))
+        out = out.unionByName(level)
+        have = wider.join(level.select("itemset"), "itemset", "left_semi")
+
+
 def fpgrowth_itemsets(pairs: DataFrame, support: int) -> DataFrame:
     """The same by FP-growth. Its threshold is a fraction, so half a basket is taken off against rounding."""
     from pyspark.ml.fpm import FPGrowth

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, col: str) -> DataFrame:
-    """(col, x): distinct values numbered from 0 in order."""
-    return df.select(col).distinct().withColumn("x", F.row_number().over(Window.orderBy(col)).cast("long") - 1)
+    """(col, x): distinct values numbered from 0 in order. Ranges of values are numbered apart, after what the
+    ranges before them hold, so no task gets all values; a range's count is one row."""
+    dealt = df.select(col).distinct().repartitionByRange(col).withColumn("_p", F.spark_partition_id()).persist()
+    counts = sorted((r["_p"], r["n"]) for r in dealt.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row per partition
+    before = accumulate((n for _, n in counts), initial=0)
+    starts = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "_p int, _s long")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(col)).cast("long") - 1
+    return dealt.withColumn("x", place).join(F.broadcast(starts), "_p").select(col, (F.col("x") + F.col("_s")).alias("x"))
 
 
 def coefficients(i, m):
@@ -37,6 +45,16 @@ def candidates(b: DataFrame) -> DataFrame:
     return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
 
 
+def exact_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, sim), a < b, of all sets (id, x) that reach least: common elements are counted by an equi-join on the element."""
+    sets = sets.select("id", "x").distinct()
+    size = sets.groupBy("id").agg(F.count("*").alias("n"))
+    sized = sets.join(size, "id")
+    left, right = sized.select("x", F.col("id").alias("a"), F.col("n").alias("na")), sized.select("x", F.col("id").alias("b"), F.col("n").alias("nb"))
+    common = left.join(right, "x").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    return common.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim")).where(F.col("sim") >= least)
+
+
 def jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b, sim) of the pairs whose sets (id, x) reach least."""
     sets = sets.select("id", "x").distinct()

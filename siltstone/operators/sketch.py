@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import text_mod, trailing_zeros
@@ -29,11 +29,11 @@ def bloom_probe(probe: DataFrame, col: str, bits: DataFrame, m: int) -> DataFram
     return hit.select("k", F.when(F.col("k") == "", 0).otherwise(F.col("hit")).alias("hit"))
 
 
-def fm_estimate(rows: DataFrame, groups: list[str], key: str) -> DataFrame:
-    """(groups, truth, estimate, accuracy): hash i of a key is the sum of its characters' codes times (i + place),
+def fm_estimate(rows: DataFrame, groups: list[str], key: str, weight: str | None = None) -> DataFrame:
+    """rows of a key, each standing for weight rows (else one) -> (groups, truth, estimate, accuracy): hash i of a key is the sum of its characters' codes times (i + place),
     modulo the power of two at or below the number of rows; 2^(greatest - least trailing zeros) per hash, the
     lowest and highest left out, averaged and rounded up. Only distinct keys are hashed."""
-    size = rows.groupBy(*groups).agg(F.count("*").alias("n_rows"))
+    size = rows.groupBy(*groups).agg((F.sum(weight) if weight else F.count("*")).alias("n_rows"))
     keys = rows.select(*groups, F.col(key).alias("k")).distinct().join(size, groups) if groups else rows.select(F.col(key).alias("k")).distinct().crossJoin(F.broadcast(size))
     m = F.pow(F.lit(2.0), F.floor(F.log2("n_rows"))).cast("long")
     code = lambda j: F.ascii(F.substr(F.col("k"), j, F.lit(1)))
@@ -56,4 +56,5 @@ def reservoir(rows: DataFrame, key: str, capacity: int = 100) -> DataFrame:
 def top_tags(sample: DataFrame, tag: str, ranks: int = 3) -> DataFrame:
     """(tag, n) of the `ranks` greatest distinct counts."""
     counts = sample.groupBy(F.col(tag).alias("tag")).agg(F.count("*").alias("n"))
-    return counts.withColumn("r", F.dense_rank().over(Window.orderBy(F.desc("n")))).where(F.col("r") <= ranks).select("tag", "n")
+    best = counts.select("n").distinct().orderBy(F.desc("n")).limit(ranks)  # `ranks` rows at most
+    return counts.join(F.broadcast(best), "n").select("tag", "n")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from siltstone.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
-from siltstone.sources.io import scratch, table
+from siltstone.sources.io import betweenness_lines, community_lines, itemset_lines, scratch, table
 
 STOP = ["the", "and", "of", "de", "la", "der", "die", "und", "in", "is"]
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
@@ -161,6 +161,36 @@ def frequent_son(s, d):
     return flat(itemsets.son_itemsets(pairs, support_of(pairs)))
 
 
+@query(itemset_sql() + " AND size = 1")
+def frequent_1(s, d):
+    pairs = brand_pairs(s, d)
+    return flat(itemsets.frequent_itemsets(pairs, support_of(pairs), max_len=1))
+
+
+@query(itemset_sql() + " AND size = 2")
+def frequent_2(s, d):
+    pairs = brand_pairs(s, d)
+    return flat(itemsets.frequent_itemsets(pairs, support_of(pairs), max_len=2)).where("size = 2")
+
+
+@query(itemset_sql() + " AND size = 3")
+def frequent_3(s, d):
+    pairs = brand_pairs(s, d)
+    return flat(itemsets.frequent_itemsets(pairs, support_of(pairs), max_len=3)).where("size = 3")
+
+
+@query(itemset_sql())
+def frequent_vertical(s, d):
+    pairs = brand_pairs(s, d)
+    return flat(itemsets.vertical_itemsets(pairs, support_of(pairs)))
+
+
+@query(f"""SELECT size, string_agg('(' || chr(39) || replace(itemset, ',', chr(39) || ', ' || chr(39)) || chr(39) || ')', ',' ORDER BY itemset) AS value FROM ({itemset_sql()}) GROUP BY size""")
+def itemset_report(s, d):
+    pairs = brand_pairs(s, d)
+    return itemset_lines(itemsets.frequent_itemsets(pairs, support_of(pairs)))
+
+
 @query()
 def son_candidates(s, d):
     pairs = brand_pairs(s, d)
@@ -208,6 +238,13 @@ def lsh_jaccard(s, d):
     return similarity.similar_pairs(sets.persist(), m, HASHES).withColumn("sim", F.round("sim", 9))
 
 
+@query(f"""WITH {SETS}, z AS (SELECT id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM s x JOIN s y ON x.x = y.x AND x.id < y.id GROUP BY 1, 2)
+SELECT a, b, round(common / (p.n + q.n - common), 9) AS sim FROM o JOIN z p ON p.id = a JOIN z q ON q.id = b WHERE common / (p.n + q.n - common) >= 0.05""")
+def jaccard_pairs_exact(s, d):
+    sets, _ = part_sets(s, d)
+    return similarity.exact_pairs(sets, 0.05).withColumn("sim", F.round("sim", 9))
+
+
 # --- recommendation ---
 
 TF = f"""w AS (SELECT source AS id, lower(unnest(regexp_split_to_array(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '))) AS term FROM documents WHERE text IS NOT NULL),
@@ -308,20 +345,18 @@ PREDICT = """nb AS (SELECT a AS k, b AS o, round(sim, 9) AS sim FROM pe UNION AL
 hit AS (SELECT *, row_number() OVER (PARTITION BY qu, qi ORDER BY sim DESC, o) AS rk FROM ({hits}))"""
 
 
-@query(f"""WITH {ITEMS}, {PREDICT.format(hits='SELECT q."user" AS qu, q.item AS qi, nb.o, nb.sim, r.stars AS v FROM r q JOIN nb ON nb.k = q.item JOIN r ON r.item = nb.o AND r."user" = q."user" WHERE nb.k IN (SELECT k FROM ok) AND (q."user" + q.item) % 7 = 0')}
+@query(f"""WITH {ITEMS}, {PREDICT.format(hits='SELECT q."user" AS qu, q.item AS qi, nb.o, nb.sim, r.stars AS v FROM r q JOIN nb ON nb.k = q.item JOIN r ON r.item = nb.o AND r."user" = q."user" WHERE nb.k IN (SELECT k FROM ok)')}
 SELECT qu AS "user", qi AS item, round(sum(v * sim) / sum(abs(sim)), 6) AS stars FROM hit WHERE rk <= 3 GROUP BY 1, 2 HAVING count(*) > 1""")
 def predict_items(s, d):
     r = ratings(s, d).persist()
-    asked = r.where((F.col("user") + F.col("item")) % 7 == 0)  # the fixed held-out split of the evaluation
-    return recommend.predict_items(asked, item_model(r).withColumn("sim", F.round("sim", 9)).persist(), r).withColumn("stars", F.round("stars", 6))
+    return recommend.predict_items(r, item_model(r).withColumn("sim", F.round("sim", 9)).persist(), r).withColumn("stars", F.round("stars", 6))
 
 
-@query(f"""WITH {USER_MODEL}, av AS (SELECT "user", sum(stars) AS t, count(*) AS c FROM r GROUP BY 1), {PREDICT.format(hits='SELECT q."user" AS qu, q.item AS qi, nb.o, nb.sim, r.stars - (av.t - r.stars) / (av.c - 1) AS v FROM r q JOIN nb ON nb.k = q."user" JOIN r ON r."user" = nb.o AND r.item = q.item JOIN av ON av."user" = nb.o WHERE av.c > 1 AND nb.k IN (SELECT k FROM ok) AND (q."user" + q.item) % 7 = 0')}
+@query(f"""WITH {USER_MODEL}, av AS (SELECT "user", sum(stars) AS t, count(*) AS c FROM r GROUP BY 1), {PREDICT.format(hits='SELECT q."user" AS qu, q.item AS qi, nb.o, nb.sim, r.stars - (av.t - r.stars) / (av.c - 1) AS v FROM r q JOIN nb ON nb.k = q."user" JOIN r ON r."user" = nb.o AND r.item = q.item JOIN av ON av."user" = nb.o WHERE av.c > 1 AND nb.k IN (SELECT k FROM ok)')}
 SELECT qu AS "user", qi AS item, round(any_value(av.t / av.c) + sum(v * sim) / sum(abs(sim)), 6) AS stars FROM hit JOIN av ON av."user" = qu WHERE rk <= 3 GROUP BY 1, 2 HAVING count(*) > 1""")
 def predict_users(s, d):
     r = ratings(s, d).persist()
-    asked = r.where((F.col("user") + F.col("item")) % 7 == 0)  # the fixed held-out split of the evaluation
-    return recommend.predict_users(asked, user_model(r).withColumn("sim", F.round("sim", 9)).persist(), r).withColumn("stars", F.round("stars", 6))
+    return recommend.predict_users(r, user_model(r).withColumn("sim", F.round("sim", 9)).persist(), r).withColumn("stars", F.round("stars", 6))
 
 
 # --- graphs ---
@@ -340,6 +375,11 @@ def co_graph(s, d):
     return edges_of(s, d)
 
 
+@query(f"WITH {EDGES} SELECT DISTINCT a AS node FROM g")
+def vertices(s, d):
+    return graph.vertices(edges_of(s, d))
+
+
 @query(f"WITH {EDGES} SELECT a AS node, count(*) AS degree FROM g GROUP BY 1")
 def degrees(s, d):
     return graph.degrees(edges_of(s, d))
@@ -367,6 +407,11 @@ def lpa_communities(s, d):
     return graph.communities(graph.label_propagation(edges_of(s, d))).select(F.col("size").cast("long").alias("size"), F.concat_ws(",", F.col("members").cast("array<string>")).alias("members"))
 
 
+@query(f"{lpa_sql()} SELECT string_agg(chr(39) || node || chr(39), ', ' ORDER BY node) AS value FROM l5 GROUP BY label")
+def community_report(s, d):
+    return community_lines(graph.communities(graph.label_propagation(edges_of(s, d))))
+
+
 @query(f"""WITH RECURSIVE {EDGES}, bfs(root, node, lvl) AS (SELECT DISTINCT a, a, 0 FROM g UNION SELECT root, b, lvl + 1 FROM bfs JOIN g ON a = node WHERE lvl < 60),
 lv AS (SELECT root, node, min(lvl) AS lvl FROM bfs GROUP BY 1, 2),
 dag AS (SELECT x.root, x.node AS u, y.node AS v, x.lvl FROM lv x JOIN g ON g.a = x.node JOIN lv y ON y.root = x.root AND y.node = g.b AND y.lvl = x.lvl + 1),
@@ -391,6 +436,11 @@ def edge_betweenness(s, d):
     return graph.edge_betweenness(edges_of(s, d)).withColumn("betweenness", F.round("betweenness", 6))
 
 
+@query()
+def betweenness_report(s, d):
+    return betweenness_lines(edge_betweenness(s, d))
+
+
 @query()
 def edge_betweenness_joins(s, d):
     return graph.betweenness_by_joins(edges_of(s, d)).withColumn("betweenness", F.round("betweenness", 6))
@@ -406,11 +456,8 @@ def modularity(s, d):
 
 @query()
 def girvan_newman(s, d):
-    """Communities of the 40 heaviest edges' graph: each removal is a distributed pass, so the feature is for small graphs."""
-    pairs = purchases(s, d).select(F.col("user_id").alias("node"), F.col("k").alias("item")).distinct()
-    both = pairs.select(F.col("node").alias("a"), "item").join(pairs.select(F.col("node").alias("b"), "item"), "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
-    top = both.orderBy(F.desc("w"), "a", "b").limit(40).select("a", "b").persist()
-    labels = graph.girvan_newman(top)
+    """Communities of the whole co-purchase graph: each removal is a distributed pass, so the method is for small graphs."""
+    labels = graph.girvan_newman(edges_of(s, d))
     return labels if labels is not None else s.createDataFrame([], "node long, label long")
 
 
@@ -479,14 +526,15 @@ def bfr_rounds(s, d):
 
 # --- sketches ---
 
-BLOOM = """tr AS (SELECT DISTINCT c_name AS k FROM customer WHERE c_custkey % 2 = 0 AND c_name <> ''), m AS (SELECT 50 * count(*) AS m FROM tr)"""
+BLOOM = """tr AS (SELECT DISTINCT c_name AS k FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name <> ''), m AS (SELECT 50 * count(*) AS m FROM tr)"""
 TEXT_MOD = "list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT)), lambda a, d: (a * 256 + d) % m, CAST(0 AS BIGINT))"
 BITS = f"{BLOOM}, tx AS (SELECT k, m, {TEXT_MOD} AS x FROM tr, m), bits AS (SELECT DISTINCT ((i * 7919 + 17) * x + i * 104729 + 31) % m AS pos FROM tx, range(5) r(i))"
 
 
 def bloom(s, d):
+    """Two segments' names are put in; all customers' names are asked for."""
     customers = table(s, d, "customer")
-    return customers, *sketch.bloom_build(customers.where("c_custkey % 2 = 0"), "c_name")
+    return customers, *sketch.bloom_build(customers.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), "c_name")
 
 
 @query(f"WITH {BITS} SELECT pos FROM bits")
@@ -524,6 +572,12 @@ def fm_global(s, d):
     return sketch.fm_estimate(city_rows(s, d), [], "k").withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query()
+def approx_distinct(s, d):
+    """The built-in sketch, to compare with fm_window."""
+    return city_rows(s, d).groupBy("start").agg(F.approx_count_distinct("k", 0.02).alias("estimate"), F.count_distinct("k").alias("truth"))
+
+
 @query("""WITH s AS (SELECT event_type FROM events ORDER BY (event_id * 2654435761 + 40503) % 4294967291, event_id LIMIT 100), c AS (SELECT event_type AS tag, count(*) AS n FROM s GROUP BY 1)
 SELECT tag, n FROM (SELECT *, dense_rank() OVER (ORDER BY n DESC) AS r FROM c) WHERE r <= 3""")
 def reservoir_top_tags(s, d):

@@ -76,6 +76,13 @@ def community_lines(communities: DataFrame) -> DataFrame:
     return communities.orderBy("size", F.element_at("members", 1)).select(quoted.alias("value"))
 
 
+def itemset_lines(found: DataFrame) -> DataFrame:
+    """(itemset array, size) -> (size, value): per size one line of ('a', 'b') groups in lexicographic order."""
+    return found.groupBy("size").agg(F.array_sort(F.collect_list("itemset")).alias("sets")).select(
+        "size", F.concat_ws(",", F.transform("sets", lambda s: F.concat(F.lit("('"), F.array_join(s, "', '"), F.lit("')")))).alias("value")
+    )
+
+
 def betweenness_lines(edges: DataFrame) -> DataFrame:
     return edges.orderBy(F.desc("betweenness"), "a", "b").select(F.format_string("('%s', '%s'), %s", F.col("a").cast("string"), F.col("b").cast("string"), F.col("betweenness").cast("string")).alias("value"))
 

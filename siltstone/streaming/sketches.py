@@ -29,8 +29,7 @@ def write_estimates(stream: DataFrame, sink, length: str = "30 seconds", slide:
     """Starts a query that hands sink a DataFrame (start, truth, estimate, accuracy) for each closed batch of windows."""
 
     def each(df: DataFrame, batch: int) -> None:
-        rows = df.select(F.col("w.start").alias("start"), "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("_")).drop("_")
-        sink(fm_estimate(rows, ["start"], "key"), batch)
+        sink(fm_estimate(df.select(F.col("w.start").alias("start"), "key", "c"), ["start"], "key", "c"), batch)
 
     writer = windowed_keys(stream, length, slide, late).writeStream.outputMode("append").foreachBatch(each)
     return writer.trigger(**(options.pop("trigger", None) or {"processingTime": "5 seconds"})).options(**options).start()
