@@ -456,9 +456,8 @@ def modularity(s, d):
 
 @query()
 def girvan_newman(s, d):
-    """Communities of the whole co-purchase graph: each removal is a distributed pass, so the method is for small graphs."""
-    labels = graph.girvan_newman(edges_of(s, d))
-    return labels if labels is not None else s.createDataFrame([], "node long, label long")
+    """Communities of the whole co-purchase graph: steps follow on each other, so the method is for small graphs."""
+    return graph.girvan_newman(edges_of(s, d))
 
 
 # --- clustering ---

@@ -67,12 +67,20 @@ def test_communities_of_two_triangles(spark):
     found = {(r["a"], r["b"]): r["betweenness"] for r in graph.edge_betweenness(df).collect()}
     assert found[("c", "d")] == 9.0 == max(found.values())
     labels = graph.girvan_newman(df)
+    spread = graph.girvan_newman(df, local_work=20)  # the whole graph by tasks, its triangles on the driver
+    assert sorted(labels.collect()) == sorted(spread.collect())
     assert sorted(r["members"] for r in graph.communities(labels).collect()) == [["a", "b", "c"], ["d", "e", "f"]]
     assert {r["node"] for r in graph.vertices(df).collect()} == set("abcdef")
     assert {r["label"] for r in graph.connected(df).collect()} == {"a"}
     assert {r["node"]: r["degree"] for r in graph.degrees(df).collect()} == {"a": 2, "b": 2, "c": 3, "d": 3, "e": 2, "f": 2}
 
 
+def test_girvan_newman_in_tables(spark):
+    df = edges(spark, [("a", "b"), ("c", "d")])
+    assert sorted(graph.girvan_newman(df).collect()) == sorted(graph.girvan_newman(df, bound=1).collect())
+    assert graph.girvan_newman(df.limit(0)).count() == 0
+
+
 def test_modularity(spark):
     df = edges(spark, TRIANGLES)
     labels = spark.createDataFrame([(x, "l" if x < "d" else "r") for x in "abcdef"], "node string, label string")
