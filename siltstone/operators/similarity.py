@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BROADCAST = 1_000_000
+
 
 def numbered(df: DataFrame, col: str) -> DataFrame:
     """(col, x): distinct values numbered from 0 in order. Ranges of values are numbered apart, after what the
@@ -19,24 +23,54 @@ def numbered(df: DataFrame, col: str) -> DataFrame:
     return dealt.withColumn("x", place).join(F.broadcast(starts), "_p").select(col, (F.col("x") + F.col("_s")).alias("x"))
 
 
-def coefficients(i, m):
-    """Of hash i, (a, b) with 1 <= a, 0 <= b: closed forms, so that runs agree."""
-    return 1 + F.pmod(i * 7919 + 17, F.lit(10007)), F.pmod(i * 104729 + 31, F.lit(10009))
+def coefficients(n_hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of each hash, 1 <= a, 0 <= b: closed forms, so that runs agree."""
+    i = np.arange(n_hashes, dtype=np.int64)
+    return 1 + (i * 7919 + 17) % 10007, (i * 104729 + 31) % 10009
+
+
+def hashes(sets: DataFrame, n_hashes: int, modulus: int) -> DataFrame:
+    """sets (id, x long) -> (id, hs): the least of (a x + b) mod modulus for each hash. Elements come sorted by id
+    and are hashed in slices, so a set of any size takes little memory; a set that runs on into the next slice takes
+    its least values along. Elements that are null are left out."""
+    a, b = (c[:, None] for c in coefficients(n_hashes))
+
+    def run(batches):
+        held, least = None, None  # the last set so far, which may run on
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                codes = part.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+                found = np.minimum.reduceat((a * part.column(1).to_numpy() + b) % modulus, starts, axis=1)
+                ids = part.column(0).take(pa.array(starts))
+                if held is not None and ids[0] == held[0]:
+                    found[:, 0] = np.minimum(found[:, 0], least)
+                elif held is not None:
+                    yield rows(held, least[:, None])
+                if len(ids) > 1:
+                    yield rows(ids[:-1], found[:, :-1])
+                held, least = ids[-1:], found[:, -1]
+        if held is not None:
+            yield rows(held, least[:, None])
+
+    def rows(ids, found):
+        ends = np.arange(0, n_hashes * len(ids) + 1, n_hashes, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(found.T.ravel()))], names=["id", "hs"])
+
+    known = sets.select("id", F.col("x").cast("long").alias("x")).where("x is not null")
+    return known.repartition("id").sortWithinPartitions("id").mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, hs array<bigint>")
 
 
 def signatures(sets: DataFrame, n_hashes: int, modulus: int) -> DataFrame:
-    """sets (id, x long) -> (id, i, h): the least of (a x + b) mod modulus for each hash i. Rows are multiplied
-    by the hashes before a grouped minimum that combines on the map side."""
-    each = sets.select("id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_hashes - 1).cast("long"))).alias("i"))
-    a, b = coefficients(F.col("i"), modulus)
-    return each.groupBy("id", "i").agg(F.min(F.pmod(a * F.col("x") + b, F.lit(modulus))).alias("h"))
+    """(id, i, h): a row per hash."""
+    return hashes(sets, n_hashes, modulus).select("id", F.posexplode("hs").alias("i", "h")).select("id", F.col("i").cast("long").alias("i"), "h")
 
 
-def bands(sigs: DataFrame, rows: int = 2) -> DataFrame:
+def bands(sets: DataFrame, n_hashes: int, modulus: int, rows: int = 2) -> DataFrame:
     """(id, band, key): runs of rows hash values, in order."""
-    part = F.array_sort(F.collect_list(F.struct("i", "h")))
-    grouped = sigs.groupBy("id", F.floor(F.col("i") / rows).cast("long").alias("band")).agg(part.alias("p"))
-    return grouped.select("id", "band", F.concat_ws("-", F.transform("p", lambda x: x["h"].cast("string"))).alias("key"))
+    keys = F.transform(F.sequence(F.lit(1), F.lit(n_hashes), F.lit(rows)), lambda at: F.concat_ws("-", F.slice("hs", at, rows).cast("array<string>")))
+    return hashes(sets, n_hashes, modulus).select("id", F.posexplode(keys).alias("band", "key")).select("id", F.col("band").cast("long").alias("band"), "key")
 
 
 def candidates(b: DataFrame) -> DataFrame:
@@ -56,15 +90,17 @@ def exact_pairs(sets: DataFrame, least: float) -> DataFrame:
 
 
 def jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, sim) of the pairs whose sets (id, x) reach least."""
-    sets = sets.select("id", "x").distinct()
+    """(a, b, sim) of the pairs whose sets (id, x) reach least. Up to BROADCAST elements, counted first, the sets are
+    broadcast, so that pairs times elements are not shuffled; beyond, they are joined."""
+    sets = sets.select("id", "x").distinct().persist()
+    near = F.broadcast if sets.count() <= BROADCAST else lambda df: df
     size = sets.groupBy("id").agg(F.count("*").alias("n"))
     common = (
-        pairs.join(sets.select(F.col("id").alias("a"), "x"), "a").join(sets.select(F.col("id").alias("b"), "x"), ["b", "x"]).groupBy("a", "b").agg(F.count("*").alias("both"))
+        pairs.join(near(sets.select(F.col("id").alias("a"), "x")), "a").join(near(sets.select(F.col("id").alias("b"), "x")), ["b", "x"]).groupBy("a", "b").agg(F.count("*").alias("both"))
     )
     joined = common.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     return joined.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim")).where(F.col("sim") >= least)
 
 
 def similar_pairs(sets: DataFrame, modulus: int, n_hashes: int = 1100, rows: int = 2, least: float = 0.05) -> DataFrame:
-    return jaccard(candidates(bands(signatures(sets, n_hashes, modulus), rows)), sets, least)
+    return jaccard(candidates(bands(sets, n_hashes, modulus, rows)), sets, least)

@@ -199,7 +199,8 @@ def son_candidates(s, d):
 
 # --- similarity ---
 
-HASHES = 40
+#: As in the reference: 550 bands of 2.
+HASHES = 1100
 SETS = "n AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS x FROM (SELECT DISTINCT o_custkey AS c FROM orders)), s AS (SELECT DISTINCT l_partkey AS id, x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN n ON c = o_custkey), m AS (SELECT count(*) AS m FROM n)"
 SIGS = f"{SETS}, h AS (SELECT i, 1 + (i * 7919 + 17) % 10007 AS a, (i * 104729 + 31) % 10009 AS b FROM range({HASHES}) r(i)), g AS (SELECT id, i, min((a * x + b) % m) AS h FROM s, h, m GROUP BY 1, 2)"
 BANDS = f"{SIGS}, k AS (SELECT id, i // 2 AS band, string_agg(h, '-' ORDER BY i) AS key FROM g GROUP BY 1, 2), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id < y.id)"
@@ -222,13 +223,13 @@ def minhash_signatures(s, d):
 @query(f"WITH {BANDS} SELECT id, band, key FROM k")
 def lsh_bands(s, d):
     sets, m = part_sets(s, d)
-    return similarity.bands(similarity.signatures(sets, HASHES, m))
+    return similarity.bands(sets, HASHES, m)
 
 
 @query(f"WITH {BANDS} SELECT a, b FROM c")
 def lsh_candidates(s, d):
     sets, m = part_sets(s, d)
-    return similarity.candidates(similarity.bands(similarity.signatures(sets, HASHES, m)))
+    return similarity.candidates(similarity.bands(sets, HASHES, m))
 
 
 @query(f"""WITH {BANDS}, z AS (SELECT id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a, b, count(*) AS common FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b AND y.x = x.x GROUP BY 1, 2)
@@ -321,7 +322,7 @@ def user_model(r):
     often = r.groupBy("user").agg(F.count("*").alias("c")).where("c >= 3").select("user")
     numbers = similarity.numbered(r, "item").persist()
     sets = r.join(often, "user", "left_semi").join(numbers, "item").select(F.col("user").alias("id"), "x")
-    pairs = similarity.candidates(similarity.bands(similarity.signatures(sets, USER_HASHES, numbers.count()), 1))
+    pairs = similarity.candidates(similarity.bands(sets, USER_HASHES, numbers.count(), 1))
     return recommend.pearson(r.select(F.col("user").alias("k"), F.col("item").alias("other"), "stars"), pairs)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import trailing_zeros
 from siltstone.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
+from siltstone.plans import catalogue
 
 BASKETS = [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "b"), (3, "c"), (4, "a"), (4, "c"), (4, "c")]
 WANTED = {("a",): 3, ("b",): 3, ("c",): 3, ("a", "b"): 2, ("a", "c"): 2, ("b", "c"): 2}
@@ -119,6 +120,29 @@ def test_exact_pairs(spark):
     assert {(r["a"], r["b"]) for r in similarity.jaccard(pairs, df, 0.6).collect()} == {(1, 4)}
 
 
+def test_signatures(spark):
+    rng = random.Random(8)
+    sets = {i: {rng.randrange(5000) for _ in range(n)} for i, n in enumerate((1, 3, 40, 2500, 7))}
+    df = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s] + [(1, None), (9, None)], "id long, x long").repartition(3)
+    want = {(i, k): min(((1 + (k * 7919 + 17) % 10007) * x + (k * 104729 + 31) % 10009) % 4999 for x in s) for i, s in sets.items() for k in range(60)}
+    assert {(r["id"], r["i"]): r["h"] for r in similarity.signatures(df, 60, 4999).collect()} == want
+    assert similarity.signatures(df.limit(0), 60, 4999).count() == 0
+
+
+def test_minhash_recall(spark):
+    """The registered number of hashes finds pairs just above the least similarity, and those found have their exact one."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        common = rng.sample(range(4999), 6)
+        rows += [(2 * k + side, x) for side in (0, 1) for x in {*common, *rng.sample(range(4999), 38)}]
+    df = spark.createDataFrame(rows, "id long, x long").persist()
+    exact = {(r["a"], r["b"]): r["sim"] for r in similarity.exact_pairs(df, 0.05).collect()}
+    found = {(r["a"], r["b"]): r["sim"] for r in similarity.similar_pairs(df, 4999, catalogue.HASHES).collect()}
+    assert len(exact) >= 60 and all(exact[p] == s for p, s in found.items())
+    assert len(found) > 0.85 * len(exact)
+
+
 def test_bloom(spark):
     cities = spark.createDataFrame([("Lyon",), ("Graz",), ("",), (None,), ("Graz",)], "city string")
     bits, m = sketch.bloom_build(cities, "city")
