@@ -1,9 +1,14 @@
 """LM scoring by masked pseudo-likelihood.
 
 A bidirectional window network (embeddings of two words on either side, one hidden layer, softmax over
-word classes) predicts every word from both sides; the summed conditional log-probabilities score a
-text. Classes are the most frequent of 2^16 hashed words, counted over the whole corpus, each by
-itself, and the others by hash.
+word classes) predicts the class of every word from both sides, and the corpus's counts the word in its class:
+log P(word | context) = log P(class | context) + log (n(word) / (n(class) + 1)), summed over a text. Classes are the
+most frequent of 2^16 hashed words, counted over the whole corpus, each by itself, and the others by hash. Words are
+told apart by 64 bits. The one count that is added to a class is for all words that the counts do not hold: such a word
+gets 1 / (n(class) + 1).
+
+The counts of all words are a table, which grows with the corpus and is joined; those of at most FREQUENT words,
+a fixed number, are broadcast, which saves the shuffle of most words.
 
 Training sees every text: as in masked language modelling, each eighth word (from an offset hashed from
 the text) is a masked target. Every task fits the network to its own texts from one common start,
@@ -26,31 +31,73 @@ from siltstone.llm.common import WORD, store
 
 HASHED, OWN, REST = 1 << 16, 96, 32
 CLASSES, SIDE, WIDTH, HIDDEN = OWN + REST, 2, 12, 24
+FREQUENT = 1 << 16
 MASK_EACH, BATCH, RATE, SEED = 8, 512, 0.15, 7
 SHAPES = {"e": (CLASSES + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "c": (HIDDEN,), "u": (HIDDEN, CLASSES), "b": (CLASSES,)}
 
 
 @lru_cache(maxsize=1 << 18)
 def hashed(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) & (HASHED - 1)
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """64 bits of each word, signed."""
+    return np.fromiter(map(hashed, WORD.findall((text or "").lower())), np.uint64).view(np.int64)
 
 
 def numbers(text: str | None) -> np.ndarray:
-    return np.fromiter(map(hashed, WORD.findall((text or "").lower())), np.int64)
+    return words_of(text) & (HASHED - 1)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, n): occurrences of each hashed word in all texts; tasks send their own sums."""
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def unlisted(column: pa.ListArray) -> list[np.ndarray]:
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    return np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
+
+
+def split_words(docs: DataFrame) -> DataFrame:
+    """(id, words) per row of docs (id, text): words_of() the text."""
 
     def run(batches):
-        total = np.zeros(HASHED, np.int64)
         for b in batches:
-            for x in b.column(1):
-                np.add.at(total, numbers(x.as_py()), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["h", "n"])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists([words_of(x.as_py()) for x in part.column(1)])], names=["id", "words"])
+
+    picked = docs.select(F.col(docs.columns[0]).alias("id"), F.col(docs.columns[1]).alias("text"))
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, words array<bigint>")
+
 
-    return docs.mapInArrow(run, "h int, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def word_counts(split: DataFrame) -> DataFrame:
+    """(w, n): occurrences of each word in all texts."""
+    return split.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
+def hashed_counts(counts: DataFrame) -> DataFrame:
+    """(h, n): the same of each hashed word."""
+    return counts.groupBy(F.col("w").bitwiseAND(F.lit(HASHED - 1)).cast("int").alias("h")).agg(F.sum("n").alias("n"))
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    return hashed_counts(word_counts(split_words(docs)))
+
+
+def frequent_from(counts: DataFrame, most: int) -> int:
+    """A least count that at most most words reach: by quarters of octaves, of which there are 256 at most."""
+    quarter = F.floor(F.log2("n") * 4)
+    found = counts.groupBy(quarter.alias("q")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("q")).collect()
+    least, total = 1 << 62, 0
+    for r in found:
+        total += r["c"]
+        if total > most:
+            break
+        least = r["n"]
+    return least
 
 
 def classes(counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +163,11 @@ def step(p: dict, seen: dict, ctx: np.ndarray, target: np.ndarray) -> None:
 
 
 def train(docs: DataFrame, of: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
+    """The network fitted to docs (id, text)."""
+    return train_words(split_words(docs), of, bias)
+
+
+def train_words(docs: DataFrame, of: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
     shared = docs.sparkSession.sparkContext.broadcast((of, bias))
 
     def fit(batches):
@@ -124,10 +176,9 @@ def train(docs: DataFrame, of: np.ndarray, bias: np.ndarray) -> dict[str, np.nda
         seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
         wait_c, wait_t, waiting, total = [], [], 0, 0
         for b in batches:
-            for x in b.column(1):
-                text = x.as_py()
-                ids = own_of[numbers(text)]
-                at = np.arange(xxhash.xxh32_intdigest((text or "")[:64].encode("utf-8", "surrogatepass")) % MASK_EACH, len(ids), MASK_EACH)
+            for words in unlisted(b.column(1)):
+                ids = own_of[words & (HASHED - 1)]
+                at = np.arange(xxhash.xxh32_intdigest(words[:16].tobytes()) % MASK_EACH, len(ids), MASK_EACH)
                 if len(at):
                     wait_c.append(contexts(ids, at))
                     wait_t.append(ids[at])
@@ -168,40 +219,59 @@ def train(docs: DataFrame, of: np.ndarray, bias: np.ndarray) -> dict[str, np.nda
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs: its id, n_words, log_prob (the sum over its words) and mean_log_prob.
 
     A null or empty text has no words, log_prob 0 and a null mean; repeated rows are scored (and
     count in training) each by themselves; an empty table gives no rows; other columns are not read. The fit
     depends on how texts are dealt over tasks, so scores of two layouts differ slightly."""
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    of, bias = classes([tuple(r) for r in count_words(picked).collect()])  # 2^16 sums at most
-    model = docs.sparkSession.sparkContext.broadcast((of, train(picked, of, bias)))
+    split = store(split_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "words")
+    counts = store(word_counts(split), "counts")
+    by_hash = [tuple(r) for r in hashed_counts(counts).collect()]  # 2^16 sums at most
+    of, bias = classes(by_hash)
+    mass = np.zeros(CLASSES)
+    for h, n in by_hash:
+        mass[of[h]] += n
+    least = frequent_from(counts, frequent)
+    top = np.array(sorted(tuple(r) for r in counts.where(F.col("n") >= least).collect()), np.int64).reshape(-1, 2)
+    model = docs.sparkSession.sparkContext.broadcast((of, train_words(split, of, bias), top[:, 0].copy(), np.log(top[:, 1]), np.log(mass + 1)))
 
     def run(batches):
-        own_of, p = model.value
+        own_of, p, known, log_n, log_mass = model.value
         for b in batches:
-            n, total, held, words = [], [], [], 0
-            for x in b.column(1):
-                held.append(own_of[numbers(x.as_py())])
-                words += len(held[-1])
+            n, total, rare, held, words = [], [], [], [], 0
+            for ws in unlisted(b.column(1)):
+                held.append(own_of[ws & (HASHED - 1)])
+                words += len(ws)
+                at = np.minimum(np.searchsorted(known, ws), max(len(known) - 1, 0))
+                found = known[at] == ws if len(known) else np.zeros(len(ws), bool)
+                rare.append(ws[~found])
+                total.append(float(log_n[at[found]].sum() - log_mass[held[-1]].sum()))
                 if words > 1 << 17:
                     flush(p, held, n, total)
                     held, words = [], 0
             flush(p, held, n, total)
-            mean = [t / k if k else None for k, t in zip(n, total, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["id", "n_words", "log_prob", "mean_log_prob"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), lists(rare)], names=["id", "n_words", "log_prob", "rare"])
 
     def flush(p, held, n, total):
+        """Adds the log-probabilities of the classes of the texts held."""
         full = [ids for ids in held if len(ids)]
         if full:
             lp = log_probs(p, np.concatenate([contexts(ids, np.arange(len(ids))) for ids in full]), np.concatenate(full))
             sums = iter(np.add.reduceat(lp, np.cumsum([0, *map(len, full[:-1])])).tolist())
         for ids in held:
+            if len(ids):
+                total[len(n)] += next(sums)
             n.append(len(ids))
-            total.append(next(sums) if len(ids) else 0.0)
 
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, n_words long, log_prob double, mean_log_prob double").withColumnRenamed("id", id_col)
+    schema = f"id {split.schema['id'].dataType.simpleString()}, n_words long, log_prob double, rare array<bigint>"
+    scored = store(split.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    # a word that occurs once, and one that is in no text, adds log 1
+    less = counts.where((F.col("n") > 1) & (F.col("n") < least)).select("w", F.log("n").alias("log_n"))
+    more = scored.select("row", F.explode("rare").alias("w")).join(less, "w").groupBy("row").agg(F.sum("log_n").alias("more"))
+    log_prob = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, log_prob / F.col("n_words"))
+    return scored.join(more, "row", "left").select(F.col("id").alias(id_col), "n_words", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))
 
 
 def op4_scoring(spark, sf_dir: str) -> DataFrame:

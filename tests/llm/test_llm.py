@@ -173,6 +173,24 @@ def test_scoring_held_out(spark):
         assert mean(words) > mean(mixed) + 0.5
 
 
+@pytest.mark.parametrize("frequent", [0, 5, scoring.FREQUENT])
+def test_scoring_tells_words_apart(spark, frequent):
+    """Two words of one shared class, in the same context, differ by their counts in the whole corpus."""
+    share = defaultdict(list)
+    common = [f"c{i}" for i in range(300)]
+    top = {int(h) for w in common for h in scoring.numbers(w)}
+    for i in range(400):
+        h = int(scoring.numbers(f"x{i}")[0])
+        if h not in top:
+            share[h % scoring.REST].append(f"x{i}")
+    often, once, third = next(ws for ws in share.values() if len(ws) > 2)[:3]
+    texts = [*(" ".join(common) for _ in range(50)), f"c1 c2 {often} c3 c4", f"c1 c2 {once} c3 c4", *[f"{often} {third}"] * 6, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.log_prob for r in scoring.score(df, frequent=frequent).collect()}
+    assert got[50] - got[51] == pytest.approx(math.log(7), abs=1e-6)
+    assert got[len(texts) - 1] == 0
+
+
 def brute_fp(text):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
