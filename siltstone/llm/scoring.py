@@ -10,8 +10,8 @@ gets 1 / (n(class) + 1).
 The counts of all words are a table, which grows with the corpus and is joined; those of at most FREQUENT words,
 a fixed number, are broadcast, which saves the shuffle of most words.
 
-Training sees every text: as in masked language modelling, each eighth word (from an offset hashed from
-the text) is a masked target. Every task fits the network to its own texts from one common start,
+Training sees every word of every text as a masked target, once. Steps take words from several texts: all that
+wait are dealt over the batches. Every task fits the network to its own texts from one common start,
 whose output bias is the corpus's class frequencies; the results are averaged by their number of
 targets, first in about a square root of the tasks, then on the driver, which gets that many rows.
 """
@@ -32,7 +32,7 @@ from siltstone.llm.common import WORD, store
 HASHED, OWN, REST = 1 << 16, 96, 32
 CLASSES, SIDE, WIDTH, HIDDEN = OWN + REST, 2, 12, 24
 FREQUENT = 1 << 16
-MASK_EACH, BATCH, RATE, SEED = 8, 512, 0.15, 7
+BATCH, WAIT, RATE, SEED = 512, 4096, 0.15, 7
 SHAPES = {"e": (CLASSES + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "c": (HIDDEN,), "u": (HIDDEN, CLASSES), "b": (CLASSES,)}
 
 
@@ -155,8 +155,8 @@ def step(p: dict, seen: dict, ctx: np.ndarray, target: np.ndarray) -> None:
     z[np.arange(len(target)), target] -= 1
     z /= len(target)
     dh = (z @ p["u"].T) * (1 - h * h)
-    de = np.zeros_like(p["e"])
-    np.add.at(de, ctx.ravel(), (dh @ p["w"].T).reshape(-1, WIDTH))
+    at = (ctx.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    de = np.bincount(at, (dh @ p["w"].T).ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
     for k, g in (("u", h.T @ z), ("b", z.sum(axis=0)), ("w", x.T @ dh), ("c", dh.sum(axis=0)), ("e", de)):
         seen[k] += g * g
         p[k] -= RATE * g / (np.sqrt(seen[k]) + 1e-6)
@@ -178,22 +178,25 @@ def train_words(docs: DataFrame, of: np.ndarray, bias: np.ndarray) -> dict[str,
         for b in batches:
             for words in unlisted(b.column(1)):
                 ids = own_of[words & (HASHED - 1)]
-                at = np.arange(xxhash.xxh32_intdigest(words[:16].tobytes()) % MASK_EACH, len(ids), MASK_EACH)
-                if len(at):
-                    wait_c.append(contexts(ids, at))
-                    wait_t.append(ids[at])
-                    waiting += len(at)
-                if waiting >= BATCH:
-                    c, t = np.concatenate(wait_c), np.concatenate(wait_t)
-                    for s in range(0, len(t), BATCH):
-                        step(p, seen, c[s : s + BATCH], t[s : s + BATCH])
-                    wait_c, wait_t, waiting, total = [], [], 0, total + len(t)
+                if len(ids):
+                    wait_c.append(contexts(ids, np.arange(len(ids))))
+                    wait_t.append(ids)
+                    waiting += len(ids)
+                if waiting >= WAIT:
+                    steps(p, seen, wait_c, wait_t)
+                    wait_c, wait_t, waiting, total = [], [], 0, total + waiting
         if waiting:
-            step(p, seen, np.concatenate(wait_c), np.concatenate(wait_t))
+            steps(p, seen, wait_c, wait_t)
         total += waiting
         if total:
             yield packed(total, {k: v.astype(np.float64) * total for k, v in p.items()})
 
+    def steps(p, seen, wait_c, wait_t):
+        c, t = np.concatenate(wait_c), np.concatenate(wait_t)
+        every = -(-len(t) // BATCH)
+        for s in range(every):
+            step(p, seen, c[s::every], t[s::every])
+
     def add(batches):
         n, flat = 0, 0.0
         for b in batches:

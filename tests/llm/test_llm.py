@@ -173,6 +173,19 @@ def test_scoring_held_out(spark):
         assert mean(words) > mean(mixed) + 0.5
 
 
+def test_scoring_trains_on_every_word(spark):
+    """Texts of one word train the network, whatever the word: a hashed offset left most of them out. Words on all places are targets."""
+    import numpy as np
+
+    for text in (*(f"w{i}" for i in range(4)), "p q r"):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
+        of, bias = scoring.classes([tuple(r) for r in scoring.count_words(df).collect()])
+        p, first = scoring.train(df, of, bias), scoring.start(bias)
+        ids = of[scoring.numbers(text)]
+        assert not np.array_equal(p["b"], first["b"])
+        assert all(scoring.log_probs(p, scoring.contexts(ids, np.arange(len(ids))), ids) > scoring.log_probs(first, scoring.contexts(ids, np.arange(len(ids))), ids))
+
+
 @pytest.mark.parametrize("frequent", [0, 5, scoring.FREQUENT])
 def test_scoring_tells_words_apart(spark, frequent):
     """Two words of one shared class, in the same context, differ by their counts in the whole corpus."""
