@@ -20,6 +20,7 @@ in this way, and verifies on all their bits.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -34,6 +35,8 @@ SHINGLE, LIMIT, BITS, HASH_SEED = 4, 4, 64, 42
 SPLIT = 4096
 #: similar(): words of a shingle, least similarity, and fingerprints of a text.
 STAGE_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
+#: similar(): most pairs of just that similarity that may miss each other, whatever the number of texts.
+MISS = 0.01
 #: Relative cost of a key that is shuffled and of a pair that is verified, and the most masked keys of a part.
 KEY_COST, PAIR_COST, MOST_KEYS = 1.0, 0.01, 600
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -185,6 +188,28 @@ def plan(n: int, share: np.ndarray, corr: np.ndarray, limit: int = LIMIT) -> lis
     return [(g, t) for g, t in zip(groups, ts, strict=True) if t >= 0]
 
 
+def rounds(similarity: float, tables: int, limit: int = LIMIT, miss: float = MISS) -> int:
+    """How often the bits of each table have to be dealt into limit + 1 parts that are probed whole, so that a pair of
+    this similarity meets in none with a chance of at most miss: bits differ independently, and parts of several turns
+    share bits, so the chance is taken from 50,000 seeded pairs."""
+    differ = np.random.default_rng(0).random((50000, BITS)) < bit_angle(similarity)
+    apart, turn = np.ones(len(differ), bool), 0
+    while apart.mean() ** tables > miss:
+        for group, _ in whole_parts(np.eye(BITS), limit, 0, turn):
+            apart &= differ[:, group].any(axis=1)
+        turn += 1
+    return turn
+
+
+def whole_parts(corr: np.ndarray, limit: int, table: int, turn: int) -> list[tuple[list[int], int]]:
+    """limit + 1 parts to probe whole, whatever the number of fingerprints: correlated bits together in the first
+    turn, dealt at random, seeded, in the others."""
+    if not turn:
+        return [(g, 0) for g in group_bits(corr, limit + 1)]
+    dealt = np.random.default_rng([table, turn]).permutation(BITS)
+    return [(sorted(g.tolist()), 0) for g in np.array_split(dealt, limit + 1)]
+
+
 def masks(parts: list[tuple[list[int], int]]) -> list[int]:
     """For each key that a fingerprint sends, the bits that it keeps."""
     out = []
@@ -241,13 +266,19 @@ def small_groups(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, limit: in
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(distinct: DataFrame, limit: int = LIMIT, split: int = SPLIT, words: tuple[str, ...] = ("fp",), total: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, limit: int = LIMIT, split: int = SPLIT, words: tuple[str, ...] = ("fp",), total: int | None = None, turn: int | None = None) -> DataFrame:
     """Links (a, b) between distinct nodes (fp) that connect all those whose fingerprints lie within limit bits.
 
     A node may have several fingerprints, its columns words: each is probed by a plan of its own for limit
-    bits, and a pair that meets in any is a link if all its fingerprints together differ by at most total bits."""
+    bits, and a pair that meets in any is a link if all its fingerprints together differ by at most total bits. With
+    turn, the parts are that turn's whole_parts() instead."""
     total = limit if total is None else total
-    keep = [(k, mask) for k, word in enumerate(words) for mask in masks(plan(*bit_statistics(distinct.select(word)), limit))]
+
+    def parts(k: int, word: str) -> list[tuple[list[int], int]]:
+        statistics = (0, None, None) if turn else bit_statistics(distinct.select(word))
+        return plan(*statistics, limit) if turn is None else whole_parts(statistics[2], limit, k, turn)
+
+    keep = [(k, mask) for k, word in enumerate(words) for mask in masks(parts(k, word))]
     if not keep:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     table, signed = np.array([k for k, _ in keep]), np.array([m for _, m in keep], np.uint64).view(np.int64)
@@ -316,28 +347,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes(store(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), id_col, limit, split)
 
 
+def bit_angle(similarity: float) -> float:
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def bits_at(similarity: float, bits: int) -> int:
     """The bits in which two texts differ on average whose shingle sets (of one size) have a Jaccard
     similarity of similarity: each bit differs with the angle between the two over pi."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return round(bits * bit_angle(similarity))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE, tables: int = TABLES, limit: int = LIMIT, split: int = SPLIT) -> DataFrame:
     """As near_duplicates(), by similarity: texts have tables fingerprints of 64 bits each, and a pair that
     meets in the probes of any is a link if all of them put its similarity at similarity or more.
 
-    Pairs within limit bits in one fingerprint are certain to meet; others meet by the number of parts
-    that the plans probe. Nulls, empty texts, ties, repeated rows and empty tables are as there; fp is a hash of
+    Pairs within limit bits in one fingerprint are certain to meet; others of just that similarity miss each
+    other with a chance of at most MISS, whatever the number of texts: probes are fixed by rounds(), one
+    shuffle each, so pairs to verify grow with the square of the texts. Nulls, empty texts, ties, repeated rows and empty tables are as there; fp is a hash of
     the fingerprints."""
     every = store(wide_fingerprints(docs, id_col, text_col, shingle, tables), "fingerprints")
-    return classes(every, id_col, limit, split, tuple(f"w{k}" for k in range(tables)), bits_at(similarity, BITS * tables))
+    return classes(every, id_col, limit, split, tuple(f"w{k}" for k in range(tables)), bits_at(similarity, BITS * tables), rounds(similarity, tables, limit))
 
 
-def classes(every: DataFrame, id_col: str, limit: int, split: int, words: tuple[str, ...] = ("fp",), total: int | None = None) -> DataFrame:
+def classes(every: DataFrame, id_col: str, limit: int, split: int, words: tuple[str, ...] = ("fp",), total: int | None = None, turns: int = 0) -> DataFrame:
     """id, fp and component_id of each row of every (id, fp and words)."""
     more = [w for w in words if w != "fp"]
     distinct = store(every.groupBy("fp").agg(F.min("id").alias("least"), *(F.max(w).alias(w) for w in more)), "distinct")
-    roots = components(links(distinct, limit, split, words, total))
+    if turns:
+        # stored one by one, so that only one turn's shuffle is on disk
+        found = reduce(DataFrame.unionByName, [store(links(distinct, limit, split, words, total, turn), "links") for turn in range(turns)])
+    else:
+        found = links(distinct, limit, split, words, total)
+    roots = components(found)
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # stored, so that AQE can split the join if one component holds most fingerprints
     least = store(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")

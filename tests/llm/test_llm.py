@@ -321,6 +321,21 @@ def test_pigeonhole_is_complete():
             assert any(x & m == y & m for m in keep)
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_probes_of_similar(similarity):
+    """Pairs of a similarity meet as often as stated; no part of the probes' choice knows the number of texts."""
+    import numpy as np
+
+    rng = random.Random(4)
+    turns = simhash.rounds(0.8, simhash.TABLES)
+    keep = [simhash.masks([p for turn in range(turns) for p in simhash.whole_parts(np.full((64, 64), 0.1), simhash.LIMIT, k, turn)]) for k in range(simhash.TABLES)]
+    p, missed = simhash.bit_angle(similarity), 0
+    for _ in range(4000):
+        differ = [sum(1 << b for b in range(64) if rng.random() < p) for _ in keep]
+        missed += all(d & m for d, ms in zip(differ, keep, strict=True) for m in ms)
+    assert missed / 4000 <= simhash.MISS
+
+
 def test_warc(spark, tmp_path):
     big, small = "<p>é𝔘</p>" * 200, "<p>small</p>"
     pages = [(1, "http://a", big), (9, "http://b\r\nX: 1", big), (4, None, big), (5, "u", small), (6, "u", small), (7, "u", None), (8, "u", ""), (None, "u", "n" * 3000), (None, "u", big), (11, "v", "q" * 999), (12, "v", "q" * 999), (13, "v", "q" * 1000), (14, "v", "q" * 1000), (14, "v", "q" * 1000)]
