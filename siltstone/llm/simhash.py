@@ -387,11 +387,15 @@ def classes(every: DataFrame, id_col: str, limit: int, split: int, words: tuple[
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE, tables: int = TABLES) -> DataFrame:
-    """docs, all columns, without those whose component in similar() holds a smaller id; of repeated ids
-    one row stays; rows without an id stay only if nothing with an id is reachable."""
-    found = similar(docs, id_col, text_col, similarity, shingle, tables).where(F.col("component_id").eqNullSafe(F.col(id_col)))
-    ids = found.select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates([id_col])
+    """docs, all columns, one row of each component in similar(): that with the smallest id. Texts decide, not ids: rows
+    with a null id come after all others, rows of one id are told apart by a hash of the text, and of rows with one id and
+    text one stays."""
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text"))
+    found = similar(docs.select(key.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", similarity, shingle, tables)
+    kept = found.where(F.col("component_id") == F.col("_row")).select(F.col("_row.id").alias("_kept"), F.col("_row.text").alias("_hash")).distinct()
+    joined = docs.withColumn("_of", text).join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_of") == F.col("_hash")))
+    return joined.dropDuplicates([id_col, "_of"]).drop("_kept", "_hash", "_of")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -321,6 +321,29 @@ def test_pigeonhole_is_complete():
             assert any(x & m == y & m for m in keep)
 
 
+def test_keep_first(spark):
+    """Null and repeated ids are judged by text: every component of texts keeps one row, of its smallest id."""
+    extra = [(None, "no id " + " ".join(f"n{k}{i}" for i in range(60))) for k in range(2)]
+    extra += [(7, "repeated " + " ".join(f"r{k}{i}" for i in range(60))) for k in range(2)]
+    rows = [(r[0], r[1]) for r in corpus()] + extra
+    wide = [sum(fp << 64 * k for k, fp in enumerate(simhash.wide_fingerprint(t, 5, 4))) for _, t in rows]
+    of = brute_components(list(enumerate(wide)), simhash.bits_at(0.8, 256))
+    ids, members = defaultdict(list), defaultdict(set)
+    for (d, t), c in zip(rows, of, strict=True):
+        ids[c].append(d)
+        members[d, t].add(c)
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = simhash.keep_first(df)
+    got = out.collect()
+    assert out.columns == df.columns
+    assert sorted(min(members[r.doc_id, r.text]) for r in got) == sorted(ids)
+    for r in got:
+        known = [d for d in ids[min(members[r.doc_id, r.text])] if d is not None]
+        assert r.doc_id == (min(known) if known else None)
+    assert set(extra) <= {(r.doc_id, r.text) for r in got}
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
 def test_probes_of_similar(similarity):
     """Pairs of a similarity meet as often as stated; no part of the probes' choice knows the number of texts."""
