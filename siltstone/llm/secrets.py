@@ -12,6 +12,8 @@ the interval join (range frames over positions, which form no pairs) and the gro
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,23 +23,26 @@ PATTERNS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
     "access": (r"AKIA[A-Z0-9]+", 18, 0),
     "hex": (r"[0-9a-f]{16,}", 16, 0),
-    "opaque": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{32,64}(?![A-Za-z0-9+/_-])", 32, 0),
+    "opaque": (r"[A-Za-z0-9+/_-]{32,}+", 32, 0),
     "endpoint": (r"https?://[A-Za-z0-9.-]++(?::[0-9]{1,5})?", 11, 0),
 }
+#: kind -> what its matches have to hold besides
+HOLDS = {"opaque": ("[0-9]", "[A-Za-z]")}
 BASE = ("assign", "access", "hex")
 
 
 def pieces(text: Column, kind: str) -> Column:
     """For one pattern, an entry per match in order: kind, index, the gap before it, its length, and
-    whether it is long enough. Matches that are too short stay, as the sums need their lengths."""
+    whether it is long enough and holds what it has to. Matches that do not stay, as the sums need their lengths."""
     pattern, least, group = PATTERNS[kind]
     one = F.lit(pattern)
     hits = F.regexp_extract_all(text, one, F.lit(0))
     gaps = F.split(text, pattern, -1)
     parts = F.regexp_extract_all(text, one, F.lit(group)) if group else hits
+    ok = lambda part: reduce(Column.__and__, [F.length(part) >= least, *(F.regexp_like(part, F.lit(p)) for p in HOLDS.get(kind, ()))])
     each = F.transform(
         F.arrays_zip(F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), parts.alias("part")),
-        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), F.length(x["hit"]).alias("n"), (F.length(x["part"]) >= least).alias("ok")),
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), F.length(x["hit"]).alias("n"), ok(x["part"]).alias("ok")),
     )
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,n:int,ok:boolean>>")
     return F.when(F.regexp_like(text, one), each).otherwise(none)
