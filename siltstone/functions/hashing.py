@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def text_mod(text: Column, m) -> Column:
-    """The number whose base-256 digits are the text's UTF-8 bytes, modulo m."""
-    digits = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), lambda i: F.conv(F.substr(F.hex(F.encode(text, "UTF-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
-    return F.when(F.octet_length(text) > 0, F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: F.pmod(a * 256 + d, F.lit(m))))
+    """The number whose base-256 digits are the text's UTF-8 bytes, modulo m; null for an empty text."""
+    digits = F.regexp_extract_all(F.hex(text), F.lit("(..)"), F.lit(1))
+    return F.when(F.octet_length(text) > 0, F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: F.pmod(a * 256 + F.conv(d, 16, 10).cast("long"), F.lit(m))))
 
 
 def trailing_zeros(h: Column) -> Column:

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import drop, store
+
 FLOOR = 1e-10
+#: Centres go to every task, so there may be no more.
+MOST_CENTRES = 10_000
 
 
 def distance(v, w):
     return F.sqrt(F.aggregate(F.zip_with(v, w, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def _in_one_row(clusters: DataFrame) -> DataFrame:
+    """All rows as one array, (every), which is broadcast: at most MOST_CENTRES, counted first."""
+    if (n := clusters.count()) > MOST_CENTRES:
+        raise ValueError(f"{n} centres; at most {MOST_CENTRES} can be sent to every task")
+    return F.broadcast(clusters.agg(F.array_sort(F.collect_list(F.struct(*clusters.columns))).alias("every")))
+
+
 def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """points (id, v), centres (c, w) -> (id, c, dist), ties to the smallest c. Centres are k rows and are sent to all tasks."""
-    d = points.crossJoin(F.broadcast(centres)).select("id", "c", distance(F.col("v"), F.col("w")).alias("dist"))
-    best = d.groupBy("id").agg(F.min(F.struct("dist", "c")).alias("m"))
-    return best.select("id", "m.c", "m.dist")
+    """points (id, v), centres (c, w) -> (id, c, dist), ties to the smallest c. No shuffle: each point is compared with an array of the centres."""
+    best = F.array_min(F.transform("every", lambda e: F.struct(distance(F.col("v"), e["w"]).alias("dist"), e["c"].alias("c"))))
+    return points.crossJoin(_in_one_row(centres.select("c", "w"))).select("id", best.alias("m")).select("id", "m.c", "m.dist")
 
 
 def statistics(assigned: DataFrame) -> DataFrame:
@@ -35,11 +47,11 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 def mahalanobis(points: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """(id, c): the nearest cluster of vectors() by scaled distance below threshold, clusters of one point skipped;
-    -1 where there is none."""
-    scaled = lambda v, m, sd: F.sqrt(F.aggregate(F.zip_with(F.zip_with(v, m, lambda x, y: x - y), sd, lambda x, s: x * x / (s * s)), F.lit(0.0), lambda a, x: a + x))
-    d = points.crossJoin(F.broadcast(clusters.where("n > 1"))).select("id", "c", scaled(F.col("v"), F.col("centre"), F.col("sd")).alias("dist")).where(F.col("dist") < threshold)
-    best = d.groupBy("id").agg(F.min(F.struct("dist", "c"))["c"].alias("c"))
-    return points.select("id").join(best, "id", "left").select("id", F.coalesce("c", F.lit(-1)).cast("long").alias("c"))
+    -1 where there is none. No shuffle."""
+    scaled = lambda v, m, sd: F.sqrt(F.aggregate(F.zip_with(F.zip_with(v, m, lambda x, y: x - y), sd, lambda x, y: (x / y) * (x / y)), F.lit(0.0), lambda s, x: s + x))
+    each = F.transform("every", lambda e: F.struct(scaled(F.col("v"), e["centre"], e["sd"]).alias("dist"), e["c"].alias("c")))
+    best = F.array_min(F.filter(each, lambda x: x["dist"] < threshold))
+    return points.crossJoin(_in_one_row(clusters.where("n > 1").select("c", "centre", "sd"))).select("id", F.coalesce(best["c"], F.lit(-1)).cast("long").alias("c"))
 
 
 def maximin(points: DataFrame, k: int) -> list[list[float]]:
@@ -47,63 +59,77 @@ def maximin(points: DataFrame, k: int) -> list[list[float]]:
     first = points.orderBy("id").select("v").first()
     seeds = [list(first["v"])] if first else []
     while first and len(seeds) < k:
-        lits = [F.array(*map(F.lit, s)) for s in seeds]
-        d = F.least(*(distance(F.col("v"), s) for s in lits)) if len(lits) > 1 else distance(F.col("v"), lits[0])
+        chosen = F.array(*(F.array(*map(F.lit, s)) for s in seeds))
+        d = F.array_min(F.transform(chosen, lambda s: distance(F.col("v"), s)))
         seeds.append(list(points.select(F.max_by("v", F.struct(d, -F.col("id")))).first()[0]))
     return seeds
 
 
-def _assigner(centres: np.ndarray):
+def _vectors(column: pa.ListArray, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _assign(points: DataFrame, centres: np.ndarray) -> DataFrame:
+    """points (id, v, c) -> (id, v, c, moved): the nearest centre, and whether it is another than c."""
+
     def run(batches):
-        for pdf in batches:
-            x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.empty((0, centres.shape[1]))
-            d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
-            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "c": d.argmin(axis=1).astype("int64")})
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x = _vectors(part.column(1), centres.shape[1])
+                now = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1).astype(np.int64)
+                moved = now != part.column(2).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(now), pa.array(moved)], names=["id", "v", "c", "moved"])
 
-    return run
+    return points.select("id", "v", "c").mapInArrow(run, "id long, v array<double>, c long, moved boolean")
 
 
 def kmeans(points: DataFrame, k: int, rounds: int = 10) -> DataFrame:
     """(id, v, c): Lloyd steps from maximin seeds, until a fiftieth of the points or 100, the larger, at most change,
-    or rounds are over; the last assignment is to the last centres. Only k centres go through the driver."""
-    points = points.select("id", "v").persist()
-    n, centres = points.count(), np.array(maximin(points, k))
+    or rounds are over; the last assignment is to the last centres. Only k centres go through the driver; every round's
+    assignment is stored."""
+    now = store(points.select("id", "v", F.lit(-1).cast("long").alias("c")), "points")
+    n = now.count()
     if not n:
-        return points.withColumn("c", F.lit(0).cast("long"))
-    old = points.select("id", F.lit(-1).cast("long").alias("old"))
+        return now
+    centres = np.array(maximin(now, k))
     for _ in range(rounds):
-        now = points.mapInPandas(_assigner(centres), "id long, v array<double>, c long").persist()
-        changed = now.join(old, "id").where("c <> old").count()
+        step = store(_assign(now, centres), "assigned")
+        drop(now)
+        now = step
+        changed = now.where("moved").count()
         for r in vectors(statistics(now)).collect():
             centres[r["c"]] = r["centre"]
-        old = now.select("id", F.col("c").alias("old"))
         if changed <= max(n / 50, 100):
             break
-    return points.mapInPandas(_assigner(centres), "id long, v array<double>, c long")
+    return _assign(now, centres).select("id", "v", "c")
 
 
 class Bfr:
-    """Discard, compression and retained sets over rounds of points; a round is assigned against the statistics
-    at its start, then merged; with sequential, statistics move after every point, in the order of ids. A round's
-    points go through the driver."""
+    """Discard (DS), compression (CS) and retained (RS) sets over rounds of points.
+
+    The statistics of the clusters, a few numbers each, are on the driver; who belongs where is a stored table for each
+    round. With sequential, as the method is defined, statistics move after every point in the order of ids, so one task
+    reads a round after the other batch; else a round's points are assigned against the statistics at its start, in
+    parallel, which are then merged."""
 
     def __init__(self, k: int, sequential: bool = False):
-        self.sequential = sequential
-        self.k, self.ds, self.cs, self.rs, self.report, self.seen = k, [], [], None, [], 0
-        self.assigned = []
+        self.k, self.sequential, self.seen = k, sequential, 0
+        self.ds, self.cs, self.report, self.placed, self.rs = [], [], [], [], None
 
     @staticmethod
-    def _new(pdf: pd.DataFrame) -> dict:
-        x = np.stack(pdf["v"].to_numpy())
-        return {"n": len(x), "s": x.sum(axis=0), "ss": (x * x).sum(axis=0), "ids": [pdf["id"].to_numpy()]}
+    def _stats(assigned: DataFrame) -> dict[int, dict]:
+        """(c, v) -> per c its n, s and ss."""
+        rows = statistics(assigned).groupBy("c").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "s", "ss"))).alias("a"))
+        return {r["c"]: {"n": r["n"], "s": np.array([x["s"] for x in r["a"]]), "ss": np.array([x["ss"] for x in r["a"]])} for r in rows.collect()}
 
-    def _split(self, points: DataFrame, k: int) -> tuple[list[dict], pd.DataFrame]:
-        """Clusters of several points, and single points."""
-        groups = [g for _, g in kmeans(points, k).toPandas().groupby("c")]
-        return [self._new(g) for g in groups if len(g) > 1], pd.concat([g for g in groups if len(g) == 1] or [pd.DataFrame({"id": [], "v": [], "c": []})])
+    @staticmethod
+    def _add(to: dict, more: dict) -> None:
+        to["n"], to["s"], to["ss"] = to["n"] + more["n"], to["s"] + more["s"], to["ss"] + more["ss"]
 
     @staticmethod
-    def _place(x: np.ndarray, clusters: list[dict]) -> np.ndarray:
+    def _nearest(x: np.ndarray, clusters: list[dict]) -> np.ndarray:
+        """Of each row of x the nearest cluster within the threshold, -1 if there is none."""
         best, where = np.full(len(x), 2 * np.sqrt(x.shape[1])), np.full(len(x), -1)
         for i, c in enumerate(clusters):
             if c["n"] > 1:
@@ -112,48 +138,107 @@ class Bfr:
                 where[d < best], best = i, np.minimum(d, best)
         return where
 
-    def _add(self, pdf: pd.DataFrame, clusters: list[dict]) -> pd.DataFrame:
-        if not len(pdf):
-            return pdf
-        where = self._place(np.stack(pdf["v"].to_numpy()), clusters)
-        for i in set(where.tolist()) - {-1}:
-            new, c = self._new(pdf[where == i]), clusters[i]
-            c.update(n=c["n"] + new["n"], s=c["s"] + new["s"], ss=c["ss"] + new["ss"], ids=c["ids"] + new["ids"])
-        return pdf[where == -1]
+    def _keep(self, kind: str, found: DataFrame) -> None:
+        self.placed.append(store(found.select("id", F.lit(kind).alias("kind"), F.col("c").cast("long").alias("c")), "placed"))
+
+    def _groups(self, points: DataFrame, k: int) -> tuple[DataFrame, dict[int, dict]]:
+        """The k-means clusters of points, stored, and their statistics."""
+        found = store(kmeans(points, k), "clusters")
+        return found, self._stats(found)
+
+    def _renamed(self, found: DataFrame, to: dict[int, int]) -> DataFrame:
+        """(id, c) of the clusters that to names, under their new numbers: at most five times k."""
+        names = found.sparkSession.createDataFrame(list(to.items()), "c long, t long")
+        return found.join(F.broadcast(names), "c").select("id", F.col("t").alias("c"))
+
+    def _alone(self, found: DataFrame, stats: dict[int, dict]) -> DataFrame:
+        """(id, v) of the clusters of one point: at most five times k."""
+        return found.where(F.col("c").isin([c for c, x in stats.items() if x["n"] == 1])).select("id", "v")
+
+    def _retain(self, rs: DataFrame) -> None:
+        old, self.rs = self.rs, store(rs, "retained")
+        if old is not None:
+            drop(old)
+
+    def _first(self, points: DataFrame) -> None:
+        sample = points.where(F.pmod(F.xxhash64("id"), F.lit(10)) == 0)
+        rest = points.where(F.pmod(F.xxhash64("id"), F.lit(10)) != 0)
+        found, stats = self._groups(sample, self.k)
+        order = sorted(stats)
+        self.ds = [stats[c] for c in order]
+        self._keep("ds", self._renamed(found, {c: i for i, c in enumerate(order)}))
+        found, stats = self._groups(rest, 5 * self.k)
+        order = [c for c in sorted(stats) if stats[c]["n"] > 1]
+        self.cs = [stats[c] for c in order]
+        self._keep("cs", self._renamed(found, {c: i for i, c in enumerate(order)}))
+        self._retain(self._alone(found, stats))
+
+    def _later(self, points: DataFrame) -> None:
+        ds, cs, sequential = self.ds, self.cs, self.sequential
+        nearest_of = self._nearest
+
+        def run(batches):
+            own = [[{k: (x.copy() if k != "n" else x) for k, x in c.items()} for c in group] for group in (ds, cs)]
+            d = len((ds or cs)[0]["s"])
+            for b in batches:
+                x = _vectors(b.column(1), d)
+                kind, at = np.full(len(x), 2), np.full(len(x), -1)
+                if sequential:
+                    for i in range(len(x)):
+                        for g, group in enumerate(own):
+                            p = int(nearest_of(x[i : i + 1], group)[0])
+                            if p >= 0:
+                                kind[i], at[i] = g, p
+                                c = group[p]
+                                c["n"], c["s"], c["ss"] = c["n"] + 1, c["s"] + x[i], c["ss"] + x[i] * x[i]
+                                break
+                else:
+                    for g, group in reversed(list(enumerate(own))):
+                        p = nearest_of(x, group)
+                        kind[p >= 0], at = g, np.where(p >= 0, p, at)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(["ds", "cs", "rs"])[kind]), pa.array(at)], names=["id", "v", "kind", "c"])
+
+        dealt = points.coalesce(1).sortWithinPartitions("id") if sequential else points
+        found = store(dealt.mapInArrow(run, "id long, v array<double>, kind string, c long"), "round")
+        for kind, group in (("ds", self.ds), ("cs", self.cs)):
+            for c, more in self._stats(found.where(F.col("kind") == kind)).items():
+                self._add(group[c], more)
+            self._keep(kind, found.where(F.col("kind") == kind))
+        self._retain(self.rs.unionByName(found.where("kind = 'rs'").select("id", "v")))
+        retained = self.rs.count()
+        if retained > 50 * self.k and retained > self.seen / 100:
+            self._compact()
+
+    def _compact(self) -> None:
+        found, stats = self._groups(self.rs, 5 * self.k)
+        to = {}
+        for c in (c for c in sorted(stats) if stats[c]["n"] > 1):
+            at = int(self._nearest((stats[c]["s"] / stats[c]["n"])[None], self.cs)[0])
+            if at < 0:
+                at = len(self.cs)
+                self.cs.append(stats[c])
+            else:
+                self._add(self.cs[at], stats[c])
+            to[c] = at
+        self._keep("cs", self._renamed(found, to))
+        self._retain(self._alone(found, stats))
 
     def round(self, points: DataFrame) -> None:
-        spark, schema = points.sparkSession, "id long, v array<double>"
-        frame = lambda pdf: spark.createDataFrame([(int(i), [float(y) for y in v]) for i, v in zip(pdf["id"], pdf["v"], strict=True)], schema)
-        first = not self.ds
-        if first:
-            sample = points.where(F.pmod(F.xxhash64("id"), F.lit(10)) == 0)
-            self.ds, alone = self._split(sample, self.k)
-            rest = pd.concat([points.join(sample.select("id"), "id", "left_anti").toPandas(), alone[["id", "v"]]])
-            self.cs, self.rs = self._split(frame(rest), 5 * self.k)
-        else:
-            chunk = points.toPandas().sort_values("id")
-            steps = [chunk.iloc[i : i + 1] for i in range(len(chunk))] if self.sequential else [chunk]
-            left = pd.concat([self._add(self._add(x, self.ds), self.cs) for x in steps] or [chunk])
-            self.rs = pd.concat([self.rs[["id", "v"]], left[["id", "v"]]])
+        """Takes the points (id, v) of one round; the report gets a row of its counters."""
+        points = store(points.select("id", "v"), "points")
         self.seen += points.count()
-        if not first and len(self.rs) > 50 * self.k and len(self.rs) > self.seen / 100:
-            more, self.rs = self._split(frame(self.rs), 5 * self.k)
-            for c in more:
-                at = self._place((c["s"] / c["n"])[None], self.cs)[0]
-                if at < 0:
-                    self.cs.append(c)
-                else:
-                    old = self.cs[at]
-                    old.update(n=old["n"] + c["n"], s=old["s"] + c["s"], ss=old["ss"] + c["ss"], ids=old["ids"] + c["ids"])
-        self.report.append((len(self.report) + 1, len(self.ds), int(sum(c["n"] for c in self.ds)), len(self.cs), int(sum(c["n"] for c in self.cs)), len(self.rs)))
-
-    def result(self) -> list[tuple[int, int]]:
-        """(id, cluster); compression sets near a cluster join it, others are clusters of their own, retained points -1."""
-        out = [(int(i), k) for k, c in enumerate(self.ds) for x in c["ids"] for i in x]
-        extra = len(self.ds)
-        for c in self.cs:
-            at = int(self._place((c["s"] / c["n"])[None], self.ds)[0])
-            if at < 0:
-                at, extra = extra, extra + 1
-            out += [(int(i), at) for x in c["ids"] for i in x]
-        return out + [(int(i), -1) for i in self.rs["id"]]
+        self._later(points) if self.report else self._first(points)
+        drop(points)
+        sums = (len(self.ds), sum(c["n"] for c in self.ds), len(self.cs), sum(c["n"] for c in self.cs), self.rs.count())
+        self.report.append((len(self.report) + 1, *map(int, sums)))
+
+    def result(self) -> DataFrame:
+        """(id, c): compression sets near a cluster join it, others are clusters of their own, retained points -1."""
+        to, extra = {}, len(self.ds)
+        for i, c in enumerate(self.cs):
+            at = int(self._nearest((c["s"] / c["n"])[None], self.ds)[0]) if len(self.report) > 1 else -1  # one round sets no threshold
+            to[i] = at if at >= 0 else extra
+            extra += at < 0
+        names = self.rs.sparkSession.createDataFrame([("ds", i, i) for i in range(len(self.ds))] + [("cs", i, t) for i, t in to.items()], "kind string, c long, t long")
+        every = reduce(DataFrame.unionByName, self.placed).join(F.broadcast(names), ["kind", "c"]).select("id", F.col("t").alias("c"))
+        return every.unionByName(self.rs.select("id", F.lit(-1).cast("long").alias("c")))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import drop, store
+
 
 def baskets(pairs: DataFrame, min_size: int = 0) -> DataFrame:
     """pairs (basket, item) -> baskets of more than min_size distinct items."""
@@ -17,43 +19,50 @@ def baskets(pairs: DataFrame, min_size: int = 0) -> DataFrame:
 
 def frequent_itemsets(pairs: DataFrame, support: int, min_size: int = 0, max_len: int = 99) -> DataFrame:
     """Itemsets in at least support baskets: (itemset array, size, support). Level k joins the baskets' frequent
-    (k-1)-sets with their later frequent items, so counting is a grouped sum with a combine and no candidate
-    list is sent around."""
+    (k-1)-sets, which are stored, with their later frequent items, so counting is a grouped sum with a combine and no
+    candidate list is sent around."""
     pairs = pairs.select("basket", "item").distinct()
     if min_size:
         pairs = pairs.join(pairs.groupBy("basket").count().where(F.col("count") > min_size).select("basket"), "basket", "left_semi")
-    one = pairs.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support)
-    items = pairs.join(one.select("item"), "item").select("basket", "item").persist()
+    pairs = store(pairs, "pairs")
+    one = store(pairs.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support), "one")
+    items = store(pairs.join(one.select("item"), "item").select("basket", "item"), "items")
     have = items.select("basket", F.array("item").alias("itemset"))
     out = one.select(F.array("item").alias("itemset"), "support")
     for _ in range(2, max_len + 1):
         wider = have.join(items, "basket").where(F.col("item") > F.element_at("itemset", -1)).select("basket", F.concat("itemset", F.array("item")).alias("itemset"))
-        level = wider.groupBy("itemset").agg(F.count("*").alias("support")).where(F.col("support") >= support).persist()
+        level = store(wider.groupBy("itemset").agg(F.count("*").alias("support")).where(F.col("support") >= support), "level")
         if level.isEmpty():
             break
         out = out.unionByName(level.select("itemset", "support"))
-        have = wider.join(level.select("itemset"), "itemset", "left_semi")
+        now = store(wider.join(level.select("itemset"), "itemset", "left_semi"), "have")
+        if hasattr(have, "_stored"):
+            drop(have)
+        have = now
     return out.withColumn("size", F.size("itemset"))
 
 
 def vertical_itemsets(pairs: DataFrame, support: int, chunk: int = 10_000) -> DataFrame:
     """The same by intersecting lists of baskets. Baskets are dealt into chunks of about chunk baskets, so that an
-    item's list has that length at most in each; a set's support is the sum over the chunks."""
-    pairs = pairs.select("basket", "item").distinct()
-    one = pairs.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    item's list has that length at most in each; a set's support is the sum over the chunks. Two sets of a chunk that agree
+    but for their last item meet by an equi-join on the chunk and what they share."""
+    pairs = store(pairs.select("basket", "item").distinct(), "pairs")
+    one = store(pairs.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support), "one")
     chunks = max(1, math.ceil(pairs.select("basket").distinct().count() / chunk))
     dealt = pairs.join(one.select("item"), "item").withColumn("part", F.pmod(F.xxhash64("basket"), F.lit(chunks)))
-    lists = dealt.groupBy("part", "item").agg(F.collect_list("basket").alias("also")).persist()
-    have = lists.select("part", F.array("item").alias("itemset"), F.col("also").alias("held"))
+    have = store(dealt.groupBy("part", "item").agg(F.collect_list("basket").alias("held")).select("part", F.slice(F.array("item"), 1, 0).alias("head"), "item", "held"), "lists")
     out = one.select(F.array("item").alias("itemset"), "support")
     while True:
-        met = have.join(lists, "part").where(F.col("item") > F.element_at("itemset", -1))
-        wider = met.select("part", F.concat("itemset", F.array("item")).alias("itemset"), F.array_intersect("held", "also").alias("held")).where(F.size("held") > 0).persist()
-        level = wider.groupBy("itemset").agg(F.sum(F.size("held")).alias("support")).where(F.col("support") >= support).persist()
+        later = have.select("part", "head", F.col("item").alias("next"), F.col("held").alias("also"))
+        met = have.join(later, ["part", "head"]).where(F.col("item") < F.col("next"))
+        wider = store(met.select("part", F.concat("head", F.array("item")).alias("head"), F.col("next").alias("item"), F.array_intersect("held", "also").alias("held")).where(F.size("held") > 0), "wider")
+        level = store(wider.groupBy("head", "item").agg(F.sum(F.size("held")).alias("support")).where(F.col("support") >= support), "level")
         if level.isEmpty():
             return out.withColumn("size", F.size("itemset"))
-        out = out.unionByName(level)
-        have = wider.join(level.select("itemset"), "itemset", "left_semi")
+        out = out.unionByName(level.select(F.concat("head", F.array("item")).alias("itemset"), "support"))
+        now = store(wider.join(level.select("head", "item"), ["head", "item"], "left_semi"), "have")
+        drop(have, wider)
+        have = now
 
 
 def fpgrowth_itemsets(pairs: DataFrame, support: int) -> DataFrame:
@@ -85,26 +94,38 @@ def mine_chunk(chunk: list[list], threshold: int) -> list[tuple]:
     return found
 
 
-def son_candidates(b: DataFrame, support: int) -> DataFrame:
-    """Itemsets that are frequent in some partition, in proportion to its share of the baskets."""
+def son_candidates(b: DataFrame, support: int, chunk: int = 20_000) -> DataFrame:
+    """Itemsets that are frequent in some chunk, in proportion to its share of the baskets. A chunk is what follows on
+    each other in a partition, of at most chunk baskets, so a task holds no more."""
     total = b.count()
 
     def mine(batches):
-        chunk = [list(x) for pdf in batches for x in pdf["items"]]
-        if chunk:
-            yield pd.DataFrame({"itemset": [list(k) for k in mine_chunk(chunk, max(1, math.ceil(len(chunk) * support / total)))]})
+        held = []
+        for pdf in batches:
+            for x in pdf["items"]:
+                held.append(list(x))
+                if len(held) == chunk:
+                    yield frame(held)
+                    held = []
+        if held:
+            yield frame(held)
+
+    def frame(held):
+        return pd.DataFrame({"itemset": [list(k) for k in mine_chunk(held, max(1, math.ceil(len(held) * support / total)))]})
 
     item = b.schema["items"].dataType.simpleString()
     return b.select("items").mapInPandas(mine, f"itemset {item}").distinct()
 
 
 def son_itemsets(pairs: DataFrame, support: int, min_size: int = 0) -> DataFrame:
-    """Candidates by partition, then counted in all baskets: a candidate meets the baskets of its first item,
-    and those that hold the rest are counted."""
-    b = baskets(pairs, min_size).persist()
-    candidates = son_candidates(b, support).withColumn("item", F.element_at("itemset", 1))
+    """Candidates by chunk, then counted in all baskets: a candidate meets the baskets of its rarest item, so that common
+    items multiply little, and those that hold the rest are counted."""
+    b = store(baskets(pairs, min_size), "baskets")
+    candidates = store(son_candidates(b, support), "candidates")
     each = b.select("basket", "items", F.explode("items").alias("item"))
-    hit = candidates.join(each, "item").where(F.size(F.array_except("itemset", "items")) == 0)
+    counts = each.groupBy("item").agg(F.count("*").alias("n"))
+    rarest = candidates.select("itemset", F.explode("itemset").alias("item")).join(counts, "item").groupBy("itemset").agg(F.min(F.struct("n", "item"))["item"].alias("item"))
+    hit = rarest.join(each, "item").where(F.size(F.array_except("itemset", "items")) == 0)
     return hit.groupBy("itemset").agg(F.count("*").alias("support")).where(F.col("support") >= support).withColumn("size", F.size("itemset"))
 
 
@@ -115,5 +136,3 @@ def report(itemsets: list[tuple]) -> str:
         by_size[len(x)].append(x)
     one = lambda x: "(" + ", ".join(f"'{v}'" for v in x) + ")"
     return "\n\n".join(",".join(map(one, by_size[k])) for k in sorted(by_size))
-
-

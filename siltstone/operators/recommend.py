@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.similarity import jaccard
+from siltstone.storage import store
+
 EPS = 1e-9
 
 
@@ -13,9 +16,10 @@ def term_frequency(docs: DataFrame, stop: list[str], rare: float = 1e-6) -> Data
     a document's words left out, tf = n / the document's greatest n."""
     words = docs.where(F.col("text").isNotNull()).select("id", F.explode(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")).alias("w"))
     counts = words.where("w <> ''").select("id", F.lower("w").alias("term")).where(~F.col("term").isin(*stop)).groupBy("id", "term").agg(F.count("*").alias("n"))
-    doc = Window.partitionBy("id")
-    kept = counts.withColumn("all", F.sum("n").over(doc)).where(F.col("n") >= rare * F.col("all"))
-    return kept.withColumn("tf", F.col("n") / F.max("n").over(doc)).select("id", "term", "n", "tf")
+    size = counts.groupBy("id").agg(F.sum("n").alias("all"))
+    kept = store(counts.join(size, "id").where(F.col("n") >= rare * F.col("all")).select("id", "term", "n"), "terms")
+    top = kept.groupBy("id").agg(F.max("n").alias("top"))
+    return kept.join(top, "id").select("id", "term", "n", (F.col("n") / F.col("top")).alias("tf"))
 
 
 def inverse_frequency(tf: DataFrame) -> DataFrame:
@@ -36,22 +40,28 @@ def user_profiles(reviews: DataFrame, items: DataFrame, k: int = 400) -> DataFra
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("n"), "term"))).where(F.col("rank") <= k)
 
 
-def content_predict(pairs: DataFrame, users: DataFrame, items: DataFrame, least: float = 0.01) -> DataFrame:
-    """Set cosine of the profiles of (user, id) pairs, where it reaches least."""
+def content_predict(users: DataFrame, items: DataFrame, pairs: DataFrame | None = None, least: float = 0.01) -> DataFrame:
+    """Set cosine of the profiles of users and items, where it reaches least: of all that share a term, or of given (user, id) pairs."""
     nu, ni = users.groupBy("user").agg(F.count("*").alias("nu")), items.groupBy("id").agg(F.count("*").alias("ni"))
-    both = pairs.select("user", "id").distinct().join(users.select("user", "term"), "user").join(items.select("id", "term"), ["id", "term"]).groupBy("user", "id").agg(F.count("*").alias("c"))
+    met = users.select("user", "term")
+    if pairs is None:
+        met = met.join(items.select("id", "term"), "term")
+    else:
+        met = met.join(pairs.select("user", "id").distinct(), "user").join(items.select("id", "term"), ["id", "term"])
+    both = met.groupBy("user", "id").agg(F.count("*").alias("c"))
     return both.join(nu, "user").join(ni, "id").select("user", "id", (F.col("c") / F.sqrt(F.col("nu") * F.col("ni"))).alias("sim")).where(F.col("sim") >= least)
 
 
 def pearson(ratings: DataFrame, pairs: DataFrame | None = None, least: int = 3) -> DataFrame:
     """ratings (k, other, stars) -> (a, b, sim), a < b: Pearson over what both have rated, at least `least`,
-    means over that only; positive similarities. Only co-rated pairs are formed, by an equi-join on the other
-    side; centred sums come from one grouped aggregate."""
+    means over that only; positive similarities. Without pairs, all that are co-rated are formed, by an equi-join on the
+    other side; with pairs (a, b), those meet the ratings of both. Centred sums come from one grouped aggregate."""
     x = ratings.select(F.col("k").alias("a"), "other", F.col("stars").alias("sa"))
     y = ratings.select(F.col("k").alias("b"), "other", F.col("stars").alias("sb"))
-    both = x.join(y, "other").where("a < b")
-    if pairs is not None:
-        both = both.join(pairs, ["a", "b"], "left_semi")
+    if pairs is None:
+        both = x.join(y, "other").where("a < b")
+    else:
+        both = pairs.select("a", "b").distinct().join(x, "a").join(y, ["b", "other"])
     sums = both.groupBy("a", "b").agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(n) for e, n in (("sa", "x"), ("sb", "y"), ("sa*sb", "xy"), ("sa*sa", "xx"), ("sb*sb", "yy"))))
     top, vx, vy = F.expr("xy - x * y / n"), F.expr("xx - x * x / n"), F.expr("yy - y * y / n")
     good = sums.where((F.col("n") >= least) & (top > EPS) & (vx > EPS) & (vy > EPS))
@@ -82,6 +92,11 @@ def _nearest(pairs, model, known, on, k=3):
     return first
 
 
+def jaccard_gate(pairs: DataFrame, ratings: DataFrame, least: float = 0.01) -> DataFrame:
+    """Of pairs (a, b), those whose rated sets, ratings (k, other), reach a Jaccard similarity of least."""
+    return jaccard(pairs, ratings.select(F.col("k").alias("id"), F.col("other").alias("x")), least).select("a", "b")
+
+
 def predict_items(pairs: DataFrame, model: DataFrame, ratings: DataFrame) -> DataFrame:
     """pairs (user, item), ratings (user, item, stars) -> (user, item, stars): mean of the user's ratings of the three
     most similar items, weighted by similarity."""
@@ -92,10 +107,11 @@ def predict_items(pairs: DataFrame, model: DataFrame, ratings: DataFrame) -> Dat
 
 
 def predict_users(pairs: DataFrame, model: DataFrame, ratings: DataFrame) -> DataFrame:
-    """The user's mean plus the weighted deviations of the three most similar users from their means of other items."""
+    """The user's mean plus the weighted deviations of the three most similar users from their means of other items; deviations
+    that sum up to 0 give nothing."""
     asked = pairs.select("user", "item", F.col("item").alias("other"))
     means = ratings.groupBy("user").agg(F.sum("stars").alias("t"), F.count("*").alias("c"))
     known = ratings.join(means, "user").where("c > 1").select(F.col("user").alias("neighbour"), F.col("item").alias("other"), (F.col("stars") - (F.col("t") - F.col("stars")) / (F.col("c") - 1)).alias("s"))
     sums = _nearest(asked, model, known, "user").groupBy("user", "item").agg(F.count("*").alias("n"), F.sum(F.col("s") * F.col("sim")).alias("d"), F.sum(F.abs("sim")).alias("w"))
     own = means.select("user", (F.col("t") / F.col("c")).alias("mean"))
-    return sums.where("n > 1 and w > 0").join(own, "user").select("user", "item", (F.col("mean") + F.col("d") / F.col("w")).alias("stars"))
+    return sums.where((F.col("n") > 1) & (F.col("w") > 0) & (F.abs("d") > EPS)).join(own, "user").select("user", "item", (F.col("mean") + F.col("d") / F.col("w")).alias("stars"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What separates words in top_words().
+#: Fixed value: the class of characters that separate words in top_words(); results depend on it.
 SEPARATORS = r"[;,.:?!\s()\[\]]"
 
 
@@ -38,6 +38,12 @@ def partition_layout(df: DataFrame, parts: int, key: str | None = None) -> DataF
     return dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n_items"))
 
 
+def partition_totals(df: DataFrame, parts: int, key: str | None = None) -> DataFrame:
+    """One row: the number of partitions that df is dealt to, empty ones included, and its rows."""
+    rows = partition_layout(df, parts, key).agg(F.coalesce(F.sum("n_items"), F.lit(0)).alias("n_items"))
+    return rows.select(F.lit(parts).alias("n_partitions"), "n_items")
+
+
 def filtered_pairs(reviews: DataFrame, items: DataFrame, state: str) -> DataFrame:
     """Distinct (user, item) of reviews of the items in a state."""
     return reviews.join(items.where(F.col("state") == state).select("item"), "item").select("user", "item").distinct()

@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.storage import store
+
 BROADCAST = 1_000_000
 
 
 def numbered(df: DataFrame, col: str) -> DataFrame:
     """(col, x): distinct values numbered from 0 in order. Ranges of values are numbered apart, after what the
     ranges before them hold, so no task gets all values; a range's count is one row."""
-    dealt = df.select(col).distinct().repartitionByRange(col).withColumn("_p", F.spark_partition_id()).persist()
+    dealt = df.select(col).distinct().repartitionByRange(col).withColumn("_p", F.spark_partition_id())
+    dealt = store(dealt, "numbered")
     counts = sorted((r["_p"], r["n"]) for r in dealt.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row per partition
     before = accumulate((n for _, n in counts), initial=0)
     starts = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "_p int, _s long")
@@ -92,7 +95,7 @@ def exact_pairs(sets: DataFrame, least: float) -> DataFrame:
 def jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b, sim) of the pairs whose sets (id, x) reach least. Up to BROADCAST elements, counted first, the sets are
     broadcast, so that pairs times elements are not shuffled; beyond, they are joined."""
-    sets = sets.select("id", "x").distinct().persist()
+    sets = store(sets.select("id", "x").distinct(), "sets")
     near = F.broadcast if sets.count() <= BROADCAST else lambda df: df
     size = sets.groupBy("id").agg(F.count("*").alias("n"))
     common = (

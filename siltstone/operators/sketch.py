@@ -11,7 +11,8 @@ BLOOM_HASHES, BITS_PER_KEY, FM_HASHES = 5, 50, 100
 
 
 def positions(text: Column, m: int, hashes: int = BLOOM_HASHES) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod((i * 7919 + 17) * text_mod(text, m) + i * 104729 + 31, F.lit(m)).cast("long"))
+    x = text_mod(text, m)
+    return F.array(*(F.pmod(F.lit(i * 7919 + 17) * x + i * 104729 + 31, F.lit(m)).cast("long") for i in range(hashes)))
 
 
 def bloom_build(train: DataFrame, col: str) -> tuple[DataFrame, int]:
@@ -29,6 +30,12 @@ def bloom_probe(probe: DataFrame, col: str, bits: DataFrame, m: int) -> DataFram
     return hit.select("k", F.when(F.col("k") == "", 0).otherwise(F.col("hit")).alias("hit"))
 
 
+def bloom_probe_rows(probe: DataFrame, order: str, col: str, bits: DataFrame, m: int) -> DataFrame:
+    """Per row of probe (order, hit), to be written in the order of that column; each key is tested once."""
+    hits = bloom_probe(probe, col, bits, m)
+    return probe.select(F.col(order).alias("order"), F.coalesce(F.col(col), F.lit("")).alias("k")).join(hits, "k").select("order", "hit")
+
+
 def fm_estimate(rows: DataFrame, groups: list[str], key: str, weight: str | None = None) -> DataFrame:
     """rows of a key, each standing for weight rows (else one) -> (groups, truth, estimate, accuracy): hash i of a key is the sum of its characters' codes times (i + place),
     modulo the power of two at or below the number of rows; 2^(greatest - least trailing zeros) per hash, the
@@ -49,8 +56,8 @@ def fm_estimate(rows: DataFrame, groups: list[str], key: str, weight: str | None
 
 
 def reservoir(rows: DataFrame, key: str, capacity: int = 100) -> DataFrame:
-    """A uniform sample by the smallest hashes of a key: the same rows in every run and layout, one top-k pass."""
-    return rows.withColumn("_h", F.pmod(F.col(key) * 2654435761 + 40503, F.lit(4294967291))).orderBy("_h", key).limit(capacity).drop("_h")
+    """A uniform sample by the smallest MD5 values of a key: the same rows in every run and layout, one top-k pass."""
+    return rows.withColumn("_h", F.md5(F.col(key).cast("string"))).orderBy("_h", key).limit(capacity).drop("_h")
 
 
 def top_tags(sample: DataFrame, tag: str, ranks: int = 3) -> DataFrame:

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from siltstone.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
-from siltstone.sources.io import betweenness_lines, community_lines, itemset_lines, scratch, table
+from siltstone.sources import io
+from siltstone.sources.io import betweenness_lines, community_lines, table
+from siltstone.storage import drop, new_path, store
 
 STOP = ["the", "and", "of", "de", "la", "der", "die", "und", "in", "is"]
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
@@ -77,9 +79,10 @@ def partition_layout_custom(s, d):
     return relational.partition_layout(table(s, d, "orders"), 8, "o_custkey")
 
 
-@query("SELECT count(*) AS n_items FROM orders")
+@query("SELECT 8 AS n_partitions, count(*) AS n_items FROM orders")
 def partition_layout_total(s, d):
-    return relational.partition_layout(table(s, d, "orders"), 8, "o_custkey").agg(F.sum("n_items").alias("n_items"))
+    """Rows and partitions, empty ones included, of an even deal."""
+    return relational.partition_totals(table(s, d, "orders"), 8)
 
 
 @query("""SELECT DISTINCT o_orderkey AS "user", o_custkey AS item FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey = 3""")
@@ -97,21 +100,21 @@ def anti_sample(s, d):
 # --- frequent itemsets ---
 
 
-def purchases(s, d):
-    return table(s, d, "events").where(F.col("event_type") == "purchase").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+def visits(s, d):
+    return table(s, d, "events").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-PURCHASES = "p AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_type = 'purchase')"
+VISITS = "p AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
 
 
-@query(f"WITH {PURCHASES} SELECT user_id AS basket, string_agg(k, ',' ORDER BY k) AS items FROM p WHERE k IS NOT NULL GROUP BY 1")
+@query(f"WITH {VISITS} SELECT user_id AS basket, string_agg(k, ',' ORDER BY k) AS items FROM p WHERE k IS NOT NULL GROUP BY 1")
 def baskets_case1(s, d):
-    return itemsets.baskets(purchases(s, d).select(F.col("user_id").alias("basket"), F.col("k").alias("item"))).select("basket", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
+    return itemsets.baskets(visits(s, d).select(F.col("user_id").alias("basket"), F.col("k").alias("item"))).select("basket", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
 
 
-@query(f"WITH {PURCHASES} SELECT k AS basket, string_agg(user_id, ',' ORDER BY user_id) AS items FROM p GROUP BY 1 HAVING count(*) > 2")
+@query(f"WITH {VISITS} SELECT k AS basket, string_agg(user_id, ',' ORDER BY user_id) AS items FROM p GROUP BY 1 HAVING count(*) > 2")
 def baskets_case2(s, d):
-    return itemsets.baskets(purchases(s, d).select(F.col("k").alias("basket"), F.col("user_id").alias("item")), 2).select("basket", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
+    return itemsets.baskets(visits(s, d).select(F.col("k").alias("basket"), F.col("user_id").alias("item")), 2).select("basket", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
 
 
 def brand_pairs(s, d):
@@ -185,10 +188,20 @@ def frequent_vertical(s, d):
     return flat(itemsets.vertical_itemsets(pairs, support_of(pairs)))
 
 
-@query(f"""SELECT size, string_agg('(' || chr(39) || replace(itemset, ',', chr(39) || ', ' || chr(39)) || chr(39) || ')', ',' ORDER BY itemset) AS value FROM ({itemset_sql()}) GROUP BY size""")
+@query(f"""SELECT 2 AS part, 'Frequent Itemsets:' AS block, size, string_agg('(' || chr(39) || replace(itemset, ',', chr(39) || ', ' || chr(39)) || chr(39) || ')', ',' ORDER BY itemset) AS value FROM ({itemset_sql()}) GROUP BY size""")
 def itemset_report(s, d):
+    """The report's frequent block; the candidates before it depend on the chunks (son_report has both)."""
     pairs = brand_pairs(s, d)
-    return itemset_lines(itemsets.frequent_itemsets(pairs, support_of(pairs)))
+    found = itemsets.frequent_itemsets(pairs, support_of(pairs))
+    return io.itemset_report(found.limit(0), found)
+
+
+@query()
+def son_report(s, d):
+    pairs = store(brand_pairs(s, d), "pairs")
+    least = support_of(pairs)
+    candidates = itemsets.son_candidates(itemsets.baskets(pairs), least)
+    return io.itemset_report(candidates.withColumn("size", F.size("itemset")), itemsets.son_itemsets(pairs, least))
 
 
 @query()
@@ -208,7 +221,7 @@ BANDS = f"{SIGS}, k AS (SELECT id, i // 2 AS band, string_agg(h, '-' ORDER BY i)
 
 def part_sets(s, d):
     orders = table(s, d, "orders")
-    users = similarity.numbered(orders.select(F.col("o_custkey").alias("c")), "c").persist()
+    users = store(similarity.numbered(orders.select(F.col("o_custkey").alias("c")), "c"), "users")
     by_order = orders.join(users, F.col("o_custkey") == F.col("c")).select("o_orderkey", "x")
     sets = table(s, d, "lineitem").join(by_order, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("id"), "x").distinct()
     return sets, users.count()
@@ -236,7 +249,7 @@ def lsh_candidates(s, d):
 SELECT a, b, round(common / (p.n + q.n - common), 9) AS sim FROM o JOIN z p ON p.id = a JOIN z q ON q.id = b WHERE common / (p.n + q.n - common) >= 0.05""")
 def lsh_jaccard(s, d):
     sets, m = part_sets(s, d)
-    return similarity.similar_pairs(sets.persist(), m, HASHES).withColumn("sim", F.round("sim", 9))
+    return similarity.similar_pairs(store(sets, "sets"), m, HASHES).withColumn("sim", F.round("sim", 9))
 
 
 @query(f"""WITH {SETS}, z AS (SELECT id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM s x JOIN s y ON x.x = y.x AND x.id < y.id GROUP BY 1, 2)
@@ -257,7 +270,7 @@ USERS = f'{PROFILE}, up AS (SELECT "user", term, n, rank FROM (SELECT *, row_num
 
 
 def source_tf(s, d):
-    return recommend.term_frequency(table(s, d, "documents").select(F.col("source").alias("id"), "text"), STOP)
+    return store(recommend.term_frequency(table(s, d, "documents").select(F.col("source").alias("id"), "text"), STOP), "tf")
 
 
 def lang_reviews(s, d):
@@ -271,27 +284,26 @@ def tf(s, d):
 
 @query(f"WITH {IDF} SELECT term, df, round(idf, 9) AS idf FROM f")
 def idf(s, d):
-    return recommend.inverse_frequency(source_tf(s, d).persist()).withColumn("idf", F.round("idf", 9))
+    return recommend.inverse_frequency(source_tf(s, d)).withColumn("idf", F.round("idf", 9))
 
 
 @query(f"WITH {PROFILE} SELECT id, term, round(score, 6) AS score FROM b")
 def tfidf_top200(s, d):
-    return recommend.profiles(source_tf(s, d).persist()).select("id", "term", F.round("score", 6).alias("score"))
+    return recommend.profiles(source_tf(s, d)).select("id", "term", F.round("score", 6).alias("score"))
 
 
 @query(f'WITH {USERS} SELECT "user", term, n FROM up')
 def user_profile(s, d):
-    return recommend.user_profiles(lang_reviews(s, d), recommend.profiles(source_tf(s, d).persist())).select("user", "term", "n")
+    return recommend.user_profiles(lang_reviews(s, d), recommend.profiles(source_tf(s, d))).select("user", "term", "n")
 
 
 @query(f"""WITH {USERS}, q AS (SELECT u."user", b.id, count(*) AS c FROM (SELECT DISTINCT "user" FROM up) v JOIN up u USING ("user") JOIN b ON b.term = u.term GROUP BY 1, 2)
 SELECT q."user", q.id, round(c / sqrt((SELECT count(*) FROM up WHERE up."user" = q."user") * (SELECT count(*) FROM b WHERE b.id = q.id)), 9) AS sim FROM q
 WHERE c / sqrt((SELECT count(*) FROM up WHERE up."user" = q."user") * (SELECT count(*) FROM b WHERE b.id = q.id)) >= 0.01""")
 def content_predict(s, d):
-    items = recommend.profiles(source_tf(s, d).persist()).persist()
-    users = recommend.user_profiles(lang_reviews(s, d), items).persist()
-    pairs = users.select("user").distinct().crossJoin(F.broadcast(items.select("id").distinct()))  # 4 languages, 20 sources
-    return recommend.content_predict(pairs, users, items).withColumn("sim", F.round("sim", 9))
+    items = store(recommend.profiles(source_tf(s, d)), "items")
+    users = store(recommend.user_profiles(lang_reviews(s, d), items), "users")
+    return recommend.content_predict(users, items).withColumn("sim", F.round("sim", 9))
 
 
 RATINGS = 'r AS (SELECT o_custkey AS "user", l_partkey AS item, arg_max(l_quantity, l_orderkey * 100000 + l_linenumber * 1000 + l_quantity) AS stars FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)'
@@ -311,7 +323,7 @@ def ratings(s, d):
     orders = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user"))
     lines = table(s, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     last = F.max_by("l_quantity", F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 1000 + F.col("l_quantity"))
-    return lines.groupBy("user", F.col("l_partkey").alias("item")).agg(last.alias("stars"))
+    return store(lines.groupBy("user", F.col("l_partkey").alias("item")).agg(last.alias("stars")), "ratings")
 
 
 def item_model(r):
@@ -320,7 +332,7 @@ def item_model(r):
 
 def user_model(r):
     often = r.groupBy("user").agg(F.count("*").alias("c")).where("c >= 3").select("user")
-    numbers = similarity.numbered(r, "item").persist()
+    numbers = store(similarity.numbered(r, "item"), "numbers")
     sets = r.join(often, "user", "left_semi").join(numbers, "item").select(F.col("user").alias("id"), "x")
     pairs = similarity.candidates(similarity.bands(sets, USER_HASHES, numbers.count(), 1))
     return recommend.pearson(r.select(F.col("user").alias("k"), F.col("item").alias("other"), "stars"), pairs)
@@ -328,18 +340,20 @@ def user_model(r):
 
 @query(f"WITH {ITEMS} SELECT a, b, round(sim, 6) AS sim FROM pe")
 def pearson_items(s, d):
-    return item_model(ratings(s, d).persist()).withColumn("sim", F.round("sim", 6))
+    return item_model(ratings(s, d)).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"WITH {USER_MODEL} SELECT a, b, round(sim, 6) AS sim FROM pe")
 def pearson_users(s, d):
-    return user_model(ratings(s, d).persist()).withColumn("sim", F.round("sim", 6))
+    return user_model(ratings(s, d)).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH {ITEMS} SELECT k, count(*) AS n, round(max(sim), 6) AS best FROM (SELECT a AS k, sim FROM pe UNION ALL SELECT b, sim FROM pe) GROUP BY 1")
+@query(f"""WITH {ITEMS} SELECT k, string_agg(o || ':' || CAST(round(round(sim, 9), 6) AS DECIMAL(9, 6)), ',' ORDER BY round(sim, 9) DESC, o) AS neighbours
+FROM (SELECT a AS k, b AS o, sim FROM pe UNION ALL SELECT b, a, sim FROM pe) GROUP BY 1""")
 def model_symmetrise_full_outer(s, d):
-    both = recommend.symmetric_full_outer(item_model(ratings(s, d).persist()).persist())
-    return both.select("k", F.size("neighbours").cast("long").alias("n"), F.round(-F.col("neighbours")[0]["s"], 6).alias("best"))
+    both = recommend.symmetric_full_outer(store(item_model(ratings(s, d)).withColumn("sim", F.round("sim", 9)), "model"))
+    one = lambda x: F.concat_ws(":", x["o"], F.round(-x["s"], 6).cast("decimal(9,6)"))
+    return both.select("k", F.array_join(F.transform("neighbours", one), ",").alias("neighbours"))
 
 
 PREDICT = """nb AS (SELECT a AS k, b AS o, round(sim, 9) AS sim FROM pe UNION ALL SELECT b, a, round(sim, 9) FROM pe), ok AS (SELECT k FROM nb GROUP BY 1 HAVING count(*) > 1),
@@ -349,26 +363,26 @@ hit AS (SELECT *, row_number() OVER (PARTITION BY qu, qi ORDER BY sim DESC, o) A
 @query(f"""WITH {ITEMS}, {PREDICT.format(hits='SELECT q."user" AS qu, q.item AS qi, nb.o, nb.sim, r.stars AS v FROM r q JOIN nb ON nb.k = q.item JOIN r ON r.item = nb.o AND r."user" = q."user" WHERE nb.k IN (SELECT k FROM ok)')}
 SELECT qu AS "user", qi AS item, round(sum(v * sim) / sum(abs(sim)), 6) AS stars FROM hit WHERE rk <= 3 GROUP BY 1, 2 HAVING count(*) > 1""")
 def predict_items(s, d):
-    r = ratings(s, d).persist()
-    return recommend.predict_items(r, item_model(r).withColumn("sim", F.round("sim", 9)).persist(), r).withColumn("stars", F.round("stars", 6))
+    r = ratings(s, d)
+    return recommend.predict_items(r, store(item_model(r).withColumn("sim", F.round("sim", 9)), "model"), r).withColumn("stars", F.round("stars", 6))
 
 
 @query(f"""WITH {USER_MODEL}, av AS (SELECT "user", sum(stars) AS t, count(*) AS c FROM r GROUP BY 1), {PREDICT.format(hits='SELECT q."user" AS qu, q.item AS qi, nb.o, nb.sim, r.stars - (av.t - r.stars) / (av.c - 1) AS v FROM r q JOIN nb ON nb.k = q."user" JOIN r ON r."user" = nb.o AND r.item = q.item JOIN av ON av."user" = nb.o WHERE av.c > 1 AND nb.k IN (SELECT k FROM ok)')}
-SELECT qu AS "user", qi AS item, round(any_value(av.t / av.c) + sum(v * sim) / sum(abs(sim)), 6) AS stars FROM hit JOIN av ON av."user" = qu WHERE rk <= 3 GROUP BY 1, 2 HAVING count(*) > 1""")
+SELECT qu AS "user", qi AS item, round(any_value(av.t / av.c) + sum(v * sim) / sum(abs(sim)), 6) AS stars FROM hit JOIN av ON av."user" = qu WHERE rk <= 3 GROUP BY 1, 2 HAVING count(*) > 1 AND abs(sum(v * sim)) > 1e-9""")
 def predict_users(s, d):
-    r = ratings(s, d).persist()
-    return recommend.predict_users(r, user_model(r).withColumn("sim", F.round("sim", 9)).persist(), r).withColumn("stars", F.round("stars", 6))
+    r = ratings(s, d)
+    return recommend.predict_users(r, store(user_model(r).withColumn("sim", F.round("sim", 9)), "model"), r).withColumn("stars", F.round("stars", 6))
 
 
 # --- graphs ---
 
-THRESHOLD = 6
-EDGES = f"{PURCHASES}, e AS (SELECT x.user_id AS a, y.user_id AS b FROM p x JOIN p y ON x.k = y.k AND x.user_id < y.user_id GROUP BY 1, 2 HAVING count(*) >= {THRESHOLD}), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
+THRESHOLD = 36
+EDGES = f"{VISITS}, e AS (SELECT x.user_id AS a, y.user_id AS b FROM p x JOIN p y ON x.k = y.k AND x.user_id < y.user_id GROUP BY 1, 2 HAVING count(*) >= {THRESHOLD}), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
 COMPONENTS = f"{EDGES}, t(node, seen) AS (SELECT DISTINCT a, a FROM g UNION SELECT t.node, g.b FROM t JOIN g ON g.a = t.seen), comp AS (SELECT node, min(seen) AS label FROM t GROUP BY 1)"
 
 
 def edges_of(s, d):
-    return graph.co_graph(purchases(s, d).select(F.col("user_id").alias("node"), F.col("k").alias("item")), THRESHOLD).persist()
+    return store(graph.co_graph(visits(s, d).select(F.col("user_id").alias("node"), F.col("k").alias("item")), THRESHOLD), "graph")
 
 
 @query(f"WITH {EDGES} SELECT a, b FROM e")
@@ -413,40 +427,46 @@ def community_report(s, d):
     return community_lines(graph.communities(graph.label_propagation(edges_of(s, d))))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, bfs(root, node, lvl) AS (SELECT DISTINCT a, a, 0 FROM g UNION SELECT root, b, lvl + 1 FROM bfs JOIN g ON a = node WHERE lvl < 60),
+PATHS = f"""WITH RECURSIVE {EDGES}, bfs(root, node, lvl) AS (SELECT DISTINCT a, a, 0 FROM g UNION SELECT root, b, lvl + 1 FROM bfs JOIN g ON a = node WHERE lvl < 60),
 lv AS (SELECT root, node, min(lvl) AS lvl FROM bfs GROUP BY 1, 2),
 dag AS (SELECT x.root, x.node AS u, y.node AS v, x.lvl FROM lv x JOIN g ON g.a = x.node JOIN lv y ON y.root = x.root AND y.node = g.b AND y.lvl = x.lvl + 1),
-pth(root, start, node, n) AS (SELECT root, root, root, 1 FROM lv WHERE lvl = 0 UNION ALL SELECT pth.root, pth.start, dag.v, n + 1 FROM pth JOIN dag ON dag.root = pth.root AND dag.u = pth.node)
-SELECT count(*) AS n_paths FROM pth""")
+pth(root, start, node, n) AS (SELECT root, root, root, 1 FROM lv WHERE lvl = 0 UNION ALL SELECT pth.root, pth.start, dag.v, n + 1 FROM pth JOIN dag ON dag.root = pth.root AND dag.u = pth.node)"""
+#: An edge's share of the shortest paths between s and t, summed over all pairs.
+BETWEENNESS = f"""{PATHS}, sg AS (SELECT root, node, n - 1 AS lvl, count(*) AS k FROM pth GROUP BY 1, 2, 3),
+bt AS (SELECT least(g.a, g.b) AS a, greatest(g.a, g.b) AS b, round(sum(x.k * y.k / z.k) / 2, 6) AS betweenness FROM g JOIN sg x ON x.node = g.a JOIN sg y ON y.root = g.b
+JOIN sg z ON z.root = x.root AND z.node = y.node AND z.lvl = x.lvl + y.lvl + 1 GROUP BY 1, 2)"""
+
+
+@query(f"{PATHS} SELECT count(*) AS n_paths FROM pth")
 def shortest_path_count(s, d):
     """Shortest paths (empty ones included) between all nodes, as the betweenness counts them."""
-    edges = edges_of(s, d)
-    total = graph.edge_betweenness(edges).agg(F.count("*")).first()[0]
-    nodes = graph.degrees(edges)
-    sym = graph.both_ways(edges).persist()
-    seen = nodes.select(F.col("node").alias("root"), "node", F.lit(1).cast("long").alias("n")).persist()
-    level, out = seen, seen
-    while total and not level.isEmpty():
-        level = level.join(sym, F.col("node") == F.col("a")).groupBy("root", F.col("b").alias("node")).agg(F.sum("n").alias("n")).join(out, ["root", "node"], "left_anti").persist()
-        out = out.unionByName(level).persist()
-    return out.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_paths"))
+    levels = graph.path_levels(edges_of(s, d))
+    total = sum(level.agg(F.coalesce(F.sum("paths"), F.lit(0.0))).first()[0] for level in levels)
+    drop(*levels)
+    return s.createDataFrame([(int(total),)], "n_paths long")
 
 
-@query()
+@query(f"{BETWEENNESS} SELECT a, b, betweenness FROM bt")
 def edge_betweenness(s, d):
     return graph.edge_betweenness(edges_of(s, d)).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query()
+@query(f"{BETWEENNESS} SELECT format('(''{{}}'', ''{{}}''), {{}}', a, b, betweenness) AS value FROM bt")
 def betweenness_report(s, d):
     return betweenness_lines(edge_betweenness(s, d))
 
 
-@query()
+@query(f"{BETWEENNESS} SELECT a, b, betweenness FROM bt")
 def edge_betweenness_joins(s, d):
     return graph.betweenness_by_joins(edges_of(s, d)).withColumn("betweenness", F.round("betweenness", 6))
 
 
+@query(f"{BETWEENNESS} SELECT a, b, betweenness FROM bt ORDER BY betweenness DESC, a, b LIMIT 1")
+def top_edge(s, d):
+    """The edge that Girvan-Newman removes first."""
+    return edge_betweenness(s, d).orderBy(F.desc("betweenness"), "a", "b").limit(1)
+
+
 @query(f"""WITH RECURSIVE {COMPONENTS}, k AS (SELECT a AS node, count(*) AS d FROM g GROUP BY 1), per AS (SELECT label, sum(d) AS s, sum(d * d) AS ss FROM k JOIN comp USING (node) GROUP BY 1),
 i AS (SELECT x.label, count(*) AS e FROM e JOIN comp x ON x.node = a JOIN comp y ON y.node = b AND x.label = y.label GROUP BY 1), m AS (SELECT 2.0 * count(*) AS m2 FROM e)
 SELECT round(sum((2 * coalesce(e, 0) - (s * s - ss) / m2) / m2), 9) AS q FROM per LEFT JOIN i USING (label), m""")
@@ -501,27 +521,38 @@ def kmeans(s, d):
     return cluster.kmeans(points(s, d).select("id", "v"), 10).select("id", "c")
 
 
-def bfr(s, d):
-    p = points(s, d).select("id", "v").persist()
-    b = cluster.Bfr(5)
-    for k in range(5):
-        b.round(p.where(F.col("id") % 5 == k))  # the five chunks of the points, all of them
+def bfr(s, d, sequential: bool = False):
+    """A round for each of five files of vectors, in the order of their names."""
+    folder = vector_files(s, d)
+    every = io.vector_chunks(s, folder, 2)
+    b = cluster.Bfr(5, sequential)
+    for chunk in sorted(r["chunk"] for r in every.select("chunk").distinct().collect()):
+        b.round(every.where(F.col("chunk") == chunk).select("id", "v"))
     return b
 
 
-@query("SELECT vec_id AS id FROM embeddings")
-def bfr_points(s, d):
-    return s.createDataFrame(bfr(s, d).result(), "id long, c long").select("id")
+def rounds(s, b):
+    return s.createDataFrame(b.report, "round_id int, nof_cluster_discard int, nof_point_discard int, nof_cluster_compression int, nof_point_compression int, nof_point_retained int")
 
 
 @query()
 def bfr_assign(s, d):
-    return s.createDataFrame(bfr(s, d).result(), "id long, c long")
+    return bfr(s, d).result()
 
 
 @query()
 def bfr_rounds(s, d):
-    return s.createDataFrame(bfr(s, d).report, "round_id int, nof_cluster_discard int, nof_point_discard int, nof_cluster_compression int, nof_point_compression int, nof_point_retained int")
+    return rounds(s, bfr(s, d))
+
+
+@query()
+def bfr_sequential(s, d):
+    return bfr(s, d, True).result()
+
+
+@query()
+def bfr_sequential_rounds(s, d):
+    return rounds(s, bfr(s, d, True))
 
 
 # --- sketches ---
@@ -550,24 +581,51 @@ def bloom_probe(s, d):
     return sketch.bloom_probe(customers, "c_name", bits, m)
 
 
-def fm_sql(group: str) -> str:
-    return f"""WITH rows AS (SELECT {group} AS start, CAST(user_id AS VARCHAR) AS k FROM events), n AS (SELECT start, CAST(pow(2, floor(log2(count(*)))) AS BIGINT) AS m FROM rows GROUP BY 1),
+PROBE = f"""WITH {BITS}, pr AS (SELECT c_custkey, coalesce(c_name, '') AS k FROM customer), px AS (SELECT c_custkey, k, m, {TEXT_MOD} AS x FROM pr, m),
+pp AS (SELECT c_custkey, k, ((i * 7919 + 17) * x + i * 104729 + 31) % m AS pos FROM px, range(5) r(i)),
+ph AS (SELECT c_custkey AS "order", CAST(min(CASE WHEN bits.pos IS NULL THEN 0 ELSE 1 END) AS INT) AS hit FROM pp LEFT JOIN bits USING (pos) GROUP BY 1)"""
+
+
+@query(f'{PROBE} SELECT "order", hit FROM ph')
+def bloom_probe_rows(s, d):
+    customers, bits, m = bloom(s, d)
+    return sketch.bloom_probe_rows(customers, "c_custkey", "c_name", bits, m)
+
+
+@query(f"""{PROBE} SELECT string_agg(hit, ' ' ORDER BY "order") AS value FROM ph""")
+def bloom_vector(s, d):
+    """All answers in one line, in the order of the rows."""
+    return io.bit_vector_line(bloom_probe_rows(s, d), "order", "hit")
+
+
+#: Windows of a day that begin every eight hours.
+SLIDING = "SELECT strftime(to_timestamp(8 * 3600 * (CAST(floor(epoch(ts) / (8 * 3600)) AS BIGINT) - w)) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, CAST(user_id AS VARCHAR) AS k FROM events, range(3) o(w)"
+
+
+def fm_sql(rows: str, named: bool = True) -> str:
+    return f"""WITH rows AS ({rows}), n AS (SELECT start, CAST(pow(2, floor(log2(count(*)))) AS BIGINT) AS m FROM rows GROUP BY 1),
 ks AS (SELECT DISTINCT start, k FROM rows), sm AS (SELECT start, m, list_sum(list_transform(range(1, length(k) + 1), lambda j: ascii(substr(k, j, 1)))) AS s, list_sum(list_transform(range(1, length(k) + 1), lambda j: ascii(substr(k, j, 1)) * (j - 1))) AS w FROM ks JOIN n USING (start)),
 h AS (SELECT start, i, CAST((s * i + w) % m AS BIGINT) AS h FROM sm, range(100) r(i)), r AS (SELECT start, i, CASE WHEN h = 0 THEN 1 ELSE bit_count((h & -h) - 1) END AS r FROM h),
 e AS (SELECT start, i, pow(2, max(r) - min(r)) AS e FROM r GROUP BY 1, 2), t AS (SELECT start, CAST(ceil((sum(e) - min(e) - max(e)) / (count(*) - 2)) AS BIGINT) AS estimate FROM e GROUP BY 1),
-c AS (SELECT start, count(*) AS truth FROM ks GROUP BY 1) SELECT {'CAST(start AS VARCHAR) AS start, ' if 'ts' in group else ''}truth, estimate, round(1 - abs(truth - estimate) / truth, 6) AS accuracy FROM c JOIN t USING (start)"""
+c AS (SELECT start, count(*) AS truth FROM ks GROUP BY 1) SELECT {'CAST(start AS VARCHAR) AS start, ' if named else ''}truth, estimate, round(1 - abs(truth - estimate) / truth, 6) AS accuracy FROM c JOIN t USING (start)"""
 
 
 def city_rows(s, d):
     return table(s, d, "events").select(F.to_date("ts").cast("string").alias("start"), F.col("user_id").cast("string").alias("k"))
 
 
-@query(fm_sql("CAST(ts AS DATE)"))
+@query(fm_sql("SELECT CAST(ts AS DATE) AS start, CAST(user_id AS VARCHAR) AS k FROM events"))
 def fm_window(s, d):
     return sketch.fm_estimate(city_rows(s, d), ["start"], "k").withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(fm_sql("1"))
+@query(fm_sql(SLIDING))
+def fm_sliding(s, d):
+    rows = table(s, d, "events").select(F.window(F.col("ts").cast("timestamp"), "1 day", "8 hours").alias("w"), F.col("user_id").cast("string").alias("k"))
+    return sketch.fm_estimate(rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "k"), ["start"], "k").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(fm_sql("SELECT 1 AS start, CAST(user_id AS VARCHAR) AS k FROM events", False))
 def fm_global(s, d):
     return sketch.fm_estimate(city_rows(s, d), [], "k").withColumn("accuracy", F.round("accuracy", 6))
 
@@ -578,33 +636,127 @@ def approx_distinct(s, d):
     return city_rows(s, d).groupBy("start").agg(F.approx_count_distinct("k", 0.02).alias("estimate"), F.count_distinct("k").alias("truth"))
 
 
-@query("""WITH s AS (SELECT event_type FROM events ORDER BY (event_id * 2654435761 + 40503) % 4294967291, event_id LIMIT 100), c AS (SELECT event_type AS tag, count(*) AS n FROM s GROUP BY 1)
+@query("""WITH s AS (SELECT event_type FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 100), c AS (SELECT event_type AS tag, count(*) AS n FROM s GROUP BY 1)
 SELECT tag, n FROM (SELECT *, dense_rank() OVER (ORDER BY n DESC) AS r FROM c) WHERE r <= 3""")
 def reservoir_top_tags(s, d):
     return sketch.top_tags(sketch.reservoir(table(s, d, "events").select("event_id", "event_type"), "event_id"), "event_type")
 
 
-def event_stream(s, d):
-    schema = table(s, d, "events").schema
-    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+def city_stream(s, d):
+    """The events as a stream of JSON lines (ts, key), closed by a line far ahead, which lets the watermark pass the last window."""
+    folder = new_path(s, "feed")
+    events = table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("city"))
+    io.write_json_lines(events, f"{folder}/part=0")
+    io.write_json_lines(events.agg((F.max("ts") + F.expr("interval 1000 days")).alias("ts"), F.lit("end").alias("city")), f"{folder}/part=1")
+    return s.readStream.schema("ts timestamp, city string, part int").json(folder).select("ts", F.coalesce("city", F.lit("")).alias("key"))
 
 
-@query()
+@query(fm_sql(SLIDING))
 def stream_fm(s, d):
-    """Windows of a day that the watermark has closed, from the events as a stream."""
-    from siltstone.streaming.sketches import write_estimates
+    """fm_sliding() from a stream, every closed window appended to CSV files by batch."""
+    from siltstone.streaming.sketches import watch, write_estimates
+
+    out = new_path(s, "estimates")
+    shown = io.csv_sink(out)
+    sink = lambda df, batch: shown(df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")), batch)
+    watch(write_estimates(city_stream(s, d), sink, "1 day", "8 hours", "900 days", trigger={"availableNow": True}, checkpointLocation=new_path(s, "cp")), 700)
+    return io.csv_pairs(s, f"{out}/*", "start string, truth long, estimate long, accuracy double").withColumn("accuracy", F.round("accuracy", 6))
 
-    out = scratch(s)
-    stream = event_stream(s, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("key"))
-    write_estimates(stream, lambda df, _: df.write.mode("append").parquet(out), "1 day", "1 day", "0 seconds", trigger={"availableNow": True}).awaitTermination()
-    return s.read.schema("start timestamp, truth long, estimate long, accuracy double").parquet(out)
+
+def tag_stream(s, d):
+    """The events as tagged messages in JSON files."""
+    folder = new_path(s, "messages")
+    tags = F.array(F.struct(F.col("event_type").alias("text")))
+    rows = table(s, d, "events").select("event_id", F.struct(tags.alias("hashtags")).alias("entities"), F.lit("en").alias("lang"), F.concat(F.lit("about "), "event_type").alias("text"))
+    io.write_json_lines(rows.coalesce(1).sortWithinPartitions("event_id"), folder)
+    return folder
 
 
 @query()
 def stream_top_tags(s, d):
-    from siltstone.streaming.sketches import reservoir_tags
+    from siltstone.streaming.sketches import reservoir_tags, watch
+
+    out = new_path(s, "tags")
+    tags = reservoir_tags(io.tagged_stream(s, tag_stream(s, d), languages=["en"]))
+    writer = tags.writeStream.outputMode("update").foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
+    watch(writer.option("checkpointLocation", new_path(s, "cp")).trigger(availableNow=True).start(), 700)
+    return s.read.schema("n long, tag string, count long").parquet(f"{out}/*")
+
+
+@query("SELECT count(*) AS n_blocks FROM events WHERE event_type = 'purchase'")
+def stream_tag_log(s, d):
+    """A log block after every message that a filter lets through; their number."""
+    from siltstone.streaming.sketches import reservoir_tags, watch
+
+    out = new_path(s, "log")
+    tags = reservoir_tags(io.tagged_stream(s, tag_stream(s, d), track="purchase", languages=["en"]), each=True)
+    writer = tags.writeStream.outputMode("update").foreachBatch(io.log_sink(out))
+    watch(writer.option("checkpointLocation", new_path(s, "cp")).trigger(availableNow=True).start(), 700)
+    return s.read.text(f"{out}/*").where("value like 'The number of%'").agg(F.count("*").alias("n_blocks"))
+
+
+# --- sources and sinks: written below the shared folder and read back ---
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def source_json_lines(s, d):
+    path = new_path(s, "json")
+    io.write_json_lines(table(s, d, "documents").select("doc_id", "text", "lang"), path)
+    return io.json_lines(s, path, "doc_id long, text string, lang string")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey AS VARCHAR) AS business_id FROM orders")
+def source_csv_pairs(s, d):
+    path = new_path(s, "csv")
+    io.write_csv(table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderkey").cast("string").alias("business_id")), path)
+    return io.csv_pairs(s, path)
+
+
+def vector_files(s, d):
+    """The embeddings as five files of lines id,x1,..., whose names tell their order."""
+    folder = new_path(s, "vectors")
+    lines = F.concat_ws(",", F.col("id").cast("string"), F.array_join(F.transform("v", lambda x: x.cast("string")), ","))
+    points(s, d).select(lines.alias("value"), (F.col("id") % 5).alias("chunk")).repartition("chunk").write.partitionBy("chunk").text(folder)
+    return folder
+
+
+@query("SELECT vec_id AS id, 'chunk=' || vec_id % 5 AS chunk, len(embedding) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+def source_vectors(s, d):
+    rows = io.vector_chunks(s, vector_files(s, d), 2)
+    return rows.select("id", "chunk", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query(ORACLES["top_words"])
+def source_stop_words(s, d):
+    """top_words() with the list read from a file."""
+    path = new_path(s, "stop")
+    io.write_lines(s.createDataFrame([(w,) for w in STOP], "value string"), path)
+    return relational.top_words(table(s, d, "documents"), "text", io.stop_words(s, path), 50)
+
+
+@query(f"""WITH {USERS} SELECT 'user' AS type, "user" AS name, string_agg(term, ',' ORDER BY term) AS profile FROM up GROUP BY 2
+UNION ALL SELECT 'business', id, string_agg(term, ',' ORDER BY term) FROM b GROUP BY 2""")
+def source_model(s, d):
+    """The content model written as tagged JSON lines and read back by kind."""
+    items = store(recommend.profiles(source_tf(s, d)), "items")
+    users = recommend.user_profiles(lang_reviews(s, d), items)
+    lists = lambda df, kind, name: df.groupBy(F.col(name).alias("name")).agg(F.array_sort(F.collect_list("term")).alias("profile")).withColumn("type", F.lit(kind))
+    path = new_path(s, "model")
+    io.write_json_lines(lists(users, "user", "user").unionByName(lists(items, "business", "id")), path)
+    both = io.model_by_type(s, path, "user").unionByName(io.model_by_type(s, path, "business"))
+    return both.select("type", "name", F.array_join("profile", ",").alias("profile"))
+
+
+@query("""SELECT (SELECT count(*) FROM orders) AS A, (SELECT count(*) FROM orders WHERE year(o_orderdate) = 1997) AS B, (SELECT count(DISTINCT o_custkey) FROM orders) AS C""")
+def source_answers(s, d):
+    """The exploration's numbers as one JSON object."""
+    path = new_path(s, "answers") + "/answers.json"
+    io.write_answers(s, {"A": review_count(s, d).first()[0], "B": year_count(s, d).first()[0], "C": distinct_users(s, d).first()[0]}, path)
+    return io.read_answers(s, path, "A long, B long, C long")
+
 
-    out = scratch(s)
-    tags = reservoir_tags(event_stream(s, d).select(F.array("event_type").alias("tags")))
-    tags.writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema("n long, tag string, count long").parquet(out)
+@query(ORACLES["community_report"])
+def sink_community_report(s, d):
+    path = new_path(s, "report")
+    io.write_lines(community_report(s, d), path)
+    return s.read.text(path)

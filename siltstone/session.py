@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,8 @@ def session(name: str = "siltstone", cpus: int | None = None, shuffle_partitions
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
+    if cpus and "spark.checkpoint.dir" not in extra:
+        conf["spark.checkpoint.dir"] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return builder.config(map=conf | extra).getOrCreate()

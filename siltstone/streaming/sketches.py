@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,27 +36,56 @@ def write_estimates(stream: DataFrame, sink, length: str = "30 seconds", slide:
     return writer.trigger(**(options.pop("trigger", None) or {"processingTime": "5 seconds"})).options(**options).start()
 
 
-def reservoir_tags(stream: DataFrame, capacity: int = 100, ranks: int = 3, seed: int = 1) -> DataFrame:
-    """(tag array per record) -> after each batch (n, tag, count): a reservoir over records with tags, seeded, and the
-    tags of the `ranks` greatest distinct counts in it. One sample is one state, so it has one key; what each
-    record sends there is its tags."""
+def reservoir_tags(stream: DataFrame, capacity: int = 100, ranks: int = 3, seed: int = 1, each: bool = False) -> DataFrame:
+    """(tag array per record) -> (n, tag, count): a reservoir over records with tags, seeded, and the tags of the `ranks`
+    greatest distinct counts in it, after each batch, or with each after each record. One sample is one state, so it has
+    one key; what each record sends there is its tags."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, held = (state.get if state.exists else (0, []))
         held = [list(x) for x in held]
+        counts = Counter(t for x in held for t in x)
         for pdf in batches:
             for tags in pdf["tags"]:
                 n += 1
                 rng = random.Random(seed * 1_000_003 + n)
                 if len(held) < capacity:
                     held.append(list(tags))
+                    counts.update(tags)
                 elif rng.random() < capacity / n:
-                    held[rng.randrange(capacity)] = list(tags)
+                    at = rng.randrange(capacity)
+                    counts.subtract(held[at])
+                    held[at] = list(tags)
+                    counts.update(tags)
+                if each:
+                    yield top(n, counts)
         state.update((n, held))
-        counts = Counter(t for x in held for t in x)
-        best = sorted(set(counts.values()), reverse=True)[:ranks]
+        if not each:
+            yield top(n, counts)
+
+    def top(n: int, counts: Counter) -> pd.DataFrame:
+        best = sorted({c for c in counts.values() if c}, reverse=True)[:ranks]
         rows = sorted(((c, t) for t, c in counts.items() if c in best), key=lambda x: (-x[0], x[1]))
-        yield pd.DataFrame({"n": [n] * len(rows), "tag": [t for _, t in rows], "count": [c for c, _ in rows]})
+        return pd.DataFrame({"n": [n] * len(rows), "tag": [t for _, t in rows], "count": [c for c, _ in rows]})
 
     tagged = stream.where(F.size("tags") > 0).select("tags", F.lit(0).alias("one"))
     return tagged.groupBy("one").applyInPandasWithState(update, "n long, tag string, count long", "n long, held array<array<string>>", "update", GroupStateTimeout.NoTimeout)
+
+
+def console(stream: DataFrame, rows: int = 1, **options) -> StreamingQuery:
+    """Starts a query that prints the first rows of each batch."""
+    return stream.writeStream.format("console").option("numRows", rows).options(**options).start()
+
+
+def watch(query: StreamingQuery, timeout: float | None = None, stop_on: Callable[[str], bool] = lambda error: False) -> bool:
+    """Waits for a query, for timeout seconds at most, and stops it then. An error for which stop_on is true (a feed that
+    refuses more requests, say) ends it quietly, any other is raised. True if it ended by itself without one."""
+    try:
+        ended = query.awaitTermination(timeout) if timeout is not None else query.awaitTermination() is None
+    except StreamingQueryException as e:
+        if not stop_on(str(e)):
+            raise
+        return False
+    if not ended:
+        query.stop()
+    return bool(ended)

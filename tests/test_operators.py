@@ -76,6 +76,49 @@ def test_communities_of_two_triangles(spark):
     assert {r["node"]: r["degree"] for r in graph.degrees(df).collect()} == {"a": 2, "b": 2, "c": 3, "d": 3, "e": 2, "f": 2}
 
 
+def test_betweenness_of_random_graphs(spark):
+    """Both forms against the shares of all shortest paths, found one by one."""
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample("abcdefghij", 2))) for _ in range(14)})
+    next_to = {v: [a if b == v else b for a, b in pairs if v in (a, b)] for v in {x for p in pairs for x in p}}
+    want = dict.fromkeys(pairs, 0.0)
+    for s, t in itertools.combinations(sorted(next_to), 2):
+        paths = [[s]]
+        while paths and paths[0][-1] != t and not any(p[-1] == t for p in paths):
+            paths = [[*p, w] for p in paths for w in next_to[p[-1]] if w not in p]
+        paths = [p for p in paths if p[-1] == t]
+        for p in paths:
+            for e in itertools.pairwise(p):
+                want[tuple(sorted(e))] += 1 / len(paths)
+    df = edges(spark, pairs)
+    for found in (graph.edge_betweenness(df), graph.betweenness_by_joins(df)):
+        got = {(r["a"], r["b"]): r["betweenness"] for r in found.collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[e], want[e]) for e in want)
+
+
+def test_girvan_newman_against_its_definition(spark):
+    rng = random.Random(7)
+    pairs = sorted({tuple(sorted(rng.sample("abcdefgh", 2))) for _ in range(12)})
+    left, best = set(pairs), None
+    degree = {v: sum(v in p for p in pairs) for p in pairs for v in p}
+
+    def groups():
+        label = {v: v for v in degree}
+        for _ in label:
+            for a, b in left:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    while left:
+        found = graph.edge_betweenness(edges(spark, sorted(left))).collect()
+        left.remove(min(((-round(r["betweenness"], 9), (r["a"], r["b"])) for r in found))[1])
+        label = groups()
+        q = sum((tuple(sorted((i, j))) in pairs) - degree[i] * degree[j] / (2 * len(pairs)) for i in label for j in label if i != j and label[i] == label[j])
+        if best is None or q > best[0] + 1e-9:
+            best = (q, label)
+    assert {r["node"]: r["label"] for r in graph.girvan_newman(edges(spark, pairs)).collect()} == best[1]
+
+
 def test_girvan_newman_in_tables(spark):
     df = edges(spark, [("a", "b"), ("c", "d")])
     assert sorted(graph.girvan_newman(df).collect()) == sorted(graph.girvan_newman(df, bound=1).collect())
@@ -150,6 +193,37 @@ def test_bloom(spark):
     assert {r["k"]: r["hit"] for r in sketch.bloom_probe(cities, "city", bits, m).collect()} == {"Lyon": 1, "Graz": 1, "": 0}
 
 
+def test_bloom_answers_every_row(spark):
+    rows = spark.createDataFrame([(3, "Lyon"), (1, "Lyon"), (2, None), (4, "")], "n long, city string")
+    bits, m = sketch.bloom_build(spark.createDataFrame([("Lyon",)], "city string"), "city")
+    assert sorted(map(tuple, sketch.bloom_probe_rows(rows, "n", "city", bits, m).collect())) == [(1, 1), (2, 0), (3, 1), (4, 0)]
+
+
+def test_long_keys_and_ids(spark):
+    """Keys of a hundred thousand characters, and ids beyond 2^32."""
+    from siltstone.functions.hashing import text_mod
+
+    key = "añ" * 50_000
+    assert spark.createDataFrame([(key,)], "k string").select(text_mod(F.col("k"), 1009)).first()[0] == int.from_bytes(key.encode(), "big") % 1009
+    rows = spark.range(2**62, 2**62 + 500).select("id")
+    assert sketch.reservoir(rows, "id").count() == 100
+
+
+def test_jaccard_gate(spark):
+    ratings = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 9)], "k string, other long")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
+    assert [tuple(r) for r in recommend.jaccard_gate(pairs, ratings).collect()] == [("a", "b")]
+
+
+def test_pearson_of_pairs(spark):
+    rng = random.Random(1)
+    rows = [(k, o, float(rng.randrange(1, 6))) for k in range(12) for o in range(30) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "k long, other long, stars double")
+    every = {(r["a"], r["b"]): r["sim"] for r in recommend.pearson(df).collect()}
+    asked = spark.createDataFrame([p for p in every if sum(p) % 2], "a long, b long")
+    assert {(r["a"], r["b"]): r["sim"] for r in recommend.pearson(df, asked).collect()} == pytest.approx({p: s for p, s in every.items() if sum(p) % 2})
+
+
 def test_trailing_zeros(spark):
     assert [r[0] for r in spark.createDataFrame([(0,), (8,), (1,)], "h long").select(trailing_zeros(F.col("h"))).collect()] == [1, 3, 0]
 
@@ -172,15 +246,118 @@ def test_statistics_of_one_cluster(spark):
     assert [tuple(r) for r in cluster.vectors(stats).select("centre", "sd").collect()] == [([1.0], [1.0])]
 
 
-@pytest.mark.parametrize("sequential", [False, True])
-def test_bfr(spark, sequential):
+def plain_kmeans(points, k):
+    """points {id: v} -> {id: cluster}, by the definition."""
+    if not points:
+        return {}
+    ids = sorted(points)
+    seeds = [points[ids[0]]]
+    while len(seeds) < k:
+        far = max(ids, key=lambda i: (min(math.dist(points[i], s) for s in seeds), -i))
+        seeds.append(points[far])
+    near = lambda v: min(range(k), key=lambda c: (math.dist(v, seeds[c]), c))
+    of = dict.fromkeys(ids, -1)
+    for _ in range(10):
+        new = {i: near(points[i]) for i in ids}
+        changed = sum(new[i] != of[i] for i in ids)
+        of = new
+        for c in set(of.values()):
+            own = [points[i] for i in ids if of[i] == c]
+            seeds[c] = [sum(x) / len(own) for x in zip(*own, strict=True)]
+        if changed <= max(len(ids) / 50, 100):
+            break
+    return {i: near(points[i]) for i in ids}
+
+
+def plain_bfr(rounds, k, sampled):
+    """Rounds {id: v} -> ({id: cluster}, report), point by point."""
+    stats = lambda vs: [len(vs), [sum(x) for x in zip(*vs, strict=True)], [sum(y * y for y in x) for x in zip(*vs, strict=True)]]
+
+    def near(v, clusters):
+        best, at = 2 * math.sqrt(len(v)), -1
+        for i, (n, s, ss) in enumerate(clusters):
+            if n > 1:
+                d = math.sqrt(sum((x - y / n) ** 2 / max(1e-10, z / n - (y / n) ** 2) for x, y, z in zip(v, s, ss, strict=True)))
+                if d < best:
+                    best, at = d, i
+        return at
+
+    def put(v, to):
+        to[0], to[1], to[2] = to[0] + 1, [a + b for a, b in zip(to[1], v, strict=True)], [a + b * b for a, b in zip(to[2], v, strict=True)]
+
+    def groups(points, size):
+        of = plain_kmeans(points, size)
+        return [[i for i in of if of[i] == c] for c in sorted(set(of.values()))]
+
+    ds, cs, rs, where, report, seen = [], [], {}, {}, [], 0
+    for points in rounds:
+        seen += len(points)
+        if not report:
+            for g in groups({i: v for i, v in points.items() if i in sampled}, k):
+                where |= dict.fromkeys(g, ("ds", len(ds)))
+                ds.append(stats([points[i] for i in g]))
+            for g in groups({i: v for i, v in points.items() if i not in sampled}, 5 * k):
+                if len(g) > 1:
+                    where |= dict.fromkeys(g, ("cs", len(cs)))
+                    cs.append(stats([points[i] for i in g]))
+                else:
+                    rs[g[0]] = points[g[0]]
+        else:
+            for i, v in sorted(points.items()):
+                for kind, clusters in (("ds", ds), ("cs", cs)):
+                    if (at := near(v, clusters)) >= 0:
+                        put(v, clusters[at])
+                        where[i] = (kind, at)
+                        break
+                else:
+                    rs[i] = v
+            if len(rs) > 50 * k and len(rs) > seen / 100:
+                left = {}
+                for g in groups(rs, 5 * k):
+                    if len(g) == 1:
+                        left[g[0]] = rs[g[0]]
+                        continue
+                    n, s, ss = stats([rs[i] for i in g])
+                    at = near([x / n for x in s], cs)
+                    if at < 0:
+                        at = len(cs)
+                        cs.append([n, s, ss])
+                    else:
+                        for i in g:
+                            put(rs[i], cs[at])
+                    where |= dict.fromkeys(g, ("cs", at))
+                rs = left
+        report.append((len(report) + 1, len(ds), sum(x[0] for x in ds), len(cs), sum(x[0] for x in cs), len(rs)))
+    names, extra = {}, len(ds)
+    for i, (n, s, _) in enumerate(cs):
+        at = near([x / n for x in s], ds)
+        names[i], extra = (at, extra) if at >= 0 else (extra, extra + 1)
+    return {i: c if kind == "ds" else names[c] for i, (kind, c) in where.items()} | dict.fromkeys(rs, -1), report
+
+
+@pytest.mark.parametrize("spread", [0.3, 3.0])
+def test_bfr_against_its_definition(spark, spread):
+    rng = random.Random(3)
+    rows = [(i, [10.0 * (i % 3) + rng.gauss(0, spread), rng.gauss(0, spread), float(rng.random() < 0.1) * rng.gauss(0, 40)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    sampled = {r["id"] for r in df.where(F.pmod(F.xxhash64("id"), F.lit(10)) == 0).collect()}
+    b = cluster.Bfr(2, sequential=True)
+    for k in range(3):
+        b.round(df.where(F.col("id") % 3 == k))
+    want, report = plain_bfr([{i: v for i, v in rows if i % 3 == k} for k in range(3)], 2, sampled)
+    assert b.report == report
+    assert {r["id"]: r["c"] for r in b.result().collect()} == want
+    assert any(r[5] for r in report)
+
+
+def test_bfr(spark):
     rng = random.Random(3)
     rows = [(i, [10.0 * (i % 3) + rng.gauss(0, 0.3), rng.gauss(0, 0.3)]) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    b = cluster.Bfr(3, sequential)
+    b = cluster.Bfr(3)
     for k in range(2):
         b.round(df.where((F.col("id") >= 300 * k) & (F.col("id") < 300 * (k + 1))))
-    found = dict(b.result())
+    found = {r["id"]: r["c"] for r in b.result().collect()}
     assert sorted(found) == list(range(600))
     assert sum(r for r in (b.report[-1][2], b.report[-1][4], b.report[-1][5])) == 600
     of = [max(set(x), key=x.count) for x in ([found[i] for i in range(c, 600, 3)] for c in range(3))]

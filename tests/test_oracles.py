@@ -9,6 +9,8 @@ import __spark_entry__ as entry
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 OWN = [n for n in QUERIES if not n.startswith("op") and n != "pipeline"]
+#: The graph has no edges on the smallest tables.
+GRAPHS = {"co_graph", "vertices", "degrees", "components", "lpa_5", "lpa_communities", "community_report", "sink_community_report", "shortest_path_count", "edge_betweenness", "betweenness_report", "edge_betweenness_joins", "top_edge", "modularity", "girvan_newman"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -19,9 +21,11 @@ def norm(rows):
 
 @pytest.mark.parametrize("name", OWN)
 def test_query(spark, sf_dir, name):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01") if name in GRAPHS else sf_dir
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     rows = norm(df.select(*columns).collect())
+    assert rows or name not in GRAPHS
     if name in SQL:
         c = duckdb.connect()
         for t in TABLES:

@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from siltstone.sources import io
 from siltstone.streaming import sketches
 
@@ -44,8 +47,10 @@ def test_reports(spark, tmp_path):
     assert lines(io.betweenness_lines(found)) == ["('c', 'd'), 2.5", "('a', 'b'), 1.0"]
     hits = spark.createDataFrame([(2, 0), (1, 1), (3, 1)], "n int, hit int")
     assert lines(io.bit_vector_line(hits, "n", "hit")) == ["1 0 1"]
-    io.write_answers({"A": 1}, str(tmp_path / "a.json"))
+    io.write_answers(spark, {"A": 1}, str(tmp_path / "a.json"))
     assert json.loads((tmp_path / "a.json").read_text()) == {"A": 1}
+    both = io.itemset_report(sets, sets.where("size = 2")).collect()
+    assert [(r["block"], r["value"]) for r in both] == [("Candidates:", "('a'),('b')"), ("Candidates:", "('a', 'b')"), ("Frequent Itemsets:", "('a', 'b')")]
 
 
 def test_parse_json(spark):
@@ -64,6 +69,77 @@ def test_tagged_stream(spark, tmp_path):
     assert got == [(3, "x", 2), (3, "y", 1), (3, "z", 1)]
 
 
+def test_filters_of_a_feed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [
+        {"text": "The NBA final", "lang": "en", "entities": {"hashtags": [{"text": "final"}]}},
+        {"text": "none", "lang": "en", "entities": {"hashtags": [{"text": "nba"}]}},
+        {"text": "near", "lang": "en", "coordinates": {"coordinates": [-74.0, 40.8]}, "entities": {"hashtags": [{"text": "near"}]}},
+        {"text": "far", "lang": "en", "coordinates": {"coordinates": [10.0, 40.8]}, "entities": {"hashtags": [{"text": "far"}]}},
+        {"text": "nba", "lang": "es", "entities": {"hashtags": [{"text": "otro"}]}},
+    ]
+    (tmp_path / "in" / "m.json").write_text("\n".join(map(json.dumps, rows)))
+    got = []
+    stream = io.tagged_stream(spark, str(tmp_path / "in"), "nba", (-74.2, 40.5, -73.8, 41.0), ["en"])
+    query = stream.writeStream.foreachBatch(lambda df, _: got.extend(r["tags"][0] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp"))
+    assert sketches.watch(query.trigger(availableNow=True).start())
+    assert sorted(got) == ["final", "nba", "near"]
+
+
+def test_log_of_every_record(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    message = lambda *tags: json.dumps({"entities": {"hashtags": [{"text": t} for t in tags]}})
+    (tmp_path / "in" / "m.json").write_text("\n".join([message("x", "y"), message("x"), message(), message("z")]))
+    tags = sketches.reservoir_tags(io.tagged_stream(spark, str(tmp_path / "in")), each=True)
+    writer = tags.writeStream.outputMode("update").foreachBatch(io.log_sink(str(tmp_path / "log"))).option("checkpointLocation", str(tmp_path / "cp"))
+    assert sketches.watch(writer.trigger(availableNow=True).start())
+    text = "".join(p.read_text() for p in sorted((tmp_path / "log").glob("*/part*")))
+    head = "The number of tweets with tags from the beginning: "
+    assert text == f"{head}1\nx : 1\ny : 1\n\n{head}2\nx : 2\ny : 1\n\n{head}3\nx : 2\ny : 1\nz : 1\n\n"
+
+
+def test_watch(spark, tmp_path):
+    """A stream that runs on is stopped after the timeout; an error ends it quietly only if it is one to stop on."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x\n")
+
+    def refuse(df, batch):
+        raise RuntimeError("status 420")
+
+    stream = spark.readStream.text(str(tmp_path / "in"))
+    running = stream.writeStream.format("memory").queryName("watched").start()
+    assert not sketches.watch(running, 2) and not running.isActive
+    assert not sketches.watch(stream.writeStream.foreachBatch(refuse).start(), None, lambda e: "420" in e)
+    with pytest.raises(StreamingQueryException):
+        sketches.watch(stream.writeStream.foreachBatch(refuse).start())
+    assert not sketches.watch(sketches.console(stream), 3)
+
+
+def test_socket_stream(spark, tmp_path):
+    import socket
+    import threading
+
+    server = socket.socket()
+    server.bind(("127.0.0.1", 0))
+    server.listen(2)
+
+    def serve():
+        for _ in range(2):
+            try:
+                c, _ = server.accept()
+                c.sendall(b'{"city": "Graz"}\n{}\n')
+            except OSError:
+                return
+
+    threading.Thread(target=serve, daemon=True).start()
+    got = []
+    rows = sketches.parse_json(io.socket_lines(spark, "127.0.0.1", server.getsockname()[1]), "city")
+    query = rows.writeStream.foreachBatch(lambda df, _: got.extend(r["key"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    sketches.watch(query, 6)
+    server.close()
+    assert sorted(got) == ["", "Graz"]
+
+
 def test_window_estimates(spark, tmp_path):
     rows = [(f"2024-01-01 00:00:{s:02d}", f"c{s % 4}") for s in range(60)] + [("2024-01-01 01:00:00", "late")]
     df = spark.createDataFrame(rows, "t string, key string").selectExpr("cast(t AS timestamp) AS ts", "key")
