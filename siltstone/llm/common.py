@@ -1,14 +1,16 @@
-"""What the training-data operators share: the shared folder, word patterns, connected components."""
+"""What the training-data operators share: word patterns, connected components, stored steps."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.storage import drop, new_path, remove, shared_folder, store
+
+__all__ = ["JAVA_WORD", "WORD", "components", "drop", "new_path", "remove", "shared_folder", "store", "table"]
+
 #: A word: a run of characters that are none of space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 JAVA_WORD = r"[^\x20\x09-\x0D]+"
@@ -18,46 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset the
-    warehouse on a cluster and a temporary folder in a single-process session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if re.match(r"local(\[|$)", master):
-            folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-            spark.conf.set("spark.checkpoint.dir", folder)
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the session ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet below the shared folder and reads it back, so a lost
-    executor costs the rows of one step and no step runs twice. The driver's garbage is collected
-    after it, which lets Spark delete the shuffle files of finished steps."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, root) per node that has an
     edge to another node, root the smallest node reachable.
@@ -83,8 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = store(large, "large")
+        large = store(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        drop(now, least)
         least = store(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = store(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        drop(large, least)

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,94 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import new_path, store
+from siltstone.llm.words import M1, M2, Words, blob, dealt, member, rolled, rows
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 GROUP_CHARS, BUCKET_ENTRIES = 512_000, 1_000_000
-NO_ID = np.iinfo(np.int64).max
-#: Multipliers of the two rolling hashes, and of the last mix.
-M1, M2, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
-
-
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-#: A random number for each byte, and the powers that the bytes of a piece of text are weighted with.
-BYTES = np.random.default_rng(0).integers(0, 2**64, 256, np.uint64)
-PIECE = 1 << 20
-
-
-@lru_cache(maxsize=1)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n powers of M1 and of its inverse, modulo 2^64."""
-    inverse = np.uint64(pow(int(M1), -1, 2**64))
-    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64)), dtype=np.uint64) for x in (M1, inverse))
-
-
-class Words:
-    """The words of a group of texts, straight from the bytes of the column: where each starts and ends,
-    its text and its hash. ids are the texts' ids, NO_ID for null."""
-
-    def __init__(self, group: pa.Table):
-        text = pa.concat_arrays([c.cast(pa.large_string()).fill_null("") for c in group["text"].chunks]) if group.num_rows else pa.array([], pa.large_string())
-        ids = group["id"].combine_chunks() if group.num_rows else pa.array([], pa.int64())
-        self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        buffers = text.buffers()
-        offsets = np.frombuffer(buffers[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.empty(0, np.uint8)
-        self.data = data[: offsets[-1]]
-        plain = np.zeros(len(self.data) + 1, bool)
-        np.logical_not(SPACE[self.data], out=plain[:-1])
-        begins = np.zeros(len(self.data) + 1, bool)
-        begins[offsets] = True
-        starts = plain.copy()
-        starts[1:] &= ~plain[:-1] | begins[1:]
-        ends = plain.copy()
-        ends[:-1] &= ~plain[1:] | begins[1:]
-        starts[: offsets[0]] = ends[: offsets[0]] = False
-        self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        self.text = np.searchsorted(offsets, self.start, "right") - 1
-        self.first = np.searchsorted(self.text, np.arange(len(text)))
-        self.count = np.diff(np.append(self.first, len(self.text)))
-        self.hash = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        """Per word, the sum of its bytes' numbers times powers by their place in it; taken from running
-        sums over pieces of the text that end with a word."""
-        out = np.empty(len(self.start), np.uint64)
-        at = 0
-        while at < len(out):
-            base = self.start[at]
-            stop = max(at + 1, int(np.searchsorted(self.end, base + PIECE, "right")))
-            piece = self.data[base : self.end[stop - 1]]
-            up, down = powers(max(PIECE, 1 << (len(piece) - 1).bit_length()))
-            sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(BYTES[piece] * up[: len(piece)], dtype=np.uint64, out=sums[1:])
-            s, e = self.start[at:stop] - base, self.end[at:stop] - base
-            out[at:stop] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-            at = stop
-        out ^= out >> np.uint64(32)
-        out *= MIX
-        out ^= out >> np.uint64(29)
-        return out
-
-    def inside(self, width: int) -> np.ndarray:
-        """Which runs of width words lie in one text."""
-        n = len(self.text) - width + 1
-        return self.text[:n] == self.text[width - 1 :] if n > 0 else np.empty(0, bool)
-
-
-def rolled(words: np.ndarray, width: int, by: np.uint64) -> np.ndarray:
-    """A hash of each run of width words."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = words[:n].copy()
-    for k in range(1, width):
-        out *= by
-        out += words[k : k + n]
-    out ^= out >> np.uint64(33)
-    out *= MIX
-    out ^= out >> np.uint64(29)
-    return out
 
 
 def at_cover(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -123,14 +39,6 @@ def at_cover(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, rolled(words.hash, ANCHOR, M1)[at]
 
 
-def member(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of x lie in the sorted array, and where."""
-    if not len(of):
-        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-    at = np.minimum(np.searchsorted(of, x), len(of) - 1)
-    return of[at] == x, at
-
-
 def windows_near(words: Words, shared: np.ndarray) -> np.ndarray:
     """Positions of the windows that hold a shared anchor at a cover position."""
     ok = words.inside(WINDOW)
@@ -156,10 +64,6 @@ def packs(g: int, key: np.ndarray, buckets: int, *columns: np.ndarray) -> list[t
     return [(int(b), g, *(c[order[s:e]].tobytes() for c in (key, *columns))) for b, s, e in zip(found, cut, cut[1:], strict=False)]
 
 
-def blob(col: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in col.to_pylist()] or [np.empty(0, kind)])
-
-
 def least_and_many(keys: tuple, ids: np.ndarray) -> tuple:
     """Distinct keys (arrays, the first is most significant), the least id of each, and whether it has several."""
     order = np.lexsort((ids, *keys[::-1]))
@@ -178,10 +82,6 @@ BACK = pa.schema([("g", pa.int64()), ("h", pa.binary()), ("h2", pa.binary()), ("
 BACK_SQL = "g long, h binary, h2 binary, id binary"
 
 
-def rows(found: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.table({f.name: pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)}, schema=schema)
-
-
 def send_anchors(buckets: int):
     def run(group: pa.Table) -> pa.Table:
         words = Words(group)
@@ -297,10 +197,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     files = max(tasks, groups // 32)
     name = f"siltstone_{uuid.uuid4().hex}"
     path = new_path(spark, "texts")
-    dealt = picked.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
-    dealt.repartition(files, "g").write.option("compression", "zstd").bucketBy(files, "g").option("path", path).saveAsTable(name)
+    dealt(picked, groups).repartition(files, "g").write.option("compression", "zstd").bucketBy(files, "g").option("path", path).saveAsTable(name)
     spark.sparkContext._jvm.System.gc()
     at = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalogue; its files stay, as does what was read of it
     sent = at.groupBy("g").applyInArrow(send_anchors(buckets), SENT_SQL)
     shared = store(sent.groupBy("bucket").applyInArrow(answer_anchors, BACK_SQL), "anchors")
     sent = at.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(lambda a, b: send_windows(buckets)(a, b), SENT_SQL)
