@@ -1,280 +1,501 @@
-"""LM scoring by masked pseudo-likelihood.
-
-A bidirectional window network (embeddings of two words on either side, one hidden layer, softmax over
-word classes) predicts the class of every word from both sides, and the corpus's counts the word in its class:
-log P(word | context) = log P(class | context) + log (n(word) / (n(class) + 1)), summed over a text. Classes are the
-most frequent of 2^16 hashed words, counted over the whole corpus, each by itself, and the others by hash. Words are
-told apart by 64 bits. The one count that is added to a class is for all words that the counts do not hold: such a word
-gets 1 / (n(class) + 1).
-
-The counts of all words are a table, which grows with the corpus and is joined; those of at most FREQUENT words,
-a fixed number, are broadcast, which saves the shuffle of most words.
-
-Training sees every word of every text as a masked target, once. Steps take words from several texts: all that
-wait are dealt over the batches. Every task fits the network to its own texts from one common start,
-whose output bias is the corpus's class frequencies; the results are averaged by their number of
-targets, first in about a square root of the tasks, then on the driver, which gets that many rows.
+"""LM scoring by masked pseudo-likelihood: every word is predicted from both sides.
+
+A bidirectional window network (embeddings of SIDE words on either side, one hidden layer) gives each word a score s in
+its context, and P(word | context) = q(word) exp(s) / Z, q being the word's share of the corpus. The vocabulary is all
+words of the corpus, told apart by 64 bits: the OWN most frequent have rows of their own in the network's tables, the others
+share SHARED rows by hash, and within a row the corpus's exact counts tell them apart. Z is a sum over the HEAD most
+frequent rows, the word itself, and a seeded sample of the others in proportion to q (importance-sampled softmax), in
+training as in scoring; the word itself is always in it, so no probability exceeds 1.
+
+The network's tables have a fixed size, so it can't remember contexts. A memory that grows with the corpus does:
+for each pair of neighbours (the word before, the word after) the words that stand between them, counted by the document, and with
+the scored document left out. Of b such occurrences elsewhere, a of which are the word itself, the two are mixed as
+(b / (b + 1)) (a / b) + (1 / (b + 1)) P(word | context), the more of the memory, the more often it has seen the context.
+
+Training sees every word of every text as a masked target, once, in ROUNDS rounds: each shard of texts fits the network to a
+part of its texts from the last round's parameters, and the results are averaged, each row by the number of its targets. Texts
+are dealt into groups and shards by a hash of id and text, and read in an order of hashes, so that any layout of the input
+gives the same parameters.
+
+Groups send their distinct words, and their contexts, packed by hash bucket, once; buckets answer in the order in which
+they were asked, packed by group. So hot words and contexts cost an entry for each group or document, and no pairs are formed.
 """
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, store
-
-HASHED, OWN, REST = 1 << 16, 96, 32
-CLASSES, SIDE, WIDTH, HIDDEN = OWN + REST, 2, 12, 24
-FREQUENT = 1 << 16
-BATCH, WAIT, RATE, SEED = 512, 4096, 0.15, 7
-SHAPES = {"e": (CLASSES + 1, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "c": (HIDDEN,), "u": (HIDDEN, CLASSES), "b": (CLASSES,)}
-
-
-@lru_cache(maxsize=1 << 18)
-def hashed(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
-def words_of(text: str | None) -> np.ndarray:
-    """64 bits of each word, signed."""
-    return np.fromiter(map(hashed, WORD.findall((text or "").lower())), np.uint64).view(np.int64)
-
-
-def numbers(text: str | None) -> np.ndarray:
-    return words_of(text) & (HASHED - 1)
-
-
-def lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
-
-
-def unlisted(column: pa.ListArray) -> list[np.ndarray]:
-    ends = np.cumsum(column.value_lengths().to_numpy())
-    return np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
-
-
-def split_words(docs: DataFrame) -> DataFrame:
-    """(id, words) per row of docs (id, text): words_of() the text."""
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists([words_of(x.as_py()) for x in part.column(1)])], names=["id", "words"])
-
-    picked = docs.select(F.col(docs.columns[0]).alias("id"), F.col(docs.columns[1]).alias("text"))
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, words array<bigint>")
-
-
-def word_counts(split: DataFrame) -> DataFrame:
-    """(w, n): occurrences of each word in all texts."""
-    return split.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-
-
-def hashed_counts(counts: DataFrame) -> DataFrame:
-    """(h, n): the same of each hashed word."""
-    return counts.groupBy(F.col("w").bitwiseAND(F.lit(HASHED - 1)).cast("int").alias("h")).agg(F.sum("n").alias("n"))
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    return hashed_counts(word_counts(split_words(docs)))
-
-
-def frequent_from(counts: DataFrame, most: int) -> int:
-    """A least count that at most most words reach: by quarters of octaves, of which there are 256 at most."""
-    quarter = F.floor(F.log2("n") * 4)
-    found = counts.groupBy(quarter.alias("q")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("q")).collect()
-    least, total = 1 << 62, 0
-    for r in found:
-        total += r["c"]
-        if total > most:
-            break
-        least = r["n"]
-    return least
-
-
-def classes(counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each hashed word, and the log frequencies of classes."""
-    of = OWN + np.arange(HASHED) % REST
-    n = np.zeros(HASHED, np.int64)
-    for h, c in counts:
-        n[h] = c
-    top = np.lexsort((np.arange(HASHED), -n))[:OWN]
-    of[top] = np.arange(OWN)
-    each = np.bincount(of, weights=n, minlength=CLASSES) + 1.0
-    return of, np.log(each / each.sum())
-
-
-def start(bias: np.ndarray) -> dict[str, np.ndarray]:
+from siltstone.llm.common import drop, new_path, store
+from siltstone.llm.words import MIX, Words, blob, dealt, member, rows
+
+OWN, SHARED = 6144, 2048
+ROWS, SIDE, WIDTH, HIDDEN = OWN + SHARED, 2, 12, 16
+HEAD, NOISE, BATCH, RATE, SEED, ROUNDS = 32, 32, 2048, 0.07, 7, 3
+#: Scores above this count as this, so that no exponential overflows.
+MOST = np.float32(60)
+#: Characters of a group, the unit of every exchange, and groups of a shard, the unit of training; entries of a bucket.
+GROUP_CHARS, SHARD_GROUPS, BUCKET_ENTRIES, PIECE = 1_500_000, ROUNDS, 4_000_000, 256
+#: Parameters by row of the vocabulary (the last row of e stands for what is beyond a text), and the others.
+BY_ROW = {"e": (ROWS + 1, WIDTH), "u": (ROWS, HIDDEN), "b": (ROWS, 1)}
+OTHERS = {"w": (2 * SIDE * WIDTH, HIDDEN), "c": (1, HIDDEN)}
+SHAPES = BY_ROW | OTHERS
+FLAT = sum(math.prod(s) for s in SHAPES.values())
+
+
+class Vocabulary:
+    """Rows of words: the hashes of the OWN most frequent, sorted, with their rows; counts of each row and in all."""
+
+    def __init__(self, top: list[tuple[int, int]], shared: list[tuple[int, int]]):
+        """top: (hash, count) of the most frequent words. shared: (row beyond OWN, count) of the others."""
+        top = sorted(top, key=lambda x: (-x[1], x[0]))
+        h = np.array([x[0] for x in top], np.int64).view(np.uint64)
+        order = np.argsort(h)
+        self.known, self.row = h[order], order.astype(np.uint16)
+        self.n = np.zeros(ROWS, np.float64)
+        self.n[: len(top)] = [x[1] for x in top]
+        for r, c in shared:
+            self.n[OWN + r] = c
+        self.total = max(self.n.sum(), 1.0)
+        with np.errstate(divide="ignore"):
+            self.log_q = np.log(self.n / self.total).astype(np.float32)
+        self.head = np.argsort(-self.n, kind="stable")[:HEAD]
+        rest = self.n / self.total
+        rest[self.head] = 0
+        self.tail = float(rest.sum())
+        self.ends = np.cumsum(rest)
+        self.is_head = np.full(ROWS, -1, np.int16)
+        self.is_head[self.head] = np.arange(HEAD)
+
+    def rows_of(self, h: np.ndarray) -> np.ndarray:
+        found, at = member(h, self.known)
+        return np.where(found, self.row[at] if len(self.row) else 0, OWN + (h % np.uint64(SHARED)).astype(np.int64)).astype(np.uint16)
+
+    def noise(self, rng: np.random.Generator, k: int) -> np.ndarray:
+        """k rows other than the head in proportion to their counts; none where the head is all."""
+        if self.tail <= 0:
+            return np.empty(0, np.int64)
+        return np.minimum(np.searchsorted(self.ends, rng.random(k) * self.ends[-1], "right"), ROWS - 1)
+
+
+def start() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    p = {k: (rng.standard_normal(s) * (0.3 if k == "e" else 1 / math.sqrt(s[0]))).astype(np.float32) for k, s in SHAPES.items()}
-    return p | {"c": np.zeros(HIDDEN, np.float32), "u": p["u"] * np.float32(0.1), "b": bias.astype(np.float32)}
-
+    p = {k: rng.standard_normal(s).astype(np.float32) for k, s in SHAPES.items()}
+    return p | {"e": p["e"] * np.float32(0.3), "w": p["w"] / np.float32(math.sqrt(2 * SIDE * WIDTH)), "u": p["u"] * np.float32(0.05), "b": np.zeros(SHAPES["b"], np.float32), "c": np.zeros(SHAPES["c"], np.float32)}
+
+
+def contexts(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Rows of the words on both sides of each word of its text; ROWS beyond the text."""
+    out = np.full((len(ids), 2 * SIDE), ROWS, np.uint16)
+    for k, d in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
+        a, b = (slice(0, len(ids) - d), slice(d, None)) if d > 0 else (slice(-d, None), slice(0, len(ids) + d))
+        if len(ids) > abs(d):
+            same = text[a] == text[b]
+            out[a, k][same] = ids[b][same]
+    return out
 
-def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Class numbers on both sides of the positions; CLASSES beyond the text."""
-    padded = np.full(len(ids) + 2 * SIDE, CLASSES, np.int64)
-    padded[SIDE : SIDE + len(ids)] = ids
-    return np.stack([padded[at + SIDE + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
+def forward(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise: np.ndarray) -> tuple:
+    """(x, h, selected rows, probabilities of those, probability of each target): of a batch of contexts and targets.
 
-def forward(p: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    A target of the head is one of the selected rows; another has a term of its own in Z, and the sample stands for the
+    other rows beyond the head."""
     x = p["e"][ctx].reshape(len(ctx), -1)
-    h = np.tanh(x @ p["w"] + p["c"])
-    z = h @ p["u"]
-    z += p["b"]
-    return x, h, z
-
-
-def log_probs(p: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
+    h = x @ p["w"]
+    h += p["c"]
+    np.tanh(h, out=h)
+    rows_ = np.concatenate([v.head, noise])
+    z = h @ p["u"][rows_].T
+    z += p["b"][rows_, 0]
+    z[:, :HEAD] += v.log_q[v.head]
+    place = v.is_head[target]
+    tail = place < 0
+    own = np.full(len(ctx), -np.inf, np.float32)
+    if tail.any():
+        t = target[tail]
+        own[tail] = np.einsum("ij,ij->i", h[tail], p["u"][t]) + p["b"][t, 0] + v.log_q[t]
+    if len(noise):
+        left = v.tail - np.where(tail, v.n[target] / v.total, 0)
+        with np.errstate(divide="ignore"):
+            z[:, HEAD:] += np.log(np.maximum(left, 0) / len(noise)).astype(np.float32)[:, None]
+    np.exp(np.minimum(z, MOST, out=z), out=z)
+    own = np.exp(np.minimum(own, MOST))
+    total = z.sum(axis=1) + own
+    z /= total[:, None]
+    return x, h, rows_, z, own / total
+
+
+def target_probs(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """log P(row of the target | context)."""
     out = np.empty(len(target), np.float64)
     for s in range(0, len(target), 4096):
-        _, _, z = forward(p, ctx[s : s + 4096])
         t = target[s : s + 4096]
-        own = z[np.arange(len(t)), t]
-        top = z.max(axis=1)
-        z -= top[:, None]
-        np.exp(z, out=z)
-        out[s : s + 4096] = own - top - np.log(z.sum(axis=1))
+        _, _, _, z, own = forward(p, v, ctx[s : s + 4096], t, noise)
+        place = v.is_head[t]
+        out[s : s + 4096] = np.log(np.maximum(np.where(place >= 0, z[np.arange(len(t)), place], own), 1e-30))
     return out
 
 
-def step(p: dict, seen: dict, ctx: np.ndarray, target: np.ndarray) -> None:
-    """One Adagrad step on a batch."""
-    x, h, z = forward(p, ctx)
-    z -= z.max(axis=1)[:, None]
-    np.exp(z, out=z)
-    z /= z.sum(axis=1)[:, None]
-    z[np.arange(len(target)), target] -= 1
-    z /= len(target)
-    dh = (z @ p["u"].T) * (1 - h * h)
-    at = (ctx.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    de = np.bincount(at, (dh @ p["w"].T).ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
-    for k, g in (("u", h.T @ z), ("b", z.sum(axis=0)), ("w", x.T @ dh), ("c", dh.sum(axis=0)), ("e", de)):
-        seen[k] += g * g
-        p[k] -= RATE * g / (np.sqrt(seen[k]) + 1e-6)
+def summed(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sums of their rows of g."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return ids[first], np.add.reduceat(g[order], first, axis=0)
+
+
+def gradients(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise: np.ndarray) -> tuple[float, dict]:
+    """The summed loss of a batch, and its gradients: by row (rows, sums), or whole."""
+    x, h, rows_, z, own = forward(p, v, ctx, target, noise)
+    place = v.is_head[target]
+    tail = np.flatnonzero(place < 0)
+    at = np.flatnonzero(place >= 0)
+    loss = -np.log(np.maximum(own[tail], 1e-30)).sum() - np.log(np.maximum(z[at, place[at]], 1e-30)).sum()
+    z[at, place[at]] -= 1
+    t = target[tail]
+    miss = (own[tail] - 1)[:, None]
+    dh = z @ p["u"][rows_]
+    dh[tail] += miss * p["u"][t]
+    dh *= 1 - h * h
+    du = np.concatenate([z.T @ h, miss * h[tail]])
+    db = np.concatenate([z.sum(axis=0), miss[:, 0]])[:, None]
+    where = np.concatenate([rows_.astype(np.uint16), t])
+    u = summed(where, np.concatenate([du, db], axis=1))
+    dx = (dh @ p["w"].T).reshape(-1, WIDTH)
+    return float(loss), {"u": (u[0], u[1][:, :-1]), "b": (u[0], u[1][:, -1:]), "e": summed(ctx.ravel(), dx), "w": x.T @ dh, "c": dh.sum(axis=0)[None]}
+
+
+def step(p: dict, seen: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise: np.ndarray) -> float:
+    """One Adagrad step on a batch, of the rows that it touches."""
+    loss, every = gradients(p, v, ctx, target, noise)
+    for k, g in every.items():
+        at, g = g if k in BY_ROW else (slice(None), g)
+        seen[k][at] += g * g
+        p[k][at] -= RATE * g / np.sqrt(seen[k][at])
+    return loss
+
+
+def fit(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, seed: int) -> dict[str, np.ndarray]:
+    """p after one pass over the targets. A batch takes words at even distances, so that it holds words of many texts."""
+    p = {k: x.copy() for k, x in p.items()}
+    seen = {k: np.full(x.shape, 1.0, np.float32) for k, x in p.items()}
+    rng, every = np.random.default_rng([SEED, seed]), -(-len(target) // BATCH)
+    for s in range(every):
+        step(p, seen, v, ctx[s::every], target[s::every], v.noise(rng, NOISE))
+    return p
+
+
+def flat(p: dict) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in SHAPES])
+
+
+def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
+    out, s = {}, 0
+    for k, shape in SHAPES.items():
+        out[k] = flat[s : s + math.prod(shape)].reshape(shape)
+        s += math.prod(shape)
+    return out
 
 
-def train(docs: DataFrame, of: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
-    """The network fitted to docs (id, text)."""
-    return train_words(split_words(docs), of, bias)
+def weights(n: np.ndarray) -> np.ndarray:
+    """What each parameter of a fit to n targets by row weighs: its row's targets and one, all targets for the others."""
+    by = {"e": np.append(n, n.sum())[:, None] + 1, "u": n[:, None] + 1, "b": n[:, None] + 1}
+    return np.concatenate([np.broadcast_to(by[k] if k in by else n.sum() + 1, s).ravel() for k, s in SHAPES.items()])
+
+
+def in_order(group: pa.Table) -> pa.Table:
+    """The texts of a group in an order that any layout gives: equal ones are alike."""
+    return group.sort_by([("order", "ascending")])
+
+
+def pieces(group: pa.Table):
+    """Words of PIECE texts at a time, so that the arrays at hand don't grow with the group."""
+    for at in range(0, group.num_rows, PIECE):
+        yield Words(group.slice(at, PIECE), lower=True)
+
+
+def word_keys(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a group, by bucket: hashes, counts, and the bounds of the buckets."""
+    parts = [np.unique(w.hash, return_counts=True) for w in pieces(group)]
+    h, c = np.concatenate([np.empty(0, np.uint64), *(x[0] for x in parts)]), np.concatenate([np.empty(0, np.int64), *(x[1] for x in parts)])
+    h, at = np.unique(h, return_inverse=True)
+    c = np.bincount(at, c, len(h)).astype(np.uint32)
+    bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return h[order], c[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h * MIX
+    h ^= h >> np.uint64(32)
+    h *= MIX
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def context_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word a hash of its neighbours (none beyond the text), and 48 bits that hold 32 of it and 16 of the word."""
+    n = len(w.hash)
+    before, after = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    if n > 1:
+        same = w.text[1:] == w.text[:-1]
+        before[1:][same] = w.hash[:-1][same]
+        after[:-1][same] = w.hash[1:][same]
+    c = mixed(before * np.uint64(3) + mixed(after))
+    return c, ((c & np.uint64(0xFFFFFFFF)) << np.uint64(16)) | (w.hash >> np.uint64(48))
+
+
+def asked_contexts(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct contexts with words of each text of a group, by bucket: their 48 bits, the bounds of the buckets, and of
+    each word of the group its place in that list."""
+    bits, bucket, place, base = [], [], [], 0
+    for w in pieces(group):
+        c, key = context_keys(w)
+        # told apart by text, by a hash of all three
+        _, first, inverse = np.unique(mixed(key + mixed(c)) + mixed(w.text.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True)
+        bits.append(key[first])
+        bucket.append((c[first] >> np.uint64(32)) % np.uint64(buckets))
+        place.append(inverse + base)
+        base += len(first)
+    none = np.empty(0, np.uint64)
+    bits, bucket = np.concatenate([none, *bits]), np.concatenate([none, *bucket])
+    order = np.lexsort((bits, bucket))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return bits[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)), back[np.concatenate([np.empty(0, np.int64), *place])]
+
+
+ASKED = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("key", pa.binary()), ("n", pa.binary())])
+ASKED_SQL = "bucket long, g long, key binary, n binary"
+SAID = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+SAID_SQL = "bucket long, g long, a binary, b binary"
+
+
+def ask_words(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        h, c, ends = word_keys(group, buckets)
+        g = group["g"][0].as_py()
+        return rows([(b, g, h[s:e].tobytes(), c[s:e].tobytes()) for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s], ASKED)
+
+    return run
+
+
+def tell_words(group: pa.Table) -> pa.Table:
+    """The counts in the whole corpus of the words that each group has asked for; g of -1 holds the bucket's own words."""
+    h, c = blob(group["key"], np.uint64), blob(group["n"], np.uint32)
+    known, at = np.unique(h, return_inverse=True)
+    n = np.bincount(at, c, len(known)).astype(np.int64)
+    bucket, out, s = group["bucket"][0].as_py(), [], 0
+    out.append((bucket, -1, known.tobytes(), n.tobytes()))
+    for g, key in zip(group["g"].to_pylist(), group["key"].to_pylist(), strict=True):
+        e = s + len(key) // 8
+        out.append((bucket, g, n[at[s:e]].tobytes(), b""))
+        s = e
+    return rows(out, SAID)
+
+
+def ask_contexts(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        bits, ends, _ = asked_contexts(group, buckets)
+        g = group["g"][0].as_py()
+        six = bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        return rows([(b, g, six[s:e].tobytes(), b"") for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s], ASKED)
+
+    return run
+
+
+def tell_contexts(group: pa.Table) -> pa.Table:
+    """Of each entry that a group has sent: how many other entries have its context (b), as far as 16 bits count, and which
+    share of those its word too (a)."""
+    six = blob(group["key"], np.uint8).reshape(-1, 6)
+    bits = np.zeros((len(six), 8), np.uint8)
+    bits[:, :6] = six
+    key = bits.view("<u8").ravel()
+    del six, bits
+    order = np.argsort(key)
+    ordered = key[order]
+    a, b = np.empty(len(key), np.float16), np.empty(len(key), np.uint16)
+
+    def others(x: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        size = np.diff(np.append(first, len(x)))
+        return np.repeat(size - 1, size)
+
+    both, context = others(ordered), others(ordered >> np.uint64(16))
+    a[order] = both / np.maximum(context, 1)
+    b[order] = np.minimum(context, 65535)
+    bucket, out, s = group["bucket"][0].as_py(), [], 0
+    for g, k in zip(group["g"].to_pylist(), group["key"].to_pylist(), strict=True):
+        e = s + len(k) // 6
+        out.append((bucket, g, a[s:e].tobytes(), b[s:e].tobytes()))
+        s = e
+    return rows(out, SAID)
+
+
+def said(answers: pa.Table, ends: np.ndarray, column: str, kind) -> np.ndarray:
+    """A column of the answers, put together in the order of what was asked."""
+    out = np.zeros(int(ends[-1]), kind)
+    for b, x in zip(answers["bucket"].to_pylist(), answers[column].to_pylist(), strict=True):
+        out[ends[b] : ends[b + 1]] = np.frombuffer(x, kind)
+    return out
 
 
-def train_words(docs: DataFrame, of: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
-    shared = docs.sparkSession.sparkContext.broadcast((of, bias))
+class Corpus:
+    """The texts, dealt into groups and shards and written once as a table that is bucketed by shard, so that no pass over
+    it shuffles."""
+
+    def __init__(self, docs: DataFrame):
+        spark = docs.sparkSession
+        chars, self.rows = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+        self.shards = chars // (GROUP_CHARS * SHARD_GROUPS) + 1
+        self.groups = self.shards * SHARD_GROUPS
+        self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        #: About six characters are a word; a group has each of its words, a text each of its contexts once.
+        self.buckets = max(self.tasks, chars // (6 * BUCKET_ENTRIES))
+        table = dealt(docs, self.groups).withColumn("shard", F.pmod("g", F.lit(self.shards))).withColumn("order", F.xxhash64("text"))
+        name, self.path = f"siltstone_{uuid.uuid4().hex}", new_path(spark, "texts")
+        table.repartition(self.shards, "shard").write.option("compression", "zstd").bucketBy(self.shards, "shard").option("path", self.path).saveAsTable(name)
+        spark.sparkContext._jvm.System.gc()
+        self.at = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")  # from the catalogue; its files stay, as does what was read of it
+
+    def by_group(self):
+        return self.at.groupBy("shard", "g")
 
-    def fit(batches):
-        own_of, own_bias = shared.value
-        p = start(own_bias)
-        seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
-        wait_c, wait_t, waiting, total = [], [], 0, 0
-        for b in batches:
-            for words in unlisted(b.column(1)):
-                ids = own_of[words & (HASHED - 1)]
-                if len(ids):
-                    wait_c.append(contexts(ids, np.arange(len(ids))))
-                    wait_t.append(ids)
-                    waiting += len(ids)
-                if waiting >= WAIT:
-                    steps(p, seen, wait_c, wait_t)
-                    wait_c, wait_t, waiting, total = [], [], 0, total + waiting
-        if waiting:
-            steps(p, seen, wait_c, wait_t)
-        total += waiting
-        if total:
-            yield packed(total, {k: v.astype(np.float64) * total for k, v in p.items()})
-
-    def steps(p, seen, wait_c, wait_t):
-        c, t = np.concatenate(wait_c), np.concatenate(wait_t)
-        every = -(-len(t) // BATCH)
-        for s in range(every):
-            step(p, seen, c[s::every], t[s::every])
-
-    def add(batches):
-        n, flat = 0, 0.0
-        for b in batches:
-            for m, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n, flat = n + m, flat + np.frombuffer(x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat.tobytes()], pa.binary())], names=["n", "p"])
-
-    def packed(n, p):
-        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([p[k].ravel() for k in SHAPES]).tobytes()], pa.binary())], names=["n", "p"])
-
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fitted = store(docs.mapInArrow(fit, "n long, p binary"), "fitted")
-    sums = fitted.repartition(math.isqrt(tasks) + 1).mapInArrow(add, "n long, p binary").collect()
-    if not sums:
-        return start(bias)
-    flat = sum(np.frombuffer(r["p"]) for r in sums) / sum(r["n"] for r in sums)
-    out, s = {}, 0
-    for k, shape in SHAPES.items():
-        size = math.prod(shape)
-        out[k] = flat[s : s + size].reshape(shape).astype(np.float32)
-        s += size
-    return out
 
+def vocabulary(told: DataFrame) -> Vocabulary:
+    """From what the buckets hold. The OWN most frequent words come from a top-k; the others are summed up by row."""
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """One row per row of docs: its id, n_words, log_prob (the sum over its words) and mean_log_prob.
-
-    A null or empty text has no words, log_prob 0 and a null mean; repeated rows are scored (and
-    count in training) each by themselves; an empty table gives no rows; other columns are not read. The fit
-    depends on how texts are dealt over tasks, so scores of two layouts differ slightly."""
-    split = store(split_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "words")
-    counts = store(word_counts(split), "counts")
-    by_hash = [tuple(r) for r in hashed_counts(counts).collect()]  # 2^16 sums at most
-    of, bias = classes(by_hash)
-    mass = np.zeros(CLASSES)
-    for h, n in by_hash:
-        mass[of[h]] += n
-    least = frequent_from(counts, frequent)
-    top = np.array(sorted(tuple(r) for r in counts.where(F.col("n") >= least).collect()), np.int64).reshape(-1, 2)
-    model = docs.sparkSession.sparkContext.broadcast((of, train_words(split, of, bias), top[:, 0].copy(), np.log(top[:, 1]), np.log(mass + 1)))
-
-    def run(batches):
-        own_of, p, known, log_n, log_mass = model.value
+    def unpack(batches):
         for b in batches:
-            n, total, rare, held, words = [], [], [], [], 0
-            for ws in unlisted(b.column(1)):
-                held.append(own_of[ws & (HASHED - 1)])
-                words += len(ws)
-                at = np.minimum(np.searchsorted(known, ws), max(len(known) - 1, 0))
-                found = known[at] == ws if len(known) else np.zeros(len(ws), bool)
-                rare.append(ws[~found])
-                total.append(float(log_n[at[found]].sum() - log_mass[held[-1]].sum()))
-                if words > 1 << 17:
-                    flush(p, held, n, total)
-                    held, words = [], 0
-            flush(p, held, n, total)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), lists(rare)], names=["id", "n_words", "log_prob", "rare"])
-
-    def flush(p, held, n, total):
-        """Adds the log-probabilities of the classes of the texts held."""
-        full = [ids for ids in held if len(ids)]
-        if full:
-            lp = log_probs(p, np.concatenate([contexts(ids, np.arange(len(ids))) for ids in full]), np.concatenate(full))
-            sums = iter(np.add.reduceat(lp, np.cumsum([0, *map(len, full[:-1])])).tolist())
-        for ids in held:
-            if len(ids):
-                total[len(n)] += next(sums)
-            n.append(len(ids))
-
-    schema = f"id {split.schema['id'].dataType.simpleString()}, n_words long, log_prob double, rare array<bigint>"
-    scored = store(split.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    # a word that occurs once, and one that is in no text, adds log 1
-    less = counts.where((F.col("n") > 1) & (F.col("n") < least)).select("w", F.log("n").alias("log_n"))
-    more = scored.select("row", F.explode("rare").alias("w")).join(less, "w").groupBy("row").agg(F.sum("log_n").alias("more"))
-    log_prob = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
-    mean = F.when(F.col("n_words") > 0, log_prob / F.col("n_words"))
-    return scored.join(more, "row", "left").select(F.col("id").alias(id_col), "n_words", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))
+            for h, n in zip(b.column(0), b.column(1), strict=True):
+                h, n = np.frombuffer(h.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
+                for s in range(0, len(h), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[s : s + 65536]), pa.array(n[s : s + 65536])], names=["w", "n"])
+
+    counts = told.where("g = -1").select("a", "b").mapInArrow(unpack, "w long, n long")
+    top = [tuple(r) for r in counts.orderBy(F.desc("n"), "w").limit(OWN).collect()]
+    known = {w for w, _ in top}
+    shared = np.zeros(SHARED, np.int64)
+    by_row = counts.groupBy(F.pmod(F.col("w").bitwiseAND(F.lit(SHARED - 1)), F.lit(SHARED)).alias("r")).agg(F.sum("n").alias("n"))
+    for r in by_row.collect():  # SHARED sums
+        shared[r["r"]] = r["n"]
+    for w, n in top:
+        shared[w & (SHARED - 1)] -= n
+    assert len(known) == len(top)
+    return Vocabulary(top, [(r, int(n)) for r, n in enumerate(shared) if n])
+
+
+FITTED = "part long, n binary, p binary"
+
+
+def fitted_row(part: int, n: np.ndarray, flat: np.ndarray) -> pa.Table:
+    """Row counts n, by which parameters are averaged, and the parameters."""
+    return pa.table({"part": pa.array([part], pa.int64()), "n": pa.array([n.astype(np.int64).tobytes()], pa.binary()), "p": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
+
+
+def fit_shard(model, turn: int):
+    def run(group: pa.Table) -> pa.Table:
+        v, p = model.value
+        ids, ctx, shard = [], [], group["shard"][0].as_py()
+        for w in pieces(in_order(group)):
+            ids.append(v.rows_of(w.hash))
+            ctx.append(contexts(ids[-1], w.text))
+        ids, ctx = np.concatenate(ids), np.concatenate(ctx)
+        p = fit(p, v, ctx, ids, turn * 1_000_003 + shard) if len(ids) else p
+        return fitted_row(shard, np.bincount(ids, minlength=ROWS), flat(p))
+
+    return run
+
+
+def add_fits(group: pa.Table) -> pa.Table:
+    counts, total, sums = np.zeros(ROWS, np.int64), np.zeros(FLAT), np.zeros(FLAT)
+    for n, x in zip(*(group.sort_by("part")[c].to_pylist() for c in ("n", "p")), strict=True):
+        n = np.frombuffer(n, np.int64)
+        w = weights(n)
+        counts, total, sums = counts + n, total + w, sums + w * np.frombuffer(x, np.float32)
+    return fitted_row(group["to"][0].as_py(), counts, sums / total)
+
+
+def train(corpus: Corpus, v: Vocabulary) -> dict[str, np.ndarray]:
+    """The parameters after ROUNDS rounds over disjoint parts of the texts, which are all of them together."""
+    spark, p = corpus.at.sparkSession, start()
+    for turn in range(ROUNDS):
+        model = spark.sparkContext.broadcast((v, p))
+        part = corpus.at.where(F.floor(F.col("g") / corpus.shards) == turn)
+        fitted = store(part.groupBy("shard").applyInArrow(fit_shard(model, turn), FITTED), "fitted")
+        parts = corpus.shards
+        while parts > 1:
+            parts = -(-parts // 8)
+            more = store(fitted.withColumn("to", F.floor(F.col("part") / 8)).groupBy("to").applyInArrow(add_fits, FITTED), "fitted")
+            drop(fitted)
+            fitted = more
+        found = fitted.select("p").collect()  # one row at most: parts are numbered by eights
+        drop(fitted)
+        if found:
+            p = unpacked(np.frombuffer(found[0]["p"], np.float32).copy())
+        model.unpersist()
+    return p
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: its id, n_words, log_prob (the sum over its words), mean_log_prob, and memory_share, the share
+    of its words whose neighbours other documents have had around a word too.
+
+    A-Z are as a-z. A null or empty text has no words, log_prob 0 and null means; repeated rows are scored (and
+    count in training, and in each other's memory) each by themselves; texts of any length are read piece by piece with
+    others; an empty table gives no rows; other columns are not read. The same rows in another layout get the same scores, but
+    for rows of one id and text that occur over a thousand times."""
+    spark = docs.sparkSession
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    corpus = Corpus(picked)
+    buckets = corpus.buckets
+    asked = corpus.by_group().applyInArrow(ask_words(buckets), ASKED_SQL)
+    told = store(asked.repartition(corpus.tasks, "bucket").groupBy("bucket").applyInArrow(tell_words, SAID_SQL), "counts")
+    v = vocabulary(told)
+    p = train(corpus, v)
+    asked = corpus.by_group().applyInArrow(ask_contexts(buckets), ASKED_SQL)
+    remembered = store(asked.repartition(corpus.tasks, "bucket").groupBy("bucket").applyInArrow(tell_contexts, SAID_SQL), "memory")
+    model = spark.sparkContext.broadcast((v, p))
+    kind = picked.schema["id"].dataType.simpleString()
+
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        own, p = model.value
+        if not group.num_rows:
+            return pa.table({"id": group["id"], "n_words": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
+        noise = own.noise(np.random.default_rng(SEED), NOISE)
+        of_words, of_contexts = (answers.filter(pc.equal(answers["kind"], k)) for k in (0, 1))
+        h, _, ends = word_keys(group, buckets)
+        n = said(of_words, ends, "a", np.int64)
+        order = np.argsort(h)
+        h, log_n = h[order], np.log(np.maximum(n[order], 1))
+        _, ends, place = asked_contexts(group, buckets)
+        a, b = said(of_contexts, ends, "a", np.float16), said(of_contexts, ends, "b", np.uint16)
+        words, sums, known, s = [], [], [], 0
+        for w in pieces(group):
+            ids = own.rows_of(w.hash)
+            net = target_probs(p, own, contexts(ids, w.text), ids, noise)
+            net += log_n[np.searchsorted(h, w.hash)] - np.log(np.maximum(own.n[ids], 1))
+            at = place[s : s + len(ids)]
+            s += len(ids)
+            share, seen = a[at].astype(np.float64), b[at].astype(np.float64)
+            log_p = np.log((seen * share + np.exp(net)) / (seen + 1))
+            words.append(w.count)
+            for to, x in ((sums, log_p), (known, seen > 0)):
+                to.append(np.bincount(w.text, x, len(w.count)))
+        return pa.table({"id": group["id"], "n_words": pa.array(np.concatenate(words).astype(np.int64)), "log_prob": pa.array(np.concatenate(sums)), "known": pa.array(np.concatenate(known).astype(np.int64))})
+
+    every = told.where("g >= 0").select("g", F.lit(0).alias("kind"), "bucket", "a", "b").unionByName(remembered.select("g", F.lit(1).alias("kind"), "bucket", "a", "b"))
+    every = every.withColumn("shard", F.pmod("g", F.lit(corpus.shards)))
+    found = corpus.by_group().cogroup(every.groupBy("shard", "g")).applyInArrow(lambda x, y: run(x, y), f"id {kind}, n_words long, log_prob double, known long")
+    mean = lambda x: F.when(F.col("n_words") > 0, F.col(x) / F.col("n_words"))
+    return found.select(F.col("id").alias(id_col), "n_words", "log_prob", mean("log_prob").alias("mean_log_prob"), mean("known").alias("memory_share"))
 
 
 def op4_scoring(spark, sf_dir: str) -> DataFrame:

@@ -149,67 +149,204 @@ def test_chat_fold(spark):
     assert [(r.conv_id, r.role, r.text) for r in got] == [(1, "user", "hey"), (1, "assistant", "good day"), (1, "user", "bye"), (2, "user", "alone")]
 
 
-def test_scoring(spark, docs, empty):
+def small_vocabulary(rng, rows=60):
+    top = [(rng.getrandbits(63), rng.randint(1, 900)) for _ in range(rows)]
+    return scoring.Vocabulary(top, [(r, rng.randint(1, 5)) for r in range(0, scoring.SHARED, 300)])
+
+
+def plain_log_prob(p, v, ctx, target, noise):
+    """log P(row | context), one number at a time."""
+    x = [float(y) for r in ctx for y in p["e"][r]]
+    h = [math.tanh(sum(a * float(p["w"][i, j]) for i, a in enumerate(x)) + float(p["c"][0, j])) for j in range(scoring.HIDDEN)]
+    q = v.n / v.n.sum()
+    each = lambda r: math.exp(sum(a * float(b) for a, b in zip(h, p["u"][r], strict=True)) + float(p["b"][r, 0]))
+    head = set(v.head.tolist())
+    rest = sum(q[r] for r in range(scoring.ROWS) if r not in head) - (q[target] if target not in head else 0)
+    total = sum(q[r] * each(r) for r in head) + (rest * sum(map(each, noise)) / len(noise) if len(noise) else 0)
+    total += q[target] * each(target) if target not in head else 0
+    return math.log(q[target] * each(target) / total)
+
+
+def test_scoring_network():
+    """The forward pass against plain loops, and the gradients against differences."""
+    import numpy as np
+
+    rng = random.Random(2)
+    v = small_vocabulary(rng)
+    p = {k: x.astype(np.float64) for k, x in scoring.start().items()}
+    p["u"] += np.random.default_rng(1).standard_normal(p["u"].shape) * 0.3
+    p["b"] += np.random.default_rng(2).standard_normal(p["b"].shape) * 0.3
+    live = np.flatnonzero(v.n)
+    ctx = np.array([[rng.choice([*live.tolist(), scoring.ROWS]) for _ in range(4)] for _ in range(24)])
+    target = np.array([rng.choice(live.tolist()) for _ in range(24)])
+    noise = v.noise(np.random.default_rng(3), 7)
+    assert set(v.is_head[target] >= 0) == {True, False}
+    got = scoring.target_probs(p, v, ctx, target, noise)
+    assert got == pytest.approx([plain_log_prob(p, v, c, t, noise) for c, t in zip(ctx.tolist(), target.tolist(), strict=True)], abs=1e-5)
+    loss, grads = scoring.gradients(p, v, ctx, target, noise)
+    assert loss == pytest.approx(-got.sum(), abs=1e-4)
+    for k, g in grads.items():
+        at, g = g if k in scoring.BY_ROW else (np.arange(len(p[k])), g)
+        for _ in range(6):
+            i, j = rng.randrange(len(at)), rng.randrange(p[k].shape[1])
+            ends = []
+            for d in (1e-2, -1e-2):
+                moved = {n: x.copy() for n, x in p.items()}
+                moved[k][at[i], j] += d
+                ends.append(-scoring.target_probs(moved, v, ctx, target, noise).sum())
+            assert g[i, j] == pytest.approx((ends[0] - ends[1]) / 2e-2, abs=1e-2)
+
+
+def test_scoring_sums_to_one():
+    """With the whole vocabulary in the head, the probabilities of all rows are one."""
+    import numpy as np
+
+    rng = random.Random(4)
+    v = scoring.Vocabulary([(rng.getrandbits(62), rng.randint(1, 90)) for _ in range(20)], [])
+    assert len(v.noise(np.random.default_rng(0), 5)) == 0
+    ctx = np.array([[1, 2, 3, scoring.ROWS]] * 20)
+    assert np.exp(scoring.target_probs(scoring.start(), v, ctx, np.arange(20), v.noise(np.random.default_rng(0), 5))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def brute_scores(texts, p):
+    """Scores of all texts for given parameters, from the definition."""
+    import numpy as np
+
+    lists = [[w.encode() for w in WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))] for t in texts]
+    counts = Counter(w for ws in lists for w in ws)
+    import pyarrow as pa
+
+    from siltstone.llm.words import Words
+
+    of = {w: int(np.int64(Words(pa.table({"id": [1], "text": [w.decode()]})).hash[0].view(np.int64))) for w in counts}
+    top = sorted(((of[w], n) for w, n in counts.items()), key=lambda x: (-x[1], x[0]))[: scoring.OWN]
+    own = {h: i for i, (h, _) in enumerate(top)}
+    shared = Counter()
+    for w, n in counts.items():
+        if of[w] not in own:
+            shared[of[w] & (scoring.SHARED - 1)] += n
+    v = scoring.Vocabulary(top, list(shared.items()))
+    row = {w: own.get(of[w], scoring.OWN + (of[w] & (scoring.SHARED - 1))) for w in counts}
+    noise = v.noise(np.random.default_rng(scoring.SEED), scoring.NOISE)
+    each = [{(ws[i - 1] if i else None, ws[i + 1] if i + 1 < len(ws) else None, w) for i, w in enumerate(ws)} for ws in lists]
+    both, around = Counter(x for e in each for x in e), Counter(x[:2] for e in each for x in e)
+    out = []
+    for ws, e in zip(lists, each, strict=True):
+        total, known = 0.0, 0
+        for i, w in enumerate(ws):
+            key = (ws[i - 1] if i else None, ws[i + 1] if i + 1 < len(ws) else None, w)
+            ctx = [row[ws[j]] if 0 <= j < len(ws) else scoring.ROWS for j in (i - 2, i - 1, i + 1, i + 2)]
+            net = plain_log_prob(p, v, ctx, row[w], noise) + math.log(counts[w]) - math.log(v.n[row[w]])
+            a, b = both[key] - 1, around[key[:2]] - 1
+            total += math.log((a + math.exp(net)) / (b + 1))
+            known += b > 0
+        out.append((len(ws), total, known))
+    return out
+
+
+def test_scoring(spark, monkeypatch):
+    """Whole scores of small texts against the definition, for given parameters."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(40)] + ["É", "ñandú", "𝔘x"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 14))) for _ in range(14)]
+    texts += [None, "", " \n", "a B c D e", "A b C d E", texts[0], texts[0], "lone"]
+    p = scoring.start()
+    monkeypatch.setattr(scoring, "train", lambda corpus, v: p)
+    want = brute_scores(texts, p)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, shard string").repartition(3)
+    for frame in (df, df.repartition(2)):
+        got = {r.doc_id: r for r in scoring.score(frame).collect()}
+        assert len(got) == len(texts)
+        for i, (n, total, known) in enumerate(want):
+            assert got[i].n_words == n
+            assert got[i].log_prob == pytest.approx(total, abs=2e-3 * max(1, n))
+            assert (got[i].memory_share is None) == (n == 0) and (n == 0 or got[i].memory_share == known / n)
+
+
+def test_scoring_edges(spark, docs, empty):
+    """Nulls, repeated rows, clashing names and a long text; the layout and the sizes of groups don't change a score."""
     rows = scoring.score(docs).collect()
     assert len(rows) == docs.count()
+    key = lambda r: tuple((x is None, x) for x in r)
     for r in rows:
-        assert (r.mean_log_prob is None) == (r.n_words == 0) and r.log_prob <= 0
+        assert (r.mean_log_prob is None) == (r.n_words == 0) and r.log_prob <= 1e-6
+    assert sorted(rows, key=key) == sorted(scoring.score(docs.repartition(2, "source")).collect(), key=key)
     assert scoring.score(empty).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("siltstone")]
 
 
-def test_scoring_held_out(spark):
-    """Texts with an order score better in it than shuffled, on texts that training has not seen."""
-    rng = random.Random(3)
-    chain = [f"w{i}" for i in range(20)]
+def test_scoring_many_groups(spark, monkeypatch):
+    """Several shards, rounds and buckets."""
+    monkeypatch.setattr(scoring, "GROUP_CHARS", 300)
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(50)}" for _ in range(30))) for i in range(90)], "doc_id long, text string")
+    a, b = (sorted(map(tuple, scoring.score(x).collect())) for x in (df.repartition(1), df.repartition(5)))
+    assert a == b and len(a) == 90
 
-    def ordered(n):
-        at = rng.randrange(20)
-        return [chain[(at + k) % 20] for k in range(n)]
 
-    train = spark.createDataFrame([(i, " ".join(ordered(200))) for i in range(200)], "doc_id long, text string").repartition(2)
-    of, bias = scoring.classes([tuple(r) for r in scoring.count_words(train).collect()])
-    p = scoring.train(train, of, bias)
-    import numpy as np
+def chains(rng, n, texts):
+    """Texts whose words follow each other in order, in one of four alphabets."""
+    def one():
+        k, at = rng.randrange(4), rng.randrange(20)
+        return " ".join(f"{'abcd'[k]}{(at + i) % 20}" for i in range(n))
 
-    def mean(words):
-        ids = of[scoring.numbers(" ".join(words))]
-        return scoring.log_probs(p, scoring.contexts(ids, np.arange(len(ids))), ids).mean()
+    return [one() for _ in range(texts)]
 
-    for _ in range(10):
-        words = ordered(60)
-        mixed = rng.sample(words, len(words))
-        assert mean(words) > mean(mixed) + 0.5
 
+def trained(spark, texts, monkeypatch):
+    """The vocabulary and the parameters fitted to texts."""
+    held = {}
+    fit = scoring.train
 
-def test_scoring_trains_on_every_word(spark):
-    """Texts of one word train the network, whatever the word: a hashed offset left most of them out. Words on all places are targets."""
+    def train(corpus, v):
+        held["v"], held["p"] = v, fit(corpus, v)
+        return held["p"]
+
+    monkeypatch.setattr(scoring, "train", train)
+    scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    return held["v"], held["p"]
+
+
+def test_scoring_held_out(spark, monkeypatch):
+    """On texts that training has not seen the network gains over the words' shares, and texts in order over shuffled ones."""
     import numpy as np
+    import pyarrow as pa
+
+    from siltstone.llm.words import Words
+
+    rng = random.Random(3)
+    v, p = trained(spark, chains(rng, 200, 300), monkeypatch)
+    noise = v.noise(np.random.default_rng(1), scoring.NOISE)
+
+    def mean(text):
+        w = Words(pa.table({"id": [1], "text": [text]}), lower=True)
+        ids = v.rows_of(w.hash)
+        return scoring.target_probs(p, v, scoring.contexts(ids, w.text), ids, noise).mean(), v.log_q[ids].mean()
+
+    for text in chains(rng, 60, 10):
+        words = text.split()
+        (own, shares), (mixed, _) = mean(text), mean(" ".join(rng.sample(words, len(words))))
+        assert own > shares + 1 and own > mixed + 0.1
+
+
+def test_scoring_tells_copies(spark):
+    """A text that occurs twice scores far above others like it, by the memory of what stands between two words."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(80)) for _ in range(200)]
+    texts.append(texts[7])
+    got = {r.doc_id: r.mean_log_prob for r in scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert min(got[7], got[200]) > max(v for k, v in got.items() if k not in (7, 200)) + 3
+
+
+def test_heavy_rows_are_spread(spark):
+    """Rows of one id and text beyond a limit go to several groups, all others to one each."""
+    from siltstone.llm.words import dealt
 
-    for text in (*(f"w{i}" for i in range(4)), "p q r"):
-        df = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
-        of, bias = scoring.classes([tuple(r) for r in scoring.count_words(df).collect()])
-        p, first = scoring.train(df, of, bias), scoring.start(bias)
-        ids = of[scoring.numbers(text)]
-        assert not np.array_equal(p["b"], first["b"])
-        assert all(scoring.log_probs(p, scoring.contexts(ids, np.arange(len(ids))), ids) > scoring.log_probs(first, scoring.contexts(ids, np.arange(len(ids))), ids))
-
-
-@pytest.mark.parametrize("frequent", [0, 5, scoring.FREQUENT])
-def test_scoring_tells_words_apart(spark, frequent):
-    """Two words of one shared class, in the same context, differ by their counts in the whole corpus."""
-    share = defaultdict(list)
-    common = [f"c{i}" for i in range(300)]
-    top = {int(h) for w in common for h in scoring.numbers(w)}
-    for i in range(400):
-        h = int(scoring.numbers(f"x{i}")[0])
-        if h not in top:
-            share[h % scoring.REST].append(f"x{i}")
-    often, once, third = next(ws for ws in share.values() if len(ws) > 2)[:3]
-    texts = [*(" ".join(common) for _ in range(50)), f"c1 c2 {often} c3 c4", f"c1 c2 {once} c3 c4", *[f"{often} {third}"] * 6, None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    got = {r.doc_id: r.log_prob for r in scoring.score(df, frequent=frequent).collect()}
-    assert got[50] - got[51] == pytest.approx(math.log(7), abs=1e-6)
-    assert got[len(texts) - 1] == 0
+    df = spark.createDataFrame([(1, "same")] * 90 + [(i, "t") for i in range(30)] + [(None, None)] * 3, "id long, text string").repartition(3)
+    out = dealt(df, 16, repeats=10).collect()
+    assert len(out) == 123
+    assert len({r.g for r in out if r.text == "same"}) > 3 and len({r.g for r in out if r.id is None}) == 1
+    assert [{(r.id, r.g) for r in dealt(x, 16).collect()} for x in (df, df.repartition(5))][0] == {(r.id, r.g) for r in dealt(df, 16).collect()}
 
 
 def brute_fp(text):
