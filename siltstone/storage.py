@@ -49,14 +49,14 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(hadoop, True)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cuts the lineage: writes df as Parquet below the shared folder and reads it back, so a lost
     executor costs the rows of one step and no step runs twice. The driver's garbage is collected
     after it, which lets Spark delete the shuffle files of finished steps."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out._stored = path
