@@ -2,7 +2,7 @@
 
 A bidirectional window network (embeddings of SIDE words on either side, one hidden layer) gives each word a score s in
 its context, and P(word | context) = q(word) exp(s) / Z, q being the word's share of the corpus. The vocabulary is all
-words of the corpus, told apart by 64 bits: the OWN most frequent have rows of their own in the network's tables, the others
+words of the corpus, told apart by 48 bits: the OWN most frequent have rows of their own in the network's tables, the others
 share SHARED rows by hash, and within a row the corpus's exact counts tell them apart. Z is a sum over the HEAD most
 frequent rows, the word itself, and a seeded sample of the others in proportion to q (importance-sampled softmax), in
 training as in scoring; the word itself is always in it, so no probability exceeds 1.
@@ -33,16 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import drop, new_path, store
-from siltstone.llm.words import MIX, Words, blob, dealt, member, rows
+from siltstone.llm.words import MIX, Words, blob, dealt, measured, rows
 
 OWN, SHARED = 6144, 2048
-ROWS, SIDE, WIDTH, HIDDEN = OWN + SHARED, 2, 12, 16
-HEAD, NOISE, BATCH, RATE, SEED, ROUNDS = 32, 32, 2048, 0.07, 7, 3
+SLOTS, NONE = 1 << 16, 2**64 - 1
+ROWS, SIDE, WIDTH, HIDDEN = OWN + SHARED, 2, 8, 16
+HEAD, NOISE, RATE, SEED, ROUNDS = 32, 32, 0.07, 7, 3
+SIDES = (*range(-SIDE, 0), *range(1, SIDE + 1))
+#: A batch of training: runs of words, and words of a run.
+RUNS, RUN = 16, 128
+#: The bits of a word's hash that tell words apart.
+BITS48 = np.uint64(2**48 - 1)
 #: Scores above this count as this, so that no exponential overflows.
 MOST = np.float32(60)
 #: Characters of a group, the unit of every exchange, and groups of a shard, the unit of training; entries of a bucket.
 GROUP_CHARS, SHARD_GROUPS, BUCKET_ENTRIES, PIECE = 1_500_000, ROUNDS, 4_000_000, 256
-#: Parameters by row of the vocabulary (the last row of e stands for what is beyond a text), and the others.
+#: Parameters by row of the vocabulary (the last row of e, BEYOND, stands for what is beyond a text), and the others.
+BEYOND = ROWS
 BY_ROW = {"e": (ROWS + 1, WIDTH), "u": (ROWS, HIDDEN), "b": (ROWS, 1)}
 OTHERS = {"w": (2 * SIDE * WIDTH, HIDDEN), "c": (1, HIDDEN)}
 SHAPES = BY_ROW | OTHERS
@@ -50,18 +57,19 @@ FLAT = sum(math.prod(s) for s in SHAPES.values())
 
 
 class Vocabulary:
-    """Rows of words: the hashes of the OWN most frequent, sorted, with their rows; counts of each row and in all."""
+    """Rows of words: those of the OWN most frequent that are first in their slot of a hash table, and shared ones; counts of
+    each row and in all."""
 
-    def __init__(self, top: list[tuple[int, int]], shared: list[tuple[int, int]]):
-        """top: (hash, count) of the most frequent words. shared: (row beyond OWN, count) of the others."""
-        top = sorted(top, key=lambda x: (-x[1], x[0]))
-        h = np.array([x[0] for x in top], np.int64).view(np.uint64)
-        order = np.argsort(h)
-        self.known, self.row = h[order], order.astype(np.uint16)
+    def __init__(self, top: list[tuple[int, int]], shared: np.ndarray):
+        """top: (48 bits, count) of the most frequent words. shared: counts of all words by shared row, top ones included."""
+        shared = np.array(shared, np.float64)
+        self.slot, self.row = np.full(SLOTS, NONE, np.uint64), np.zeros(SLOTS, np.uint16)
         self.n = np.zeros(ROWS, np.float64)
-        self.n[: len(top)] = [x[1] for x in top]
-        for r, c in shared:
-            self.n[OWN + r] = c
+        for i, (h, n) in enumerate(sorted(top, key=lambda x: (-x[1], x[0]))):
+            if self.slot[h % SLOTS] == NONE:
+                self.slot[h % SLOTS], self.row[h % SLOTS], self.n[i] = h, i, n
+                shared[h // SLOTS % SHARED] -= n
+        self.n[OWN:] = shared
         self.total = max(self.n.sum(), 1.0)
         with np.errstate(divide="ignore"):
             self.log_q = np.log(self.n / self.total).astype(np.float32)
@@ -74,8 +82,9 @@ class Vocabulary:
         self.is_head[self.head] = np.arange(HEAD)
 
     def rows_of(self, h: np.ndarray) -> np.ndarray:
-        found, at = member(h, self.known)
-        return np.where(found, self.row[at] if len(self.row) else 0, OWN + (h % np.uint64(SHARED)).astype(np.int64)).astype(np.uint16)
+        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        other = np.uint16(OWN) + (h // np.uint64(SLOTS)).astype(np.uint16) % np.uint16(SHARED)
+        return np.where(self.slot[at] == h, self.row[at], other)
 
     def noise(self, rng: np.random.Generator, k: int) -> np.ndarray:
         """k rows other than the head in proportion to their counts; none where the head is all."""
@@ -90,23 +99,27 @@ def start() -> dict[str, np.ndarray]:
     return p | {"e": p["e"] * np.float32(0.3), "w": p["w"] / np.float32(math.sqrt(2 * SIDE * WIDTH)), "u": p["u"] * np.float32(0.05), "b": np.zeros(SHAPES["b"], np.float32), "c": np.zeros(SHAPES["c"], np.float32)}
 
 
-def contexts(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Rows of the words on both sides of each word of its text; ROWS beyond the text."""
-    out = np.full((len(ids), 2 * SIDE), ROWS, np.uint16)
-    for k, d in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
-        a, b = (slice(0, len(ids) - d), slice(d, None)) if d > 0 else (slice(-d, None), slice(0, len(ids) + d))
-        if len(ids) > abs(d):
-            same = text[a] == text[b]
-            out[a, k][same] = ids[b][same]
-    return out
+def laid_out(ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all words in a line, with SIDE times BEYOND before, between and after texts, and where each word is."""
+    new = text[1:] != text[:-1]
+    place = np.arange(len(ids)) + SIDE
+    place[1:] += SIDE * np.cumsum(new)
+    line = np.full(len(ids) + SIDE * (2 + int(new.sum())), BEYOND, np.uint16)
+    line[place] = ids
+    return line, place
+
+
+def windows(e: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The embeddings on both sides of each word of runs (a row each, with SIDE words more at either end)."""
+    near, n = e[block], block.shape[1] - 2 * SIDE
+    return np.concatenate([near[:, SIDE + d : SIDE + d + n] for d in SIDES], axis=2).reshape(-1, 2 * SIDE * WIDTH)
 
 
-def forward(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise: np.ndarray) -> tuple:
-    """(x, h, selected rows, probabilities of those, probability of each target): of a batch of contexts and targets.
+def forward(p: dict, v: Vocabulary, x: np.ndarray, target: np.ndarray, noise: np.ndarray) -> tuple:
+    """(h, selected rows, probabilities of those, probability of each target): of a batch of windows() and targets.
 
     A target of the head is one of the selected rows; another has a term of its own in Z, and the sample stands for the
     other rows beyond the head."""
-    x = p["e"][ctx].reshape(len(ctx), -1)
     h = x @ p["w"]
     h += p["c"]
     np.tanh(h, out=h)
@@ -116,7 +129,7 @@ def forward(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise:
     z[:, :HEAD] += v.log_q[v.head]
     place = v.is_head[target]
     tail = place < 0
-    own = np.full(len(ctx), -np.inf, np.float32)
+    own = np.full(len(x), -np.inf, np.float32)
     if tail.any():
         t = target[tail]
         own[tail] = np.einsum("ij,ij->i", h[tail], p["u"][t]) + p["b"][t, 0] + v.log_q[t]
@@ -128,17 +141,18 @@ def forward(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise:
     own = np.exp(np.minimum(own, MOST))
     total = z.sum(axis=1) + own
     z /= total[:, None]
-    return x, h, rows_, z, own / total
+    return h, rows_, z, own / total
 
 
-def target_probs(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """log P(row of the target | context)."""
-    out = np.empty(len(target), np.float64)
-    for s in range(0, len(target), 4096):
-        t = target[s : s + 4096]
-        _, _, _, z, own = forward(p, v, ctx[s : s + 4096], t, noise)
+def target_probs(p: dict, v: Vocabulary, line: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """log P(row | context) of each place of a line; what it says of BEYOND is of no use."""
+    out = np.zeros(len(line), np.float64)
+    for s in range(SIDE, len(line) - SIDE, 4096):
+        block = line[s - SIDE : min(s + 4096, len(line) - SIDE) + SIDE]
+        t = np.minimum(block[SIDE:-SIDE], ROWS - 1)
+        _, _, z, own = forward(p, v, windows(p["e"], block[None]), t, noise)
         place = v.is_head[t]
-        out[s : s + 4096] = np.log(np.maximum(np.where(place >= 0, z[np.arange(len(t)), place], own), 1e-30))
+        out[s : s + len(t)] = np.log(np.maximum(np.where(place >= 0, z[np.arange(len(t)), place], own), 1e-30))
     return out
 
 
@@ -150,9 +164,13 @@ def summed(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], np.add.reduceat(g[order], first, axis=0)
 
 
-def gradients(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise: np.ndarray) -> tuple[float, dict]:
-    """The summed loss of a batch, and its gradients: by row (rows, sums), or whole."""
-    x, h, rows_, z, own = forward(p, v, ctx, target, noise)
+def gradients(p: dict, v: Vocabulary, block: np.ndarray, noise: np.ndarray) -> tuple[float, dict]:
+    """The summed loss of runs of words, and its gradients: by row (rows, sums), or whole."""
+    target = block[:, SIDE:-SIDE].ravel()
+    live = np.flatnonzero(target != BEYOND)
+    target = target[live]
+    x = windows(p["e"], block)[live]
+    h, rows_, z, own = forward(p, v, x, target, noise)
     place = v.is_head[target]
     tail = np.flatnonzero(place < 0)
     at = np.flatnonzero(place >= 0)
@@ -167,27 +185,38 @@ def gradients(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise
     db = np.concatenate([z.sum(axis=0), miss[:, 0]])[:, None]
     where = np.concatenate([rows_.astype(np.uint16), t])
     u = summed(where, np.concatenate([du, db], axis=1))
-    dx = (dh @ p["w"].T).reshape(-1, WIDTH)
-    return float(loss), {"u": (u[0], u[1][:, :-1]), "b": (u[0], u[1][:, -1:]), "e": summed(ctx.ravel(), dx), "w": x.T @ dh, "c": dh.sum(axis=0)[None]}
-
-
-def step(p: dict, seen: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, noise: np.ndarray) -> float:
-    """One Adagrad step on a batch, of the rows that it touches."""
-    loss, every = gradients(p, v, ctx, target, noise)
+    # what each word gets from the windows that it is in: they are next to each other
+    n = block.shape[1] - 2 * SIDE
+    dx = np.zeros((block.shape[0] * n, 2 * SIDE * WIDTH), dh.dtype)
+    dx[live] = dh @ p["w"].T
+    dx = dx.reshape(block.shape[0], n, 2 * SIDE, WIDTH)
+    de = np.zeros((*block.shape, WIDTH), dh.dtype)
+    for k, d in enumerate(SIDES):
+        de[:, SIDE + d : SIDE + d + n] += dx[:, :, k]
+    return float(loss), {"u": (u[0], u[1][:, :-1]), "b": (u[0], u[1][:, -1:]), "e": summed(block.ravel(), de.reshape(-1, WIDTH)), "w": x.T @ dh, "c": dh.sum(axis=0)[None]}
+
+
+def step(p: dict, seen: dict, v: Vocabulary, block: np.ndarray, noise: np.ndarray) -> float:
+    """One Adagrad step on a batch, with a rate for each row of a table, of the rows that it touches."""
+    loss, every = gradients(p, v, block, noise)
     for k, g in every.items():
         at, g = g if k in BY_ROW else (slice(None), g)
-        seen[k][at] += g * g
-        p[k][at] -= RATE * g / np.sqrt(seen[k][at])
+        now = seen[k][at] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        seen[k][at] = now
+        p[k][at] -= g * (RATE / np.sqrt(now))[:, None]
     return loss
 
 
-def fit(p: dict, v: Vocabulary, ctx: np.ndarray, target: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-    """p after one pass over the targets. A batch takes words at even distances, so that it holds words of many texts."""
+def fit(p: dict, v: Vocabulary, line: np.ndarray, seed: int) -> dict[str, np.ndarray]:
+    """p after one pass over a line. A batch takes runs at even distances, so that it holds words of many texts."""
     p = {k: x.copy() for k, x in p.items()}
-    seen = {k: np.full(x.shape, 1.0, np.float32) for k, x in p.items()}
-    rng, every = np.random.default_rng([SEED, seed]), -(-len(target) // BATCH)
+    seen = {k: np.ones(len(x), np.float32) for k, x in p.items()}
+    runs = -(-(len(line) - 2 * SIDE) // RUN)
+    line = np.append(line, np.full(runs * RUN + 2 * SIDE - len(line), BEYOND, np.uint16))
+    every = -(-runs // RUNS)
+    rng = np.random.default_rng([SEED, seed])
     for s in range(every):
-        step(p, seen, v, ctx[s::every], target[s::every], v.noise(rng, NOISE))
+        step(p, seen, v, line[np.arange(s, runs, every)[:, None] * RUN + np.arange(RUN + 2 * SIDE)], v.noise(rng, NOISE))
     return p
 
 
@@ -217,7 +246,9 @@ def in_order(group: pa.Table) -> pa.Table:
 def pieces(group: pa.Table):
     """Words of PIECE texts at a time, so that the arrays at hand don't grow with the group."""
     for at in range(0, group.num_rows, PIECE):
-        yield Words(group.slice(at, PIECE), lower=True)
+        words = Words(group.slice(at, PIECE), lower=True)
+        words.hash &= BITS48
+        yield words
 
 
 def word_keys(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +257,7 @@ def word_keys(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np
     h, c = np.concatenate([np.empty(0, np.uint64), *(x[0] for x in parts)]), np.concatenate([np.empty(0, np.int64), *(x[1] for x in parts)])
     h, at = np.unique(h, return_inverse=True)
     c = np.bincount(at, c, len(h)).astype(np.uint32)
-    bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+    bucket = (h >> np.uint64(24)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     return h[order], c[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
 
@@ -248,7 +279,7 @@ def context_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
         before[1:][same] = w.hash[:-1][same]
         after[:-1][same] = w.hash[1:][same]
     c = mixed(before * np.uint64(3) + mixed(after))
-    return c, ((c & np.uint64(0xFFFFFFFF)) << np.uint64(16)) | (w.hash >> np.uint64(48))
+    return c, ((c & np.uint64(0xFFFFFFFF)) << np.uint64(16)) | (w.hash >> np.uint64(32))
 
 
 def asked_contexts(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,6 +302,19 @@ def asked_contexts(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarra
     return bits[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)), back[np.concatenate([np.empty(0, np.int64), *place])]
 
 
+def six(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits of numbers, six bytes each."""
+    return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def eight(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of blobs of six()."""
+    packed = blob(column, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(packed), 8), np.uint8)
+    out[:, :6] = packed
+    return out.view("<u8").ravel()
+
+
 ASKED = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("key", pa.binary()), ("n", pa.binary())])
 ASKED_SQL = "bucket long, g long, key binary, n binary"
 SAID = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
@@ -280,22 +324,26 @@ SAID_SQL = "bucket long, g long, a binary, b binary"
 def ask_words(buckets: int):
     def run(group: pa.Table) -> pa.Table:
         h, c, ends = word_keys(group, buckets)
-        g = group["g"][0].as_py()
+        g, h = group["g"][0].as_py(), six(h)
         return rows([(b, g, h[s:e].tobytes(), c[s:e].tobytes()) for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s], ASKED)
 
     return run
 
 
 def tell_words(group: pa.Table) -> pa.Table:
-    """The counts in the whole corpus of the words that each group has asked for; g of -1 holds the bucket's own words."""
-    h, c = blob(group["key"], np.uint64), blob(group["n"], np.uint32)
+    """The logarithms of the counts in the whole corpus of the words that each group has asked for. g of -1 holds what the
+    vocabulary needs of the bucket's words: the OWN most frequent with their counts, and, g of -2, the counts of shared rows."""
+    h, c = eight(group["key"]), blob(group["n"], np.uint32)
     known, at = np.unique(h, return_inverse=True)
     n = np.bincount(at, c, len(known)).astype(np.int64)
-    bucket, out, s = group["bucket"][0].as_py(), [], 0
-    out.append((bucket, -1, known.tobytes(), n.tobytes()))
+    top = np.lexsort((known, -n))[:OWN]
+    shared = np.bincount(known // SLOTS % SHARED, n, SHARED).astype(np.int64)
+    bucket, s = group["bucket"][0].as_py(), 0
+    out = [(bucket, -1, known[top].tobytes(), n[top].tobytes()), (bucket, -2, shared.tobytes(), b"")]
+    log_n = np.log(n).astype(np.float32)
     for g, key in zip(group["g"].to_pylist(), group["key"].to_pylist(), strict=True):
-        e = s + len(key) // 8
-        out.append((bucket, g, n[at[s:e]].tobytes(), b""))
+        e = s + len(key) // 6
+        out.append((bucket, g, log_n[at[s:e]].tobytes(), b""))
         s = e
     return rows(out, SAID)
 
@@ -304,8 +352,8 @@ def ask_contexts(buckets: int):
     def run(group: pa.Table) -> pa.Table:
         bits, ends, _ = asked_contexts(group, buckets)
         g = group["g"][0].as_py()
-        six = bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        return rows([(b, g, six[s:e].tobytes(), b"") for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s], ASKED)
+        bits = six(bits)
+        return rows([(b, g, bits[s:e].tobytes(), b"") for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s], ASKED)
 
     return run
 
@@ -313,11 +361,7 @@ def ask_contexts(buckets: int):
 def tell_contexts(group: pa.Table) -> pa.Table:
     """Of each entry that a group has sent: how many other entries have its context (b), as far as 16 bits count, and which
     share of those its word too (a)."""
-    six = blob(group["key"], np.uint8).reshape(-1, 6)
-    bits = np.zeros((len(six), 8), np.uint8)
-    bits[:, :6] = six
-    key = bits.view("<u8").ravel()
-    del six, bits
+    key = eight(group["key"])
     order = np.argsort(key)
     ordered = key[order]
     a, b = np.empty(len(key), np.float16), np.empty(len(key), np.uint16)
@@ -352,15 +396,15 @@ class Corpus:
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
-        chars, self.rows = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+        chars, repeats = measured(docs)
         self.shards = chars // (GROUP_CHARS * SHARD_GROUPS) + 1
         self.groups = self.shards * SHARD_GROUPS
         self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         #: About six characters are a word; a group has each of its words, a text each of its contexts once.
         self.buckets = max(self.tasks, chars // (6 * BUCKET_ENTRIES))
-        table = dealt(docs, self.groups).withColumn("shard", F.pmod("g", F.lit(self.shards))).withColumn("order", F.xxhash64("text"))
+        table = dealt(docs, self.groups, repeats).withColumn("shard", F.pmod("g", F.lit(self.shards))).withColumn("order", F.xxhash64("text"))
         name, self.path = f"siltstone_{uuid.uuid4().hex}", new_path(spark, "texts")
-        table.repartition(self.shards, "shard").write.option("compression", "zstd").bucketBy(self.shards, "shard").option("path", self.path).saveAsTable(name)
+        table.repartition(self.shards, "shard").write.option("compression", "zstd").bucketBy(self.shards, "shard").sortBy("g").option("path", self.path).saveAsTable(name)
         spark.sparkContext._jvm.System.gc()
         self.at = spark.table(name)
         spark.sql(f"DROP TABLE {name}")  # from the catalogue; its files stay, as does what was read of it
@@ -370,26 +414,21 @@ class Corpus:
 
 
 def vocabulary(told: DataFrame) -> Vocabulary:
-    """From what the buckets hold. The OWN most frequent words come from a top-k; the others are summed up by row."""
+    """From what the buckets have told. The OWN most frequent words of all are among the OWN of each bucket: a top-k."""
 
     def unpack(batches):
         for b in batches:
-            for h, n in zip(b.column(0), b.column(1), strict=True):
-                h, n = np.frombuffer(h.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
-                for s in range(0, len(h), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[s : s + 65536]), pa.array(n[s : s + 65536])], names=["w", "n"])
-
-    counts = told.where("g = -1").select("a", "b").mapInArrow(unpack, "w long, n long")
-    top = [tuple(r) for r in counts.orderBy(F.desc("n"), "w").limit(OWN).collect()]
-    known = {w for w, _ in top}
+            for g, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(x, np.int64)
+                y = np.frombuffer(y, np.int64) if g == -1 else x
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), g)), pa.array(x if g == -1 else np.arange(len(x))), pa.array(y)], names=["g", "w", "n"])
+
+    counts = told.where("g < 0").select("g", "a", "b").mapInArrow(unpack, "g long, w long, n long")
+    top = counts.where("g = -1").orderBy(F.desc("n"), "w").limit(OWN).select("w", "n").collect()
     shared = np.zeros(SHARED, np.int64)
-    by_row = counts.groupBy(F.pmod(F.col("w").bitwiseAND(F.lit(SHARED - 1)), F.lit(SHARED)).alias("r")).agg(F.sum("n").alias("n"))
-    for r in by_row.collect():  # SHARED sums
-        shared[r["r"]] = r["n"]
-    for w, n in top:
-        shared[w & (SHARED - 1)] -= n
-    assert len(known) == len(top)
-    return Vocabulary(top, [(r, int(n)) for r, n in enumerate(shared) if n])
+    for r in counts.where("g = -2").groupBy("w").agg(F.sum("n").alias("n")).collect():  # SHARED sums
+        shared[r["w"]] = r["n"]
+    return Vocabulary([tuple(r) for r in top], shared)
 
 
 FITTED = "part long, n binary, p binary"
@@ -403,13 +442,13 @@ def fitted_row(part: int, n: np.ndarray, flat: np.ndarray) -> pa.Table:
 def fit_shard(model, turn: int):
     def run(group: pa.Table) -> pa.Table:
         v, p = model.value
-        ids, ctx, shard = [], [], group["shard"][0].as_py()
+        shard, lines = group["shard"][0].as_py(), [np.full(SIDE, BEYOND, np.uint16)]
         for w in pieces(in_order(group)):
-            ids.append(v.rows_of(w.hash))
-            ctx.append(contexts(ids[-1], w.text))
-        ids, ctx = np.concatenate(ids), np.concatenate(ctx)
-        p = fit(p, v, ctx, ids, turn * 1_000_003 + shard) if len(ids) else p
-        return fitted_row(shard, np.bincount(ids, minlength=ROWS), flat(p))
+            if len(w.hash):
+                lines.append(laid_out(v.rows_of(w.hash), w.text)[0][SIDE:])
+        line = np.concatenate(lines)
+        p = fit(p, v, line, turn * 1_000_003 + shard) if len(line) > SIDE else p
+        return fitted_row(shard, np.bincount(line, minlength=ROWS)[:ROWS], flat(p))
 
     return run
 
@@ -428,7 +467,7 @@ def train(corpus: Corpus, v: Vocabulary) -> dict[str, np.ndarray]:
     spark, p = corpus.at.sparkSession, start()
     for turn in range(ROUNDS):
         model = spark.sparkContext.broadcast((v, p))
-        part = corpus.at.where(F.floor(F.col("g") / corpus.shards) == turn)
+        part = corpus.at.where((F.col("g") >= turn * corpus.shards) & (F.col("g") < (turn + 1) * corpus.shards))
         fitted = store(part.groupBy("shard").applyInArrow(fit_shard(model, turn), FITTED), "fitted")
         parts = corpus.shards
         while parts > 1:
@@ -457,11 +496,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     corpus = Corpus(picked)
     buckets = corpus.buckets
     asked = corpus.by_group().applyInArrow(ask_words(buckets), ASKED_SQL)
-    told = store(asked.repartition(corpus.tasks, "bucket").groupBy("bucket").applyInArrow(tell_words, SAID_SQL), "counts")
+    told = store(asked.repartition(corpus.tasks, "bucket").groupBy("bucket").applyInArrow(tell_words, SAID_SQL), "counts", "zstd")
     v = vocabulary(told)
     p = train(corpus, v)
     asked = corpus.by_group().applyInArrow(ask_contexts(buckets), ASKED_SQL)
-    remembered = store(asked.repartition(corpus.tasks, "bucket").groupBy("bucket").applyInArrow(tell_contexts, SAID_SQL), "memory")
+    remembered = store(asked.repartition(corpus.tasks, "bucket").groupBy("bucket").applyInArrow(tell_contexts, SAID_SQL), "memory", "zstd")
     model = spark.sparkContext.broadcast((v, p))
     kind = picked.schema["id"].dataType.simpleString()
 
@@ -472,15 +511,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         noise = own.noise(np.random.default_rng(SEED), NOISE)
         of_words, of_contexts = (answers.filter(pc.equal(answers["kind"], k)) for k in (0, 1))
         h, _, ends = word_keys(group, buckets)
-        n = said(of_words, ends, "a", np.int64)
+        log_n = said(of_words, ends, "a", np.float32)
         order = np.argsort(h)
-        h, log_n = h[order], np.log(np.maximum(n[order], 1))
+        h, log_n = h[order], log_n[order]
         _, ends, place = asked_contexts(group, buckets)
         a, b = said(of_contexts, ends, "a", np.float16), said(of_contexts, ends, "b", np.uint16)
         words, sums, known, s = [], [], [], 0
         for w in pieces(group):
             ids = own.rows_of(w.hash)
-            net = target_probs(p, own, contexts(ids, w.text), ids, noise)
+            line, at = laid_out(ids, w.text)
+            net = target_probs(p, own, line, noise)[at]
             net += log_n[np.searchsorted(h, w.hash)] - np.log(np.maximum(own.n[ids], 1))
             at = place[s : s + len(ids)]
             s += len(ids)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import new_path, store
-from siltstone.llm.words import M1, M2, Words, blob, dealt, member, rolled, rows
+from siltstone.llm.words import M1, M2, Words, blob, dealt, measured, member, rolled, rows
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
@@ -191,13 +191,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a null id counts as larger than any; an empty table gives no rows; other columns are not read."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chars = picked.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars, repeats = measured(picked)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups, buckets = max(2 * tasks, chars // GROUP_CHARS + 1), max(tasks, chars * 3 // (PERIOD * 6 * BUCKET_ENTRIES))
     files = max(tasks, groups // 32)
     name = f"siltstone_{uuid.uuid4().hex}"
     path = new_path(spark, "texts")
-    dealt(picked, groups).repartition(files, "g").write.option("compression", "zstd").bucketBy(files, "g").option("path", path).saveAsTable(name)
+    dealt(picked, groups, repeats).repartition(files, "g").write.option("compression", "zstd").bucketBy(files, "g").option("path", path).saveAsTable(name)
     spark.sparkContext._jvm.System.gc()
     at = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # from the catalogue; its files stay, as does what was read of it

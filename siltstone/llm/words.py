@@ -113,14 +113,25 @@ def rows(found: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table({f.name: pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)}, schema=schema)
 
 
-def dealt(docs: DataFrame, groups: int, repeats: int = 1000) -> DataFrame:
-    """docs (id, text) with a group g below groups, by a hash of both, so that any layout gives the same groups. Rows of
-    one id and text that occur more than repeats times are told apart by a salt, else they would all be in one group."""
+#: Rows of one id and text beyond this many are told apart by a salt.
+REPEATS = 1000
+
+
+def measured(docs: DataFrame, most: int = REPEATS) -> tuple[int, DataFrame | None]:
+    """The characters of docs (id, text), and the hashes (_h, _n) of rows that occur more than most times, None where
+    there are no such; one job."""
+    counts = docs.groupBy(F.xxhash64("id", "text").alias("_h")).agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("c"))
+    chars, top = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.max("_n")).first()
+    return chars, counts.where(F.col("_n") > most).select("_h", "_n") if (top or 0) > most else None
+
+
+def dealt(docs: DataFrame, groups: int, repeats: DataFrame | None = None, most: int = REPEATS) -> DataFrame:
+    """docs (id, text) with a group g below groups, by a hash of both, so that any layout gives the same groups; rows in
+    repeats, as measured() finds them, are spread by a salt, else they would all be in one group."""
     hashed = docs.withColumn("_h", F.xxhash64("id", "text"))
-    many = hashed.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > repeats)
     salt = F.lit(0).cast("long")
-    if n := many.count():
-        # a row for each repeats rows of docs at most; AQE decides beyond a million of them
-        hashed = hashed.join(F.broadcast(many) if n <= 1_000_000 else many, "_h", "left")
-        salt = F.when(F.col("_n").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_n") / repeats))).otherwise(salt)
+    if repeats is not None:
+        # a row for each most rows of docs at most; beyond a million of them AQE decides
+        hashed = hashed.join(F.broadcast(repeats) if repeats.count() <= 1_000_000 else repeats, "_h", "left")
+        salt = F.when(F.col("_n").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_n") / most))).otherwise(salt)
     return hashed.select("id", "text", F.pmod(F.xxhash64("_h", salt), F.lit(groups)).alias("g"))

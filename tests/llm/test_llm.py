@@ -150,8 +150,11 @@ def test_chat_fold(spark):
 
 
 def small_vocabulary(rng, rows=60):
-    top = [(rng.getrandbits(63), rng.randint(1, 900)) for _ in range(rows)]
-    return scoring.Vocabulary(top, [(r, rng.randint(1, 5)) for r in range(0, scoring.SHARED, 300)])
+    top = [(rng.getrandbits(48), rng.randint(1, 900)) for _ in range(rows)]
+    shared = [rng.randint(1, 5) if r % 300 == 0 else 0 for r in range(scoring.SHARED)]
+    for h, n in top:
+        shared[h // scoring.SLOTS % scoring.SHARED] += n
+    return scoring.Vocabulary(top, shared)
 
 
 def plain_log_prob(p, v, ctx, target, noise):
@@ -177,13 +180,18 @@ def test_scoring_network():
     p["u"] += np.random.default_rng(1).standard_normal(p["u"].shape) * 0.3
     p["b"] += np.random.default_rng(2).standard_normal(p["b"].shape) * 0.3
     live = np.flatnonzero(v.n)
-    ctx = np.array([[rng.choice([*live.tolist(), scoring.ROWS]) for _ in range(4)] for _ in range(24)])
-    target = np.array([rng.choice(live.tolist()) for _ in range(24)])
+    texts = [[rng.choice(live.tolist()) for _ in range(n)] for n in (1, 2, 3, 9, 20)]
+    ids, text = np.array([i for t in texts for i in t], np.uint16), np.repeat(np.arange(5), [len(t) for t in texts])
+    line, place = scoring.laid_out(ids, text)
+    assert (line[place] == ids).all() and set(v.is_head[ids] >= 0) == {True, False}
     noise = v.noise(np.random.default_rng(3), 7)
-    assert set(v.is_head[target] >= 0) == {True, False}
-    got = scoring.target_probs(p, v, ctx, target, noise)
-    assert got == pytest.approx([plain_log_prob(p, v, c, t, noise) for c, t in zip(ctx.tolist(), target.tolist(), strict=True)], abs=1e-5)
-    loss, grads = scoring.gradients(p, v, ctx, target, noise)
+    beyond = [scoring.BEYOND] * 2
+    sides = [[*(beyond + t)[i : i + 2], *(t + beyond)[i + 1 : i + 3]] for t in texts for i in range(len(t))]
+    got = scoring.target_probs(p, v, line, noise)[place]
+    assert got == pytest.approx([plain_log_prob(p, v, c, t, noise) for c, t in zip(sides, ids.tolist(), strict=True)], abs=1e-5)
+    block = np.concatenate([line, np.full(-(len(line) - 4) % 5, scoring.BEYOND, np.uint16)])
+    block = block[np.arange(0, len(block) - 4, 5)[:, None] + np.arange(9)]
+    loss, grads = scoring.gradients(p, v, block, noise)
     assert loss == pytest.approx(-got.sum(), abs=1e-4)
     for k, g in grads.items():
         at, g = g if k in scoring.BY_ROW else (np.arange(len(p[k])), g)
@@ -193,7 +201,7 @@ def test_scoring_network():
             for d in (1e-2, -1e-2):
                 moved = {n: x.copy() for n, x in p.items()}
                 moved[k][at[i], j] += d
-                ends.append(-scoring.target_probs(moved, v, ctx, target, noise).sum())
+                ends.append(-scoring.target_probs(moved, v, line, noise)[place].sum())
             assert g[i, j] == pytest.approx((ends[0] - ends[1]) / 2e-2, abs=1e-2)
 
 
@@ -202,10 +210,13 @@ def test_scoring_sums_to_one():
     import numpy as np
 
     rng = random.Random(4)
-    v = scoring.Vocabulary([(rng.getrandbits(62), rng.randint(1, 90)) for _ in range(20)], [])
+    top, shared = [(rng.getrandbits(48), rng.randint(1, 90)) for _ in range(20)], [0] * scoring.SHARED
+    for h, n in top:
+        shared[h // scoring.SLOTS % scoring.SHARED] += n
+    v = scoring.Vocabulary(top, shared)
     assert len(v.noise(np.random.default_rng(0), 5)) == 0
-    ctx = np.array([[1, 2, 3, scoring.ROWS]] * 20)
-    assert np.exp(scoring.target_probs(scoring.start(), v, ctx, np.arange(20), v.noise(np.random.default_rng(0), 5))).sum() == pytest.approx(1, abs=1e-4)
+    lines = [np.array([1, 2, r, 3, 4], np.uint16) for r in range(20)]
+    assert sum(np.exp(scoring.target_probs(scoring.start(), v, x, v.noise(np.random.default_rng(0), 5))[2]) for x in lines) == pytest.approx(1, abs=1e-4)
 
 
 def brute_scores(texts, p):
@@ -218,15 +229,14 @@ def brute_scores(texts, p):
 
     from siltstone.llm.words import Words
 
-    of = {w: int(np.int64(Words(pa.table({"id": [1], "text": [w.decode()]})).hash[0].view(np.int64))) for w in counts}
-    top = sorted(((of[w], n) for w, n in counts.items()), key=lambda x: (-x[1], x[0]))[: scoring.OWN]
-    own = {h: i for i, (h, _) in enumerate(top)}
-    shared = Counter()
-    for w, n in counts.items():
-        if of[w] not in own:
-            shared[of[w] & (scoring.SHARED - 1)] += n
-    v = scoring.Vocabulary(top, list(shared.items()))
-    row = {w: own.get(of[w], scoring.OWN + (of[w] & (scoring.SHARED - 1))) for w in counts}
+    of = {w: int(Words(pa.table({"id": [1], "text": [w.decode()]})).hash[0]) % 2**48 for w in counts}
+    own, shared = {}, [0] * scoring.SHARED
+    for i, (n, h) in enumerate(sorted((-n, of[w]) for w, n in counts.items())):
+        shared[h // scoring.SLOTS % scoring.SHARED] -= n
+        if i < scoring.OWN and all(h % scoring.SLOTS != x % scoring.SLOTS for x in own):
+            own[h] = i
+    v = scoring.Vocabulary([(of[w], n) for w, n in counts.items()], shared)
+    row = {w: own.get(of[w], scoring.OWN + of[w] // scoring.SLOTS % scoring.SHARED) for w in counts}
     noise = v.noise(np.random.default_rng(scoring.SEED), scoring.NOISE)
     each = [{(ws[i - 1] if i else None, ws[i + 1] if i + 1 < len(ws) else None, w) for i, w in enumerate(ws)} for ws in lists]
     both, around = Counter(x for e in each for x in e), Counter(x[:2] for e in each for x in e)
@@ -312,16 +322,15 @@ def test_scoring_held_out(spark, monkeypatch):
     import numpy as np
     import pyarrow as pa
 
-    from siltstone.llm.words import Words
-
     rng = random.Random(3)
     v, p = trained(spark, chains(rng, 200, 300), monkeypatch)
     noise = v.noise(np.random.default_rng(1), scoring.NOISE)
 
     def mean(text):
-        w = Words(pa.table({"id": [1], "text": [text]}), lower=True)
+        (w,) = scoring.pieces(pa.table({"id": [1], "text": [text]}))
         ids = v.rows_of(w.hash)
-        return scoring.target_probs(p, v, scoring.contexts(ids, w.text), ids, noise).mean(), v.log_q[ids].mean()
+        line, place = scoring.laid_out(ids, w.text)
+        return scoring.target_probs(p, v, line, noise)[place].mean(), v.log_q[ids].mean()
 
     for text in chains(rng, 60, 10):
         words = text.split()
@@ -340,10 +349,12 @@ def test_scoring_tells_copies(spark):
 
 def test_heavy_rows_are_spread(spark):
     """Rows of one id and text beyond a limit go to several groups, all others to one each."""
-    from siltstone.llm.words import dealt
+    from siltstone.llm.words import dealt, measured
 
     df = spark.createDataFrame([(1, "same")] * 90 + [(i, "t") for i in range(30)] + [(None, None)] * 3, "id long, text string").repartition(3)
-    out = dealt(df, 16, repeats=10).collect()
+    chars, repeats = measured(df, 10)
+    assert chars == 390 and measured(df)[1] is None
+    out = dealt(df, 16, repeats, 10).collect()
     assert len(out) == 123
     assert len({r.g for r in out if r.text == "same"}) > 3 and len({r.g for r in out if r.id is None}) == 1
     assert [{(r.id, r.g) for r in dealt(x, 16).collect()} for x in (df, df.repartition(5))][0] == {(r.id, r.g) for r in dealt(df, 16).collect()}
