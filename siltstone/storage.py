@@ -57,6 +57,7 @@ def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = new_path(spark, name)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
+    del df  # or the JVM would keep its plan, and with it the shuffle
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out._stored = path
