@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.llm.common import drop, new_path, store
 from siltstone.llm.words import MIX, Words, blob, dealt, measured, rows
@@ -483,6 +484,31 @@ def train(corpus: Corpus, v: Vocabulary) -> dict[str, np.ndarray]:
     return p
 
 
+def score_group(p: dict, v: Vocabulary, group: pa.Table, words: pa.Table, memory: pa.Table, buckets: int) -> pa.Table:
+    """Scores of a group's texts, with what the buckets have answered on its words and contexts."""
+    noise = v.noise(np.random.default_rng(SEED), NOISE)
+    h, _, ends = word_keys(group, buckets)
+    log_n = said(words, ends, "a", np.float32)
+    order = np.argsort(h)
+    h, log_n = h[order], log_n[order]
+    _, ends, place = asked_contexts(group, buckets)
+    a, b = said(memory, ends, "a", np.float16), said(memory, ends, "b", np.uint16)
+    n_words, sums, known, s = [], [], [], 0
+    for w in pieces(group):
+        ids = v.rows_of(w.hash)
+        line, at = laid_out(ids, w.text)
+        net = target_probs(p, v, line, noise)[at]
+        net += log_n[np.searchsorted(h, w.hash)] - np.log(np.maximum(v.n[ids], 1))
+        at = place[s : s + len(ids)]
+        s += len(ids)
+        share, seen = a[at].astype(np.float64), b[at].astype(np.float64)
+        log_p = np.log((seen * share + np.exp(net)) / (seen + 1))
+        n_words.append(w.count)
+        for to, x in ((sums, log_p), (known, seen > 0)):
+            to.append(np.bincount(w.text, x, len(w.count)))
+    return pa.table({"id": group["id"], "n_words": pa.array(np.concatenate(n_words).astype(np.int64)), "log_prob": pa.array(np.concatenate(sums)), "known": pa.array(np.concatenate(known).astype(np.int64))})
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, n_words, log_prob (the sum over its words), mean_log_prob, and memory_share, the share
     of its words whose neighbours other documents have had around a word too.
@@ -501,39 +527,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     p = train(corpus, v)
     asked = corpus.by_group().applyInArrow(ask_contexts(buckets), ASKED_SQL)
     remembered = store(asked.repartition(corpus.tasks, "bucket").groupBy("bucket").applyInArrow(tell_contexts, SAID_SQL), "memory", "zstd")
-    model = spark.sparkContext.broadcast((v, p))
+    model = spark.sparkContext.broadcast((p, v))
     kind = picked.schema["id"].dataType.simpleString()
 
-    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
-        own, p = model.value
-        if not group.num_rows:
-            return pa.table({"id": group["id"], "n_words": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
-        noise = own.noise(np.random.default_rng(SEED), NOISE)
-        of_words, of_contexts = (answers.filter(pc.equal(answers["kind"], k)) for k in (0, 1))
-        h, _, ends = word_keys(group, buckets)
-        log_n = said(of_words, ends, "a", np.float32)
-        order = np.argsort(h)
-        h, log_n = h[order], log_n[order]
-        _, ends, place = asked_contexts(group, buckets)
-        a, b = said(of_contexts, ends, "a", np.float16), said(of_contexts, ends, "b", np.uint16)
-        words, sums, known, s = [], [], [], 0
-        for w in pieces(group):
-            ids = own.rows_of(w.hash)
-            line, at = laid_out(ids, w.text)
-            net = target_probs(p, own, line, noise)[at]
-            net += log_n[np.searchsorted(h, w.hash)] - np.log(np.maximum(own.n[ids], 1))
-            at = place[s : s + len(ids)]
-            s += len(ids)
-            share, seen = a[at].astype(np.float64), b[at].astype(np.float64)
-            log_p = np.log((seen * share + np.exp(net)) / (seen + 1))
-            words.append(w.count)
-            for to, x in ((sums, log_p), (known, seen > 0)):
-                to.append(np.bincount(w.text, x, len(w.count)))
-        return pa.table({"id": group["id"], "n_words": pa.array(np.concatenate(words).astype(np.int64)), "log_prob": pa.array(np.concatenate(sums)), "known": pa.array(np.concatenate(known).astype(np.int64))})
+    none = pa.table({"id": pa.array([], to_arrow_type(picked.schema["id"].dataType)), "n_words": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
+
+    def run(shard: pa.Table, answers: pa.Table) -> pa.Table:
+        """The groups of a shard, one after the other."""
+        out = [none]
+        for g in pc.unique(shard["g"]).to_pylist():
+            own = answers.filter(pc.equal(answers["g"], g))
+            out.append(score_group(*model.value, shard.filter(pc.equal(shard["g"], g)), own.filter(pc.equal(own["kind"], 0)), own.filter(pc.equal(own["kind"], 1)), buckets))
+        return pa.concat_tables(out)
 
     every = told.where("g >= 0").select("g", F.lit(0).alias("kind"), "bucket", "a", "b").unionByName(remembered.select("g", F.lit(1).alias("kind"), "bucket", "a", "b"))
     every = every.withColumn("shard", F.pmod("g", F.lit(corpus.shards)))
-    found = corpus.by_group().cogroup(every.groupBy("shard", "g")).applyInArrow(lambda x, y: run(x, y), f"id {kind}, n_words long, log_prob double, known long")
+    found = corpus.at.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(run, f"id {kind}, n_words long, log_prob double, known long")
     mean = lambda x: F.when(F.col("n_words") > 0, F.col(x) / F.col("n_words"))
     return found.select(F.col("id").alias(id_col), "n_words", "log_prob", mean("log_prob").alias("mean_log_prob"), mean("known").alias("memory_share"))
 
