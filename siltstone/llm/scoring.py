@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.llm.common import drop, new_path, store
-from siltstone.llm.words import MIX, Words, blob, dealt, measured, rows
+from siltstone.llm.words import M1, MIX, Words, blob, dealt, measured, rows
 
 OWN, SHARED = 6144, 2048
 SLOTS, NONE = 1 << 16, 2**64 - 1
@@ -48,7 +48,7 @@ BITS48 = np.uint64(2**48 - 1)
 #: Scores above this count as this, so that no exponential overflows.
 MOST = np.float32(60)
 #: Characters of a group, the unit of every exchange, and groups of a shard, the unit of training; entries of a bucket.
-GROUP_CHARS, SHARD_GROUPS, BUCKET_ENTRIES, PIECE = 1_500_000, ROUNDS, 4_000_000, 256
+GROUP_CHARS, SHARD_GROUPS, BUCKET_ENTRIES, PIECE = 1_500_000, ROUNDS, 1_000_000, 256
 #: Parameters by row of the vocabulary (the last row of e, BEYOND, stands for what is beyond a text), and the others.
 BEYOND = ROWS
 BY_ROW = {"e": (ROWS + 1, WIDTH), "u": (ROWS, HIDDEN), "b": (ROWS, 1)}
@@ -117,43 +117,38 @@ def windows(e: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 
 def forward(p: dict, v: Vocabulary, x: np.ndarray, target: np.ndarray, noise: np.ndarray) -> tuple:
-    """(h, selected rows, probabilities of those, probability of each target): of a batch of windows() and targets.
+    """(h, selected rows, exp(s) times weight of those, the same of each target, Z): of a batch of windows() and targets.
 
-    A target of the head is one of the selected rows; another has a term of its own in Z, and the sample stands for the
-    other rows beyond the head."""
+    The selected rows are the head, each with its share as weight, and the sample, which shares the weight of all rows
+    beyond the head. A target beyond the head is added to Z; one of the head is in it already."""
     h = x @ p["w"]
     h += p["c"]
     np.tanh(h, out=h)
     rows_ = np.concatenate([v.head, noise])
-    z = h @ p["u"][rows_].T
-    z += p["b"][rows_, 0]
-    z[:, :HEAD] += v.log_q[v.head]
-    place = v.is_head[target]
-    tail = place < 0
-    own = np.full(len(x), -np.inf, np.float32)
-    if tail.any():
-        t = target[tail]
-        own[tail] = np.einsum("ij,ij->i", h[tail], p["u"][t]) + p["b"][t, 0] + v.log_q[t]
+    u, bias = p["u"][rows_], p["b"][rows_, 0].copy()
+    bias[:HEAD] += v.log_q[v.head]
     if len(noise):
-        left = v.tail - np.where(tail, v.n[target] / v.total, 0)
-        with np.errstate(divide="ignore"):
-            z[:, HEAD:] += np.log(np.maximum(left, 0) / len(noise)).astype(np.float32)[:, None]
-    np.exp(np.minimum(z, MOST, out=z), out=z)
+        bias[HEAD:] += np.float32(math.log(v.tail / len(noise)))
+    z = h @ u.T
+    z += bias
+    if np.abs(u).sum(axis=1).max() + np.abs(p["b"][rows_, 0]).max() > MOST:
+        np.minimum(z, MOST, out=z)
+    np.exp(z, out=z)
+    own = np.einsum("ij,ij->i", h, p["u"][target])
+    own += p["b"][target, 0]
+    own += v.log_q[target]
     own = np.exp(np.minimum(own, MOST))
-    total = z.sum(axis=1) + own
-    z /= total[:, None]
-    return h, rows_, z, own / total
+    return h, rows_, z, own, z.sum(axis=1) + own * (v.is_head[target] < 0)
 
 
 def target_probs(p: dict, v: Vocabulary, line: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """log P(row | context) of each place of a line; what it says of BEYOND is of no use."""
     out = np.zeros(len(line), np.float64)
-    for s in range(SIDE, len(line) - SIDE, 4096):
-        block = line[s - SIDE : min(s + 4096, len(line) - SIDE) + SIDE]
+    for s in range(SIDE, len(line) - SIDE, 1024):
+        block = line[s - SIDE : min(s + 1024, len(line) - SIDE) + SIDE]
         t = np.minimum(block[SIDE:-SIDE], ROWS - 1)
-        _, _, z, own = forward(p, v, windows(p["e"], block[None]), t, noise)
-        place = v.is_head[t]
-        out[s : s + len(t)] = np.log(np.maximum(np.where(place >= 0, z[np.arange(len(t)), place], own), 1e-30))
+        _, _, _, own, total = forward(p, v, windows(p["e"], block[None]), t, noise)
+        out[s : s + len(t)] = np.log(np.maximum(own / total, 1e-30))
     return out
 
 
@@ -171,11 +166,12 @@ def gradients(p: dict, v: Vocabulary, block: np.ndarray, noise: np.ndarray) -> t
     live = np.flatnonzero(target != BEYOND)
     target = target[live]
     x = windows(p["e"], block)[live]
-    h, rows_, z, own = forward(p, v, x, target, noise)
+    h, rows_, z, own, total = forward(p, v, x, target, noise)
+    own /= total
+    loss = -np.log(np.maximum(own, 1e-30)).sum()
+    z /= total[:, None]
     place = v.is_head[target]
-    tail = np.flatnonzero(place < 0)
-    at = np.flatnonzero(place >= 0)
-    loss = -np.log(np.maximum(own[tail], 1e-30)).sum() - np.log(np.maximum(z[at, place[at]], 1e-30)).sum()
+    at, tail = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
     z[at, place[at]] -= 1
     t = target[tail]
     miss = (own[tail] - 1)[:, None]
@@ -239,28 +235,50 @@ def weights(n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.broadcast_to(by[k] if k in by else n.sum() + 1, s).ravel() for k, s in SHAPES.items()])
 
 
-def in_order(group: pa.Table) -> pa.Table:
-    """The texts of a group in an order that any layout gives: equal ones are alike."""
-    return group.sort_by([("order", "ascending")])
+class Read:
+    """The words of a group: their 48 bits, the text of each, and the words of each text. Texts are read in the order of
+    their hashes, which any layout gives (equal ones are alike), PIECE at a time."""
+
+    def __init__(self, group: pa.Table):
+        self.group = group.sort_by([("order", "ascending")])
+        parts = [Words(self.group.slice(at, PIECE), lower=True) for at in range(0, group.num_rows, PIECE)]
+        none = np.empty(0, np.int64)
+        self.h = np.concatenate([none.astype(np.uint64), *(w.hash for w in parts)]) & BITS48
+        self.text = np.concatenate([none, *(w.text + k * PIECE for k, w in enumerate(parts))])
+        self.count = np.concatenate([none, *(w.count for w in parts)])
+
 
+def in_buckets(bucket: np.ndarray, more: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket, the same for the same input, and the bounds of the buckets in it. more: numbers that sort a bucket."""
+    bits = np.uint64(64 - max(1, buckets - 1).bit_length())
+    order = np.argsort((bucket << bits) | (more >> (np.uint64(64) - bits)))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
 
-def pieces(group: pa.Table):
-    """Words of PIECE texts at a time, so that the arrays at hand don't grow with the group."""
-    for at in range(0, group.num_rows, PIECE):
-        words = Words(group.slice(at, PIECE), lower=True)
-        words.hash &= BITS48
-        yield words
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts x, where distinct values begin in it, how often each occurs, and which of them each x is."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(x)]
+    first = np.flatnonzero(new)
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order, first, np.diff(np.append(first, len(x))), which
 
-def word_keys(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of a group, by bucket: hashes, counts, and the bounds of the buckets."""
-    parts = [np.unique(w.hash, return_counts=True) for w in pieces(group)]
-    h, c = np.concatenate([np.empty(0, np.uint64), *(x[0] for x in parts)]), np.concatenate([np.empty(0, np.int64), *(x[1] for x in parts)])
-    h, at = np.unique(h, return_inverse=True)
-    c = np.bincount(at, c, len(h)).astype(np.uint32)
-    bucket = (h >> np.uint64(24)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    return h[order], c[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
+def word_keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, by bucket: hashes, counts, the bounds of the buckets, and of each word its place in that list."""
+    order, first, count, which = distinct(h)
+    keys = h[order[first]]
+    by, ends = in_buckets((keys >> np.uint64(24)) % np.uint64(buckets), keys << np.uint64(16), buckets)
+    return keys[by], count[by].astype(np.uint32), ends, turned(by)[which]
+
+
+def turned(order: np.ndarray) -> np.ndarray:
+    """Where each number stands in an order."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -271,36 +289,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def context_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
+def context_keys(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each word a hash of its neighbours (none beyond the text), and 48 bits that hold 32 of it and 16 of the word."""
-    n = len(w.hash)
-    before, after = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    if n > 1:
-        same = w.text[1:] == w.text[:-1]
-        before[1:][same] = w.hash[:-1][same]
-        after[:-1][same] = w.hash[1:][same]
+    before, after = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    if len(h) > 1:
+        same = text[1:] == text[:-1]
+        before[1:] = h[:-1] * same
+        after[:-1] = h[1:] * same
     c = mixed(before * np.uint64(3) + mixed(after))
-    return c, ((c & np.uint64(0xFFFFFFFF)) << np.uint64(16)) | (w.hash >> np.uint64(32))
-
-
-def asked_contexts(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct contexts with words of each text of a group, by bucket: their 48 bits, the bounds of the buckets, and of
-    each word of the group its place in that list."""
-    bits, bucket, place, base = [], [], [], 0
-    for w in pieces(group):
-        c, key = context_keys(w)
-        # told apart by text, by a hash of all three
-        _, first, inverse = np.unique(mixed(key + mixed(c)) + mixed(w.text.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True)
-        bits.append(key[first])
-        bucket.append((c[first] >> np.uint64(32)) % np.uint64(buckets))
-        place.append(inverse + base)
-        base += len(first)
-    none = np.empty(0, np.uint64)
-    bits, bucket = np.concatenate([none, *bits]), np.concatenate([none, *bucket])
-    order = np.lexsort((bits, bucket))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return bits[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)), back[np.concatenate([np.empty(0, np.int64), *place])]
+    return c, ((c & np.uint64(0xFFFFFFFF)) << np.uint64(16)) | (h >> np.uint64(32))
+
+
+def asked_contexts(h: np.ndarray, text: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct contexts with words of each text, by bucket: their 48 bits, the bounds of the buckets, and of each word
+    its place in that list."""
+    c, key = context_keys(h, text)
+    # told apart by text, by a hash of all three
+    every = mixed(key + c * M1) + mixed(text.astype(np.uint64) + np.uint64(1))
+    order, first, _, which = distinct(every)
+    at = order[first]
+    by, ends = in_buckets((c[at] >> np.uint64(32)) % np.uint64(buckets), every[at], buckets)
+    return key[at][by], ends, turned(by)[which]
 
 
 def six(x: np.ndarray) -> np.ndarray:
@@ -324,7 +333,7 @@ SAID_SQL = "bucket long, g long, a binary, b binary"
 
 def ask_words(buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        h, c, ends = word_keys(group, buckets)
+        h, c, ends, _ = word_keys(Read(group).h, buckets)
         g, h = group["g"][0].as_py(), six(h)
         return rows([(b, g, h[s:e].tobytes(), c[s:e].tobytes()) for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s], ASKED)
 
@@ -351,7 +360,8 @@ def tell_words(group: pa.Table) -> pa.Table:
 
 def ask_contexts(buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        bits, ends, _ = asked_contexts(group, buckets)
+        read = Read(group)
+        bits, ends, _ = asked_contexts(read.h, read.text, buckets)
         g = group["g"][0].as_py()
         bits = six(bits)
         return rows([(b, g, bits[s:e].tobytes(), b"") for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s], ASKED)
@@ -402,7 +412,7 @@ class Corpus:
         self.groups = self.shards * SHARD_GROUPS
         self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         #: About six characters are a word; a group has each of its words, a text each of its contexts once.
-        self.buckets = max(self.tasks, chars // (6 * BUCKET_ENTRIES))
+        self.buckets = 12 + chars // (6 * BUCKET_ENTRIES)
         table = dealt(docs, self.groups, repeats).withColumn("shard", F.pmod("g", F.lit(self.shards))).withColumn("order", F.xxhash64("text"))
         name, self.path = f"siltstone_{uuid.uuid4().hex}", new_path(spark, "texts")
         table.repartition(self.shards, "shard").write.option("compression", "zstd").bucketBy(self.shards, "shard").sortBy("g").option("path", self.path).saveAsTable(name)
@@ -443,12 +453,9 @@ def fitted_row(part: int, n: np.ndarray, flat: np.ndarray) -> pa.Table:
 def fit_shard(model, turn: int):
     def run(group: pa.Table) -> pa.Table:
         v, p = model.value
-        shard, lines = group["shard"][0].as_py(), [np.full(SIDE, BEYOND, np.uint16)]
-        for w in pieces(in_order(group)):
-            if len(w.hash):
-                lines.append(laid_out(v.rows_of(w.hash), w.text)[0][SIDE:])
-        line = np.concatenate(lines)
-        p = fit(p, v, line, turn * 1_000_003 + shard) if len(line) > SIDE else p
+        shard, read = group["shard"][0].as_py(), Read(group)
+        line, _ = laid_out(v.rows_of(read.h), read.text)
+        p = fit(p, v, line, turn * 1_000_003 + shard) if len(read.h) else p
         return fitted_row(shard, np.bincount(line, minlength=ROWS)[:ROWS], flat(p))
 
     return run
@@ -486,27 +493,17 @@ def train(corpus: Corpus, v: Vocabulary) -> dict[str, np.ndarray]:
 
 def score_group(p: dict, v: Vocabulary, group: pa.Table, words: pa.Table, memory: pa.Table, buckets: int) -> pa.Table:
     """Scores of a group's texts, with what the buckets have answered on its words and contexts."""
-    noise = v.noise(np.random.default_rng(SEED), NOISE)
-    h, _, ends = word_keys(group, buckets)
-    log_n = said(words, ends, "a", np.float32)
-    order = np.argsort(h)
-    h, log_n = h[order], log_n[order]
-    _, ends, place = asked_contexts(group, buckets)
-    a, b = said(memory, ends, "a", np.float16), said(memory, ends, "b", np.uint16)
-    n_words, sums, known, s = [], [], [], 0
-    for w in pieces(group):
-        ids = v.rows_of(w.hash)
-        line, at = laid_out(ids, w.text)
-        net = target_probs(p, v, line, noise)[at]
-        net += log_n[np.searchsorted(h, w.hash)] - np.log(np.maximum(v.n[ids], 1))
-        at = place[s : s + len(ids)]
-        s += len(ids)
-        share, seen = a[at].astype(np.float64), b[at].astype(np.float64)
-        log_p = np.log((seen * share + np.exp(net)) / (seen + 1))
-        n_words.append(w.count)
-        for to, x in ((sums, log_p), (known, seen > 0)):
-            to.append(np.bincount(w.text, x, len(w.count)))
-    return pa.table({"id": group["id"], "n_words": pa.array(np.concatenate(n_words).astype(np.int64)), "log_prob": pa.array(np.concatenate(sums)), "known": pa.array(np.concatenate(known).astype(np.int64))})
+    read = Read(group)
+    _, _, ends, place = word_keys(read.h, buckets)
+    log_n = said(words, ends, "a", np.float32)[place]
+    _, ends, place = asked_contexts(read.h, read.text, buckets)
+    share, seen = said(memory, ends, "a", np.float16)[place].astype(np.float64), said(memory, ends, "b", np.uint16)[place].astype(np.float64)
+    ids = v.rows_of(read.h)
+    line, at = laid_out(ids, read.text)
+    net = target_probs(p, v, line, v.noise(np.random.default_rng(SEED), NOISE))[at] + log_n - np.log(np.maximum(v.n, 1))[ids]
+    log_p = np.log((seen * share + np.exp(net)) / (seen + 1))
+    sums, known = (np.bincount(read.text, x, len(read.count)) for x in (log_p, seen > 0))
+    return pa.table({"id": read.group["id"], "n_words": pa.array(read.count.astype(np.int64)), "log_prob": pa.array(sums), "known": pa.array(known.astype(np.int64))})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -164,7 +164,7 @@ def plain_log_prob(p, v, ctx, target, noise):
     q = v.n / v.n.sum()
     each = lambda r: math.exp(sum(a * float(b) for a, b in zip(h, p["u"][r], strict=True)) + float(p["b"][r, 0]))
     head = set(v.head.tolist())
-    rest = sum(q[r] for r in range(scoring.ROWS) if r not in head) - (q[target] if target not in head else 0)
+    rest = sum(q[r] for r in range(scoring.ROWS) if r not in head)
     total = sum(q[r] * each(r) for r in head) + (rest * sum(map(each, noise)) / len(noise) if len(noise) else 0)
     total += q[target] * each(target) if target not in head else 0
     return math.log(q[target] * each(target) / total)
@@ -327,8 +327,8 @@ def test_scoring_held_out(spark, monkeypatch):
     noise = v.noise(np.random.default_rng(1), scoring.NOISE)
 
     def mean(text):
-        (w,) = scoring.pieces(pa.table({"id": [1], "text": [text]}))
-        ids = v.rows_of(w.hash)
+        w = scoring.Read(pa.table({"id": [1], "text": [text], "order": [0]}))
+        ids = v.rows_of(w.h)
         line, place = scoring.laid_out(ids, w.text)
         return scoring.target_probs(p, v, line, noise)[place].mean(), v.log_q[ids].mean()
 
