@@ -12,9 +12,10 @@ Members of a bucket are verified against each other inside a task, which returns
 forest instead of all pairs; buckets above SPLIT members are cut into slices, and every pair of
 slices is verified, in a task of its own, so none is dropped or capped.
 
-near_duplicates() links by the bits of one fingerprint. similar() links by a similarity, for which 64 bits
-say too little (at 0.8 they differ in 8 bits or more): it gives each text several fingerprints, probes each
-in this way, and verifies on all their bits.
+near_duplicates() links by the bits of one fingerprint. similar() links by the Jaccard similarity of shingle sets, for which
+64 bits say too little (at 0.8 they differ in 8 bits or more): it gives each text several fingerprints, probes each
+in this way, and takes the pairs whose bits come near the similarity as candidates. Texts that candidates connect are then
+verified against each other by their sets.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, components, store
+from siltstone.llm.common import WORD, components, drop, store
 
 SHINGLE, LIMIT, BITS, HASH_SEED = 4, 4, 64, 42
 SPLIT = 4096
@@ -37,6 +39,9 @@ SPLIT = 4096
 STAGE_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
 #: similar(): most pairs of just that similarity that may miss each other, whatever the number of texts.
 MISS = 0.01
+#: similar(): by how many standard deviations of its bits a pair may look less similar and still be verified, and the
+#: bytes of sets that one task holds.
+MARGIN, SLICE = 2.5, 32_000_000
 #: Relative cost of a key that is shuffled and of a pair that is verified, and the most masked keys of a part.
 KEY_COST, PAIR_COST, MOST_KEYS = 1.0, 0.01, 600
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,10 +66,9 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
 
 
-def wide_fingerprint(text: str | None, shingle: int, tables: int) -> list[int]:
-    """tables fingerprints of one text: the first is fingerprint()'s, the others come from the same
+def wide(h: np.ndarray, tables: int) -> list[int]:
+    """tables fingerprints of a text's shingle hashes: the first is fingerprint()'s, the others come from the same
     hashes, mixed again with the table's number; all 0 without words."""
-    h = hashes(text, shingle)
     out = [majority(h)]
     for k in range(1, tables):
         x = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
@@ -74,6 +78,10 @@ def wide_fingerprint(text: str | None, shingle: int, tables: int) -> list[int]:
     return out
 
 
+def wide_fingerprint(text: str | None, shingle: int, tables: int) -> list[int]:
+    return wide(hashes(text, shingle), tables)
+
+
 def majority(h: np.ndarray) -> int:
     """The bits set in over half of the hashes."""
     count = np.zeros(64, np.int64)
@@ -96,17 +104,25 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
-    """(id, fp, w0, w1, ...) per row: the tables' fingerprints as signed longs, and one hash of them all."""
+    """(id, fp, w0, w1, ..., set, row) per row: a hash of the set of shingles, the tables' fingerprints, all as signed longs, the
+    set itself as sorted numbers of 32 bits each (two sets of a thousand shingles differ in truth from what these tell by a
+    four-thousandth of a shingle), and a number of the row."""
     names = [f"w{k}" for k in range(tables)]
 
     def run(batches):
         for b in batches:
-            fps = np.array([wide_fingerprint(x.as_py(), shingle, tables) for x in b.column(1)], np.uint64).reshape(-1, tables).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(tables))], names=["id", *names])
+            fps, sets = [], []
+            for x in b.column(1):
+                h = hashes(x.as_py(), shingle)
+                own = np.unique(h)
+                fps.append([xxhash.xxh64_intdigest(own.tobytes()), *wide(h, tables)])
+                sets.append(np.unique(own.astype(np.uint32)).tobytes())
+            fps = np.array(fps, np.uint64).reshape(-1, tables + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(tables + 1)), pa.array(sets, pa.binary())], names=["id", "fp", *names, "set"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, " + ", ".join(f"{w} long" for w in names))
-    return found.select("id", F.xxhash64(*names).alias("fp"), *names)
+    found = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long, " + ", ".join(f"{w} long" for w in names) + ", set binary")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -337,6 +353,99 @@ def links(distinct: DataFrame, limit: int = LIMIT, split: int = SPLIT, words: tu
     return rest.unionByName(tasks.groupBy("k", "lo", "hi").applyInArrow(cross, pairs))
 
 
+def exact_forest(sets: list[np.ndarray], words: np.ndarray, least: float, bits: int, label: np.ndarray | None = None, other: int = 0) -> list[tuple[int, int]]:
+    """Links (positions) that connect the sets whose similarity is at least least, of those within bits bits. label: which are
+    connected already; with other, only links that cross position other. What is linked is not compared again."""
+    n = len(sets)
+    root = np.arange(n) if label is None else label.copy()
+    size = np.array([len(x) for x in sets], np.int64)
+    links = []
+    for i in range(min(n - 1, other or n)):
+        begin = max(i + 1, other)
+        low, high = np.minimum(size[begin:], size[i]), np.maximum(size[begin:], size[i])
+        near = begin + np.flatnonzero((root[begin:] != root[i]) & (low >= least * high))
+        near = near[distance(words[near], words[i]) <= bits] if len(near) else near
+        for j in near.tolist():
+            if root[j] != root[i]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= least * (size[i] + size[j] - both) - 1e-9:
+                    links.append((i, j))
+                    root[root == root[j]] = root[i]
+    return links
+
+
+def sets_of(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
+
+
+def exact_links(members: DataFrame, words: list[str], least: float, bits: int, slice_bytes: int = SLICE) -> DataFrame:
+    """Links (a, b) between members (root, fp, set, words) of one root whose sets reach least, and whose fingerprints lie within
+    bits bits: enough to connect all such.
+
+    The members of a root are compared in one task, which holds slice_bytes of sets at most. Larger ones are dealt into
+    slices: each is compared in itself and with the root's own text, with which most are linked in a group of near copies; only
+    those that are not then meet the other slices, in a task for each pair of them, so that none is left out."""
+    pairs, columns = "a long, b long", ["fp", *words]
+    size = F.length("set") + 64
+    large = store(members.groupBy("root").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > slice_bytes), "large")
+
+    def parts(group) -> tuple[np.ndarray, list, np.ndarray]:
+        # fingerprints may come as a table of chunks
+        of = lambda c: np.asarray(group.column(c).to_numpy(zero_copy_only=False) if isinstance(group, pa.RecordBatch) else group.column(c).to_numpy())
+        return of("fp"), sets_of(group.column("set")), np.stack([of(w) for w in words], axis=1).reshape(group.num_rows, len(words))
+
+    def rows(fps: np.ndarray, at: list[tuple[int, int]]) -> dict:
+        at = np.array(at, np.int64).reshape(-1, 2)
+        return {"a": pa.array(fps[at[:, 0]]), "b": pa.array(fps[at[:, 1]])}
+
+    def small(batches):
+        """Rows come sorted by root; those that run on into the next batch are carried over."""
+        held = None
+        for b in chain(batches, [None]):
+            if b is not None:
+                held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if held is None or not held.num_rows:
+                continue
+            roots = held.column("root").to_numpy()
+            upto = int(np.searchsorted(roots, roots[-1])) if b is not None else len(roots)
+            fps, sets, bitwords = parts(held.slice(0, upto))
+            cut = [*np.flatnonzero(np.append(True, roots[1:upto] != roots[: upto - 1])).tolist(), upto] if upto else [0]
+            at = [(s + i, s + j) for s, e in zip(cut, cut[1:], strict=False) for i, j in exact_forest(sets[s:e], bitwords[s:e], least, bits)]
+            held = held.slice(upto)
+            yield pa.RecordBatch.from_pydict(rows(fps, at))
+
+    if large.isEmpty():
+        return members.repartition("root").sortWithinPartitions("root").mapInArrow(small, pairs)
+    found = store(members.join(large.select("root"), "root", "left_anti").repartition("root").sortWithinPartitions("root").mapInArrow(small, pairs), "exact")
+    sliced = members.join(large, "root").withColumn("of", F.ceil(F.col("bytes") / slice_bytes).cast("int")).withColumn("s", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int"))
+    sliced = store(sliced.select("root", "of", "s", "set", *columns), "sliced")
+    own = sliced.where(F.col("fp") == F.col("root")).select("root", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("s"), "set", *columns, F.lit(True).alias("own"))
+
+    def within(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("own", "descending")])
+        fps, sets, bitwords = parts(group)
+        return pa.table(rows(fps, exact_forest(sets, bitwords, least, bits)))
+
+    first = store(own.unionByName(sliced.select("root", "s", "set", *columns, F.lit(False).alias("own"))).groupBy("root", "s").applyInArrow(within, pairs), "exact")
+    label = components(first).withColumnRenamed("root", "label")
+    label = store(sliced.join(label, F.col("fp") == F.col("node"), "left").select("root", "s", "of", "set", *columns, F.coalesce("label", "fp").alias("label")), "labelled")
+    done = label.where(F.col("fp") == F.col("root")).select("root", F.col("label").alias("done"))
+    rest = label.join(done, "root").where(F.col("label") != F.col("done"))
+    slices = store(rest.groupBy("root").agg(F.ceil(F.sum(size) / slice_bytes).cast("int").alias("q")), "rest")
+    right = rest.join(slices, "root").withColumn("r", F.pmod(F.xxhash64("fp"), F.col("q")).cast("int"))
+    right = right.select("root", "r", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("s"), "set", *columns, "label", F.lit(True).alias("right"))
+    left = label.join(slices, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("r"), "s", "set", *columns, "label", F.lit(False).alias("right"))
+
+    def across(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("right", "ascending")])
+        fps, sets, bitwords = parts(group)
+        other = int(pc.sum(pc.invert(group.column("right"))).as_py() or 0)
+        _, label = np.unique(group.column("label").to_numpy(), return_inverse=True)
+        return pa.table(rows(fps, exact_forest(sets, bitwords, least, bits, label, other) if 0 < other < len(fps) else []))
+
+    return found.unionByName(first).unionByName(left.unionByName(right).groupBy("root", "r", "s").applyInArrow(across, pairs))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, shingle: int = SHINGLE, split: int = SPLIT) -> DataFrame:
     """One row per row of docs: its id, fp (signed long) and component_id, the smallest id reachable
     over links of at most limit bits.
@@ -357,27 +466,45 @@ def bits_at(similarity: float, bits: int) -> int:
     return round(bits * bit_angle(similarity))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE, tables: int = TABLES, limit: int = LIMIT, split: int = SPLIT) -> DataFrame:
-    """As near_duplicates(), by similarity: texts have tables fingerprints of 64 bits each, and a pair that
-    meets in the probes of any is a link if all of them put its similarity at similarity or more.
+def loose_bits(similarity: float, bits: int) -> int:
+    """Differing bits up to which a pair is verified."""
+    p = bit_angle(similarity)
+    return math.ceil(bits * p + MARGIN * math.sqrt(bits * p * (1 - p)))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE, tables: int = TABLES, limit: int = LIMIT, split: int = SPLIT, slice_bytes: int = SLICE) -> DataFrame:
+    """As near_duplicates(), by similarity: texts have tables fingerprints of 64 bits each, and a pair that meets in the probes of
+    any, or is connected by such, is a link if its sets of shingles have a Jaccard similarity of similarity or more.
 
     Pairs within limit bits in one fingerprint are certain to meet; others of just that similarity miss each
     other with a chance of at most MISS, whatever the number of texts: probes are fixed by rounds(), one
-    shuffle each, so pairs to verify grow with the square of the texts. Nulls, empty texts, ties, repeated rows and empty tables are as there; fp is a hash of
-    the fingerprints."""
+    shuffle each, so pairs to compare by their bits grow with the square of the texts. A pair is verified by its sets if its bits
+    are within loose_bits() (one of just that similarity is with a chance of over 0.99). Texts without words are one set, a text
+    of fewer words than a shingle is one shingle. Nulls, empty texts, ties, repeated rows and empty tables are as there; very
+    long texts have large sets, of four bytes a shingle; fp is a hash of the set."""
+    words = [f"w{k}" for k in range(tables)]
+    bits = loose_bits(similarity, BITS * tables)
     every = store(wide_fingerprints(docs, id_col, text_col, shingle, tables), "fingerprints")
-    return classes(every, id_col, limit, split, tuple(f"w{k}" for k in range(tables)), bits_at(similarity, BITS * tables), rounds(similarity, tables, limit))
-
-
-def classes(every: DataFrame, id_col: str, limit: int, split: int, words: tuple[str, ...] = ("fp",), total: int | None = None, turns: int = 0) -> DataFrame:
-    """id, fp and component_id of each row of every (id, fp and words)."""
-    more = [w for w in words if w != "fp"]
-    distinct = store(every.groupBy("fp").agg(F.min("id").alias("least"), *(F.max(w).alias(w) for w in more)), "distinct")
-    if turns:
-        # stored one by one, so that only one turn's shuffle is on disk
-        found = reduce(DataFrame.unionByName, [store(links(distinct, limit, split, words, total, turn), "links") for turn in range(turns)])
-    else:
-        found = links(distinct, limit, split, words, total)
+    distinct = store(every.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct(*words)).alias("w"), F.min("row").alias("row")).select("fp", "least", "row", "w.*"), "distinct")
+    # stored one by one, so that only one turn's shuffle is on disk
+    met = [store(links(distinct, limit, split, tuple(words), bits, turn), "links") for turn in range(rounds(similarity, tables, limit))]
+    loose = components(reduce(DataFrame.unionByName, met))
+    members = distinct.join(loose, F.col("fp") == F.col("node")).select("row", "fp", "root", *words)
+    members = store(every.select("row", "set").join(members, "row").select("root", "fp", "set", *words), "members")
+    drop(*met)
+    found = store(exact_links(members, words, similarity, bits, slice_bytes), "links")
+    drop(members)
+    return named(every.select("id", "fp"), distinct, found, id_col)
+
+
+def classes(every: DataFrame, id_col: str, limit: int, split: int) -> DataFrame:
+    """id, fp and component_id of each row of every (id, fp)."""
+    distinct = store(every.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    return named(every, distinct, links(distinct, limit, split), id_col)
+
+
+def named(every: DataFrame, distinct: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """Rows with the least id of what the links found between distinct nodes connect."""
     roots = components(found)
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # stored, so that AQE can split the join if one component holds most fingerprints
@@ -387,15 +514,16 @@ def classes(every: DataFrame, id_col: str, limit: int, split: int, words: tuple[
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE, tables: int = TABLES) -> DataFrame:
-    """docs, all columns, one row of each component in similar(): that with the smallest id. Texts decide, not ids: rows
+    """docs, all columns of any name, one row of each component in similar(): that with the smallest id. Texts decide, not ids: rows
     with a null id come after all others, rows of one id are told apart by a hash of the text, and of rows with one id and
-    text one stays."""
+    text one stays. A null text is an empty one; an empty table gives no rows."""
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text"))
-    found = similar(docs.select(key.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", similarity, shingle, tables)
-    kept = found.where(F.col("component_id") == F.col("_row")).select(F.col("_row.id").alias("_kept"), F.col("_row.text").alias("_hash")).distinct()
-    joined = docs.withColumn("_of", text).join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_of") == F.col("_hash")))
-    return joined.dropDuplicates([id_col, "_of"]).drop("_kept", "_hash", "_of")
+    found = similar(docs.select(key.alias("row"), F.col(text_col).alias("text")), "row", "text", similarity, shingle, tables)
+    kept = store(found.where(F.col("component_id") == F.col("row")).select("row.id", "row.text").distinct(), "kept")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("of"), text.alias("hash"))
+    joined = whole.join(kept, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text")))
+    return joined.dropDuplicates(["of", "hash"]).select("doc.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

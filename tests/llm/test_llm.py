@@ -423,12 +423,34 @@ def test_simhash_dense(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
-def brute_similar(rows):
-    """Component ids where all pairs of wide fingerprints are compared."""
-    wide = []
-    for d, text in rows:
-        wide.append((d, sum(fp << 64 * k for k, fp in enumerate(simhash.wide_fingerprint(text, 5, 4)))))
-    return brute_components(wide, simhash.bits_at(0.8, 256))
+def shingle_set(text, size=5):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similarity_of(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_similar(rows, least=0.8):
+    """Component ids where the sets of all pairs are compared."""
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if min(len(sets[i]), len(sets[j])) >= least * max(len(sets[i]), len(sets[j])) and similarity_of(sets[i], sets[j]) >= least:
+                parent[find(i)] = find(j)
+    least_id = {}
+    for i, (d, _) in enumerate(rows):
+        r = find(i)
+        least_id[r] = d if least_id.get(r) is None else least_id[r] if d is None else min(d, least_id[r])
+    return [least_id[find(i)] for i in range(len(rows))]
 
 
 def test_wide_fingerprint():
@@ -445,13 +467,25 @@ def test_wide_fingerprint():
         assert abs(sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) - simhash.bits_at(share, 256)) < 25
 
 
-@pytest.mark.parametrize("split", [simhash.SPLIT, 4])
-def test_similar(spark, sf_dir, docs, empty, split):
-    """The edge cases and a whole table against all pairs."""
-    rows = [(r[0], r[1]) for r in corpus()]
+def near_copies():
+    """Groups of texts that are changed more and more, so that their similarities lie on both sides of 0.8."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(4):
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(150)]
+        for k in range(25):
+            texts.append(" ".join(w if rng.random() > k * 0.0014 else f"x{rng.randrange(10**6)}" for w in words))
+    return texts
+
+
+@pytest.mark.parametrize(("split", "slice_bytes"), [(simhash.SPLIT, simhash.SLICE), (4, simhash.SLICE), (simhash.SPLIT, 3000)])
+def test_similar(spark, sf_dir, docs, empty, split, slice_bytes):
+    """The edge cases, groups of near copies and a whole table against all pairs, whatever the slices."""
+    rows = [(r[0], r[1]) for r in corpus()] + [(1000 + i, t) for i, t in enumerate(near_copies())]
     expected = Counter((d, c) for (d, _), c in zip(rows, brute_similar(rows), strict=True))
-    assert Counter((r.doc_id, r.component_id) for r in simhash.similar(docs, split=split).collect()) == expected
-    if split == 4:
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter((r.doc_id, r.component_id) for r in simhash.similar(df, split=split, slice_bytes=slice_bytes).collect()) == expected
+    if split == 4 or slice_bytes != simhash.SLICE:
         return
     assert simhash.similar(empty).count() == 0
     table = common.table(spark, sf_dir, "documents")
@@ -459,6 +493,22 @@ def test_similar(spark, sf_dir, docs, empty, split):
     assert {r.doc_id: r.component_id for r in simhash.similar(table).collect()} == {d: c for (d, _), c in zip(rows, brute_similar(rows), strict=True)}
 
 
+def test_exact_links_are_no_less_similar(spark):
+    """No pair below the similarity is linked, and what is linked connects all pairs at or above it that their bits let through."""
+    import numpy as np
+
+    texts = sorted(set(near_copies()))
+    sets = [shingle_set(t) for t in texts]
+    bits = [sum(x << 64 * k for k, x in enumerate(simhash.wide_fingerprint(t, 5, 4))) for t in texts]
+    numbers = [np.unique(np.array([xxhash.xxh32_intdigest(" ".join(x)) for x in s], np.uint32)) for s in sets]
+    words = np.array([[(b >> 64 * k) % 2**64 for k in range(4)] for b in bits], np.uint64).view(np.int64)
+    limit = simhash.loose_bits(0.8, 256)
+    found = simhash.exact_forest(numbers, words, 0.8, limit)
+    assert found and all(similarity_of(sets[i], sets[j]) >= 0.8 for i, j in found)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if similarity_of(sets[i], sets[j]) >= 0.8]
+    assert sum((bits[i] ^ bits[j]).bit_count() <= limit for i, j in near) > 0.98 * len(near)
+
+
 def test_pigeonhole_is_complete():
     import numpy as np
 
@@ -478,17 +528,16 @@ def test_pigeonhole_is_complete():
 
 
 def test_keep_first(spark):
-    """Null and repeated ids are judged by text: every component of texts keeps one row, of its smallest id."""
+    """Null and repeated ids are judged by text: every component of texts keeps one row, of its smallest id. Names that clash are no trouble."""
     extra = [(None, "no id " + " ".join(f"n{k}{i}" for i in range(60))) for k in range(2)]
     extra += [(7, "repeated " + " ".join(f"r{k}{i}" for i in range(60))) for k in range(2)]
     rows = [(r[0], r[1]) for r in corpus()] + extra
-    wide = [sum(fp << 64 * k for k, fp in enumerate(simhash.wide_fingerprint(t, 5, 4))) for _, t in rows]
-    of = brute_components(list(enumerate(wide)), simhash.bits_at(0.8, 256))
+    of = brute_similar([((0, i), t) for i, (_, t) in enumerate(rows)])
     ids, members = defaultdict(list), defaultdict(set)
     for (d, t), c in zip(rows, of, strict=True):
         ids[c].append(d)
         members[d, t].add(c)
-    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, lang string").repartition(3)
+    df = spark.createDataFrame([(d, t, "x", 1, 2, 3) for d, t in rows], "doc_id long, text string, lang string, _kept int, row int, hash int").repartition(3)
     out = simhash.keep_first(df)
     got = out.collect()
     assert out.columns == df.columns
@@ -498,6 +547,8 @@ def test_keep_first(spark):
         assert r.doc_id == (min(known) if known else None)
     assert set(extra) <= {(r.doc_id, r.text) for r in got}
     assert simhash.keep_first(df.limit(0)).count() == 0
+    few = spark.createDataFrame([(5, "a b c d e f"), (5, "u v w x y z"), (3, "u v w x y z")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_first(few).collect())) == [(3, "u v w x y z"), (5, "a b c d e f")]
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
