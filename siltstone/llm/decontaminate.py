@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import drop, store
+
 SEED, COVERED, BLOCK_WORDS = 5, 0.8, 2_000_000
 TOKEN = re.compile(r"[^\W_]+")
 BY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -42,98 +44,124 @@ def rolled(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """A block of benchmark items: their words as numbers, and where each seed stands."""
+    """A block of benchmark items: their words as numbers, and where each seed stands.
+
+    Items of fewer words than SEED have seeds of their own length. Seeds of one hash are places in a row of
+    (item, position); their words are kept to tell collisions."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.vocab: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        #: Items of fewer words than a seed have seeds of their own length.
-        self.widths: list[int] = []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for item, text in items:
             ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in tokens(text)], np.int64)
-            if not len(ids):
-                continue
-            width = min(SEED, len(ids))
-            if width not in self.widths:
-                self.widths.append(width)
-            for i, h in enumerate(rolled(ids, width).tolist()):
-                places[(h ^ width) & (2**64 - 1)].append((len(self.items), i))
-            self.items.append((item, ids))
-        self.places = dict(places)
-        self.known = np.sort(np.array(list(places), np.uint64))
+            if len(ids):
+                h = rolled(ids, width := min(SEED, len(ids)))
+                found[width].append((h, np.full(len(h), len(self.items)), np.arange(len(h))))
+                self.items.append((item, ids))
+        #: By width: distinct hashes, their words, and the bounds, items and positions of their places.
+        self.seeds = {}
+        for width, parts in found.items():
+            h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, item, at = h[order], item[order], at[order]
+            known, first = np.unique(h, return_index=True)
+            words = np.stack([self.items[k][1][i : i + width] for k, i in zip(item[first].tolist(), at[first].tolist(), strict=True)])
+            self.seeds[width] = known, words, np.append(first, len(h)), item, at
 
     def matches(self, text: str | None, covered: float = COVERED) -> list[tuple[int, float]]:
         """(item, share of its words that tiles cover) of the items that reach covered."""
-        if not len(self.known):
-            return []
         get = self.vocab.get
         doc = np.array([get(w, 0) for w in tokens(text)], np.int64)
-        seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for width in self.widths:
-            h = rolled(doc, width) ^ np.uint64(width)
-            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-            for j in np.flatnonzero(self.known[at] == h).tolist():
-                for k, i in self.places[int(h[j])]:
-                    item = self.items[k][1]
-                    if min(SEED, len(item)) == width and (item[i : i + width] == doc[j : j + width]).all():
-                        seeds[k, width].append((i, j))
         out = []
-        for (k, width), pairs in seeds.items():
-            item, ids = self.items[k]
-            reach = np.zeros(len(ids), bool)
-            for i in {i for i, _ in pairs}:
-                reach[i : i + width] = True
-            if reach.sum() >= covered * len(ids):  # tiles lie inside seeds, so less can't suffice
-                share = tiled(pairs, width, len(ids)) / len(ids)
-                if share >= covered:
-                    out.append((item, share))
+        for width, (known, words, bounds, item, at) in self.seeds.items():
+            h = rolled(doc, width)
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            j = np.flatnonzero(known[place] == h)
+            for k in range(width):  # of equal hashes, those of equal words
+                j = j[doc[j + k] == words[place[j], k]]
+            if not len(j):
+                continue
+            order = np.argsort(place[j], kind="stable")
+            j, which = j[order], place[j][order]
+            met, first = np.unique(which, return_index=True)
+            ends = np.append(first[1:], len(j))
+            where = dict(zip(met.tolist(), zip(first.tolist(), ends.tolist(), strict=True), strict=True))
+            every = np.concatenate([np.arange(bounds[m], bounds[m + 1]) for m in met])
+            own = np.repeat(met, bounds[met + 1] - bounds[met])
+            for k in np.unique(item[every]).tolist():
+                mine = item[every] == k
+                i, seed = at[every][mine], own[mine]
+                name, ids = self.items[k]
+                reach = np.zeros(len(ids) + 1, np.int64)
+                np.add.at(reach, i, 1)
+                np.add.at(reach, i + width, -1)
+                # tiles lie inside seeds, so less can't suffice
+                if (np.cumsum(reach[:-1]) > 0).sum() >= covered * len(ids):
+                    of = {a: j[slice(*where[b])] for a, b in zip(i.tolist(), seed.tolist(), strict=True)}
+                    share = tiled(runs(of, width), width, len(ids), len(doc)) / len(ids)
+                    if share >= covered:
+                        out.append((name, share))
         return sorted(out)
 
 
-def tiled(pairs: list[tuple[int, int]], width: int, n: int) -> int:
-    """Words of an item of n words that greedy string tiling marks. pairs: verified seeds (i in the
-    item, j in the text). Seeds that follow each other on a diagonal are one maximal match; the longest
-    goes first, ties by place; what is already marked is cut off, and the rest waits its turn."""
-    lines: dict[int, list[int]] = defaultdict(list)
-    for i, j in pairs:
-        lines[j - i].append(i)
-    heap: list[tuple[int, int, int]] = []
-    for d, starts in lines.items():
-        starts.sort()
-        first = last = starts[0]
-        for i in [*starts[1:], None]:
-            if i is not None and i <= last + 1:
-                last = i
-                continue
-            heap.append((-(last - first + width), first, first + d))
-            if i is not None:
-                first = last = i
-    heapq.heapify(heap)
-    in_item, in_text, marked = bytearray(n), set(), 0
-    while heap:
-        length, i, j = heapq.heappop(heap)
-        free = [not in_item[i + k] and j + k not in in_text for k in range(-length)]
-        if all(free):
-            marked -= length
-            for k in range(-length):
-                in_item[i + k] = 1
-                in_text.add(j + k)
+def runs(seeds: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """Maximal matches (length, i, j) from seeds: position in the item -> sorted positions in the text.
+
+    Seeds that follow each other on a diagonal are one match. Only the seeds of two positions of the item are held, so
+    memory grows with the text and the matches, not with their product."""
+    none = np.empty(0, np.int64)
+    out, held, start = [np.empty((0, 3), np.int64)], none, none
+    for i in range(min(seeds, default=0), max(seeds, default=-1) + 2):
+        now = seeds.get(i, none)
+        begun = np.full(len(now), i)
+        if len(held) and len(now):
+            at = np.minimum(np.searchsorted(held, now - 1), len(held) - 1)
+            goes_on = held[at] == now - 1
+            begun[goes_on] = start[at[goes_on]]
+        at = np.minimum(np.searchsorted(now, held + 1), max(len(now) - 1, 0))
+        over = (now[at] != held + 1) if len(now) else np.ones(len(held), bool)
+        n = i - 1 - start[over] + width
+        out.append(np.stack([n, start[over], held[over] - (i - 1 - start[over])], axis=1))
+        held, start = now, begun
+    return np.concatenate(out)
+
+
+def tiled(found: np.ndarray, width: int, n: int, n_text: int) -> int:
+    """Words of an item of n words that greedy string tiling marks, from maximal matches. The longest goes first, ties by
+    place; what is already marked is cut off, and the rest waits its turn. Ends once no stretch of the item is left that could
+    hold a tile."""
+    found = found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))]
+    in_item, in_text, marked, at, cut = bytearray(n), bytearray(n_text), 0, 0, []
+    whole = bytes(width)
+    while (at < len(found) or cut) and in_item.find(whole) >= 0:
+        nearest = (-int(found[at, 0]), int(found[at, 1]), int(found[at, 2])) if at < len(found) else None
+        if nearest is None or (cut and cut[0] < nearest):
+            length, i, j = heapq.heappop(cut)
+        else:
+            length, i, j = nearest
+            at += 1
+        length = -length
+        if in_item.find(1, i, i + length) < 0 and in_text.find(1, j, j + length) < 0:
+            marked += length
+            in_item[i : i + length] = in_text[j : j + length] = b"\1" * length
             continue
         start = None
-        for k, ok in enumerate([*free, False]):
+        for k in range(length + 1):
+            ok = k < length and not in_item[i + k] and not in_text[j + k]
             if ok and start is None:
                 start = k
             elif not ok and start is not None:
                 if k - start >= width:
-                    heapq.heappush(heap, (start - k, i + start, j + start))
+                    heapq.heappush(cut, (start - k, i + start, j + start))
                 start = None
     return marked
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int = BLOCK_WORDS):
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int | None = None):
     """The benchmark in lists of (id, text) of at most words words, one item at least. Items stream to the
     driver a partition at a time; no more than a block and a partition are held."""
+    words = BLOCK_WORDS if words is None else words
     block, held = [], 0
     for row in benchmark.select(F.col(id_col).cast("long"), text_col).toLocalIterator():
         n = len(tokens(row[1]))
@@ -151,44 +179,49 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     id of the greatest coverage), coverage and contaminated (true).
 
     Words are letters and digits, lower-cased. Null and empty texts match nothing, items without words
-    match nothing, items under SEED words must occur whole; repeated rows and ids are each matched by themselves
-    where the benchmark is one block, and ids are grouped where it is several; empty tables give no
+    match nothing, items under SEED words must occur whole; repeated rows and ids are each matched by themselves, whatever the
+    number of blocks; memory grows with the longest text, not with its product with an item; empty tables give no
     rows; other columns are not read."""
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {picked.schema['id'].dataType.simpleString()}, found array<struct<item: long, coverage: double>>"
-    arrow = pa.list_(pa.struct([("item", pa.int64()), ("coverage", pa.float64())]))
-    parts = []
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<struct<item: long, coverage: double>>").alias("found"))
+    every = waiting = None
     for block in blocks(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            index = Index(shared.value)
-            for b in batches:
-                found = [index.matches(x.as_py(), covered) for x in b.column(1)]
-                hit = pa.array([bool(x) for x in found], pa.bool_())
-                spans = pa.array([[{"item": i, "coverage": c} for i, c in x] for x in found], arrow)
-                yield pa.RecordBatch.from_arrays([b.column(0), spans], names=["id", "found"]).filter(hit)
-
-        parts.append(picked.mapInArrow(run, schema))
-    if not parts:
-        out = picked.limit(0).select("id", F.array().cast("array<struct<item: long, coverage: double>>").alias("found"))
-    elif len(parts) == 1:
-        out = parts[0]
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        out = every.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+        if every is not None:
+            # more than one block: the rows wait in a table, so that a task holds one block's index
+            now = store(every, "matched")
+            if waiting is not None:
+                drop(waiting)
+            waiting = picked = now
+        every = picked.mapInArrow(matching(docs.sparkSession.sparkContext.broadcast(block), covered), picked.schema)
+    out = (picked if every is None else every).where(F.size("found") > 0).select("id", "found")
     best = F.array_max(F.transform("found", lambda x: F.struct(x["coverage"].alias("c"), (-x["item"]).alias("i"))))
     return out.select(
         F.col("id").alias(id_col), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item"]))).alias("item_ids"), (-best["i"]).alias("best_item"), best["c"].alias("coverage"), F.lit(True).alias("contaminated")
     )
 
 
+def matching(shared, covered: float):
+    """Adds a block's matches to the column found of rows (id, text, found)."""
+
+    def run(batches):
+        index = Index(shared.value)
+        for b in batches:
+            new = [[{"item": i, "coverage": c} for i, c in index.matches(x.as_py(), covered)] for x in b.column(1)]
+            if any(new):
+                found = [[*old, *more] for old, more in zip(b.column(2).to_pylist(), new, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, b.schema.field(2).type)], schema=b.schema)
+            else:
+                yield b
+
+    return run
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", covered: float = COVERED) -> DataFrame:
-    """The rows of docs, all columns, that cover no benchmark item: a filter for each block, no shuffle."""
+    """The rows of docs, all columns of any name, that cover no benchmark item: a filter for each block, no shuffle. Each row is
+    judged by itself, repeated ones too; nulls, empty texts and empty tables are as in find_contaminated()."""
     at = docs.columns.index(text_col)
-    for block in blocks(benchmark, item_col, item_text_col):
+    for n, block in enumerate(blocks(benchmark, item_col, item_text_col)):
+        if n:
+            docs = store(docs, "clean")
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):

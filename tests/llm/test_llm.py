@@ -707,7 +707,7 @@ def brute_tiling(item, doc, least):
         marked -= best[0]
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     rng = random.Random(9)
     for _ in range(150):
         item = [rng.choice("abc") for _ in range(rng.randint(1, 25))]
@@ -726,10 +726,25 @@ def test_decontamination(spark, docs, empty):
     assert any(r.item_ids == [7] for r in got)
     assert decontaminate.drop_contaminated(docs, df).count() == docs.count() - len(got)
     assert decontaminate.find_contaminated(empty, df).count() == 0 == decontaminate.find_contaminated(docs, df.limit(0)).count()
+    clean = decontaminate.drop_contaminated(docs, df).count()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 25)
+    assert Counter(map(str, decontaminate.find_contaminated(docs, df).collect())) == Counter(map(str, got))
+    assert decontaminate.drop_contaminated(docs, df).count() == clean
     few = list(decontaminate.blocks(df, "item_id", "text", words=25))
     assert len(few) > 1 and sum(map(len, few)) == len(bench)
 
 
+def test_decontamination_of_a_repeated_word():
+    """An item and a text of one word: memory and time don't grow with their product."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    index = decontaminate.Index([(1, "na " * 200), (2, "na " * 150 + "hey " * 50)])
+    assert index.matches("na " * 1_000_000) == [(1, 1.0)]
+    assert index.matches("na " * 300_000 + "hey " * 60) == [(1, 1.0), (2, 1.0)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf_dir, name):
     """Queries with SQL against DuckDB."""
