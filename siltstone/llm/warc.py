@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,20 @@ def sha1_32(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def from_32(digest: str) -> str:
-    return base64.b32decode(digest.removeprefix("sha1:")).hex()
+def hex_digest(value: str | None) -> tuple[str, str] | None:
+    """(algorithm, hexadecimal digest) of a labelled digest, which writers give in base 32 or 16; None for what is no such."""
+    name, _, digest = (value or "").strip().partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512") or not digest:
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        if len(digest) == 2 * size:
+            return name, bytes.fromhex(digest).hex()
+        plain = base64.b32decode(digest.upper() + "=" * (-len(digest) % 8))
+    except ValueError:
+        return None
+    return (name, plain.hex()) if len(plain) == size else None
 
 
 def uri(page_id: int | None) -> str:
@@ -40,8 +53,9 @@ def uri(page_id: int | None) -> str:
 
 
 def from_uri(value: str | None) -> int | None:
-    number = (value or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    """The page's number; None for an empty one, and for identifiers of other writers."""
+    number = (value or "").strip().removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if re.fullmatch(r"-?[0-9]{1,19}", number) else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
@@ -79,37 +93,73 @@ def members(stream) -> Iterator[bytes]:
         while not inflate.eof:
             if not left and not (left := stream.read(READ)):
                 raise Damaged("the archive ends inside a record")
-            parts.append(inflate.decompress(left))
+            try:
+                parts.append(inflate.decompress(left))
+            except zlib.error as e:
+                raise Damaged(f"no gzip member: {e}") from e
             left = inflate.unused_data if inflate.eof else b""
         yield b"".join(parts)
 
 
+def header(lines: list[str]) -> dict[str, str]:
+    """Named fields, by lower-case name; a line that begins with white space goes on with the one before."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise Damaged(f"no field: {line[:60]!r}")
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    return fields
+
+
+def checked(data: bytes, digest: str | None, what: str) -> None:
+    """Raises Damaged if a digest is there, is of a known kind, and differs."""
+    known = hex_digest(digest)
+    if known and hashlib.new(known[0], data).hexdigest() != known[1]:
+        raise Damaged(f"{what} digest differs")
+
+
 def records(stream) -> Iterator[tuple[dict, bytes]]:
-    """(headers, block) of each record; raises Damaged where framing or a digest fails."""
+    """(fields by lower-case name, block) of each record of any writer; raises Damaged where framing or a digest fails. Digests
+    are optional in the format, and verified where there are."""
     for plain in members(stream):
         head, sep, rest = plain.partition(b"\r\n\r\n")
-        first, *lines = head.decode("utf-8").split("\r\n")
+        first, *lines = head.decode("utf-8", "replace").split("\r\n")
         if not sep or not first.startswith("WARC/"):
             raise Damaged("no WARC header")
-        fields = dict(x.split(": ", 1) for x in lines)
-        n = int(fields["Content-Length"])
+        fields = header(lines)
+        if not re.fullmatch("[0-9]+", fields.get("content-length", "")):
+            raise Damaged("no Content-Length")
+        n = int(fields["content-length"])
         block = rest[:n]
         if len(block) != n or rest[n:] != b"\r\n\r\n":
             raise Damaged("Content-Length does not frame the block")
-        if sha1_32(block) != fields["WARC-Block-Digest"]:
-            raise Damaged("block digest differs")
-        if fields["WARC-Type"] == "response" and sha1_32(payload_of(block)) != fields["WARC-Payload-Digest"]:
-            raise Damaged("payload digest differs")
+        checked(block, fields.get("warc-block-digest"), "block")
+        if fields.get("warc-type", "").lower() == "response":
+            checked(payload_of(fields, block), fields.get("warc-payload-digest"), "payload")
         yield fields, block
 
 
-def payload_of(block: bytes) -> bytes:
-    return block.partition(b"\r\n\r\n")[2]
+def is_http(fields: dict) -> bool:
+    return fields.get("content-type", "").lower().replace(" ", "").startswith("application/http")
+
+
+def payload_of(fields: dict, block: bytes) -> bytes:
+    """What follows the HTTP header; of other records the block."""
+    return block.partition(b"\r\n\r\n")[2] if is_http(fields) else block
 
 
-def payload_length(block: bytes) -> int:
-    head = block.partition(b"\r\n\r\n")[0].decode()
-    return next(int(x.split(": ", 1)[1]) for x in head.split("\r\n") if x.startswith("Content-Length: "))
+def payload_length(fields: dict, block: bytes) -> int | None:
+    """The length of the full payload: of a revisit what its HTTP header says, if it says it."""
+    if fields.get("warc-type", "").lower() != "revisit":
+        return len(payload_of(fields, block))
+    said = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$", block.partition(b"\r\n\r\n")[0])
+    return int(said[1]) if said else None
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -128,7 +178,7 @@ def writer(folder: str, roll: int = ROLL):
             for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     name = f"{stem}-{n:05d}.warc.gz"
-                    out, size, count, n = fs.open_output_stream(f"{base}/{name}"), 0, 0, n + 1
+                    out, size, count, n = fs.open_output_stream(f"{base}/{name}", compression=None), 0, 0, n + 1
                 data = record(page_id, url, (html or "").encode("utf-8", "replace"), refers_to, revisit)
                 out.write(data)
                 size, count = size + len(data), count + 1
@@ -163,26 +213,31 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame
 
     A null html is an empty payload, a null url an empty one; a null page id is written as an empty
     number and never referred to; rows that share the largest id of a payload are all responses; an
-    empty table writes no archive; other columns are not read."""
+    empty table writes no archive; other columns are not read. A payload of any length is one record, held whole by its task."""
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return store(plan_revisits(picked).mapInArrow(writer(folder, roll), "file string, records long, bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """The records of the listed archives: page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, html (null for revisits). An archive is read by one task, as a stream."""
+    """The records of the listed archives (file): page_id (null for identifiers of other writers), url, payload_bytes,
+    payload_digest (hexadecimal SHA-1: what the record states, or of the payload where it states none; null for revisits without),
+    record_type, refers_to, html (null for revisits), record_id. An archive is read by one task, as a stream; archives are dealt evenly
+    over as many tasks."""
 
     def run(batches):
         fs, base = file_system(folder)
         for b in batches:
             for name in b.column(0).to_pylist():
                 out, held = [], 0
-                with fs.open_input_stream(f"{base}/{name}") as stream:
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for fields, block in records(stream):
-                        full = fields["WARC-Type"] == "response"
+                        kind = fields.get("warc-type", "").lower()
+                        full, said = kind != "revisit", hex_digest(fields.get("warc-payload-digest"))
+                        payload = payload_of(fields, block) if full else b""
+                        digest = said[1] if said and said[0] == "sha1" else hashlib.sha1(payload).hexdigest() if full else None
                         out.append((
-                            from_uri(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload_length(block), from_32(fields["WARC-Payload-Digest"]),
-                            fields["WARC-Type"], from_uri(fields.get("WARC-Refers-To")), payload_of(block).decode("utf-8") if full else None,
+                            from_uri(fields.get("warc-record-id")), fields.get("warc-target-uri"), payload_length(fields, block), digest,
+                            kind, from_uri(fields.get("warc-refers-to")), payload.decode("utf-8", "replace") if full else None, fields.get("warc-record-id"),
                         ))
                         held += len(block)
                         if held > 1 << 23:
@@ -190,11 +245,11 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                             out, held = [], 0
                 yield batch(out)
 
-    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html", "record_id"]
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
-    return archives.select("file").repartition(F.col("file")).mapInArrow(run, schema)
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string, record_id string"
+    return archives.select("file").repartition(max(1, archives.count())).mapInArrow(run, schema)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
