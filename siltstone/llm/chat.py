@@ -41,7 +41,8 @@ def fold(log: DataFrame) -> DataFrame:
 
     Rows of one sequence number are ordered by operation, message, role and text, nulls last, so reruns agree.
     A null msg makes a message of the row alone. Null roles and texts are empty. A null conv_id is
-    a conversation as any other; an empty log has no messages; other columns are not read."""
+    a conversation as any other; an empty log has no messages; other columns are not read. A conversation of any length is one task's,
+    and its texts are joined whole."""
     kinds = F.array_position(F.array(*map(F.lit, ("message", "regenerate", "edit", "delta"))), F.col("op"))
     conv = Window.partitionBy("conv_id")
     order = conv.orderBy(F.col("seq").asc_nulls_last(), kinds, F.col("msg").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
@@ -98,8 +99,23 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+def as_events(rows: DataFrame) -> DataFrame:
+    """rows (conv_id, turn, role, text), the finished turns of conversations, as the log (conv_id, seq, op, msg, role, text) of a
+    chat that ends with them: an assistant's text is a draft that is regenerated and then streamed as two deltas, any other is
+    begun with its first half and then edited. Rows of one turn are told apart by their place."""
+    text, order = F.coalesce("text", F.lit("")), Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
+    half = F.floor(F.length(text) / 2).cast("int")
+    start, end = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    event = lambda k, op, role, text: F.struct(F.lit(k).alias("k"), F.lit(op).alias("op"), role.alias("role"), text.alias("text"))
+    none, own = F.lit(None).cast("string"), F.col("role")
+    streamed = F.array(event(0, "message", own, F.concat(F.lit("draft: "), end)), event(1, "regenerate", none, none), event(2, "delta", none, start), event(3, "delta", none, end))
+    edited = F.array(event(0, "message", own, start), event(1, "edit", none, text))
+    each = rows.withColumn("msg", F.row_number().over(order).cast("long")).select("conv_id", "msg", F.explode(F.when(own == "assistant", streamed).otherwise(edited)).alias("e"))
+    return each.select("conv_id", (F.col("msg") * 4 + F.col("e.k")).alias("seq"), "e.op", "msg", "e.role", "e.text")
+
+
 def op3_chat(spark, sf_dir: str) -> DataFrame:
-    """All conversations: each row of the table is the start of a message of its own."""
+    """All conversations, from the log of events that leads to each."""
     from siltstone.llm.common import table
 
     said = END + START + "assistant ok"
@@ -108,8 +124,7 @@ def op3_chat(spark, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
     )
-    log = rows.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("op"), F.lit(None).cast("long").alias("msg"), "role", "text")
-    out = format_chats(log).withColumn("turns", read_back(F.col("formatted")))
+    out = format_chats(as_events(rows.unionByName(extra))).withColumn("turns", read_back(F.col("formatted")))
     masked = F.array_join(F.transform("loss", lambda s: unescape_text(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
     return out.withColumn("masked", masked).select(
         "conv_id",
