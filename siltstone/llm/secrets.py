@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import store
+
 SCOPE = 512
 #: kind -> (pattern, least length of its secret part, group of that part)
 PATTERNS = {
@@ -54,9 +56,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null or empty text has no spans; repeated rows and ids are told apart by a row number of the
     scan and searched each by themselves; an empty table gives no rows; other columns are not read.
-    A row's spans are grouped, never the rows of a key, so no group outgrows one text's matches."""
+    A row's spans are grouped, never the rows of a key, so no group outgrows one text's matches. A text of any length is searched
+    whole, by the JVM's matcher."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", F.monotonically_increasing_id().alias("row"), F.concat(*(pieces(text, k) for k in PATTERNS)).alias("found"))
+    rows = store(rows, "found")  # which fixes the rows' numbers: a task that runs anew could number them otherwise
     flat = rows.select("id", "row", F.explode_outer("found").alias("x")).select("id", "row", "x.*").repartition("row")
     each = Window.partitionBy("row", "kind").orderBy("i")
     spans = flat.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(each)).withColumn("start", F.col("end") - F.col("n")).where("ok is null or ok")
