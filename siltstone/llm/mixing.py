@@ -50,18 +50,19 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EP
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality=letter_share, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality=letter_share, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: its id, size, source_size, target, taken (words, repeats counted),
-    epochs (taken / size) and source.
+    its source and the columns named in also.
 
     A null or empty text has size 0 and takes 0; a null source is a source, the last one; rows that
     agree in id and text have equal keys and stand side by side, so any order of them gives the same
-    rows; sources without a word have the target 0; an empty table gives no rows; other columns are not read."""
+    rows; sources without a word have the target 0; an empty table gives no rows; other columns are not read. A long text counts
+    whole, and is cut where a budget ends in it. All sources, a row each, are ordered in one task."""
     text = F.col("text")
     u = (F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     narrow = store(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).select(
-            "id", "source", word_count(text).alias("size"), F.xxhash64("text").alias("mark"), (-F.log(u) / quality(text)).alias("key")
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *(F.col(c).alias(f"also_{c}") for c in also)).select(
+            "id", "source", word_count(text).alias("size"), F.xxhash64("text").alias("mark"), (-F.log(u) / quality(text)).alias("key"), *(f"also_{c}" for c in also)
         ),
         "mix",
     )
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         run.withColumn("whole", whole)
         .withColumn("left", left)
         .select(
-            F.col("id").alias(id_col), "size", "source_size", "target", F.least(taken, F.col("size") * max_epochs).cast("long").alias("taken"), F.col("source").alias(source_col)
+            F.col("id").alias(id_col), "size", "source_size", "target", F.least(taken, F.col("size") * max_epochs).cast("long").alias("taken"), F.col("source").alias(source_col), *(F.col(f"also_{c}").alias(c) for c in also)
         )
     )
 

@@ -85,6 +85,46 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_takes_the_least_keys(docs):
+    """What is taken of each document, from the exponential keys: whole epochs of all, then by key to the budget."""
+    u = (F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keys = docs.select("doc_id", "text", "source", (-F.log(u) / mixing.letter_share(F.col("text"))).alias("key"), F.xxhash64("text").alias("mark")).collect()
+    by = defaultdict(list)
+    for r in keys:
+        by[r.source].append((r.key, r.doc_id is None, r.doc_id or 0, r.mark, len(WORD.findall(r.text or "")), r.doc_id))
+    rows = mixing.mix(docs).collect()
+    target = {r.source: r.target for r in rows}
+    got, want = Counter(), Counter()
+    for r in rows:
+        got[r.source, r.doc_id, r.size, r.taken] += 1
+    for source, every in by.items():
+        total = sum(x[4] for x in every)
+        whole = int(target[source] / total + 1e-9) if total else 0
+        left = round(target[source]) - whole * total
+        for *_, size, doc in sorted(every, key=lambda x: x[:4]):
+            part = max(0, min(size, left))
+            left -= part
+            want[source, doc, size, min(whole * size + part, 3 * size)] += 1
+    assert got == want
+
+
+def test_mixing_stage(spark):
+    """Null and repeated ids, and columns named as those of the mix."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    rows = [(i % 9 if i % 7 else None, " ".join(rng.choice("abcdef") * 3 for _ in range(20 + i % 5)), "en", f"s{i % 2}", i, 5, 6, "x") for i in range(60)] + [(1, "same text here", "en", "s0", 1, 5, 6, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, _id int, taken string")
+    out = corpus_pipeline.mixing(spark, df, "")
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_id", "size", "source_size", "target", "taken"]
+    assert len(got) <= len(rows) and all(r.size == len(r.text.split()) and 0 < r.taken <= 3 * r.size for r in got)
+    for source in ("s0", "s1"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+    assert corpus_pipeline.mixing(spark, df.limit(0), "").count() == 0
+
+
 def test_mixing_without_words(spark):
     rows = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")).collect()
     assert [(r.size, r.target, r.taken) for r in rows] == [(0, 0.0, 0)] * 2
@@ -139,6 +179,21 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(log.limit(0)).count() == 0
 
 
+def test_chat_events(spark):
+    """The log that op3 is fed ends with the rows that it comes from, and holds every kind of event."""
+    rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "hello"), (1, 2, "assistant", ""), (1, 2, "user", None), (2, 0, None, "x" * 200_000), (2, 1, "assistant", "𝔘é"), (2, 1, "assistant", "𝔘é"), (None, None, "user", "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.as_events(df)
+    assert {r.op for r in log.collect()} == {"message", "edit", "regenerate", "delta"}
+    got, want = defaultdict(list), defaultdict(list)
+    for r in chat.fold(log).orderBy("conv_id", "at").collect():
+        got[r.conv_id].append((r.role, r.text))
+    for c, _, role, text in rows:
+        want[c].append((role or "", text or ""))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert got[1][0] == ("user", "hi <|im_end|>") and chat.as_events(df.limit(0)).count() == 0
+
+
 def test_chat_fold(spark):
     log = [
         (1, 1, "message", 1, "user", "hi"), (1, 2, "delta", 2, "assistant", "he"), (1, 3, "delta", 2, None, "llo"),
@@ -585,6 +640,11 @@ def test_warc(spark, tmp_path):
         expected[i, len(h), hashlib.sha1(h).hexdigest(), "revisit" if again else "response", largest[h] if again else None] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected
     assert {r.html for r in got if r.page_id == 9} == {big}
+    import zlib
+
+    for path in (tmp_path / "warc").glob("*.warc.gz"):  # a record is a gzip member
+        member = zlib.decompressobj(31).decompress(path.read_bytes())
+        assert member.startswith(b"WARC/1.1\r\n") and member.endswith(b"\r\n\r\n")
     assert warc.read_archives(warc.write_archives(df.limit(0), folder + "0"), folder + "0").count() == 0
 
 
@@ -600,6 +660,38 @@ def test_warc_damage():
     plain = zlib.decompress(warc.record(1, "u", b"x" * 50), 31)
     with pytest.raises(warc.Damaged):
         list(warc.records(io.BytesIO(__import__("gzip").compress(plain.replace(b"xxx", b"xyx", 1)))))
+    for text in (b"WARC/1.0\r\nno field\r\n\r\n", b"WARC/1.0\r\nWARC-Type: response\r\n\r\n\r\n\r\n", b"nothing\r\n\r\n"):
+        with pytest.raises(warc.Damaged):
+            list(warc.records(io.BytesIO(__import__("gzip").compress(text))))
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    """Missing digests, digests in base 16 and of other kinds, other cases of names, folded lines, other types and identifiers; a long record."""
+    import base64
+    import gzip
+
+    body = b"<p>" + b"long " * 400_000 + b"</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+    def member(fields, block):
+        return gzip.compress(b"WARC/1.0\r\n" + b"".join(f.encode() + b"\r\n" for f in [*fields, f"content-LENGTH:{len(block)}"]) + b"\r\n" + block + b"\r\n\r\n")
+
+    sha1 = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    data = member(["WARC-Type: warcinfo", "Content-Type: application/warc-fields", "WARC-Record-ID: <urn:uuid:1>"], b"software: x\r\n")
+    data += member(["warc-type: response", "WARC-RECORD-ID: <urn:uuid:2>", "WARC-Target-URI: http://a/\r\n b", "content-type: application/http;msgtype=response"], http + body)
+    data += member(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:3>", "Content-Type: application/http", f"WARC-Payload-Digest: SHA1:{hashlib.sha1(b'x').hexdigest().upper()}", f"WARC-Block-Digest: sha256:{hashlib.sha256(http + b'x').hexdigest()}"], http + b"x")
+    data += member(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:4>", "WARC-Refers-To: <urn:uuid:2>", "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{sha1(body)}"], http)
+    data += member(["WARC-Type: resource", "WARC-Record-ID: <urn:uuid:5>", "Content-Type: text/plain", "WARC-Payload-Digest: crc:12"], b"plain")
+    (tmp_path / "o.warc.gz").write_bytes(data)
+    (tmp_path / "p.warc.gz").write_bytes(data)
+    found = warc.read_archives(spark.createDataFrame([("o.warc.gz",), ("p.warc.gz",)], "file string"), f"file://{tmp_path}")
+    assert found.rdd.getNumPartitions() == 2
+    rows = {r.record_id[-2]: r for r in found.collect()}
+    assert len(rows) == 5 and found.count() == 10 and all(r.page_id is None and r.refers_to is None for r in rows.values())
+    assert [rows[k].record_type for k in "12345"] == ["warcinfo", "response", "response", "revisit", "resource"]
+    assert [rows[k].payload_bytes for k in "12345"] == [13, len(body), 1, None, 5]
+    assert rows["2"].html == body.decode() and rows["2"].url == "http://a/ b"
+    assert [rows[k].payload_digest for k in "2345"] == [hashlib.sha1(x).hexdigest() for x in (body, b"x", body, b"plain")]
 
 
 def brute_pii(text):
@@ -686,6 +778,36 @@ def test_quality_bands():
     assert not quality.measure(noise)[-1]
     assert not quality.measure("one two three four five six seven eight nine ten eleven " * 1)[-2]
     assert not quality.measure(("ab" * 40 + " ") * 50)[-1]
+    assert [quality.band(n) for n in (0, 63)] == [(0.0, math.inf)] * 2 and quality.band(10**9) == quality.BANDS[-1][1:]
+    assert all(quality.band(n) == pytest.approx((low, high)) for n, low, high in quality.BANDS)
+    low, high = quality.band(724)
+    assert low == pytest.approx(0.511, abs=1e-3) and high == pytest.approx(0.74, abs=1e-3)
+
+
+def test_quality_reads_the_last_chunk():
+    """A text whose end alone is noise: the part beyond the last full chunk counts."""
+    import zstandard
+
+    rng = random.Random(5)
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    syllables = ["an", "the", "in", "or", "er", "tion", "st", "ou", "ea", "ing", "re", "en", "nd", "at", "on", "ha"]
+    prose = " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(400)).encode()[: quality.CHUNK_BYTES]
+    tail = bytes(rng.choice(b"ab ") for _ in range(1000))
+    text = (prose + tail).decode()
+    parts = [prose, tail]
+    odd = sum(len(x) for x in parts if not quality.band(len(x))[0] <= len(squeeze(x)) / len(x) <= quality.band(len(x))[1])
+    assert quality.measure(text)[6] == pytest.approx(odd / len(text.encode())) and odd >= 1000
+
+
+def test_quality_on_labels(spark):
+    """Of labelled texts, few good ones go, and most bad ones that have the length for it are caught."""
+    folder = "/root/testdata/sf0.01"
+    kept = {r.doc_id: r for r in quality.assess(common.table(spark, folder, "documents")).collect()}
+    labels = [(r.quality, kept[r.doc_id]) for r in common.table(spark, folder, "labels").collect() if r.doc_id in kept]
+    good = [r for q, r in labels if q == 1 and not r.base_failed]
+    bad = [r for q, r in labels if q == 0]
+    assert sum(not r.kept for r in good) <= 0.01 * len(good)
+    assert sum(not r.kept for r in bad) >= 0.7 * len(bad)
 
 
 def brute_tiling(item, doc, least):
