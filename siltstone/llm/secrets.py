@@ -3,11 +3,12 @@
 Base kinds (assign, access, hex) are always reported. Weak candidates say little alone: a long opaque
 token (opaque) or the address of a service (endpoint). They are reported only when complementary
 parts co-occur within a scope: an opaque token needs an access identifier within SCOPE code points, an
-endpoint needs an access identifier or a secret assignment.
+endpoint needs an access identifier or a secret assignment. A scope reaches from where a span begins or ends,
+so that parts next to each other are linked however long they are.
 
 Positions come from splitting a text at the matches: the gaps' and matches' lengths, summed up in
 order, give each span. Only those lengths leave the scan; one shuffle by row serves the running sums,
-the interval join (range frames over positions, which form no pairs) and the grouping.
+the interval join (the greatest end so far and the least start from here on, which form no pairs) and the grouping.
 """
 
 from __future__ import annotations
@@ -64,8 +65,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flat = rows.select("id", "row", F.explode_outer("found").alias("x")).select("id", "row", "x.*").repartition("row")
     each = Window.partitionBy("row", "kind").orderBy("i")
     spans = flat.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(each)).withColumn("start", F.col("end") - F.col("n")).where("ok is null or ok")
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
-    with_kind = lambda *kinds: F.max(F.col("kind").isin(*kinds).cast("int")).over(near) == 1
+    order = Window.partitionBy("row")
+    before, after = (order.orderBy(by("start")).rangeBetween(Window.unboundedPreceding, 0) for by in (F.asc, F.desc))
+    part = lambda kind, bound: F.when(F.col("kind") == kind, F.col(bound))
+    with_kind = lambda kind: (F.max(part(kind, "end")).over(before) >= F.col("start") - scope) | (F.min(part(kind, "start")).over(after) <= F.col("end") + scope)
     linked = spans.withColumn("access", with_kind("access")).withColumn("secret", with_kind("assign")).withColumn(
         "out",
         F.col("kind").isin(*BASE) | ((F.col("kind") == "opaque") & F.col("access")) | ((F.col("kind") == "endpoint") & (F.col("access") | F.col("secret"))),
