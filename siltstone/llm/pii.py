@@ -131,7 +131,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of docs: its id and spans, an array of (kind, start, end, score) in code points.
 
     No shuffle. A null or empty text has no spans; repeated rows and ids are searched each by
-    themselves; an empty table gives no rows; other columns are not read."""
+    themselves; an empty table gives no rows; other columns are not read. A text of any length is
+    searched whole, in time that grows with its length."""
 
     def run(batches):
         for b in batches:
@@ -143,8 +144,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with every span in its text replaced; all rows and columns stay, and the column of
-    lengths, where there is one, is that of the new text."""
+    """docs with every span in its text replaced; all rows and columns stay, under any name, and the column of
+    lengths, where there is one, is that of the new text. A null or empty text stays as it is, with its length; repeated rows are
+    rewritten each by themselves; an empty table gives no rows; a text of any length is searched whole."""
     at = docs.columns.index(text_col)
     length = docs.columns.index(n_chars_col) if n_chars_col in docs.columns else None
 

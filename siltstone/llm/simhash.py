@@ -452,7 +452,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or empty text has the fingerprint 0 and links as any other; rows with a null id take part, and
     their component_id is null only if no id is reachable; repeated rows and ids each keep a row; an
-    empty table gives no rows; other columns are not read."""
+    empty table gives no rows; other columns are not read. A text of any length has one fingerprint, of all its shingles."""
     return classes(store(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), id_col, limit, split)
 
 

@@ -188,7 +188,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of 13 words over it also starts in a row with a smaller id. A null text
     has no words; texts under 13 words stay whole; rows of one id never remove each other's words;
-    a null id counts as larger than any; an empty table gives no rows; other columns are not read."""
+    a null id counts as larger than any; an empty table gives no rows; other columns are not read. A text of any
+    length is read whole by its task."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars, repeats = measured(picked)

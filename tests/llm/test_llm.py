@@ -186,6 +186,20 @@ def test_secret_links(spark):
     assert far
 
 
+def test_redact_edge_cases(spark):
+    """Columns of any name stay, nulls too; repeated rows are each rewritten; a long text is searched whole."""
+    long = "a.b%" * 200_000 + " 1-" * 200_000 + " +1" * 1000 + " mail me@host.example"
+    rows = [(None, None, "s", 1, None), (1, "", "s", 0, 0), (2, "x me@host.example y", None, 2, 19), (2, "x me@host.example y", None, 2, 19), (3, long, "s", 3, len(long))]
+    df = spark.createDataFrame(rows, "id long, text string, kind string, start long, n_chars long")
+    got = pii.redact(df)
+    assert got.schema == df.schema
+    said = "x <EMAIL> y"
+    cut = long[: -len("me@host.example")] + "<EMAIL>"
+    expected = [(None, None, "s", 1, None), (1, "", "s", 0, 0), (2, said, None, 2, len(said)), (2, said, None, 2, len(said)), (3, cut, "s", 3, len(cut))]
+    assert Counter(map(tuple, got.collect())) == Counter(expected)
+    assert pii.redact(df.limit(0)).count() == 0
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x", "a\n<|", "", None, "<", "|>", "𝔘<|𝔘", "\\", "$1 \\1"]
     rows = [(c, t, ("user", "assistant", "sys<|\n%0A", None)[t % 4], nasty[(c * 3 + t) % len(nasty)]) for c in range(6) for t in range(7)] + [(0, 1, "assistant", "tie"), (None, 0, "user", "null id"), (1, None, "user", "null turn"), (2, 2, "user", "x"), (2, 2, "user", "x")]
