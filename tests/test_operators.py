@@ -76,6 +76,42 @@ def test_communities_of_two_triangles(spark):
     assert {r["node"]: r["degree"] for r in graph.degrees(df).collect()} == {"a": 2, "b": 2, "c": 3, "d": 3, "e": 2, "f": 2}
 
 
+@pytest.mark.parametrize(("items", "least", "block", "dense"), [(14, 6, 2048, 1e-4), (14, 6, 4, 0), (40, 2, 4, 2)])
+def test_graphs_with_copies(spark, monkeypatch, items, least, block, dense):
+    """Nodes of one set as a class give what all nodes give, whether classes meet as blocks or by their items."""
+    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(graph, "DENSE", dense)
+    monkeypatch.setattr(graph, "PART", 3)
+    rng = random.Random(items + block)
+    sets = [rng.sample(range(items), rng.choice((least - 1, least, least + 1, 7))) for _ in range(25)] + [[*range(least + 1)]]
+    nodes = {i: set(sets[min(i, 25) if i < 32 else rng.randrange(26)]) for i in range(60)}
+    pairs = spark.createDataFrame([(i, x) for i, held in nodes.items() for x in held] * 2 + [(99, None), (None, 1), (98, 1)], "node long, item long")
+    want = sorted((a, b) for a in nodes for b in nodes if a < b and len(nodes[a] & nodes[b]) >= least)
+    t = graph.twins(pairs, least)
+    assert t.sizes.count() < len({x for e in want for x in e})
+    assert sorted(map(tuple, graph.co_graph(pairs, least).collect())) == want
+    plain = spark.createDataFrame(want, "a long, b long")
+    by_node = lambda df: sorted(map(tuple, t.members.join(df, "c").drop("c", "n").collect()))
+    assert sorted(t.members.select("node").collect()) == sorted(graph.vertices(plain).collect())
+    assert by_node(graph.twin_degrees(t)) == sorted(map(tuple, graph.degrees(plain).collect()))
+    assert by_node(graph.twin_components(t)) == sorted(map(tuple, graph.connected(plain).collect()))
+    for rounds in (1, 4):
+        assert sorted(graph.twin_label_propagation(t, rounds).collect()) == sorted(graph.label_propagation(plain, rounds).collect())
+    q = graph.modularity(plain, graph.connected(plain)).first()["q"]
+    assert graph.twin_modularity(t, graph.twin_components(t)).first()["q"] == pytest.approx(q, abs=1e-12)
+    paths = sum(x.agg({"paths": "sum"}).first()[0] for x in graph.path_levels(plain))
+    between = {(a, b): x for a, b, x in graph.edge_betweenness(plain).collect()}
+    for bound in (1_000_000, 0):
+        assert graph.twin_path_count(t, bound) == paths
+        assert {(a, b): x for a, b, x in graph.expand(t, graph.twin_betweenness(t, bound)).collect()} == pytest.approx(between)
+
+
+def test_graphs_without_edges(spark):
+    t = graph.twins(spark.createDataFrame([(1, 2), (2, 3)], "node long, item long"), 2)
+    assert not any(df.count() for df in (graph.co_graph(t.members.select("node", F.col("c").alias("item")), 1), graph.twin_degrees(t), graph.twin_components(t), graph.twin_label_propagation(t), graph.twin_betweenness(t), graph.twin_betweenness(t, 0)))
+    assert graph.twin_path_count(t) == graph.twin_path_count(t, 0) == 0
+
+
 def test_betweenness_of_random_graphs(spark):
     """Both forms against the shares of all shortest paths, found one by one."""
     rng = random.Random(4)
