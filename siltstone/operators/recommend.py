@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.similarity import jaccard
+from siltstone.operators.similarity import jaccard, meeting
 from siltstone.storage import store
 
 EPS = 1e-9
@@ -54,18 +54,19 @@ def content_predict(users: DataFrame, items: DataFrame, pairs: DataFrame | None
 
 def pearson(ratings: DataFrame, pairs: DataFrame | None = None, least: int = 3) -> DataFrame:
     """ratings (k, other, stars) -> (a, b, sim), a < b: Pearson over what both have rated, at least `least`,
-    means over that only; positive similarities. Without pairs, all that are co-rated are formed, by an equi-join on the
-    other side; with pairs (a, b), those meet the ratings of both. Centred sums come from one grouped aggregate."""
-    x = ratings.select(F.col("k").alias("a"), "other", F.col("stars").alias("sa"))
-    y = ratings.select(F.col("k").alias("b"), "other", F.col("stars").alias("sb"))
+    means over that only; positive similarities. Without pairs, all that are co-rated are formed, where they are also summed up, so
+    that no row per pair is shuffled; with pairs (a, b), those meet the ratings of both. Centred sums come from one grouped aggregate."""
+    kind = ratings.schema["k"].dataType.simpleString()
     if pairs is None:
-        both = x.join(y, "other").where("a < b")
+        both = meeting(ratings.select(F.col("k").alias("id"), F.col("other").alias("x"), "stars"), "stars")
     else:
+        x = ratings.select(F.col("k").alias("a"), "other", F.col("stars").alias("sa"))
+        y = ratings.select(F.col("k").alias("b"), "other", F.col("stars").alias("sb"))
         both = pairs.select("a", "b").distinct().join(x, "a").join(y, ["b", "other"])
     sums = both.groupBy("a", "b").agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(n) for e, n in (("sa", "x"), ("sb", "y"), ("sa*sb", "xy"), ("sa*sa", "xx"), ("sb*sb", "yy"))))
     top, vx, vy = F.expr("xy - x * y / n"), F.expr("xx - x * x / n"), F.expr("yy - y * y / n")
     good = sums.where((F.col("n") >= least) & (top > EPS) & (vx > EPS) & (vy > EPS))
-    return good.select("a", "b", (top / F.sqrt(vx * vy)).alias("sim"))
+    return good.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), (top / F.sqrt(vx * vy)).alias("sim"))
 
 
 def symmetric(model: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from siltstone.storage import store
 
 BROADCAST = 1_000_000
+#: Ids of an element that are sent as one list, and pairs that a task forms, about.
+TAIL, PAIRS = 1000, 2_000_000
 
 
 def numbered(df: DataFrame, col: str) -> DataFrame:
@@ -82,16 +85,57 @@ def candidates(b: DataFrame) -> DataFrame:
     return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
 
 
+def meeting(sets: DataFrame, value: str | None = None) -> DataFrame:
+    """sets (id, x), perhaps with a number value -> (a, b), or (a, b, sa, sb), a < b: a row for every common x of every pair, all
+    rows of one a in one task. What is shuffled is each id with lists of the later ids of its elements (and their values), not a
+    row per pair; tasks grow in number with the pairs, not in size."""
+    spark, kind = sets.sparkSession, sets.schema["id"].dataType.simpleString()
+    each = sets.where("id is not null and x is not null")
+    entry = F.struct(F.col("id"), *([F.col(value).alias("s")] if value else []))
+    lists = store(each.groupBy("x").agg(F.sort_array(F.collect_list(entry)).alias("held")).where(F.size("held") > 1).select("held"), "lists")
+    n = F.size("held").cast("long")
+    widest = F.greatest(F.abs(F.element_at("held", 1)["id"]), F.abs(F.element_at("held", -1)["id"])) if kind == "bigint" else F.lit(None)
+    total, most = lists.agg(F.sum(n * (n - 1) / 2), F.max(widest)).first()
+    held = (lambda name: F.col(f"held.{name}").cast("array<int>")) if fits_int(most) else (lambda name: F.col(f"held.{name}"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total or 0) / PAIRS))
+    rows = lists.select(held("id").alias("ids"), *([F.col("held.s").alias("ss")] if value else []))
+    rows = rows.select("*", F.posexplode("ids").alias("i", "a")).where(F.col("i") + 1 < F.size("ids")).withColumn("at", F.explode(F.sequence(F.col("i") + 2, F.size("ids"), F.lit(TAIL))))
+    tail = lambda c: F.slice(c, F.col("at"), F.lit(TAIL))
+    dealt = rows.select("a", tail("ids").alias("bs"), *([F.get("ss", F.col("i")).alias("sa"), tail("ss").alias("sbs")] if value else [])).repartition(tasks, "a")
+    if value:
+        out = dealt.select("a", "sa", F.explode(F.arrays_zip("bs", "sbs")).alias("z")).select("a", F.col("z.bs").alias("b"), "sa", F.col("z.sbs").alias("sb"))
+    else:
+        out = dealt.select("a", F.explode("bs").alias("b"))
+    return out.where("a < b")
+
+
+def fits_int(most) -> bool:
+    """Whether ids up to most go into four bytes."""
+    return most is not None and most < 2**31
+
+
 def exact_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, sim), a < b, of all sets (id, x) that reach least: common elements are counted by an equi-join on the element."""
+    """(a, b, sim), a < b, of all sets (id, x) that reach least. Common elements are counted where the pairs are formed; a pair
+    with fewer than least times the first set has goes before its second size is looked up."""
+    kind = sets.schema["id"].dataType.simpleString()
     sets = sets.select("id", "x").distinct()
-    size = sets.groupBy("id").agg(F.count("*").alias("n"))
-    sized = sets.join(size, "id")
-    left, right = sized.select("x", F.col("id").alias("a"), F.col("n").alias("na")), sized.select("x", F.col("id").alias("b"), F.col("n").alias("nb"))
-    common = left.join(right, "x").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    size = store(sets.groupBy("id").agg(F.count("*").alias("n")), "sizes")
+    both = meeting(sets).groupBy("a", "b").agg(F.count("*").alias("both"))
+    both = both.join(size.select(F.col("id").cast(both.schema["a"].dataType).alias("a"), F.col("n").alias("na")).hint("shuffle_hash"), "a").where(F.col("both") >= least * F.col("na") - 1e-9)
+    both = both.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "both", "na")
+    common = both.join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     return common.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim")).where(F.col("sim") >= least)
 
 
+def share_band(pairs: DataFrame, sets: DataFrame, n_hashes: int, modulus: int, rows: int = 2) -> DataFrame:
+    """Of pairs (a, b, ...) those that share a band, as candidates() finds them: the signatures of their ids are laid side by
+    side, so few pairs need no bands of all sets. For pairs that are fewer than the candidates."""
+    signed = store(hashes(sets, n_hashes, modulus), "signatures")
+    met = pairs.join(signed.select(F.col("id").alias("a"), F.col("hs").alias("ha")), "a").join(signed.select(F.col("id").alias("b"), F.col("hs").alias("hb")), "b")
+    same = F.expr(f"exists(sequence(1, {n_hashes}, {rows}), i -> slice(ha, i, {rows}) = slice(hb, i, {rows}))")
+    return met.where(same).select(*pairs.columns)
+
+
 def jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b, sim) of the pairs whose sets (id, x) reach least. Up to BROADCAST elements, counted first, the sets are
     broadcast, so that pairs times elements are not shuffled; beyond, they are joined."""

@@ -251,6 +251,29 @@ def test_jaccard_gate(spark):
     assert [tuple(r) for r in recommend.jaccard_gate(pairs, ratings).collect()] == [("a", "b")]
 
 
+@pytest.mark.parametrize("far", [0, 2**40])
+def test_meeting(spark, monkeypatch, far):
+    """A row for each common element and pair, with ids beyond four bytes, lists in parts, repeated rows, and no shuffle per pair."""
+    monkeypatch.setattr(similarity, "TAIL", 3)
+    rng = random.Random(7)
+    rows = [(rng.randrange(30) + far * (i % 2), rng.randrange(12), float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows + [(None, 1, 0.0), (1, None, 0.0)], "id long, x long, s double")
+    want = sorted((a, b, u, v) for a, x, u in rows for b, y, v in rows if a < b and x == y)
+    assert sorted(map(tuple, similarity.meeting(df, "s").select("a", "b", "sa", "sb").collect())) == want
+    met = similarity.meeting(df.select("id", "x"))
+    assert sorted(map(tuple, met.collect())) == sorted((a, b) for a, b, _, _ in want)
+    counted = met.groupBy("a", "b").count()
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+    sets = df.select("id", "x").where("id is not null and x is not null").distinct()
+    every = {(r["a"], r["b"]): r["sim"] for r in similarity.exact_pairs(sets, 1e-3).collect()}
+    held = {i: {x for j, x, _ in rows if i == j} for i, _, _ in rows}
+    assert every == pytest.approx({(a, b): len(held[a] & held[b]) / len(held[a] | held[b]) for a in held for b in held if a < b and held[a] & held[b]})
+    near = spark.createDataFrame(list(every), "a long, b long")
+    got = sorted(map(tuple, similarity.share_band(near, sets, 24, 12, 2).collect()))
+    assert got == sorted(set(map(tuple, similarity.candidates(similarity.bands(sets, 24, 12)).collect())) & set(every))
+
+
 def test_pearson_of_pairs(spark):
     rng = random.Random(1)
     rows = [(k, o, float(rng.randrange(1, 6))) for k in range(12) for o in range(30) if rng.random() < 0.6]
