@@ -46,6 +46,7 @@ def reservoir_tags(stream: DataFrame, capacity: int = 100, ranks: int = 3, seed:
         held = [list(x) for x in held]
         counts = Counter(t for x in held for t in x)
         for pdf in batches:
+            rows = []
             for tags in pdf["tags"]:
                 n += 1
                 rng = random.Random(seed * 1_000_003 + n)
@@ -58,15 +59,20 @@ def reservoir_tags(stream: DataFrame, capacity: int = 100, ranks: int = 3, seed:
                     held[at] = list(tags)
                     counts.update(tags)
                 if each:
-                    yield top(n, counts)
+                    rows += top(n, counts)
+            if each:
+                yield frame(rows)  # one for a batch of records: to make one takes far longer than to count
         state.update((n, held))
         if not each:
-            yield top(n, counts)
+            yield frame(top(n, counts))
 
-    def top(n: int, counts: Counter) -> pd.DataFrame:
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"n": [r[0] for r in rows], "tag": [r[1] for r in rows], "count": [r[2] for r in rows]})
+
+    def top(n: int, counts: Counter) -> list[tuple]:
         best = sorted({c for c in counts.values() if c}, reverse=True)[:ranks]
         rows = sorted(((c, t) for t, c in counts.items() if c in best), key=lambda x: (-x[0], x[1]))
-        return pd.DataFrame({"n": [n] * len(rows), "tag": [t for _, t in rows], "count": [c for c, _ in rows]})
+        return [(n, t, c) for c, t in rows]
 
     tagged = stream.where(F.size("tags") > 0).select("tags", F.lit(0).alias("one"))
     return tagged.groupBy("one").applyInPandasWithState(update, "n long, tag string, count long", "n long, held array<array<string>>", "update", GroupStateTimeout.NoTimeout)
