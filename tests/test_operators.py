@@ -274,6 +274,23 @@ def test_meeting(spark, monkeypatch, far):
     assert got == sorted(set(map(tuple, similarity.candidates(similarity.bands(sets, 24, 12)).collect())) & set(every))
 
 
+@pytest.mark.parametrize(("kind", "hashes", "modulus", "rows", "keys"), [("long", 60, 200, 2, 10**6), ("string", 61, 200, 3, 10**6), ("long", 60, 200, 2, 100), ("long", 24, 2**33, 2, 50)])
+def test_bands_are_packed(spark, monkeypatch, kind, hashes, modulus, rows, keys):
+    """Pairs by packed bands are those of the join, whether tasks hold whole bands or parts; no row per band is shuffled. Both orders of similar_pairs() agree."""
+    rng = random.Random(hashes + keys)
+    held = [(i, x) for i in range(200) for x in rng.sample(range(200), rng.choice((1, 3, 10, 90)))] + [(None, 1), (5, None)] + [(1000 + i, 7) for i in range(40)] * 2
+    df = spark.createDataFrame([(i if i is None or kind == "long" else str(i), x) for i, x in held], f"id {kind}, x long")
+    monkeypatch.setattr(similarity, "KEYS", keys)
+    want = sorted(map(tuple, similarity.candidates(similarity.bands(df, hashes, modulus, rows)).collect()))
+    found = similarity.band_pairs(df, hashes, modulus, rows)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "band" not in found._jdf.queryExecution().executedPlan().toString()
+    every = sorted(map(tuple, similarity.jaccard(similarity.candidates(similarity.bands(df, hashes, modulus, rows)), df.where("id is not null and x is not null"), 0.05).collect()))
+    for cheap in (0, 10**6):
+        monkeypatch.setattr(similarity, "CHEAP", cheap)
+        assert sorted(map(tuple, similarity.similar_pairs(df, modulus, hashes, rows).collect())) == every
+
+
 def test_pearson_of_pairs(spark):
     rng = random.Random(1)
     rows = [(k, o, float(rng.randrange(1, 6))) for k in range(12) for o in range(30) if rng.random() < 0.6]
