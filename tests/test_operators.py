@@ -48,6 +48,23 @@ def test_vertical_chunks(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("sent", "chunk"), [(10**6, 7), (10**6, 20_000), (0, 7)])
+def test_chunks_by_bits(spark, monkeypatch, sent, chunk):
+    """Mined and counted by bits: chunks that end inside batches, items that a chunk lacks, a row that occurs twice, all candidates sent or none. One row per candidate and task is shuffled, not one per basket."""
+    monkeypatch.setattr(itemsets, "SENT", sent)
+    rng = random.Random(9)
+    held = {b: {f"i{i}" for i in range(8) if rng.random() < (0.6 if i < 5 else 0.1)} for b in range(90)}
+    pairs = spark.createDataFrame([(b, i) for b, x in held.items() for i in x] * 2, "basket long, item string")
+    names = sorted({i for x in held.values() for i in x})
+    want = {s: n for k in range(1, 9) for s in itertools.combinations(names, k) if (n := sum(set(s) <= x for x in held.values())) >= 9}
+    b = itemsets.baskets(pairs)
+    candidates = itemsets.son_candidates(b, 9, chunk)
+    assert want.keys() <= {tuple(r["itemset"]) for r in candidates.collect()}
+    found = itemsets.son_itemsets(pairs, 9, candidates=candidates)
+    assert {tuple(r["itemset"]): r["support"] for r in found.collect()} == want
+    assert all(r["size"] == len(r["itemset"]) for r in found.collect())
+
+
 def test_basket_filter_is_strict(spark):
     df = spark.createDataFrame(BASKETS, "basket long, item string")
     assert {r["basket"] for r in itemsets.baskets(df, 2).collect()} == {2}
