@@ -474,3 +474,28 @@ def test_exploration(spark):
     rows = spark.createDataFrame([("b1", 4.0), ("b1", 2.0), ("b2", 5.0)], "item string, stars double")
     items = spark.createDataFrame([("b1", "X, Y"), ("b2", "Y"), ("b3", None)], "item string, categories string")
     assert [tuple(r) for r in relational.category_avg(rows, items, 2).collect()] == [("Y", 11 / 3), ("X", 3.0)]
+
+
+def test_maximin_sends_a_row_per_task(spark):
+    """Seeds as by definition, equal vectors under several ids among the points, in one pass without a nested transform per seed."""
+    rng = random.Random(2)
+    vs = [[rng.random() * 9 for _ in range(7)] for _ in range(40)]
+    rows = [(i, vs[i % 40]) for i in range(120)]
+    seeds = [rows[0][1]]
+    while len(seeds) < 9:
+        seeds.append(max(rows, key=lambda r: (min(math.sqrt(sum((x - y) ** 2 for x, y in zip(r[1], s, strict=True))) for s in seeds), -r[0]))[1])
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    assert cluster.maximin(df, 9) == seeds
+    assert cluster.maximin(df.limit(0), 3) == []
+
+
+def test_rounds_read_their_own_files(spark, tmp_path):
+    from siltstone.sources import io
+
+    for name in ("chunk=1", "chunk=0", "_other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.txt").write_text(f"{name[-1:] if name[-1] in '01' else 9},1.0")
+    found = io.parts(spark, str(tmp_path))
+    assert [p.rsplit("/", 1)[1] for p in found] == ["chunk=0", "chunk=1"]
+    assert [tuple(r) for r in io.vector_chunks(spark, found[1], 2).collect()] == [(1, [1.0], "chunk=1")]
