@@ -98,6 +98,89 @@ def test_log_of_every_record(spark, tmp_path):
     assert text == f"{head}1\nx : 1\ny : 1\n\n{head}2\nx : 2\ny : 1\n\n{head}3\nx : 2\ny : 1\nz : 1\n\n"
 
 
+def messages(folder, records, files):
+    """(id, tags) dealt over files, out of order."""
+    folder.mkdir()
+    for i in range(files):
+        rows = [{"id": k, "lang": "en", "entities": {"hashtags": [{"text": t} for t in tags]}} for k, tags in records[i::files]]
+        (folder / f"m{i}.json").write_text("\n".join(map(json.dumps, rows[::-1])))
+
+
+def plain_reservoir(records, capacity=100, seed=1):
+    """The rows after each record, one by one in the order of the ids."""
+    import random
+    from collections import Counter
+
+    held, n, out = [], 0, []
+    for _, tags in sorted(records):
+        if tags:
+            n += 1
+            rng = random.Random(seed * 1_000_003 + n)
+            if len(held) < capacity:
+                held.append(tags)
+            elif rng.random() < capacity / n:
+                held[rng.randrange(capacity)] = tags
+            counts = Counter(t for x in held for t in x)
+            best = sorted(set(counts.values()), reverse=True)[:3]
+            out += [(n, t, c) for t, c in counts.items() if c in best]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("each", [False, True])
+def test_top_tags_of_dealt_records(spark, tmp_path, monkeypatch, each):
+    """Records of several files, in any order and sorted by several tasks, give the sample of a plain loop."""
+    monkeypatch.setattr(sketches, "TO_SORT", 100)
+    records = [(k, [f"t{k * k % 7}", f"t{k % 11}"][: k % 3]) for k in range(900)]
+    messages(tmp_path / "in", records, 5)
+    got = []
+    sink = lambda df, batch: got.extend(map(tuple, df.collect()))
+    feed = io.tagged_stream(spark, str(tmp_path / "in"), languages=["en"], order="id")
+    assert sketches.watch(sketches.write_top_tags(feed, sink, str(tmp_path / "sample"), "id", each=each, trigger={"availableNow": True}, checkpointLocation=str(tmp_path / "cp")))
+    every = plain_reservoir(records)
+    assert sorted(got) == (every if each else [x for x in every if x[0] == 600])
+
+
+@pytest.mark.parametrize("each", [False, True])
+def test_top_tags_go_on_over_batches(spark, tmp_path, each):
+    """A second run goes on from the sample of the first, also past a batch without tags; a batch run again gives the same rows."""
+    records = [(k, [f"t{k * k % 7}"]) for k in range(400)]
+    messages(tmp_path / "in", records[:250], 2)
+    got = {}
+
+    def run(fails=False):
+        def sink(df, batch):
+            got[batch] = sorted(map(tuple, df.collect()))
+            if fails:
+                raise RuntimeError("sink")
+
+        feed = io.tagged_stream(spark, str(tmp_path / "in"), order="id")
+        sketches.watch(sketches.write_top_tags(feed, sink, str(tmp_path / "sample"), "id", each=each, trigger={"availableNow": True}, checkpointLocation=str(tmp_path / "cp")))
+
+    run()
+    (tmp_path / "in" / "none.json").write_text(json.dumps({"id": 250}))
+    run()
+    messages(tmp_path / "more", records[250:], 1)
+    (tmp_path / "more" / "m0.json").rename(tmp_path / "in" / "later.json")
+    with pytest.raises(StreamingQueryException):
+        run(fails=True)
+    first = got[2]
+    run()
+    every = plain_reservoir(records)
+    assert got[1] == [] and got[2] == first
+    assert got[0] + got[2] == (every if each else [x for x in every if x[0] in (250, 400)])
+
+
+def test_messages_are_written_by_many_tasks(spark, tmp_path):
+    from siltstone.plans.catalogue import QUERIES, tag_stream
+
+    spark.range(0, 3000, 1, 3).selectExpr("id AS event_id", "concat('t', id % 5) AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    with_parts = tag_stream(spark, str(tmp_path))
+    assert spark.read.text(with_parts).select("value").count() == 3000
+    assert spark.read.text(with_parts).selectExpr("input_file_name() AS f").distinct().count() > 1
+    got = sorted(map(tuple, QUERIES["stream_top_tags"](spark, str(tmp_path)).collect()))
+    assert got == [x for x in plain_reservoir([(k, [f"t{k % 5}"]) for k in range(3000)]) if x[0] == 3000]
+
+
 def test_watch(spark, tmp_path):
     """A stream that runs on is stopped after the timeout; an error ends it quietly only if it is one to stop on."""
     (tmp_path / "in").mkdir()
