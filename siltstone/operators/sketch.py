@@ -36,25 +36,40 @@ def bloom_probe_rows(probe: DataFrame, order: str, col: str, bits: DataFrame, m:
     return probe.select(F.col(order).alias("order"), F.coalesce(F.col(col), F.lit("")).alias("k")).join(hits, "k").select("order", "hit")
 
 
-def fm_estimate(rows: DataFrame, groups: list[str], key: str, weight: str | None = None) -> DataFrame:
-    """rows of a key, each standing for weight rows (else one) -> (groups, truth, estimate, accuracy): hash i of a key is the sum of its characters' codes times (i + place),
-    modulo the power of two at or below the number of rows; 2^(greatest - least trailing zeros) per hash, the
-    lowest and highest left out, averaged and rounded up. Only distinct keys are hashed."""
-    size = rows.groupBy(*groups).agg((F.sum(weight) if weight else F.count("*")).alias("n_rows"))
-    keys = rows.select(*groups, F.col(key).alias("k")).distinct().join(size, groups) if groups else rows.select(F.col(key).alias("k")).distinct().crossJoin(F.broadcast(size))
-    m = F.pow(F.lit(2.0), F.floor(F.log2("n_rows"))).cast("long")
+def fm_sums(keys: DataFrame, groups: list[str]) -> DataFrame:
+    """Distinct keys of each group, (groups, k, n_rows), each standing for n_rows rows -> (groups, s, w, truth, n_rows): the sum of
+    a key's characters' codes, and that of the codes times their places. The hashes of a key depend on these two only, so keys of
+    equal sums are one row, truth of them; of keys that are not hashed (null, empty) both are null."""
     code = lambda j: F.ascii(F.substr(F.col("k"), j, F.lit(1)))
-    places = F.sequence(F.lit(1), F.length("k"))
-    sums = keys.where("k <> ''").withColumn("m", m).withColumn("s", F.aggregate(places, F.lit(0).cast("long"), lambda a, j: a + code(j))).withColumn("w", F.aggregate(places, F.lit(0).cast("long"), lambda a, j: a + code(j) * (j - 1)))
-    each = sums.select(*groups, "m", F.explode(F.sequence(F.lit(0), F.lit(FM_HASHES - 1))).alias("i"), "s", "w")
+    places, none, hashed = F.sequence(F.lit(1), F.length("k")), F.lit(0).cast("long"), F.col("k") != ""
+    s, w = F.aggregate(places, none, lambda a, j: a + code(j)), F.aggregate(places, none, lambda a, j: a + code(j) * (j - 1))
+    sums = keys.select(*groups, F.when(hashed, s).alias("s"), F.when(hashed, w).alias("w"), "n_rows")
+    return sums.groupBy(*groups, "s", "w").agg(F.count("*").alias("truth"), F.sum("n_rows").alias("n_rows"))
+
+
+def fm_of_sums(sums: DataFrame, groups: list[str]) -> DataFrame:
+    """The rows of fm_sums() -> (groups, truth, estimate, accuracy)."""
+    size = sums.groupBy(*groups).agg(F.coalesce(F.sum("truth"), F.lit(0)).alias("truth"), F.sum("n_rows").alias("n_rows"))
+    size = size.dropna(subset=groups) if groups else size
+    pairs = sums.where("s IS NOT NULL").select(*groups, "s", "w")
+    pairs = pairs.join(size, groups) if groups else pairs.crossJoin(F.broadcast(size))
+    m = F.pow(F.lit(2.0), F.floor(F.log2("n_rows"))).cast("long")
+    each = pairs.select(*groups, m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(FM_HASHES - 1))).alias("i"), "s", "w")
     r = trailing_zeros(F.pmod(F.col("s") * F.col("i") + F.col("w"), F.col("m")))
     per = each.groupBy(*groups, "i").agg(F.pow(F.lit(2.0), F.max(r) - F.min(r)).alias("e"))
     trimmed = per.groupBy(*groups).agg(F.ceil((F.sum("e") - F.min("e") - F.max("e")) / (F.count("*") - 2)).alias("estimate"))
-    truth = keys.groupBy(*groups).agg(F.count("*").alias("truth"))
-    both = truth.join(trimmed, groups, "left") if groups else truth.crossJoin(trimmed)
+    both = size.join(trimmed, groups, "left") if groups else size.crossJoin(trimmed)
     return both.select(*groups, "truth", "estimate", (1 - F.abs(F.col("truth") - F.col("estimate")) / F.col("truth")).alias("accuracy"))
 
 
+def fm_estimate(rows: DataFrame, groups: list[str], key: str, weight: str | None = None) -> DataFrame:
+    """rows of a key, each standing for weight rows (else one) -> (groups, truth, estimate, accuracy): hash i of a key is the sum of its characters' codes times (i + place),
+    modulo the power of two at or below the number of rows; 2^(greatest - least trailing zeros) per hash, the
+    lowest and highest left out, averaged and rounded up. Only distinct keys are hashed."""
+    keys = rows.select(*groups, F.col(key).alias("k"), (F.col(weight) if weight else F.lit(1)).alias("c")).groupBy(*groups, "k").agg(F.sum("c").alias("n_rows"))
+    return fm_of_sums(fm_sums(keys, groups), groups)
+
+
 def reservoir(rows: DataFrame, key: str, capacity: int = 100) -> DataFrame:
     """A uniform sample by the smallest MD5 values of a key: the same rows in every run and layout, one top-k pass."""
     return rows.withColumn("_h", F.md5(F.col(key).cast("string"))).orderBy("_h", key).limit(capacity).drop("_h")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from siltstone.operators.sketch import fm_estimate
+from siltstone.operators.sketch import fm_of_sums, fm_sums
 from siltstone.storage import drop, remove, store
 
 TOP = "n long, tag string, count long"
@@ -33,10 +33,13 @@ def windowed_keys(stream: DataFrame, length: str = "30 seconds", slide: str = "1
 
 
 def write_estimates(stream: DataFrame, sink, length: str = "30 seconds", slide: str = "10 seconds", late: str = "10 seconds", **options) -> StreamingQuery:
-    """Starts a query that hands sink a DataFrame (start, truth, estimate, accuracy) for each closed batch of windows."""
+    """Starts a query that hands sink a DataFrame (start, truth, estimate, accuracy) for each closed batch of windows. The sums of
+    the keys are stored first: whatever reads df runs the batch with its state again, and an estimate reads its keys more than once."""
 
     def each(df: DataFrame, batch: int) -> None:
-        sink(fm_estimate(df.select(F.col("w.start").alias("start"), "key", "c"), ["start"], "key", "c"), batch)
+        sums = store(fm_sums(df.select(F.col("w.start").alias("start"), F.col("key").alias("k"), F.col("c").alias("n_rows")), ["start"]), "sums")
+        sink(fm_of_sums(sums, ["start"]), batch)
+        drop(sums)
 
     writer = windowed_keys(stream, length, slide, late).writeStream.outputMode("append").foreachBatch(each)
     return writer.trigger(**(options.pop("trigger", None) or {"processingTime": "5 seconds"})).options(**options).start()

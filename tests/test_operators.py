@@ -328,6 +328,22 @@ def test_weighted_estimate(spark):
     assert sketch.fm_estimate(plain, ["start"], "k").collect() == sketch.fm_estimate(counted, ["start"], "k", "c").collect()
 
 
+def test_keys_of_equal_sums(spark):
+    """Keys that all hashes take alike are one row to hash, counted apart; null and empty keys count, and aren't hashed; a null group goes."""
+    rows = [("w", "ad"), ("w", "ad"), ("w", "ad"), ("w", "bxb"), ("w", "cvc"), ("w", ""), ("w", None), ("v", ""), (None, "a")]
+    df = spark.createDataFrame(rows, "start string, k string")
+    sums = sketch.fm_sums(df.where("start = 'w'").groupBy("start", "k").agg(F.count("*").alias("n_rows")), ["start"]).collect()
+    assert sorted((r["truth"], r["n_rows"], r["s"] is None) for r in sums) == [(1, 3, False), (2, 2, False), (2, 2, True)]
+    found = {r["start"]: (r["truth"], r["estimate"]) for r in sketch.fm_estimate(df, ["start"], "k").collect()}
+    zeros = lambda h: (h & -h).bit_length() - 1 if h else 1
+    es = []
+    for i in range(100):
+        r = [zeros(sum(ord(c) * (i + j) for j, c in enumerate(k)) % 4) for k in ("ad", "bxb", "cvc")]
+        es.append(2 ** (max(r) - min(r)))
+    assert found == {"w": (5, -(-sum(sorted(es)[1:-1]) // 98)), "v": (1, None)}
+    assert sketch.fm_estimate(df.where("false"), [], "k").collect()[0][0] == 0
+
+
 def test_top_tags_keep_ties(spark):
     tags = spark.createDataFrame([(t,) for t in "aaabbbccdde"], "t string")
     assert {(r["tag"], r["n"]) for r in sketch.top_tags(tags, "t", 2).collect()} == {("a", 3), ("b", 3), ("c", 2), ("d", 2)}

@@ -234,3 +234,24 @@ def test_window_estimates(spark, tmp_path):
     full = [r for r in got if r["start"].second in (0, 10, 20, 30) and r["start"].minute == 0 and r["start"].hour == 0]
     assert len(full) == 4 and {r["truth"] for r in full} == {4}
     assert all(abs(r["accuracy"] - (1 - abs(4 - r["estimate"]) / 4)) < 1e-9 for r in full)
+
+
+def test_window_batches_run_once(spark, tmp_path):
+    """What a batch hands on is read once, so its source and its state are too."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(key):
+        seen.add(1)
+        return key
+
+    rows = [(f"2024-01-01 00:00:{s:02d}", f"c{s % 4}") for s in range(60)] + [("2024-01-01 01:00:00", "late")]
+    df = spark.createDataFrame(rows, "t string, key string").selectExpr("cast(t AS timestamp) AS ts", "key")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = []
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).select("ts", told.asNondeterministic()("key").alias("key"))
+    query = sketches.write_estimates(stream, lambda d, _: got.extend(d.collect()), trigger={"availableNow": True}, checkpointLocation=str(tmp_path / "cp"))
+    sketches.watch(query)
+    assert len(got) == 8 and seen.value == len(rows)
